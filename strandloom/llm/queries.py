@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
+from strandloom.llm.bpe import op5_byte_bpe
 from strandloom.llm.near_dedup import op7_near_dedup
 
-QUERIES = {"op7_near_dedup": op7_near_dedup}
+QUERIES = {"op5_byte_bpe": op5_byte_bpe, "op7_near_dedup": op7_near_dedup}
 ORACLE_SQL: dict[str, str] = {}
