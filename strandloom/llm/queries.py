@@ -5,6 +5,7 @@ from __future__ import annotations
 from strandloom.llm.bpe import op5_byte_bpe
 from strandloom.llm.katz import op10_katz
 from strandloom.llm.near_dedup import op7_near_dedup
+from strandloom.llm.toxicity import op2_toxicity
 
-QUERIES = {"op10_katz": op10_katz, "op5_byte_bpe": op5_byte_bpe, "op7_near_dedup": op7_near_dedup}
+QUERIES = {"op2_toxicity": op2_toxicity, "op10_katz": op10_katz, "op5_byte_bpe": op5_byte_bpe, "op7_near_dedup": op7_near_dedup}
 ORACLE_SQL: dict[str, str] = {}
