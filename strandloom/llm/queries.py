@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from strandloom.llm.ann import op9_ann
 from strandloom.llm.bpe import op5_byte_bpe
+from strandloom.llm.decontaminate import op3_decontaminate
 from strandloom.llm.katz import op10_katz
 from strandloom.llm.near_dedup import op7_near_dedup
 from strandloom.llm.pii import op8_pii
@@ -11,5 +12,5 @@ from strandloom.llm.quality import op6_quality
 from strandloom.llm.substring_dedup import op4_suffix_dedup
 from strandloom.llm.toxicity import op2_toxicity
 
-QUERIES = {"op6_quality": op6_quality, "op4_suffix_dedup": op4_suffix_dedup, "op8_pii": op8_pii, "op9_ann": op9_ann, "op2_toxicity": op2_toxicity, "op10_katz": op10_katz, "op5_byte_bpe": op5_byte_bpe, "op7_near_dedup": op7_near_dedup}
+QUERIES = {"op3_decontaminate": op3_decontaminate, "op6_quality": op6_quality, "op4_suffix_dedup": op4_suffix_dedup, "op8_pii": op8_pii, "op9_ann": op9_ann, "op2_toxicity": op2_toxicity, "op10_katz": op10_katz, "op5_byte_bpe": op5_byte_bpe, "op7_near_dedup": op7_near_dedup}
 ORACLE_SQL: dict[str, str] = {}
