@@ -82,12 +82,12 @@ def _gram_sizes(block: Block, n: int) -> list[int]:
     return sorted({min(n, len(w)) for w in block.words})
 
 
-def _hits(batches: Iterator[pa.RecordBatch], block: Block, n: int):
+def _hits(batches: Iterator[pa.RecordBatch], block: Block, n: int, text: int = 1):
     """(batch row, word hashes, starts, ends, hit words, hit grams) of each text with a hit."""
     bitmap = block.bitmap()
     sizes = _gram_sizes(block, n)
     for batch in batches:
-        buf, off = _words.utf8(batch.column(1))
+        buf, off = _words.utf8(batch.column(text))
         for i, j in _words.slices(off):
             h, start, end, first = _words.words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
             doc = np.repeat(np.arange(j - i), np.diff(first))
@@ -140,35 +140,50 @@ def _count(shared, n: int):
     return run
 
 
+def _copies(batches: Iterator[pa.RecordBatch], block: Block, n: int, least: float, text: int = 1):
+    """(batch, row, {item: (score, start byte, end byte)}) of each text with a copy."""
+    for batch, row, h, start, end, at, gram in _hits(batches, block, n, text):
+        size = block.first[gram + 1] - block.first[gram]
+        ends = np.cumsum(size)
+        entry = np.repeat(block.first[gram] - (ends - size), size) + np.arange(int(ends[-1]))
+        item, place, pos = block.item[entry], block.place[entry], np.repeat(at, size)
+        order = np.lexsort((pos, item))
+        item, place, pos = item[order], place[order], pos[order]
+        length = np.array([len(block.words[i]) for i in item.tolist()])
+        cut = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > length[1:]), [True])))
+        best: dict[int, tuple] = {}
+        for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
+            i, words = int(item[x]), block.words[int(item[x])]
+            slack = len(words) // 2 + 4
+            lo = max(0, int((pos[x:y] - place[x:y]).min()) - slack)
+            hi = min(len(h), int((pos[x:y] - place[x:y]).max()) + len(words) + slack)
+            score, s, e = align(words, h[lo:hi])
+            share = score / (MATCH * len(words))
+            if share >= least and (i not in best or share > best[i][0]):
+                best[i] = (share, int(start[lo + s]), int(end[lo + e - 1]))
+        if best:
+            yield batch, row, best
+
+
 def _match(shared, n: int, least: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
-        for batch, row, h, start, end, at, gram in _hits(batches, block, n):
-            size = block.first[gram + 1] - block.first[gram]
-            ends = np.cumsum(size)
-            entry = np.repeat(block.first[gram] - (ends - size), size) + np.arange(int(ends[-1]))
-            item, place, pos = block.item[entry], block.place[entry], np.repeat(at, size)
-            order = np.lexsort((pos, item))
-            item, place, pos = item[order], place[order], pos[order]
-            length = np.array([len(block.words[i]) for i in item.tolist()])
-            cut = np.concatenate(([True], (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > length[1:])))
-            best: dict[int, tuple] = {}
-            for x, y in zip(np.flatnonzero(cut).tolist(), [*np.flatnonzero(cut)[1:].tolist(), len(item)]):
-                i, words = int(item[x]), block.words[int(item[x])]
-                slack = len(words) // 2 + 4
-                lo = max(0, int((pos[x:y] - place[x:y]).min()) - slack)
-                hi = min(len(h), int((pos[x:y] - place[x:y]).max()) + len(words) + slack)
-                score, s, e = align(words, h[lo:hi])
-                share = score / (MATCH * len(words))
-                if share >= least and (i not in best or share > best[i][0]):
-                    best[i] = (share, lo + s, lo + e)
-            if best:
-                k = len(best)
-                share, s, e = zip(*best.values())
-                yield pa.RecordBatch.from_arrays([
-                    pa.array([batch.column(0)[row].as_py()] * k, pa.int64()), pa.array(block.ids[list(best)], pa.int64()), pa.array(share, pa.float64()),
-                    pa.array(start[list(s)], pa.int64()), pa.array(end[np.array(e) - 1], pa.int64()),
-                ], names=["doc_id", "item_id", "score", "start_byte", "end_byte"])
+        for batch, row, best in _copies(batches, block, n, least):
+            share, s, e = zip(*best.values())
+            yield pa.RecordBatch.from_arrays([
+                pa.array([batch.column(0)[row].as_py()] * len(best), pa.int64()), pa.array(block.ids[list(best)], pa.int64()),
+                pa.array(share, pa.float64()), pa.array(s, pa.int64()), pa.array(e, pa.int64()),
+            ], names=["doc_id", "item_id", "score", "start_byte", "end_byte"])
+
+    return run
+
+
+def _drop(shared, n: int, least: float, text: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            clean = np.ones(batch.num_rows, bool)
+            clean[[row for _, row, _ in _copies(iter([batch]), shared.value, n, least, text)]] = False
+            yield batch.filter(pa.array(clean))
 
     return run
 
@@ -183,27 +198,40 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     and reported with a null doc_id; items with a null id are left out. Repeated rows are reported
     once each. Other columns are ignored; empty tables give an empty result.
     """
-    spark = docs.sparkSession
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    out = None
+    for seeds in seed_blocks(rows, benchmark, item_key, item_text, n, block_bytes):
+        found = rows.mapInArrow(_match(seeds, n, least), FOUND)
+        out = found if out is None else out.unionByName(found)
+    return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
+
+
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = GRAM, least: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """``docs`` without the rows that ``contaminated`` reports; all columns stay, no row is shuffled."""
+    rows = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    out = docs
+    for seeds in seed_blocks(rows, benchmark, item_key, item_text, n, block_bytes):
+        out = out.mapInArrow(_drop(seeds, n, least, docs.columns.index(text)), docs.schema)
+    return out
+
+
+def seed_blocks(rows: DataFrame, benchmark: DataFrame, item_key: str, item_text: str, n: int, block_bytes: int) -> list:
+    """Broadcast seeds of each block of items; counts of n-grams come from a scan of ``rows`` (doc_id, text)."""
+    spark = rows.sparkSession
     items = benchmark.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
     blocks = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
-    out = None
+    out = []
     for b in range(blocks):
         held = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").toArrow()
-        if not held.num_rows:
-            continue
-        ids, texts = held["item_id"].to_numpy(), held["text"]
-        block = index_block(ids, texts, n)
+        block = index_block(held["item_id"].to_numpy(), held["text"], n)
         if not len(block.grams):
             continue
         df = np.zeros(len(block.grams), np.int64)
         shared = spark.sparkContext.broadcast(block)
         for r in rows.mapInArrow(_count(shared, n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():  # at most the block's grams
             df[r.gram] = r["n"]
-        seeds = spark.sparkContext.broadcast(index_block(ids, texts, n, rare(block, df)))
-        found = rows.mapInArrow(_match(seeds, n, least), FOUND)
-        out = found if out is None else out.unionByName(found)
-    return spark.createDataFrame([], FOUND) if out is None else out
+        out.append(spark.sparkContext.broadcast(index_block(held["item_id"].to_numpy(), held["text"], n, rare(block, df))))
+    return out
 
 
 def rare(block: Block, df: np.ndarray) -> np.ndarray:

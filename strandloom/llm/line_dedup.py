@@ -24,6 +24,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from strandloom.llm import _words
 from strandloom.llm._pack import from_gaps, gaps, narrow, pack, unpack
@@ -251,11 +252,11 @@ def _send(texts: pa.Table, pairs: pa.Table) -> pa.Table:
     return _rows(out)
 
 
-def _remove(buckets: int, num: int, den: int, min_words: int):
+def _remove(buckets: int, num: int, den: int, min_words: int, carry: list[str]):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         spans = pa.list_(pa.int64())
         if not texts.num_rows:
-            return pa.table({"doc_id": pa.array([], pa.int64()), "n_lines": pa.array([], pa.int64()), "removed": pa.array([], spans), "kept": pa.array([], pa.string())})
+            return pa.table({"doc_id": texts["doc_id"], "n_lines": pa.array([], pa.int64()), "removed": pa.array([], spans), "kept": pa.array([], pa.string())} | {c: texts[f"_{c}"] for c in carry})
         x = _Lines(texts)
         lines, first = _firsts(x, told, buckets)
         gone = np.zeros(len(x.start), bool)
@@ -282,23 +283,24 @@ def _remove(buckets: int, num: int, den: int, min_words: int):
                 kept.append(b"\n".join(raw[s:e] for s, e in zip(x.start[i:j][~g].tolist(), x.end[i:j][~g].tolist())).decode())
             else:
                 kept.append(raw[x.start[i] : x.end[j - 1]].decode())
-        return pa.table({"doc_id": x.table["doc_id"], "n_lines": pa.array(per), "removed": pa.array(removed, spans), "kept": pa.array(kept, pa.string())})
+        return pa.table({"doc_id": x.table["doc_id"], "n_lines": pa.array(per), "removed": pa.array(removed, spans), "kept": pa.array(kept, pa.string())} | {c: x.table[f"_{c}"] for c in carry})
 
     return run
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
     """``(doc_id, n_lines, removed, kept)``, one row per input row: numbers of the removed lines (from 0) and the text of the others.
 
     Lines end at line feeds. A null or empty text is one empty line, which stays. Lines without
     words stay. A row with a null key comes after all others; rows with one key come in the order of
-    their texts, and their lines count on. Other columns are ignored; an empty table stays empty.
+    their texts, and their lines count on. An empty table stays empty. Of the other columns those in
+    ``carry`` (none named like the four above) are handed through.
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
     buckets = max(32, 4 * width)
     texts = (
-        docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+        docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in carry))
         .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(4 * width)).cast("int"))
         .repartition(width, "chunk")
     )
@@ -307,7 +309,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", num: i
     pairs = posted.groupBy("bucket").applyInArrow(_candidates(num, den), ROW)
     sets = texts.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_send, ROW)
     answers = told.where("kind = 'firsts'").unionByName(sets).repartition(width, "chunk")
-    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(buckets, num, den, min_words), "doc_id long, n_lines long, removed array<long>, kept string")
+    out = StructType.fromDDL("doc_id long, n_lines long, removed array<long>, kept string")
+    for c in carry:
+        out.add(docs.schema[c])
+    return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(buckets, num, den, min_words, list(carry)), out)
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
