@@ -1,6 +1,510 @@
-"""Registered queries of the engine and the SQL that each must equal."""
+"""Registered queries of the engine and, for each, SQL that must give the same rows."""
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window
+
+from strandloom.functions import coords, dna
+from strandloom.operators import classify, components, fusion, nmd, polya, retention, truncation
+from strandloom.operators.components import Mode, Overlap
+from strandloom.plans import fixtures
+from strandloom.plans.fixtures import EXONS_SQL, transcripts
+
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
+BASE = "WITH RECURSIVE" + EXONS_SQL
+
+
+def clusters_sql(source: str) -> str:
+    """CTEs that end in comp (k, comp) for intervals of ``source`` (k, chrom, strand, s, e)."""
+    return f"""
+isl1 AS (SELECT k, chrom, strand, s, e, CASE WHEN s < max(e) OVER (PARTITION BY chrom, strand ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM {source}),
+isl AS (SELECT k, concat(chrom, strand, sum(o) OVER (PARTITION BY chrom, strand ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS g FROM isl1),
+reach AS (SELECT DISTINCT k, k AS r FROM isl UNION SELECT b.k, reach.r FROM reach JOIN isl a ON a.k = reach.k JOIN isl b ON b.g = a.g),
+comp AS (SELECT k, min(r) AS comp FROM reach GROUP BY k),
+packed AS (SELECT tx.*, comp, count(*) FILTER (WHERE is_ref) OVER (PARTITION BY comp) AS n_refs, count(*) FILTER (WHERE NOT is_ref) OVER (PARTITION BY comp) AS n_queries FROM tx JOIN comp USING (k))"""
+
+
+EXON_PACK = BASE + "," + clusters_sql("exons")
+QUERY_PACK = EXON_PACK + ", pk AS (SELECT * FROM packed WHERE n_refs > 0 AND n_queries > 0)"
+REF_PACK = EXON_PACK + ", pk AS (SELECT * FROM packed WHERE n_refs > 0)"
+CDS_EXONS = ", cdsx AS (SELECT DISTINCT k, chrom, strand, greatest(s, cs) AS s, least(e, ce) AS e FROM exons JOIN (SELECT k, cs, ce FROM tx) USING (k) WHERE e >= cs AND s <= ce)"
+BOUND_EXONS = """, bndx AS (SELECT k, chrom, strand, CASE WHEN s < cs AND e < ce THEN cs ELSE s END AS s, CASE WHEN s > cs AND e > ce THEN ce ELSE e END AS e
+  FROM exons JOIN (SELECT k, cs, ce FROM tx) USING (k) WHERE e >= cs AND s <= ce)"""
+#: Intron table of components with a reference, and the fixture's scores for it.
+INTRON_TABLE = REF_PACK + """,
+ir AS (SELECT i.*, comp FROM introns i JOIN pk USING (k)),
+t0 AS (SELECT comp, chrom, strand, s, e, count(*) FILTER (WHERE NOT is_ref) AS seen, bool_or(is_ref) AS is_toga FROM ir GROUP BY ALL),
+hull AS (SELECT comp, min(cs) AS h0, max(ce) AS h1 FROM pk WHERE is_ref GROUP BY comp),
+sp AS (SELECT t0.comp, s, e, count(*) AS spanned FROM t0 JOIN pk ON pk.comp = t0.comp AND NOT pk.is_ref AND tstart <= s AND e <= tend WHERE seen > 0 GROUP BY ALL),
+it AS (SELECT t0.*, coalesce(spanned, 0) AS spanned,
+  CASE WHEN is_toga OR (h0 < s AND e < h1) THEN 'CDS' WHEN s > h1 OR e < h0 THEN 'UTR' WHEN (s < h0 AND e < h1) OR (s < h1 AND e > h1) THEN 'Mixed' ELSE 'Unknown' END AS position,
+  seen > 0 AND (e - s) % 3 = 0 AS in_frame FROM t0 JOIN hull USING (comp) LEFT JOIN sp USING (comp, s, e)),
+ai AS (SELECT *, CAST((((CASE WHEN strand = '-' THEN 100000000000 - s ELSE s - 1 END) * 31) % 100) AS DOUBLE) / 1000 AS ai_donor,
+  CAST((((CASE WHEN strand = '-' THEN 100000000000 - e - 1 ELSE e END) * 31) % 100) AS DOUBLE) / 1000 AS ai_acceptor,
+  CAST((s * 17) % 40 AS DOUBLE) / 10 AS me_donor, CAST((e * 17) % 40 AS DOUBLE) / 10 AS me_acceptor, s % 7 = 0 AS is_rt FROM it),
+su AS (SELECT *, CASE WHEN is_rt AND is_toga THEN 'SPLICED' WHEN is_rt THEN 'RT' WHEN is_toga OR (ai_donor >= 0.01 AND ai_acceptor >= 0.01 AND s % 3 = 0) THEN 'SPLICED' ELSE
+  CASE WHEN spanned > 0 AND CAST(seen AS DOUBLE) / spanned >= 0.5 THEN 'SPLICED' WHEN me_donor >= 1.5 AND me_acceptor >= 1.5 AND ai_donor > 0 AND ai_acceptor > 0 AND s % 3 = 0 THEN 'SPLICED' ELSE 'UNCLEAR' END END AS support FROM ai)"""
+
+
+def query(name: str, sql: str | None = None):
+    def register(f):
+        QUERIES[name] = f
+        if sql is not None:
+            ORACLE_SQL[name] = sql
+        return f
+
+    return register
+
+
+def _text(c: str):
+    return coords.text(F.col(c))
+
+
+def _packed(spark, sf: str, mode: Mode = Mode.DEFAULT, overlap: Overlap = Overlap.EXON) -> DataFrame:
+    return components.pack(transcripts(spark, sf), overlap, mode)
+
+
+# --- coordinates ------------------------------------------------------------------------------------
+
+LIST = "string_agg(concat(s, '-', e), ',' ORDER BY s, e)"
+
+
+@query("bed12_blocks", BASE + f"SELECT k, count(*) AS n_exons, {LIST} AS exons, CAST(sum(e - s) AS BIGINT) AS exon_len FROM exons GROUP BY k")
+def bed12_blocks(spark, sf):
+    return transcripts(spark, sf).select("k", F.size("exons").cast("long").alias("n_exons"), _text("exons").alias("exons"), "exon_len")
+
+
+@query("oriented_coords", BASE + 'SELECT k, chrom, strand, tstart AS "start", tend AS "end", cs AS cds_start, ce AS cds_end FROM tx')
+def oriented_coords(spark, sf):
+    return transcripts(spark, sf).select("k", "chrom", "strand", "start", "end", "cds_start", "cds_end")
+
+
+@query("introns", BASE + f"SELECT k, count(s) AS n_introns, coalesce({LIST}, '') AS introns FROM tx LEFT JOIN (SELECT k, s, e FROM introns) USING (k) GROUP BY k".replace("string_agg(", "string_agg(CASE WHEN s IS NOT NULL THEN ").replace(", ',' ORDER", " END, ',' ORDER"))
+def introns(spark, sf):
+    return transcripts(spark, sf).select("k", F.size("introns").cast("long").alias("n_introns"), _text("introns").alias("introns"))
+
+
+@query("cds_clip", BASE + CDS_EXONS + f" SELECT k, {LIST} AS cds_exons FROM cdsx GROUP BY k")
+def cds_clip(spark, sf):
+    return transcripts(spark, sf).select("k", coords.text(coords.clip_cds(F.col("exons"), F.col("cds_start"), F.col("cds_end"))).alias("cds_exons")).where("cds_exons <> ''")
+
+
+@query("first_exon", BASE + "SELECT k, min(s) AS s, min_by(e, s) AS e FROM exons GROUP BY k")
+def first_exon(spark, sf):
+    return transcripts(spark, sf).select("k", coords.first_exon(F.col("exons")).alias("x")).select("k", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
+
+
+@query("middle_exons", BASE + f", m AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY s, e) AS r FROM exons) SELECT k, {LIST} AS middles FROM m WHERE r > 1 GROUP BY k")
+def middle_exons(spark, sf):
+    return transcripts(spark, sf).select("k", coords.text(coords.middle_exons(F.col("exons"))).alias("middles")).where("middles <> ''")
+
+
+@query("utr_bounds", BASE + "SELECT k, tstart AS five_start, cs AS five_end, ce AS three_start, tend AS three_end FROM tx")
+def utr_bounds(spark, sf):
+    return transcripts(spark, sf).select("k", F.col("start").alias("five_start"), F.col("cds_start").alias("five_end"), F.col("cds_end").alias("three_start"), F.col("end").alias("three_end"))
+
+
+@query("gene_token", BASE + "SELECT k, concat('G', k - k % 40) AS gene FROM tx WHERE is_ref")
+def gene_token(spark, sf):
+    return transcripts(spark, sf).where("is_ref").select("k", coords.gene_token(F.col("name")).alias("gene"))
+
+
+TAGS = "k % 5 AS fc, k % 3 AS tc, k % 60 AS pa, CASE WHEN k % 4 = 0 THEN k % 60 ELSE k % 60 + k % 3 + k % 9 END AS pr, 980 + k % 20 AS iy"
+
+
+@query("read_tags", BASE + f"SELECT k, {TAGS} FROM tx WHERE NOT is_ref")
+def read_tags(spark, sf):
+    t = transcripts(spark, sf).where("not is_ref").withColumn("t", coords.read_tags(F.col("name")))
+    return t.select("k", *(F.col("t")[x.upper()].alias(x) for x in ("fc", "tc", "pa", "pr", "iy")))
+
+
+@query("location_text", BASE + "SELECT k, concat(chrom, ':', ps, '-', pe) AS location FROM tx JOIN (SELECT k, ps, pe FROM pc) USING (k)")
+def location_text(spark, sf):
+    return transcripts(spark, sf).select("k", coords.location(F.col("chrom"), F.col("strand"), F.col("start"), F.col("end")).alias("location"))
+
+
+@query("orf_to_genome", BASE + """, w AS (SELECT *, sum(e - s) OVER (PARTITION BY k ORDER BY s, e) - (e - s) AS before FROM exons),
+ loc AS (SELECT tx.k, tx.strand, (SELECT min(s + p - before) FROM w WHERE w.k = tx.k AND before <= p AND p < before + e - s) AS g, p, tend FROM tx, (VALUES (10), (200)) v(p))
+ SELECT k, min(CASE WHEN strand = '-' THEN 100000000000 - coalesce(g, tend) ELSE coalesce(g, tend) END) AS cds_start, max(CASE WHEN strand = '-' THEN 100000000000 - coalesce(g, tend) ELSE coalesce(g, tend) END) AS cds_end FROM loc GROUP BY k""")
+def orf_to_genome(spark, sf):
+    a, b = coords.orf_to_cds(F.col("exons"), F.col("strand"), F.lit(10), F.lit(200))
+    return transcripts(spark, sf).select("k", a.alias("cds_start"), b.alias("cds_end"))
+
+
+# --- components -------------------------------------------------------------------------------------
+
+
+def _clusters(name: str, overlap: Overlap, sql: str):
+    @query(name, sql + " SELECT k, comp FROM comp")
+    def run(spark, sf):
+        return components.components(transcripts(spark, sf), overlap).select("k", "comp")
+
+
+_clusters("clusters_exon", Overlap.EXON, EXON_PACK)
+_clusters("clusters_cds", Overlap.CDS, BASE + CDS_EXONS + "," + clusters_sql("cdsx"))
+_clusters("clusters_cdsbound", Overlap.CDS_BOUND, BASE + BOUND_EXONS + "," + clusters_sql("bndx"))
+_clusters("clusters_boundary", Overlap.BOUNDARY, BASE + ", txb AS (SELECT k, chrom, strand, tstart AS s, tend AS e FROM tx)," + clusters_sql("txb"))
+
+
+@query("component_sizes", EXON_PACK + " SELECT comp, min(n_refs) AS n_refs, min(n_queries) AS n_queries, count(*) AS n FROM packed GROUP BY comp")
+def component_sizes(spark, sf):
+    return _packed(spark, sf).groupBy("comp").agg(F.min("n_refs").alias("n_refs"), F.min("n_queries").alias("n_queries"), F.count("*").alias("n"))
+
+
+@query("pack_mode_query", QUERY_PACK + " SELECT k, comp, n_refs, n_queries FROM pk")
+def pack_mode_query(spark, sf):
+    return _packed(spark, sf, Mode.QUERY).select("k", "comp", "n_refs", "n_queries")
+
+
+@query("pack_mode_intron", REF_PACK + " SELECT k, comp, n_refs, n_queries FROM pk")
+def pack_mode_intron(spark, sf):
+    return _packed(spark, sf, Mode.INTRON).select("k", "comp", "n_refs", "n_queries")
+
+
+@query("exon_overlap_pairs", BASE + "SELECT DISTINCT a.k AS a, b.k AS b FROM exons a JOIN exons b ON a.chrom = b.chrom AND a.strand = b.strand AND a.k < b.k AND a.s < b.e AND b.s < a.e")
+def exon_overlap_pairs(spark, sf):
+    from strandloom.operators.intervals import overlap_join
+
+    x = transcripts(spark, sf).select("k", "chrom", "strand", F.explode("exons").alias("x")).select("k", "chrom", "strand", "x.start", "x.end")
+    return overlap_join(x, x, ["chrom", "strand"]).where("k < r_k").select(F.col("k").alias("a"), F.col("r_k").alias("b")).distinct()
+
+
+@query("shared_introns", BASE + "SELECT DISTINCT a.k AS a, b.k AS b FROM introns a JOIN introns b ON a.chrom = b.chrom AND a.strand = b.strand AND a.k < b.k AND a.s = b.s AND a.e = b.e")
+def shared_introns(spark, sf):
+    x = transcripts(spark, sf).select("k", "chrom", "strand", F.explode("introns").alias("i")).select("k", "chrom", "strand", "i")
+    return x.select(F.col("k").alias("a"), "chrom", "strand", "i").join(x.select(F.col("k").alias("b"), "chrom", "strand", "i"), ["chrom", "strand", "i"]).where("a < b").select("a", "b").distinct()
+
+
+@query("shared_splice_sites", BASE + ", st AS (SELECT DISTINCT k, chrom, strand, unnest([s, e]) AS p FROM introns) SELECT DISTINCT a.k AS a, b.k AS b FROM st a JOIN st b ON a.chrom = b.chrom AND a.strand = b.strand AND a.k < b.k AND a.p = b.p")
+def shared_splice_sites(spark, sf):
+    x = transcripts(spark, sf).select("k", "chrom", "strand", F.explode(F.flatten(F.transform("introns", lambda i: F.array(i["start"], i["end"])))).alias("p")).distinct()
+    return x.select(F.col("k").alias("a"), "chrom", "strand", "p").join(x.select(F.col("k").alias("b"), "chrom", "strand", "p"), ["chrom", "strand", "p"]).where("a < b").select("a", "b").distinct()
+
+
+# --- introns ----------------------------------------------------------------------------------------
+
+
+def scored_introns(spark, sf) -> DataFrame:
+    """The intron table with the fixture's scores and support."""
+    s, e = F.col("istart"), F.col("iend")
+    donor, acceptor = classify.splice_positions(F.col("strand"), s, e)
+    ai = lambda p: (p * 31 % 100).cast("double") / 1000
+    t = classify.intron_table(_packed(spark, sf, Mode.INTRON)).withColumns({"ai_donor": ai(donor), "ai_acceptor": ai(acceptor), "me_donor": (s * 17 % 40).cast("double") / 10, "me_acceptor": (e * 17 % 40).cast("double") / 10, "is_rt": s % 7 == 0})
+    known = lambda c: F.when(s % 3 == 0, F.col(c)).otherwise(0.0)
+    return t.withColumns({"ai_donor": known("ai_donor"), "ai_acceptor": known("ai_acceptor")}).withColumn("support", classify.support())
+
+
+@query("intron_seen", INTRON_TABLE + " SELECT comp, s AS istart, e AS iend, seen, spanned FROM it")
+def intron_seen(spark, sf):
+    return classify.intron_table(_packed(spark, sf, Mode.INTRON)).select("comp", "istart", "iend", "seen", "spanned")
+
+
+@query("intron_position", INTRON_TABLE + " SELECT comp, s AS istart, e AS iend, position, is_toga, in_frame FROM it")
+def intron_position(spark, sf):
+    return classify.intron_table(_packed(spark, sf, Mode.INTRON)).select("comp", "istart", "iend", "position", "is_toga", "in_frame")
+
+
+@query("toga_union", INTRON_TABLE + " SELECT position, is_toga, seen > 0 AS observed, count(*) AS n FROM it GROUP BY ALL")
+def toga_union(spark, sf):
+    return classify.intron_table(_packed(spark, sf, Mode.INTRON)).groupBy("position", "is_toga", (F.col("seen") > 0).alias("observed")).agg(F.count("*").alias("n"))
+
+
+@query("intron_support", INTRON_TABLE + " SELECT comp, s AS istart, e AS iend, support FROM su")
+def intron_support(spark, sf):
+    return scored_introns(spark, sf).select("comp", "istart", "iend", "support")
+
+
+RETAINED = INTRON_TABLE + """,
+rd AS (SELECT k, comp, chrom, strand, count(*) OVER (PARTITION BY comp) AS query_size FROM pk WHERE NOT is_ref AND comp IN (SELECT comp FROM su)),
+hit AS (SELECT rd.k, su.s, su.e, su.support, position, in_frame FROM rd JOIN exons x ON x.k = rd.k JOIN su ON su.comp = rd.comp AND x.s < su.s AND su.e < x.e),
+own AS (SELECT DISTINCT rd.k FROM rd JOIN introns i ON i.k = rd.k JOIN su ON su.comp = rd.comp AND su.s = i.s AND su.e = i.e AND su.support = 'RT'),
+vv AS (SELECT k, count(*) FILTER (WHERE support <> 'RT') AS n, max(CASE WHEN support = 'RT' THEN 0 WHEN position = 'CDS' AND NOT in_frame THEN CASE support WHEN 'UNCLEAR' THEN 1 ELSE 2 END WHEN position = 'Unknown' THEN CASE WHEN in_frame THEN 1 ELSE 2 END ELSE 0 END) AS worst,
+  coalesce(bool_or(support = 'RT'), false) AS rt FROM hit GROUP BY k),
+ve AS (SELECT rd.*, coalesce(n, 0) AS number_of_retentions, coalesce(rt, false) AS retains_rt_intron, k IN (SELECT k FROM own) AS has_rt_intron, CASE worst WHEN 2 THEN 'DISCARD' WHEN 1 THEN 'UNCLEAR' ELSE 'KEEP' END AS exonic_status FROM rd LEFT JOIN vv USING (k)),
+vr AS (SELECT *, CAST(avg(CASE WHEN number_of_retentions > 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY comp) AS FLOAT) AS ratio FROM ve)"""
+
+
+def _retention(spark, sf, recover: bool = False):
+    reads = _packed(spark, sf, Mode.INTRON).where("not is_ref")
+    return retention.verdicts(reads, scored_introns(spark, sf), recover=recover)
+
+
+@query("retention_hits", RETAINED + " SELECT k, s AS istart, e AS iend, support FROM hit")
+def retention_hits(spark, sf):
+    reads = _packed(spark, sf, Mode.INTRON).where("not is_ref")
+    return retention.retained(reads, scored_introns(spark, sf)).select("k", "istart", "iend", "support")
+
+
+@query("rt_reads", RETAINED + " SELECT k FROM own")
+def rt_reads(spark, sf):
+    reads = _packed(spark, sf, Mode.INTRON).where("not is_ref")
+    return retention.rt_hits(reads, scored_introns(spark, sf)).select("k").distinct()
+
+
+@query("retention_verdict", RETAINED + " SELECT k, comp, number_of_retentions, retains_rt_intron, has_rt_intron, exonic_status, CASE WHEN has_rt_intron THEN 'DISCARD' ELSE 'KEEP' END AS intronic_status, query_size, CASE WHEN exonic_status = 'DISCARD' OR has_rt_intron THEN 'discard' ELSE 'keep' END AS category FROM vr")
+def retention_verdict(spark, sf):
+    return _retention(spark, sf).select("k", "comp", "number_of_retentions", "retains_rt_intron", "has_rt_intron", "exonic_status", "intronic_status", "query_size", "category")
+
+
+@query("retention_review", RETAINED + " SELECT k, CAST(ratio AS DOUBLE) AS ratio, CASE WHEN ratio > 0.001 THEN 'review' WHEN exonic_status = 'DISCARD' OR has_rt_intron THEN 'discard' ELSE 'keep' END AS category FROM vr")
+def retention_review(spark, sf):
+    return _retention(spark, sf, True).select("k", F.col("ratio").cast("double").alias("ratio"), "category")
+
+
+# --- nonsense-mediated decay ------------------------------------------------------------------------
+
+
+@query("nmd_class", BASE + """, x AS (SELECT e.k, e.s, e.e, cs, ce, row_number() OVER w AS i, count(*) OVER (PARTITION BY e.k) AS n FROM exons e JOIN (SELECT k, cs, ce FROM tx) USING (k) WHERE cs <> ce WINDOW w AS (PARTITION BY e.k ORDER BY s, e)),
+ u AS (SELECT *, e >= ce AS a, row_number() OVER (PARTITION BY k, e >= ce ORDER BY i) AS j FROM x),
+ l AS (SELECT *, sum(CASE WHEN NOT a THEN 0 WHEN j = 1 THEN e - ce ELSE e - s END) OVER (PARTITION BY k ORDER BY i) AS len FROM u),
+ d AS (SELECT k, count(*) FILTER (WHERE a AND len >= 55) - 1 AS nmd_count, coalesce(min_by(e - ce, i) FILTER (WHERE a AND e - ce > 0), 0) AS dist, coalesce(max(len - (e - s)) FILTER (WHERE a AND i = n), 0) AS bp,
+  CAST(sum(CASE WHEN e < cs OR s > ce THEN 0 WHEN e >= cs AND cs >= s THEN least(e, ce) - cs WHEN s > cs AND e < ce THEN e - s WHEN s > cs AND e >= ce THEN ce - s ELSE 0 END) AS BIGINT) AS cds_len FROM l GROUP BY k)
+ SELECT k, nmd_count, CAST(dist AS BIGINT) AS dist_stop_to_next_sj, cds_len, CAST(bp AS BIGINT) AS bp_utr_to_last_ejc, CASE WHEN nmd_count <= 0 THEN 'NN' WHEN bp <= 80 OR dist >= 400 OR cds_len <= 100 THEN concat('WN', nmd_count) ELSE concat('SN', nmd_count) END AS nmd FROM d""")
+def nmd_class(spark, sf):
+    return nmd.classify_nmd(transcripts(spark, sf)).select("k", "nmd_count", "dist_stop_to_next_sj", "cds_len", "bp_utr_to_last_ejc", "nmd")
+
+
+# --- fusion: each reference is cut in two genes at the fourth exon -----------------------------------------------
+
+FUSION = BASE + """,
+fx AS (SELECT CASE WHEN is_ref THEN k * 2 + (n >= 4)::INT ELSE k * 2 END AS k, chrom, strand, is_ref, s, e, CASE WHEN is_ref THEN concat('G', k - k % 40, CASE WHEN n >= 4 THEN 'B' ELSE 'A' END) END AS gene FROM exons),
+fi AS (SELECT k, is_ref, gene, e + 1 AS s, ns - 1 AS e FROM (SELECT *, lead(s) OVER (PARTITION BY k ORDER BY s, e) AS ns FROM fx) WHERE e + 1 < ns - 1),""" + clusters_sql("fx").replace("packed AS (SELECT tx.*", "unused AS (SELECT tx.*") + """,
+refx AS (SELECT * FROM fx WHERE is_ref), r1 AS (SELECT k, chrom, strand, s, e, CASE WHEN s < max(e) OVER (PARTITION BY chrom, strand ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM refx),
+r2 AS (SELECT k, concat(chrom, strand, sum(o) OVER (PARTITION BY chrom, strand ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS g FROM r1),
+r3 AS (SELECT DISTINCT k, k AS r FROM r2 UNION SELECT b.k, r3.r FROM r3 JOIN r2 a ON a.k = r3.k JOIN r2 b ON b.g = a.g),
+rc AS (SELECT k, min(r) AS rcomp FROM r3 GROUP BY k),
+gl AS (SELECT rcomp, string_agg(DISTINCT gene, '.' ORDER BY gene) AS locus FROM rc JOIN (SELECT DISTINCT k, gene FROM refx) USING (k) GROUP BY rcomp),
+lo AS (SELECT k, locus FROM rc JOIN gl USING (rcomp)),
+cl AS (SELECT comp, count(DISTINCT locus) AS comp_loci FROM comp JOIN lo USING (k) GROUP BY comp),
+qx AS (SELECT DISTINCT k FROM fx WHERE NOT is_ref),
+tl AS (SELECT q.k, count(DISTINCT locus) AS n_loci FROM fx q JOIN comp cq ON cq.k = q.k JOIN comp c ON c.comp = cq.comp JOIN refx r ON r.k = c.k JOIN lo ON lo.k = r.k WHERE NOT q.is_ref AND q.s < r.e AND r.s < q.e GROUP BY q.k),
+ps AS (SELECT DISTINCT k, is_ref, unnest([s, e]) AS p FROM fi),
+sl AS (SELECT q.k, count(DISTINCT locus) AS n_spliced FROM ps q JOIN comp cq ON cq.k = q.k JOIN comp c ON c.comp = cq.comp JOIN ps r ON r.k = c.k AND r.is_ref AND r.p = q.p JOIN lo ON lo.k = r.k WHERE NOT q.is_ref GROUP BY q.k),
+fv AS (SELECT k, comp, coalesce(n_loci, 0) AS n_loci, coalesce(n_spliced, 0) AS n_spliced, CASE WHEN coalesce(comp_loci, 0) > 1 AND coalesce(n_loci, 0) > 1 THEN CASE WHEN coalesce(n_spliced, 0) > 1 THEN 'real' ELSE 'fake' END ELSE 'none' END AS kind
+ FROM qx JOIN comp USING (k) LEFT JOIN cl USING (comp) LEFT JOIN tl USING (k) LEFT JOIN sl USING (k)),
+fr AS (SELECT *, CAST(avg(CASE kind WHEN 'real' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY comp) AS FLOAT) AS real_ratio, CAST(avg(CASE kind WHEN 'fake' THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY comp) AS FLOAT) AS fake_ratio FROM fv)"""
+
+
+def fusion_fixture(spark, sf) -> DataFrame:
+    """Transcripts with gene; each reference is cut in two at its fourth line number."""
+    x = fixtures.exon_rows(spark, sf)
+    s, e = coords.mirrored(F.col("strand"), F.col("s"), F.col("e"))
+    key = F.when(F.col("is_ref"), F.col("k") * 2 + (F.col("n") >= 4).cast("int")).otherwise(F.col("k") * 2)
+    gene = F.when(F.col("is_ref"), F.concat(F.lit("G"), F.col("k") - F.col("k") % 40, F.when(F.col("n") >= 4, "B").otherwise("A")))
+    g = x.withColumns({"_k": key, "gene": gene, "_s": s, "_e": e}).groupBy(F.col("_k").alias("k"), "chrom", "strand", "is_ref", "gene").agg(F.array_sort(F.collect_list(F.struct(F.col("_s").alias("start"), F.col("_e").alias("end")))).alias("exons"))
+    return g.withColumns({"introns": coords.introns(F.col("exons")), "start": F.col("exons")[0]["start"], "end": F.array_max(F.transform("exons", lambda v: v["end"]))}).withColumns({"cds_start": F.col("start") + 30, "cds_end": F.col("end"), "name": F.concat_ws(".", F.lit("TX"), "gene", "k")})
+
+
+def fusion_packed(spark, sf) -> DataFrame:
+    tx = fusion_fixture(spark, sf)
+    refs = tx.where("is_ref")
+    loci = fusion.reference_loci(refs.select("k", "gene").join(components.components(refs), "k")).select("k", "locus")
+    return components.pack(tx, Overlap.EXON, Mode.DEFAULT).join(loci, "k", "left")
+
+
+@query("ref_loci", FUSION + " SELECT k, locus FROM lo")
+def ref_loci(spark, sf):
+    refs = fusion_fixture(spark, sf).where("is_ref")
+    return fusion.reference_loci(refs.select("k", "gene").join(components.components(refs), "k")).select("k", "locus")
+
+
+@query("fusion_verdict", FUSION + " SELECT k, comp, n_loci, n_spliced, kind FROM fr")
+def fusion_verdict(spark, sf):
+    return fusion.verdicts(fusion_packed(spark, sf)).select("k", "comp", "n_loci", "n_spliced", "kind")
+
+
+@query("fusion_ratios", FUSION + " SELECT k, CAST(real_ratio AS DOUBLE) AS real_ratio, CAST(fake_ratio AS DOUBLE) AS fake_ratio FROM fr")
+def fusion_ratios(spark, sf):
+    return fusion.verdicts(fusion_packed(spark, sf)).select("k", *(F.col(c).cast("double").alias(c) for c in ("real_ratio", "fake_ratio")))
+
+
+@query("fusion_review", FUSION + " SELECT k, CASE WHEN real_ratio >= 0.5 THEN 'review' WHEN kind = 'real' THEN 'fusions' WHEN kind = 'fake' THEN 'fakes' ELSE 'pass' END AS category FROM fr")
+def fusion_review(spark, sf):
+    return fusion.verdicts(fusion_packed(spark, sf), recover=True).select("k", "category")
+
+
+# --- truncation -------------------------------------------------------------------------------------
+
+
+@query("truncation_verdict")
+def truncation_verdict(spark, sf):
+    return truncation.verdicts(_packed(spark, sf)).select("k", "comp", "is_truncated", "is_novel_start", "ref_size", "query_size", F.col("ratio").cast("double").alias("ratio"), "category")
+
+
+@query("truncation_recovery")
+def truncation_recovery(spark, sf):
+    return truncation.verdicts(_packed(spark, sf), recover=True).select("k", "comp", "is_dirty", "is_supported", F.col("support_ratio").cast("double").alias("support_ratio"), "category")
+
+
+@query("exon_support", EXON_PACK + ", rx AS (SELECT comp, n_refs, s, e FROM packed JOIN (SELECT DISTINCT k, s, e FROM exons) USING (k) WHERE is_ref) SELECT comp, s, e, CAST(CAST(CAST(count(*) AS DOUBLE) / min(n_refs) AS FLOAT) AS DOUBLE) AS support FROM rx GROUP BY comp, s, e")
+def exon_support(spark, sf):
+    return truncation.owner_support(_packed(spark, sf)).select("comp", F.col("o.start").alias("s"), F.col("o.end").alias("e"), F.col("support").cast("double").alias("support"))
+
+
+# --- poly-A -----------------------------------------------------------------------------------------
+
+
+@query("polya_stats", BASE + f", t AS (SELECT k, {TAGS} FROM tx WHERE NOT is_ref) SELECT k, pr AS poly_a, tc AS clip, pa AS clipped_a, CASE WHEN pa = pr THEN 0 ELSE pr - (tc + pa) END AS gpa FROM t")
+def polya_stats(spark, sf):
+    return _polya_reads(transcripts(spark, sf).where("not is_ref")).select("k", "poly_a", "clip", "clipped_a", "gpa")
+
+
+def _polya_reads(reads: DataFrame) -> DataFrame:
+    t = reads.withColumn("t", coords.read_tags(F.col("name")))
+    x = t.withColumns({"clip": F.col("t")["TC"], "clipped_a": F.col("t")["PA"], "poly_a": F.col("t")["PR"]}).drop("t")
+    return x.withColumn("gpa", polya.genomic_polya(F.col("clipped_a"), F.col("poly_a"), F.col("clip")))
+
+
+@query("polya_location", REF_PACK + " SELECT q.k, CASE WHEN bool_or(r.tstart < q.tend AND q.tend < r.tend) THEN 'CDS' ELSE 'UTR' END AS location FROM pk q JOIN pk r ON r.comp = q.comp AND r.is_ref WHERE NOT q.is_ref GROUP BY q.k")
+def polya_location(spark, sf):
+    p = _packed(spark, sf, Mode.POLYA)
+    return polya.location_of_end(p.where("not is_ref"), p.where("is_ref")).select("k", "location")
+
+
+@query("polya_filter", BASE + f", t AS (SELECT k, {TAGS} FROM tx WHERE NOT is_ref) SELECT k, pr AS poly_a FROM t WHERE pr >= 50")
+def polya_filter(spark, sf):
+    return polya.filter_tails(_polya_reads(transcripts(spark, sf).where("not is_ref"))).select("k", "poly_a")
+
+
+@query("polya_scores", BASE + ", sc AS (SELECT chrom, CASE WHEN k % 2 = 1 THEN tend + 1 ELSE tend END AS pos, max(CAST(k % 100 AS DOUBLE) / 1000) AS score FROM tx WHERE k % 3 = 0 GROUP BY ALL) SELECT tx.k, coalesce(score, 0) AS score FROM tx LEFT JOIN sc ON sc.chrom = tx.chrom AND pos = CASE WHEN strand = '-' THEN tend + 1 ELSE tend END WHERE NOT is_ref")
+def polya_scores(spark, sf):
+    return polya.with_scores(transcripts(spark, sf).where("not is_ref"), score_track(spark, sf)).select("k", "score")
+
+
+def score_track(spark, sf) -> DataFrame:
+    tx = transcripts(spark, sf).where("k % 3 = 0")
+    return tx.select("chrom", F.when(F.col("strand") == "-", F.col("end") + 1).otherwise(F.col("end")).alias("end"), ((F.col("k") % 100).cast("double") / 1000).alias("score"))
+
+
+@query("intrapriming")
+def intrapriming(spark, sf):
+    p = _packed(spark, sf, Mode.POLYA)
+    reads = polya.with_scores(_polya_reads(polya.location_of_end(p.where("not is_ref"), p.where("is_ref"))), score_track(spark, sf))
+    return polya.intrapriming(reads, recover=True).withColumn("ratio", F.col("ratio").cast("double"))
+
+
+def tails(spark, sf) -> DataFrame:
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    body = F.translate(F.upper(F.regexp_replace(F.substring("text", 1, 120), "[^A-Za-z]", "")), "BDEFHIJKLMNOPQRSUVWXYZ", "CAAGATCAGTTAACCGGATCTA")
+    return docs.select("doc_id", F.concat(F.repeat(F.lit("A"), (F.col("doc_id") % 60).cast("int")), body).alias("seq"))
+
+
+TAIL_SQL = """WITH RECURSIVE b AS (SELECT doc_id, concat(repeat('A', CAST(doc_id % 60 AS INT)), translate(upper(regexp_replace(substring(text, 1, 120), '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMNOPQRSUVWXYZ', 'CAAGATCAGTTAACCGGATCTA')) AS seq FROM documents)"""
+
+
+@query("polya_tail", TAIL_SQL + """, p AS (SELECT doc_id, length(seq) AS n, unnest(range(1, length(seq) + 1)) AS k, seq FROM b),
+ e AS (SELECT doc_id, n, k, sum(CASE WHEN substring(seq, k, 1) = 'A' THEN ln(0.99) ELSE ln((1 - 0.99) / 3) END) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM p),
+ s AS (SELECT doc_id, k, ln(0.5) + (k - 1) * ln(0.9) + e + CASE WHEN k < n THEN ln(1 - 0.9) + (n - k) * ln(0.25) ELSE 0 END AS v FROM e UNION ALL SELECT doc_id, 0, ln(0.5) + length(seq) * ln(0.25) FROM b)
+ SELECT doc_id, CAST(arg_max(k, v) AS BIGINT) AS tail FROM s GROUP BY doc_id""")
+def polya_tail(spark, sf):
+    return tails(spark, sf).select("doc_id", polya.tail_length(F.col("seq")).cast("long").alias("tail"))
+
+
+# --- sequences --------------------------------------------------------------------------------------
+
+
+@query("revcomp", TAIL_SQL + " SELECT doc_id, translate(reverse(seq), 'ACGT', 'TGCA') AS rc FROM b")
+def revcomp(spark, sf):
+    return tails(spark, sf).select("doc_id", dna.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query("kmer_rt_scan", TAIL_SQL + """, c AS (SELECT doc_id, substring(seq, 70, 12) AS d, substring(seq, 90, 12) AS a FROM b WHERE length(seq) >= 101),
+ codes AS (SELECT doc_id, side, CAST(list_sum(list_transform(range(0, 8), lambda j: (strpos('ACGT', substring(x, i + j, 1)) - 1) * CAST(pow(4, 7 - j) AS BIGINT))) AS BIGINT) AS code FROM (SELECT doc_id, 'd' AS side, d AS x FROM c UNION ALL SELECT doc_id, 'a', a FROM c), (VALUES (1), (2), (3), (4), (5)) v(i))
+ SELECT c.doc_id, coalesce(bool_or(bit_count(xor(x.code, y.code)) <= 1), false) AS is_rt FROM c JOIN codes x ON x.doc_id = c.doc_id AND x.side = 'd' JOIN codes y ON y.doc_id = c.doc_id AND y.side = 'a' GROUP BY c.doc_id""")
+def kmer_rt_scan(spark, sf):
+    t = tails(spark, sf).where("length(seq) >= 101")
+    return t.select("doc_id", dna.rt_repeat(F.substring("seq", 70, 12), F.substring("seq", 90, 12)).alias("is_rt"))
+
+
+@query("maxent_consensus", TAIL_SQL + """, w AS (SELECT doc_id, substring(seq, 78, 1) AS x, substring(seq, 79, 1) AS y FROM b WHERE length(seq) >= 90)
+ SELECT doc_id, (CASE x WHEN 'A' THEN 0.9903 WHEN 'C' THEN 0.0032 WHEN 'G' THEN 0.0034 ELSE 0.0030 END::DOUBLE * CASE y WHEN 'A' THEN 0.0027 WHEN 'C' THEN 0.0037 WHEN 'G' THEN 0.9905 ELSE 0.0030 END::DOUBLE)
+  / (CASE WHEN x IN ('A', 'T') THEN 0.27 ELSE 0.23 END::DOUBLE * CASE WHEN y IN ('A', 'T') THEN 0.27 ELSE 0.23 END::DOUBLE) AS score FROM w""")
+def maxent_consensus(spark, sf):
+    return tails(spark, sf).where("length(seq) >= 90").select("doc_id", dna.consensus_score(F.substring("seq", 60, 23)).alias("score"))
+
+
+# --- tables, sets, chunks ---------------------------------------------------------------------------
+
+
+@query("bedgraph_max", BASE + ", sc AS (SELECT chrom, strand, tend - tend % 500 AS s, CAST(k % 100 AS DOUBLE) / 1000 AS score FROM tx) SELECT chrom, s AS \"start\", s + 500 AS \"end\", strand, max(score) AS score FROM sc GROUP BY ALL")
+def bedgraph_max(spark, sf):
+    from strandloom.sources.text import max_signal
+
+    tx = transcripts(spark, sf)
+    at = F.col("end") - F.col("end") % 500
+    return max_signal(tx.select("chrom", at.alias("start"), (at + 500).alias("end"), "strand", ((F.col("k") % 100).cast("double") / 1000).alias("score")))
+
+
+@query("score_nested_map", BASE + ", sc AS (SELECT chrom, tend - tend % 2000 AS p, k % 100 AS score FROM tx) SELECT chrom, p AS key, count(*) AS n, max(score) AS max_score, CAST(avg(score) AS DOUBLE) AS avg_score FROM sc GROUP BY ALL")
+def score_nested_map(spark, sf):
+    from strandloom.sources.text import nested_scores
+
+    tx = transcripts(spark, sf)
+    s = nested_scores(tx.select("chrom", (F.col("end") - F.col("end") % 2000).alias("key"), (F.col("k") % 100).alias("score")))
+    return s.select("chrom", "key", F.size("scores").cast("long").alias("n"), F.array_max("scores").alias("max_score"), F.expr("aggregate(scores, 0D, (a, x) -> a + x, a -> a / size(scores))").alias("avg_score"))
+
+
+@query("isoform_map", BASE + "SELECT concat('TX.G', k - k % 40, '.', k) AS transcript, concat('G', k - k % 40) AS gene FROM tx WHERE is_ref")
+def isoform_map(spark, sf):
+    return transcripts(spark, sf).where("is_ref").select(F.col("name").alias("transcript"), coords.gene_token(F.col("name")).alias("gene"))
+
+
+@query("blacklist_anti", BASE + "SELECT k FROM tx WHERE NOT is_ref AND k % 97 <> 0")
+def blacklist_anti(spark, sf):
+    tx = transcripts(spark, sf).where("not is_ref")
+    return tx.join(tx.where("k % 97 = 0").select("name"), "name", "left_anti").select("k")
+
+
+@query("blacklist_interval", BASE + ", bi AS (SELECT DISTINCT chrom, s, e FROM introns WHERE s % 53 = 0) SELECT i.k, i.s, i.e FROM introns i ANTI JOIN bi ON bi.chrom = i.chrom AND bi.s = i.s AND bi.e = i.e")
+def blacklist_interval(spark, sf):
+    rows = transcripts(spark, sf).select("k", "chrom", F.explode("introns").alias("i")).select("k", "chrom", F.col("i.start").alias("s"), F.col("i.end").alias("e"))
+    banned = rows.where("s % 53 = 0").select("chrom", "s", "e").distinct()
+    return rows.join(banned, ["chrom", "s", "e"], "left_anti").select("k", "s", "e")
+
+
+@query("descriptor_merge", RETAINED + ", nm AS (SELECT k, k % 5 AS fc FROM tx WHERE NOT is_ref AND k % 3 = 0) SELECT k AS id, has_rt_intron, exonic_status, fc FROM (SELECT k, has_rt_intron, exonic_status FROM vr WHERE k % 2 = 0) FULL JOIN nm USING (k)")
+def descriptor_merge(spark, sf):
+    from strandloom.operators.descriptor import merge
+
+    a = _retention(spark, sf).where("k % 2 = 0").select(F.col("k").alias("id"), "has_rt_intron", "exonic_status")
+    b = transcripts(spark, sf).where("not is_ref and k % 3 = 0").select(F.col("k").alias("id"), (F.col("k") % 5).alias("fc"))
+    return merge(a, b)
+
+
+FLAGS = "k % 3 = 0 AS a, k % 5 = 0 AS b, k % 7 = 0 AS c, k % 4 = 0 AS d"
+
+
+@query("read_category", BASE + f", f AS (SELECT k, {FLAGS} FROM tx WHERE NOT is_ref) SELECT k, CASE WHEN a::INT + b::INT + c::INT + d::INT >= 2 THEN 'trash' WHEN c THEN 'rt' WHEN a THEN 'intrapriming' WHEN d THEN 'retention' WHEN NOT b THEN 'clean' END AS category FROM f")
+def read_category(spark, sf):
+    from strandloom.operators.descriptor import category
+
+    k = F.col("k")
+    return transcripts(spark, sf).where("not is_ref").select("k", category(k % 3 == 0, k % 5 == 0, k % 7 == 0, k % 4 == 0).alias("category"))
+
+
+@query("chunk_ids", BASE + "SELECT k, (row_number() OVER (ORDER BY k) - 1) // 500 AS chunk FROM tx")
+def chunk_ids(spark, sf):
+    from strandloom.sources.sequences import with_chunk
+
+    return with_chunk(transcripts(spark, sf).select("k"), ["k"], 500).select("k", "chunk")
+
+
+@query("dedup_lines", "SELECT DISTINCT line FROM (SELECT unnest(string_split(text, chr(10))) AS line FROM documents)")
+def dedup_lines(spark, sf):
+    from strandloom.sources.text import distinct_lines
+
+    return distinct_lines(spark.read.parquet(f"{sf}/documents.parquet").select(F.explode(F.split("text", "\n")).alias("line")))
+
+
+@query("splice_scores", INTRON_TABLE + " SELECT comp, s AS istart, e AS iend, CASE WHEN s % 3 = 0 THEN ai_donor ELSE 0 END AS ai_donor, CASE WHEN s % 3 = 0 THEN ai_acceptor ELSE 0 END AS ai_acceptor FROM ai")
+def splice_scores(spark, sf):
+    return scored_introns(spark, sf).select("comp", "istart", "iend", "ai_donor", "ai_acceptor")
+
+
+@query("global_counters", RETAINED + " SELECT count(DISTINCT comp) AS components, count(*) AS reads, count(*) FILTER (WHERE number_of_retentions > 0) AS retentions, count(DISTINCT comp) FILTER (WHERE ratio > 0.001) AS reviews FROM vr")
+def global_counters(spark, sf):
+    v = _retention(spark, sf)
+    return v.agg(F.count_distinct("comp").alias("components"), F.count("*").alias("reads"), F.count_if("intron_retention").alias("retentions"), F.count_distinct(F.when(F.col("ratio") > 0.001, F.col("comp"))).alias("reviews"))
