@@ -13,7 +13,8 @@ Texts are dealt to chunks by key; that exchange serves all steps.
    s - ceil(t s) + 1 words are its prefix: similar lines share a word there. The chunk sends a
    posting for each prefix word that occurs twice at least.
 3. A bucket pairs the postings of a word under the length filter, the positional filter and a filter
-   on 64-bit bitmaps (whose Hamming distance bounds the symmetric difference from below).
+   on parity bitmaps, wider for longer lines (each differing bit needs a word in one line only, so
+   their Hamming distance bounds the symmetric difference from below).
 4. The earlier line's words go to the later one's chunk, where Jaccard is verified and lines cut.
 """
 
@@ -34,6 +35,7 @@ from strandloom.workspace import shuffle_width
 NUM, DEN, MIN_WORDS = 80, 100, 3
 PAIRS = 1 << 20
 TOKEN_BITS = 40
+MIDDLE, LONG = 80, 200
 
 
 class _Lines:
@@ -176,8 +178,10 @@ def _postings(buckets: int, num: int, den: int, min_words: int):
         size = np.bincount(line, minlength=len(mine))
         start = np.cumsum(size) - size
         pos = np.arange(len(line)) - start[line]
-        bit = np.uint64(1) << (_words.mix(uniq[token] + np.uint64(7)) >> np.uint64(58))
-        bitmap = np.bitwise_or.reduceat(bit, start) if len(line) else bit
+        spot = _words.mix(uniq[token] + np.uint64(7)) >> np.uint64(56)
+        bit = np.uint64(1) << (spot & np.uint64(63))
+        wide = [np.bitwise_xor.reduceat(np.where(spot >> np.uint64(6) == q, bit, np.uint64(0)), start) if len(line) else bit for q in range(4)]
+        narrow2 = [wide[0] ^ wide[2], wide[1] ^ wide[3]]
         prefix = size - -(-num * size // den) + 1
         on = (pos < prefix[line]) & (count[token] > 1) & (size[line] >= min_words)
         line, token, pos = line[on], token[on], pos[on]
@@ -188,23 +192,40 @@ def _postings(buckets: int, num: int, den: int, min_words: int):
         cuts = np.searchsorted(home, np.arange(buckets + 1))
         where = mine[line]
         return _rows([
-            (b, c, "postings", pack(gaps(t[i:j]), x.key[where[i:j]], narrow(x.number[where[i:j]]), narrow(size[line[i:j]]), narrow(pos[i:j]), bitmap[line[i:j]]))
+            (b, c, "postings", pack(gaps(t[i:j]), x.key[where[i:j]], narrow(x.number[where[i:j]]), narrow(size[line[i:j]]), narrow(pos[i:j]), *_bitmaps(size[line[i:j]], line[i:j], wide, narrow2)))
             for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j
         ])
 
     return run
 
 
+def _bitmaps(size: np.ndarray, line: np.ndarray, wide: list[np.ndarray], half: list[np.ndarray]) -> list[np.ndarray]:
+    """Parity bitmaps of postings: 64 bits each; 64 more for lines above MIDDLE words; 128 more for those above LONG."""
+    middle, long = line[size > MIDDLE], line[size > LONG]
+    return [half[0][line] ^ half[1][line], half[0][middle], wide[0][long], wide[1][long]]
+
+
+def _unfold(size: np.ndarray, one: np.ndarray, two: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The 64-, 128- and 256-bit bitmaps (n x 1, 2 and 4; zeros where a line is too short to have one)."""
+    n = len(size)
+    two_all, four = np.zeros((n, 2), np.uint64), np.zeros((n, 4), np.uint64)
+    m, k = size > MIDDLE, size > LONG
+    two_all[m, 0], two_all[m, 1] = two, two ^ one[m]
+    four[k, 0], four[k, 1] = w0, w1
+    four[k, 2], four[k, 3] = w0 ^ two_all[k, 0], w1 ^ two_all[k, 1]
+    return one[:, None], two_all, four
+
+
 def _candidates(num: int, den: int):
     def run(table: pa.Table) -> pa.Table:
         b = table["bucket"][0].as_py()
         parts = [unpack(v.as_buffer()) for v in table["blob"]]
         chunk = np.repeat(table["chunk"].to_numpy(), [len(p[0]) for p in parts])
         t = np.concatenate([from_gaps(p[0]) for p in parts])
-        key, number, size, pos, bitmap = (np.concatenate([p[k] for p in parts]) for k in range(1, 6))
+        key, number, size, pos, *maps = (np.concatenate([p[k] for p in parts]) for k in range(1, 9))
         size, pos = size.astype(np.int64), pos.astype(np.int64)
         order = np.lexsort((size, t))
-        t, chunk, key, number, size, pos, bitmap = (v[order] for v in (t, chunk, key, number, size, pos, bitmap))
+        t, chunk, key, number, size, pos, *maps = (v[order] for v in (t, chunk, key, number, size, pos, *_unfold(size, *maps)))
         # partners of i: later places of its word with sizes up to size_i * den / num
         group = np.cumsum(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.empty(0, np.int64)
         span = np.int64(1) << 40
@@ -221,8 +242,12 @@ def _candidates(num: int, den: int):
                 need = needed(size[a], size[z], num, den)
                 ok = 1 + np.minimum(size[a] - pos[a], size[z] - pos[z]) - 1 >= need
                 a, z, need = a[ok], z[ok], need[ok]
-                ok = np.bitwise_count(bitmap[a] ^ bitmap[z]) <= size[a] + size[z] - 2 * need
-                left.append(a[ok]), right.append(z[ok])
+                for m, least in zip(maps, (0, MIDDLE, LONG)):
+                    # size[a] <= size[z], so both have the bitmap if a has it
+                    apart = np.bitwise_count(m[a] ^ m[z]).sum(axis=1, dtype=np.int64)
+                    ok = (apart <= size[a] + size[z] - 2 * need) | (size[a] <= least)
+                    a, z, need = a[ok], z[ok], need[ok]
+                left.append(a), right.append(z)
             i = j
         a, z = np.concatenate(left), np.concatenate(right)
         swap = (key[z] < key[a]) | ((key[z] == key[a]) & (number[z] < number[a]))

@@ -9,7 +9,9 @@ random probing order. Bins are joined to band keys. In each bucket every member
 smallest representative only (a star), so candidates grow with the members, not with their square.
 Sketches of 8 bits a bin discard hopeless candidates; the rest are confirmed on full sets.
 A bucket that still holds several components is completed exactly: members outside its centre's
-component are compared with all others, block by block on sketches, and survivors are confirmed.
+component are compared with all others, block by block on sketches. First only their closest
+partners are confirmed, which joins most of a large group; then all pairs that still lie in
+different components are, so that no link is left out.
 
 With 40 bands of 4 rows a pair at similarity 0.75 shares no bucket with probability 3e-7.
 """
@@ -23,6 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandloom.llm import _words
 from strandloom.operators.graph import connected_components
@@ -115,10 +118,10 @@ def _close(pairs: DataFrame, least: float, left: str = "sa", right: str = "sb")
 def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int) -> DataFrame:
     """The pairs ``(a, b)`` with den * |A & B| >= num * |A | B| on full sets; texts travel once."""
     ids = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    sets = _sets(docs.join(ids, "doc_id", "left_semi").select("doc_id", "text"), shingle)
+    sets = _sets(docs.join(ids.hint("merge"), "doc_id", "left_semi").select("doc_id", "text"), shingle)
     both = (
-        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")), "a")
-        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")), "b")
+        pairs.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("sa")).hint("merge"), "a")
+        .join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("sb")).hint("merge"), "b")
         .select("a", "b", "sa", "sb")
     )
 
@@ -139,11 +142,12 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int)
     return both.mapInArrow(run, "a long, b long")
 
 
-def _blocks(members: DataFrame, least: float) -> DataFrame:
+def _blocks(members: DataFrame, least: float, best: int | None) -> DataFrame:
     """Pairs of different components in unresolved buckets, found on sketches block by block.
 
     members: (key, rep, comp, sketch, loose); loose members meet all members of their bucket.
     Both sides are dealt into blocks of about BLOCK rows, so no task holds a whole bucket.
+    With ``best``, only that many closest partners of each loose member.
     """
     sized = members.groupBy("key").agg(F.count("*").alias("n"), F.count_if("loose").alias("nl"))
     cell = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
@@ -157,15 +161,19 @@ def _blocks(members: DataFrame, least: float) -> DataFrame:
         rep, comp = (table[c].to_numpy() for c in ("rep", "comp"))
         sk = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(rep), -1)
         r, s = np.flatnonzero(~left), np.flatnonzero(left)
-        a, b = [], []
+        a, b, c = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0)]
         for i in s:
-            near = r[((sk[r] == sk[i]).mean(axis=1) >= least) & (comp[r] != comp[i])]
-            a.append(np.minimum(rep[near], rep[i]))
-            b.append(np.maximum(rep[near], rep[i]))
-        cat = lambda v: np.concatenate(v) if v else np.empty(0, np.int64)
-        return pa.table({"a": pa.array(cat(a), pa.int64()), "b": pa.array(cat(b), pa.int64())})
+            like = (sk[r] == sk[i]).mean(axis=1)
+            near = np.flatnonzero((like >= least) & (comp[r] != comp[i]))
+            if best is not None and len(near) > best:
+                near = near[np.lexsort((rep[r[near]], -like[near]))[:best]]
+            a.append(np.full(len(near), rep[i])), b.append(rep[r[near]]), c.append(like[near])
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64()), "like": pa.array(np.concatenate(c))})
 
-    return rows.unionByName(loose).groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
+    found = rows.unionByName(loose).groupBy("key", "x", "y").applyInArrow(run, "a long, b long, like double").distinct()
+    if best is not None:
+        found = found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("like"), "b"))).where(F.col("r") <= best)
+    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, num: int = 75, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -185,31 +193,37 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
         signed.where("n_shingles > 0 and doc_id is not null").groupBy("fp").agg(F.min("doc_id").alias("rep"), F.min_by(F.struct("sketch", "bands"), "doc_id").alias("s")).select("fp", "rep", "s.*"),
         "reps",
     )
+    # joins that carry much are merged at every size: a side is broadcast only if Spark has checked its size
     banded = reps.select("rep", F.explode("bands").alias("key"))
     buckets = banded.groupBy("key").agg(F.min("rep").alias("centre"), F.count("*").alias("n")).where("n > 1").select("key", "centre")
-    members = materialize(banded.join(buckets, "key"), "members")
-    sketch = reps.select("rep", "sketch")
+    members = materialize(banded.join(buckets.hint("merge"), "key"), "members")
+    shared = members.select(F.col("rep").alias("doc_id")).distinct()
+    texts = materialize(docs.join(shared.hint("merge"), "doc_id", "left_semi"), "texts")
+    sketch = materialize(reps.select("rep", "sketch").join(shared.select(F.col("doc_id").alias("rep")), "rep", "left_semi"), "sketch")
 
     def with_sketches(pairs: DataFrame) -> DataFrame:
-        return pairs.join(sketch.select(F.col("rep").alias("a"), F.col("sketch").alias("sa")), "a").join(sketch.select(F.col("rep").alias("b"), F.col("sketch").alias("sb")), "b")
+        a, b = (sketch.select(F.col("rep").alias(x), F.col("sketch").alias(f"s{x}")).hint("merge") for x in "ab")
+        return pairs.join(a, "a").join(b, "b")
 
     stars = members.where("rep <> centre").select(F.col("centre").alias("a"), F.col("rep").alias("b")).distinct()
-    links = materialize(confirm(materialize(_close(with_sketches(stars), least), "near"), docs, shingle, num, den), "links")
+    tested = materialize(_close(with_sketches(stars), least), "near")
+    links = materialize(confirm(tested, texts, shingle, num, den), "links")
     comp = materialize(connected_components(links, "a", "b"), "comp")
-
-    label = lambda col, out: comp.select(F.col("node").alias(col), F.col("component").alias(out))
-    named = members.join(label("rep", "c"), "rep", "left").join(label("centre", "cc"), "centre", "left").select("key", "rep", "centre", F.coalesce("c", "rep").alias("comp"), F.coalesce("cc", "centre").alias("centre_comp"))
-    loose = named.where("comp <> centre_comp")
-    open_keys = loose.select("key").distinct()
-    unresolved = named.join(open_keys, "key", "left_semi").join(sketch, "rep").select("key", "rep", "comp", "sketch", (F.col("comp") != F.col("centre_comp")).alias("loose"))
-    more = materialize(_blocks(unresolved, least), "more")
-    if not more.isEmpty():
-        links = links.unionByName(confirm(more.join(stars.join(links, ["a", "b"], "left_anti"), ["a", "b"], "left_anti"), docs, shingle, num, den))
+    for best in (3, None):
+        label = lambda col, out, comp=comp: comp.select(F.col("node").alias(col), F.col("component").alias(out))
+        named = members.join(label("rep", "c"), "rep", "left").join(label("centre", "cc"), "centre", "left").select("key", "rep", F.coalesce("c", "rep").alias("comp"), F.coalesce("cc", "centre").alias("centre_comp"))
+        mixed = named.where("comp <> centre_comp").select("key").distinct()
+        unresolved = named.join(mixed, "key", "left_semi").join(sketch.hint("merge"), "rep").select("key", "rep", "comp", "sketch", (F.col("comp") != F.col("centre_comp")).alias("loose"))
+        more = materialize(_blocks(unresolved, least, best).join(tested, ["a", "b"], "left_anti"), "more")
+        if more.isEmpty():
+            break
+        tested = tested.unionByName(more)
+        links = links.unionByName(materialize(confirm(more, texts, shingle, num, den), "links"))
         comp = materialize(connected_components(links, "a", "b"), "comp")
     final = reps.select("fp", "rep").join(comp.select(F.col("node").alias("rep"), "component"), "rep", "left").select("fp", F.coalesce("component", "rep").alias("component"))
     return (
         signed.select("doc_id", "n_shingles", "fp")
-        .join(final, "fp", "left")
+        .join(final.hint("merge"), "fp", "left")
         .select("doc_id", "n_shingles", F.coalesce("component", "doc_id").alias("component_id"))
         .withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
     )

@@ -18,6 +18,7 @@ runs linear and off the matcher's stack.
 from __future__ import annotations
 
 import math
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -27,18 +28,18 @@ from strandloom.workspace import materialize
 KINDS = ("email", "ip", "card", "phone")
 _LOCAL = "[A-Za-z0-9._%+-]"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[0-9]{1,2})"
-#: kind -> (pattern, character or pattern that a text with a match must hold)
+#: kind -> (pattern, strings of which a text with a match must hold one, whether it must hold a digit)
 BASE = {
-    "email": (rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", "@"),
-    "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", "."),
-    "card": (r"[0-9](?:[\x20-]?[0-9])++", None),
-    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", "+"),
+    "email": (rf"(?:\G|(?<!{_LOCAL})){_LOCAL}++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++", ("@",), False),
+    "ip": (r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}", (".",), True),
+    "card": (r"[0-9](?:[\x20-]?[0-9])++", (), True),
+    "phone": (r"\+[0-9][\x20().0-9-]+[0-9]", ("+",), True),
 }
-#: generator -> (kind it proposes, pattern)
+#: generator -> (kind it proposes, pattern, strings, digit)
 GENERATORS = {
-    "mail": ("email", rf"(?<!{_LOCAL}){_LOCAL}++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)*+"),
-    "quad": ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\x20?\.\x20?[0-9]{1,3}){3}(?![0-9])"),
-    "digits": (None, r"(?<![0-9])(?:\+|00)?\x20?\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,24}(?![0-9])"),
+    "mail": ("email", rf"(?<!{_LOCAL}){_LOCAL}++\x20?(?:@|\(at\)|\[at\])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|\(dot\)|\[dot\])\x20?[A-Za-z0-9-]++)*+", ("@", "(at)", "[at]"), False),
+    "quad": ("ip", r"(?<![0-9.])[0-9]{1,3}(?:\x20?\.\x20?[0-9]{1,3}){3}(?![0-9])", (".",), True),
+    "digits": (None, r"(?<![0-9])(?:\+|00)?\x20?\(?[0-9](?:[\x20()./-]{0,2}[0-9]){6,24}(?![0-9])", (), True),
 }
 CONTEXTS = {1: r"(?i)(?:tel|phone|call|fax|mobile|whatsapp)[^\n]{0,12}$", 2: r"(?i)(?:card|visa|master|credit|iban|account|payment)[^\n]{0,12}$", 3: r"(?i)(?:mail|contact|write)[^\n]{0,12}$", 4: r"(?i)(?:\bip|host|server|address)[^\n]{0,12}$", 5: r"(?i)(?:token|key|id|hash|order|version|isbn|sku|no)\W{0,6}$"}
 #: feature -> number of bins
@@ -46,8 +47,11 @@ FEATURES = {"source": 3, "digits": 7, "plus": 2, "separators": 3, "context": 6,
 MAX_CELLS = math.prod(FEATURES.values())
 
 
-def spans(text: Column, pattern: str, hint: str | None = None) -> Column:
-    """array<struct<s, e, m>>: leftmost non-overlapping matches with code point offsets."""
+def spans(text: Column, pattern: str, strings: tuple[str, ...], digit: Column | None) -> Column:
+    """array<struct<s, e, m>>: leftmost non-overlapping matches with code point offsets.
+
+    Texts that hold none of ``strings``, or no ``digit``, have no match and are not scanned.
+    """
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
     between = F.split(text, pattern, -1)
     start = F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<s:int,e:int,m:string>>").alias("out"))
@@ -63,7 +67,10 @@ def spans(text: Column, pattern: str, hint: str | None = None) -> Column:
 
     # a one-element transform binds both arrays once
     made = F.transform(F.array(F.struct(found.alias("f"), between.alias("b"))), lambda x: place(x["f"], x["b"]))[0]
-    return made if hint is None else F.when(F.contains(text, F.lit(hint)), made).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
+    may = F.lit(True) if digit is None else digit
+    if strings:
+        may = may & reduce(lambda a, b: a | b, (F.contains(text, F.lit(x)) for x in strings))
+    return F.when(may, made).otherwise(F.array().cast("array<struct<s:int,e:int,m:string>>"))
 
 
 def digits(m: Column) -> Column:
@@ -100,12 +107,12 @@ def _tagged(found: Column, k: int) -> Column:
     return F.transform(found, lambda x: F.struct(x["s"].alias("s"), F.lit(k).alias("k"), x["e"].alias("e")))
 
 
-def base_spans(text: Column) -> Column:
-    """All base spans, by start and then kind: array<struct<s, k, e>>, k the kind's place in KINDS."""
+def base_spans(text: Column, digit: Column) -> Column:
+    """All base spans, by start and then kind: array<struct<s, k, e>>, k the kind's place in KINDS. ``digit``: the text holds one."""
     found = []
     for k, kind in enumerate(KINDS):
-        pattern, hint = BASE[kind]
-        found.append(_tagged(F.filter(spans(text, pattern, hint), _check(kind)), k))
+        pattern, strings, digits_only = BASE[kind]
+        found.append(_tagged(F.filter(spans(text, pattern, strings, digit if digits_only else None), _check(kind)), k))
     return F.array_sort(F.concat(*found))
 
 
@@ -116,9 +123,9 @@ def _bin(x: Column, edges: tuple[int, ...]) -> Column:
     return out
 
 
-def candidates(text: Column, base: Column) -> Column:
+def candidates(text: Column, base: Column, digit: Column) -> Column:
     """array<struct<s, k, e, features..., agrees>> of all generators."""
-    return F.concat(*(F.transform(spans(text, pattern), _describe(text, base, g, kind)) for g, (kind, pattern) in enumerate(GENERATORS.values())))
+    return F.concat(*(F.transform(spans(text, pattern, strings, digit if digits_only else None), _describe(text, base, g, kind)) for g, (kind, pattern, strings, digits_only) in enumerate(GENERATORS.values())))
 
 
 def _describe(text: Column, base: Column, g: int, kind: str | None):
@@ -206,18 +213,21 @@ class Boosted:
 
 
 def threshold(model: Boosted, cells: list, precision: float) -> float:
-    """Least score from which on, at every score above too, the share of agreement reaches ``precision``."""
+    """Least score whose calibrated share of agreement reaches ``precision``.
+
+    The calibration is isotonic: neighbouring scores are pooled until shares rise with the score.
+    """
     by: dict[float, list[float]] = {}
     for x, n, p in cells:
         s = by.setdefault(round(model.predict(x), 9), [0.0, 0.0])
         s[0], s[1] = s[0] + n, s[1] + p
-    cut, n, p = 2.0, 0.0, 0.0
-    for s in sorted(by, reverse=True):
-        n, p = n + by[s][0], p + by[s][1]
-        if p < precision * n:
-            break
-        cut = s - 1e-9
-    return cut
+    pools: list[list[float]] = []
+    for s in sorted(by):
+        pools.append([s, *by[s]])
+        while len(pools) > 1 and pools[-2][2] * pools[-1][1] >= pools[-1][2] * pools[-2][1]:
+            _, n, p = pools.pop()
+            pools[-1][1:] = [pools[-1][1] + n, pools[-1][2] + p]
+    return min((s - 1e-9 for s, n, p in pools if p >= precision * n), default=2.0)
 
 
 def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", precision: float = 0.9) -> DataFrame:
@@ -228,8 +238,8 @@ def detect(docs: DataFrame, text: str = "text", key: str = "doc_id", precision:
     candidate there is no model and spans equal the base spans.
     """
     rows = docs.select(F.col(key).alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    based = rows.withColumn("base", base_spans(F.col("text")))
-    found = materialize(based.select("doc_id", "base", candidates(F.col("text"), F.col("base")).alias("found")), "spans")
+    based = rows.withColumn("digit", F.col("text").rlike("[0-9]")).withColumn("base", base_spans(F.col("text"), F.col("digit")))
+    found = materialize(based.select("doc_id", "base", candidates(F.col("text"), F.col("base"), F.col("digit")).alias("found")), "spans")
     names = list(FEATURES)
     cells = [
         (tuple(r[n] for n in names), float(r["n"]), float(r["p"]))

@@ -33,6 +33,8 @@ from strandloom.workspace import shuffle_width
 
 LENGTH, GRAM = 50, 16
 PIECE = 64 << 20
+#: a bucket is worked off in so many parts of its hash range
+PARTS = 16
 ROW = "bucket int, chunk int, kind string, blob binary"
 NO_KEY = np.iinfo(np.int64).max
 
@@ -92,7 +94,7 @@ class _Chunk:
         self.keys, self.nulls = keys[order], table["doc_id"].is_null()
         self.buf, self.off = _words.utf8(table["text"])
         start, count, hashes = [np.empty(0, np.int64)], [np.empty(0, np.int64)], [np.empty(0, np.uint64)]
-        for i, j in _words.slices(self.off, 4 << 20):
+        for i, j in _words.slices(self.off):
             # a very long text is cut where windows start
             for p in range(self.off[i], self.off[j], PIECE):
                 q = min(int(self.off[j]), p + PIECE + LENGTH - 1)
@@ -170,7 +172,8 @@ def _ask_strings(buckets: int):
         for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
             if x < y:
                 r = first[x:y]
-                out.append((b, texts["chunk"][0].as_py(), "strings", pack(chunk.keys[chunk.text[r]], chunk.count[r].astype(np.uint8), chunk.buf[spread(chunk.start[r], chunk.count[r] + LENGTH - 1)])))
+                part = np.bincount(_home(chunk.hash[r], buckets * PARTS) - b * PARTS, minlength=PARTS).astype(np.uint32)
+                out.append((b, texts["chunk"][0].as_py(), "strings", pack(part, chunk.keys[chunk.text[r]], chunk.count[r].astype(np.uint8), chunk.buf[spread(chunk.start[r], chunk.count[r] + LENGTH - 1)])))
         return _rows(out)
 
     return run
@@ -184,6 +187,7 @@ def suffix_order(buf: np.ndarray, at: np.ndarray, length: int, tie: np.ndarray)
     """
     rank, depth = words8(buf), 8
     _, rank = np.unique(rank, return_inverse=True)
+    rank = rank.astype(np.int64)
     while depth < length:
         step = min(depth, length - depth)
         ahead = np.concatenate((rank[step:] + 1, np.zeros(min(step, len(rank)), np.int64)))[: len(rank)]
@@ -225,16 +229,24 @@ def has_previous_factor(order: np.ndarray, same: np.ndarray, keys: np.ndarray) -
 
 def _tell_covered(table: pa.Table) -> pa.Table:
     b, chunks = table["bucket"][0].as_py(), table["chunk"].to_pylist()
-    keys, counts, texts = zip(*(unpack(v.as_buffer()) for v in table["blob"]))
-    n = [int(c.sum()) for c in map(np.int64, counts)]
-    key, count, buf = np.concatenate(keys), np.concatenate(counts).astype(np.int64), np.concatenate(texts)
-    size = count + LENGTH - 1
-    at = spread(np.cumsum(size) - size, count)
-    owner = np.repeat(key, count)
-    order, same = suffix_order(buf, at, LENGTH, owner)
-    covered = has_previous_factor(order, same, owner)
-    cuts = np.cumsum([0, *n])
-    return _rows([(b, c, "covered", np.packbits(covered[x:y]).tobytes()) for c, x, y in zip(chunks, cuts[:-1], cuts[1:])])
+    held = [unpack(v.as_buffer()) for v in table["blob"]]
+    ends = [np.concatenate(([0], np.cumsum(count.astype(np.int64) + LENGTH - 1))) for _, _, count, _ in held]
+    cuts = [np.concatenate(([0], np.cumsum(part, dtype=np.int64))) for part, _, _, _ in held]
+    bits: list[list[np.ndarray]] = [[] for _ in held]
+    for p in range(PARTS):
+        # windows of different anchors never match, so each part has a suffix array of its own
+        of = [slice(c[p], c[p + 1]) for c in cuts]
+        key = np.concatenate([h[1][o] for h, o in zip(held, of)])
+        count = np.concatenate([h[2][o] for h, o in zip(held, of)]).astype(np.int64)
+        buf = np.concatenate([h[3][e[o.start] : e[o.stop]] for h, e, o in zip(held, ends, of)])
+        size = count + LENGTH - 1
+        owner = np.repeat(key, count)
+        order, same = suffix_order(buf, spread(np.cumsum(size) - size, count), LENGTH, owner)
+        covered = has_previous_factor(order, same, owner)
+        n = np.cumsum([0, *(int(h[2][o].sum(dtype=np.int64)) for h, o in zip(held, of))])
+        for out, x, y in zip(bits, n[:-1], n[1:]):
+            out.append(covered[x:y])
+    return _rows([(b, c, "covered", np.packbits(np.concatenate(x)).tobytes()) for c, x in zip(chunks, bits)])
 
 
 def _cut(buckets: int):
@@ -287,7 +299,7 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    buckets = max(64, 8 * width)
+    buckets = max(16, 2 * width)
     texts = (
         docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
         .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(4 * width)).cast("int"))

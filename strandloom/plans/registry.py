@@ -329,12 +329,31 @@ def fusion_review(spark, sf):
 # --- truncation -------------------------------------------------------------------------------------
 
 
-@query("truncation_verdict")
+TRUNCATION = EXON_PACK + """,
+rf AS (SELECT comp, k, row_number() OVER (PARTITION BY comp ORDER BY tstart, tend DESC, concat('TX.G', k - k % 40, '.', k)) AS rn FROM packed WHERE is_ref),
+xo AS (SELECT k, s, e, row_number() OVER (PARTITION BY k ORDER BY s, e) AS i FROM exons),
+rx AS (SELECT comp, rn, min(s) FILTER (WHERE i = 1) AS fs, min(e) FILTER (WHERE i = 1) AS fe, coalesce(list({'s': s, 'e': e}) FILTER (WHERE i > 1), []) AS mids FROM rf JOIN xo USING (k) GROUP BY comp, rn),
+fold AS (SELECT DISTINCT comp, CAST(0 AS BIGINT) AS r, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) AS starts, CAST([] AS STRUCT(s BIGINT, e BIGINT)[]) AS middles FROM packed
+ UNION ALL SELECT fold.comp, rn, CASE WHEN len(list_filter(middles, lambda m: fs < m.e AND m.s < fe)) = 0 OR len(list_filter(starts, lambda q: fs >= q.s AND fs < q.e)) > 0 THEN list_append(starts, {'s': fs, 'e': fe}) ELSE starts END, list_concat(middles, mids)
+ FROM fold JOIN rx ON rx.comp = fold.comp AND rx.rn = fold.r + 1),
+st AS (SELECT comp, max_by(starts, r) AS starts, max_by(middles, r) AS middles FROM fold GROUP BY comp),
+qf AS (SELECT packed.k, packed.comp, s AS fs, e AS fe, n_refs, n_queries FROM packed JOIN xo ON xo.k = packed.k AND i = 1 WHERE NOT is_ref),
+qo AS (SELECT qf.*, len(list_filter(starts, lambda q: fs >= q.s AND fs < q.e)) > 0 AS complete, middles FROM qf JOIN st USING (comp)),
+qw AS (SELECT *, list_sort(CASE WHEN complete THEN list_filter(middles, lambda m: fs >= m.s AND fs < m.e) ELSE list_filter(middles, lambda m: fs < m.e AND m.s < fe) END)[1] AS owner FROM qo),
+qr AS (SELECT *, owner IS NOT NULL AS is_truncated, CAST(avg(CASE WHEN owner IS NOT NULL THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY comp) AS FLOAT) AS ratio FROM qw)"""
+RECOVERY = TRUNCATION + """,
+ow AS (SELECT DISTINCT comp, owner.s AS os, owner.e AS oe FROM qr WHERE owner IS NOT NULL),
+sup AS (SELECT comp, s AS os, e AS oe, count(*) AS c FROM packed JOIN (SELECT DISTINCT k, s, e FROM exons) USING (k) WHERE is_ref GROUP BY ALL),
+ds AS (SELECT k, os * 1000 + (oe - os) AS o, CAST(CAST(coalesce(c, 0) AS DOUBLE) / n_refs AS FLOAT) AS sp FROM qr JOIN ow USING (comp) LEFT JOIN sup USING (comp, os, oe) WHERE is_truncated AND ratio >= 0.5 AND fs < oe AND os < fe),
+dr AS (SELECT k, bool_or(sp < 0.5) AS released, CAST(coalesce(arg_min(sp, o) FILTER (WHERE sp < 0.5), arg_max(sp, o)) AS DOUBLE) AS support FROM ds GROUP BY k)"""
+
+
+@query("truncation_verdict", TRUNCATION + " SELECT k, comp, is_truncated, NOT complete AS is_novel_start, n_refs AS ref_size, n_queries AS query_size, CAST(ratio AS DOUBLE) AS ratio, CASE WHEN is_truncated THEN 'truncated' ELSE 'pass' END AS category FROM qr")
 def truncation_verdict(spark, sf):
     return truncation.verdicts(_packed(spark, sf)).select("k", "comp", "is_truncated", "is_novel_start", "ref_size", "query_size", F.col("ratio").cast("double").alias("ratio"), "category")
 
 
-@query("truncation_recovery")
+@query("truncation_recovery", RECOVERY + " SELECT k, comp, released IS NOT NULL AS is_dirty, coalesce(NOT released, false) AS is_supported, coalesce(support, 0) AS support_ratio, CASE WHEN is_truncated AND NOT coalesce(released, false) THEN 'truncated' ELSE 'pass' END AS category FROM qr LEFT JOIN dr USING (k)")
 def truncation_recovery(spark, sf):
     return truncation.verdicts(_packed(spark, sf), recover=True).select("k", "comp", "is_dirty", "is_supported", F.col("support_ratio").cast("double").alias("support_ratio"), "category")
 
