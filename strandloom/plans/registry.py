@@ -527,3 +527,99 @@ def splice_scores(spark, sf):
 def global_counters(spark, sf):
     v = _retention(spark, sf)
     return v.agg(F.count_distinct("comp").alias("components"), F.count("*").alias("reads"), F.count_if("intron_retention").alias("retentions"), F.count_distinct(F.when(F.col("ratio") > 0.001, F.col("comp"))).alias("reviews"))
+
+
+# --- further operators ------------------------------------------------------------------------------
+
+
+@query("fusion_mapping", FUSION + """, gx AS (SELECT comp, count(DISTINCT gene) AS genes FROM comp JOIN (SELECT DISTINCT k, gene FROM refx) USING (k) GROUP BY comp),
+ tg AS (SELECT q.k, count(DISTINCT r.gene) AS n FROM fx q JOIN comp cq ON cq.k = q.k JOIN comp c ON c.comp = cq.comp JOIN refx r ON r.k = c.k WHERE NOT q.is_ref AND q.s < r.e AND r.s < q.e GROUP BY q.k),
+ sg AS (SELECT q.k, count(DISTINCT r2.gene) AS n FROM ps q JOIN comp cq ON cq.k = q.k JOIN comp c ON c.comp = cq.comp JOIN ps r ON r.k = c.k AND r.is_ref AND r.p = q.p JOIN (SELECT DISTINCT k, gene FROM refx) r2 ON r2.k = r.k WHERE NOT q.is_ref GROUP BY q.k)
+ SELECT k, CASE WHEN coalesce(genes, 0) > 1 AND coalesce(tg.n, 0) > 1 THEN CASE WHEN coalesce(sg.n, 0) > 1 THEN 'fusions' ELSE 'dropped' END ELSE 'pass' END AS category FROM qx JOIN comp USING (k) LEFT JOIN gx USING (comp) LEFT JOIN tg USING (k) LEFT JOIN sg USING (k)""")
+def fusion_mapping(spark, sf):
+    tx = fusion_fixture(spark, sf)
+    isoforms = tx.where("is_ref").select("gene", F.col("name").alias("transcript"))
+    return fusion.mapping_verdicts(components.pack(tx).withColumn("locus", F.lit(None).cast("string")), isoforms).select("k", "category")
+
+
+@query("cds_hull", REF_PACK + " SELECT comp, min(cs) AS h0, max(ce) AS h1 FROM pk WHERE is_ref GROUP BY comp")
+def cds_hull(spark, sf):
+    return _packed(spark, sf, Mode.INTRON).where("is_ref").groupBy("comp").agg(F.min("cds_start").alias("h0"), F.max("cds_end").alias("h1"))
+
+
+@query("gene_exon_union", EXON_PACK + ", gx AS (SELECT DISTINCT comp, concat('G', k - k % 40) AS gene, s, e FROM packed JOIN (SELECT k, s, e FROM exons) USING (k) WHERE is_ref) SELECT comp, gene, " + LIST + " AS exons FROM gx GROUP BY comp, gene")
+def gene_exon_union(spark, sf):
+    refs = _packed(spark, sf).where("is_ref").withColumn("gene", coords.gene_token(F.col("name")))
+    return refs.select("comp", "gene", F.explode("exons").alias("x")).groupBy("comp", "gene").agg(F.array_sort(F.collect_set("x")).alias("x")).select("comp", "gene", coords.text(F.col("x")).alias("exons"))
+
+
+@query("component_genes", EXON_PACK + ", g AS (SELECT DISTINCT comp, concat('G', k - k % 40) AS gene FROM packed WHERE is_ref) SELECT comp, count(*) AS n_genes, string_agg(gene, '.' ORDER BY gene) AS merged FROM g GROUP BY comp")
+def component_genes(spark, sf):
+    refs = _packed(spark, sf).where("is_ref").withColumn("gene", coords.gene_token(F.col("name")))
+    return refs.groupBy("comp").agg(F.array_sort(F.collect_set("gene")).alias("g")).select("comp", F.size("g").cast("long").alias("n_genes"), F.array_join("g", ".").alias("merged"))
+
+
+@query("nag_shift", INTRON_TABLE + """, n AS (SELECT comp, s, e, substring('CAGTAGAAGCCC', CAST(1 + 3 * (s % 4) AS INT), 3) AS b, substring('CAGTAGAAGCCC', CAST(1 + 3 * (e % 4) AS INT), 3) AS a FROM it WHERE is_toga AND s % 2 = 0)
+ SELECT comp, s AS istart, e - 3 AS iend FROM n WHERE b IN ('CAG', 'TAG', 'AAG') UNION ALL SELECT comp, s, e + 3 FROM n WHERE a IN ('CAG', 'TAG', 'AAG')""")
+def nag_shift(spark, sf):
+    pick = lambda c: F.substring(F.lit("CAGTAGAAGCCC"), (1 + 3 * (F.col(c) % 4)).cast("int"), F.lit(3))
+    contexts = F.struct(F.when(F.col("istart") % 2 == 0, "AG").otherwise("AC").alias("acceptor"), pick("istart").alias("before"), pick("iend").alias("after"))
+    return classify.nag_shift(classify.intron_table(_packed(spark, sf, Mode.INTRON)), contexts).select("comp", "istart", "iend")
+
+
+@query("end_windows", BASE + 'SELECT k, chrom, CASE WHEN strand = \'-\' THEN ps ELSE pe END - 150 AS "start", CASE WHEN strand = \'-\' THEN ps ELSE pe END + 150 AS "end" FROM tx JOIN (SELECT k, ps, pe FROM pc) USING (k) WHERE ps >= 200')
+def end_windows(spark, sf):
+    from strandloom.sources.text import end_windows as windows
+
+    bed = fixtures.bed12(spark, sf).withColumn("name", F.col("k").cast("string"))
+    return windows(bed).select(F.col("name").cast("long").alias("k"), "chrom", "start", "end")
+
+
+@query("read_quality", BASE + ", r AS (SELECT k, CAST(CAST(55 + k % 46 AS DOUBLE) AS FLOAT) AS identity, k % 25 AS c5, k % 23 AS c3 FROM tx) SELECT k, CASE WHEN identity < 60 THEN 'drop' WHEN identity >= 98 AND c5 <= 20 AND c3 <= 20 THEN 'accept' ELSE 'reject' END AS verdict FROM r")
+def read_quality(spark, sf):
+    k = F.col("k")
+    return transcripts(spark, sf).select("k", polya.read_quality((55 + k % 46).cast("float"), k % 25, k % 23).alias("verdict"))
+
+
+@query("tag_read", BASE + "SELECT k, concat('r', k, '__FC', k % 5, '#TC', k % 3, '#PA', k % 60, '#PR', k % 70, '#IY', (55 + k % 46) * 10) AS name FROM tx")
+def tag_read(spark, sf):
+    k = F.col("k")
+    return transcripts(spark, sf).select("k", polya.tag_name(F.concat(F.lit("r"), k), k % 5, k % 3, k % 60, k % 70, (55 + k % 46).cast("double")).alias("name"))
+
+
+@query("cigar_features", BASE + """, c AS (SELECT k, strand, k % 7 AS l, k % 11 AS r, 50 + k % 40 AS m, k % 6 AS x, k % 3 AS d FROM tx)
+ SELECT k, CASE WHEN strand = '-' THEN r ELSE l END AS five_clip, CASE WHEN strand = '-' THEN l ELSE r END AS three_clip, m + 30 AS matches, m + 30 + x + 1 + d + 1 AS alignment_length, CASE WHEN strand = '-' THEN 1000 ELSE 1000 + m + 30 + x + 1 + d + 1 + 100 END AS end_site FROM c""")
+def cigar_features(spark, sf):
+    from strandloom.operators.alignments import features
+
+    k = F.col("k")
+    n = lambda v, op: F.when(v > 0, F.concat(v.cast("string"), F.lit(op))).otherwise("")
+    cigar = F.concat(n(k % 7, "S"), n(50 + k % 40, "="), n(k % 6 + 1, "X"), n(k % 3 + 1, "D"), F.lit("100N30="), n(k % 11, "S"))
+    rows = transcripts(spark, sf).select("k", F.when(F.col("strand") == "-", 16).otherwise(0).alias("flag"), F.lit(1000).cast("bigint").alias("start"), cigar.alias("cigar"), F.lit("A").alias("seq"))
+    return features(rows).select("k", "five_clip", "three_clip", "matches", "alignment_length", "end_site")
+
+
+@query("distinct_alignments", BASE + "SELECT DISTINCT k % 50 AS name, tstart AS \"start\" FROM tx")
+def distinct_alignments(spark, sf):
+    return transcripts(spark, sf).select((F.col("k") % 50).alias("name"), "start").dropDuplicates(["name", "start"])
+
+
+@query("descriptor_tsv", BASE + "SELECT CAST(k AS VARCHAR) AS id, CASE WHEN k % 3 = 0 THEN 'NULL' ELSE CAST(is_ref AS VARCHAR) END AS flag, concat('[\"', chrom, '\",\"', strand, '\"]') AS parts FROM tx")
+def descriptor_tsv(spark, sf):
+    from strandloom.operators.descriptor import rendered
+
+    t = transcripts(spark, sf).select(F.col("k").alias("id"), F.when(F.col("k") % 3 != 0, F.col("is_ref")).alias("flag"), F.array("chrom", "strand").alias("parts"))
+    return rendered(t)
+
+
+@query("bed12_line", BASE + ", b AS (SELECT k, string_agg(e - s, ',' ORDER BY s) AS sizes, string_agg(s - ps, ',' ORDER BY s) AS starts, count(*) AS n FROM plain JOIN (SELECT k, ps FROM pc) USING (k) GROUP BY k) SELECT concat_ws(chr(9), concat('chr', k % 5), ps, pe, CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END, pcs, pce, n, concat(sizes, ','), concat(starts, ',')) AS line FROM b JOIN pc USING (k)")
+def bed12_line(spark, sf):
+    from strandloom.sources.text import bed12_lines
+
+    parts = F.split("line", "\t")
+    return bed12_lines(transcripts(spark, sf)).select(F.concat_ws("\t", *(parts[i] for i in (0, 1, 2, 5, 6, 7, 9, 10, 11))).alias("line"))
+
+
+@query("reference_frames", INTRON_TABLE + " SELECT in_frame, count(*) AS n, CAST(sum(e - s) AS BIGINT) AS bases FROM it GROUP BY in_frame")
+def reference_frames(spark, sf):
+    return classify.intron_table(_packed(spark, sf, Mode.INTRON)).groupBy("in_frame").agg(F.count("*").alias("n"), F.sum(F.col("iend") - F.col("istart")).alias("bases"))
