@@ -10,8 +10,9 @@ smallest representative only (a star), so candidates grow with the members, not
 Sketches of 8 bits a bin discard hopeless candidates; the rest are confirmed on full sets.
 A bucket that still holds several components is completed exactly: members outside its centre's
 component are compared with all others, block by block on sketches. First only their closest
-partners are confirmed, which joins most of a large group; then all pairs that still lie in
-different components are, so that no link is left out.
+partners are confirmed, which joins most of a large group. What is still apart is then compared on
+sketches of FINE undensified bins (nearly a census of a short text), each pair in its first common
+band only, and confirmed where the estimate comes within six standard deviations of the threshold.
 
 With 40 bands of 4 rows a pair at similarity 0.75 shares no bucket with probability 3e-7.
 """
@@ -31,7 +32,7 @@ from strandloom.llm import _words
 from strandloom.operators.graph import connected_components
 from strandloom.workspace import materialize
 
-BANDS, ROWS, BLOCK = 40, 4, 512
+BANDS, ROWS, BLOCK, FINE = 40, 4, 512, 1024
 _rank: dict[int, np.ndarray] = {}
 
 
@@ -142,19 +143,55 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int)
     return both.mapInArrow(run, "a long, b long")
 
 
-def _blocks(members: DataFrame, least: float, best: int | None) -> DataFrame:
-    """Pairs of different components in unresolved buckets, found on sketches block by block.
+def fine_sketch(hashes: np.ndarray) -> np.ndarray:
+    """One byte of each bin's minimum; 0 is an empty bin."""
+    bins = ((hashes >> np.uint64(32)) * np.uint64(FINE) >> np.uint64(32)).astype(np.int64)
+    head = np.flatnonzero(np.diff(bins, prepend=-1))
+    out = np.zeros(FINE, np.uint8)
+    out[bins[head]] = hashes[head] % np.uint64(255) + np.uint64(1)
+    return out
+
+
+def may_link(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray, t: float) -> np.ndarray:
+    """Whether the estimate from fine sketches comes within six standard deviations of similarity t."""
+    used = ((others != 0) | (one != 0)).sum(axis=1)
+    same = ((others == one) & (one != 0)).sum(axis=1)
+    union = np.maximum((size + sizes) / (1 + t), used)
+    # bins are drawn without replacement: a sketch that holds all hashes has no error
+    sd = np.sqrt(t * (1 - t) / np.maximum(used, 1) * (1 - used / union + 0.02))
+    return same >= (t - 6 * sd) * used
+
+
+def _fine(texts: DataFrame, shingle: int) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = _words.utf8(batch.column(1))
+            n, out = [], []
+            for i, j in _words.slices(off):
+                for h in _words.shingle_sets(buf[off[i] : off[j]], off[i : j + 1] - off[i], shingle):
+                    n.append(len(h)), out.append(fine_sketch(h).tobytes())
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(n, pa.int64()), pa.array(out, pa.binary())], names=["rep", "size", "sketch"])
+
+    return texts.select("doc_id", "text").mapInArrow(run, "rep long, size long, sketch binary")
+
+
+def _dealt(members: DataFrame) -> DataFrame:
+    """Cells (key, x, y) of unresolved buckets: loose members (left) meet all members.
 
-    members: (key, rep, comp, sketch, loose); loose members meet all members of their bucket.
     Both sides are dealt into blocks of about BLOCK rows, so no task holds a whole bucket.
-    With ``best``, only that many closest partners of each loose member.
     """
     sized = members.groupBy("key").agg(F.count("*").alias("n"), F.count_if("loose").alias("nl"))
     cell = lambda n: F.greatest(F.lit(1), F.ceil(F.col(n) / BLOCK)).cast("int")
     m = members.join(sized, "key").withColumn("mb", cell("n")).withColumn("lb", cell("nl"))
     h = lambda s: F.xxhash64("rep", F.lit(s))
-    rows = m.select("key", "rep", "comp", "sketch", F.lit(False).alias("left"), F.pmod(h(1), "mb").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.col("lb") - 1)).alias("x"))
-    loose = m.where("loose").select("key", "rep", "comp", "sketch", F.lit(True).alias("left"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("y"), F.pmod(h(2), "lb").cast("int").alias("x"))
+    rest = [c for c in members.columns if c != "loose"]
+    rows = m.select(*rest, F.lit(False).alias("left"), F.pmod(h(1), "mb").cast("int").alias("y"), F.explode(F.sequence(F.lit(0), F.col("lb") - 1)).alias("x"))
+    loose = m.where("loose").select(*rest, F.lit(True).alias("left"), F.explode(F.sequence(F.lit(0), F.col("mb") - 1)).alias("y"), F.pmod(h(2), "lb").cast("int").alias("x"))
+    return rows.unionByName(loose)
+
+
+def _closest(members: DataFrame, least: float, best: int) -> DataFrame:
+    """For each loose member the ``best`` closest others by sketch, of other components."""
 
     def run(table: pa.Table) -> pa.Table:
         left = np.asarray(table["left"].combine_chunks().to_numpy(zero_copy_only=False), bool)
@@ -165,15 +202,36 @@ def _blocks(members: DataFrame, least: float, best: int | None) -> DataFrame:
         for i in s:
             like = (sk[r] == sk[i]).mean(axis=1)
             near = np.flatnonzero((like >= least) & (comp[r] != comp[i]))
-            if best is not None and len(near) > best:
+            if len(near) > best:
                 near = near[np.lexsort((rep[r[near]], -like[near]))[:best]]
             a.append(np.full(len(near), rep[i])), b.append(rep[r[near]]), c.append(like[near])
         return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64()), "like": pa.array(np.concatenate(c))})
 
-    found = rows.unionByName(loose).groupBy("key", "x", "y").applyInArrow(run, "a long, b long, like double").distinct()
-    if best is not None:
-        found = found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("like"), "b"))).where(F.col("r") <= best)
-    return found.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    found = _dealt(members).groupBy("key", "x", "y").applyInArrow(run, "a long, b long, like double").distinct()
+    ranked = found.withColumn("r", F.row_number().over(Window.partitionBy("a").orderBy(F.desc("like"), "b"))).where(F.col("r") <= best)
+    return ranked.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+def _remaining(members: DataFrame, t: float) -> DataFrame:
+    """All pairs of different components that may be linked, each from its first common band."""
+
+    def run(table: pa.Table) -> pa.Table:
+        left = np.asarray(table["left"].combine_chunks().to_numpy(zero_copy_only=False), bool)
+        rep, comp, size = (table[c].to_numpy() for c in ("rep", "comp", "size"))
+        sk = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(rep), -1)
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
+        here = int(np.flatnonzero(bands[0] == table["key"][0].as_py())[0])
+        r = np.flatnonzero(~left)
+        a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
+        for i in np.flatnonzero(left):
+            mine = r[comp[r] != comp[i]]
+            if here:
+                mine = mine[~(bands[mine, :here] == bands[i, :here]).any(axis=1)]
+            near = mine[may_link(sk[i], size[i], sk[mine], size[mine], t)]
+            a.append(np.minimum(rep[near], rep[i])), b.append(np.maximum(rep[near], rep[i]))
+        return pa.table({"a": pa.array(np.concatenate(a), pa.int64()), "b": pa.array(np.concatenate(b), pa.int64())})
+
+    return _dealt(members).groupBy("key", "x", "y").applyInArrow(run, "a long, b long").distinct()
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle: int = 5, num: int = 75, den: int = 100, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -213,8 +271,15 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
         label = lambda col, out, comp=comp: comp.select(F.col("node").alias(col), F.col("component").alias(out))
         named = members.join(label("rep", "c"), "rep", "left").join(label("centre", "cc"), "centre", "left").select("key", "rep", F.coalesce("c", "rep").alias("comp"), F.coalesce("cc", "centre").alias("centre_comp"))
         mixed = named.where("comp <> centre_comp").select("key").distinct()
-        unresolved = named.join(mixed, "key", "left_semi").join(sketch.hint("merge"), "rep").select("key", "rep", "comp", "sketch", (F.col("comp") != F.col("centre_comp")).alias("loose"))
-        more = materialize(_blocks(unresolved, least, best).join(tested, ["a", "b"], "left_anti"), "more")
+        unresolved = named.join(mixed, "key", "left_semi").select("key", "rep", "comp", (F.col("comp") != F.col("centre_comp")).alias("loose"))
+        if best is None:
+            wanted = materialize(unresolved, "unresolved")
+            few = wanted.select("rep").distinct()
+            fine = _fine(texts.join(few.select(F.col("rep").alias("doc_id")).hint("merge"), "doc_id", "left_semi"), shingle).join(reps.select("rep", "bands").hint("merge"), "rep")
+            found = _remaining(wanted.join(fine.hint("merge"), "rep"), t)
+        else:
+            found = _closest(unresolved.join(sketch.hint("merge"), "rep"), least, best)
+        more = materialize(found.join(tested, ["a", "b"], "left_anti"), "more")
         if more.isEmpty():
             break
         tested = tested.unionByName(more)
