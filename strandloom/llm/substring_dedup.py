@@ -77,7 +77,8 @@ def anchor_runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple
     whole = text[:n] == text[length - 1 :]
     head = np.flatnonzero(whole & np.concatenate(([True], (anchor[1:] != anchor[:-1]) | ~whole[:-1] | (text[1:n] != text[: n - 1]))))
     last = np.flatnonzero(whole & np.concatenate(((anchor[1:] != anchor[:-1]) | ~whole[1:] | (text[1:n] != text[: n - 1]), [True])))
-    return head, last - head + 1, h[anchor[head].astype(np.int64)] >> np.uint64(16)
+    # least hashes crowd near zero; mixed again they spread evenly over buckets
+    return head, last - head + 1, _words.mix(h[anchor[head].astype(np.int64)]) >> np.uint64(16)
 
 
 def _home(h: np.ndarray, buckets: int) -> np.ndarray:
