@@ -34,7 +34,7 @@ from strandloom.workspace import shuffle_width
 LENGTH, GRAM = 50, 16
 PIECE = 64 << 20
 #: a bucket is worked off in so many parts of its hash range
-PARTS = 16
+PARTS = 32
 ROW = "bucket int, chunk int, kind string, blob binary"
 NO_KEY = np.iinfo(np.int64).max
 
@@ -300,10 +300,10 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    buckets = max(16, 2 * width)
+    buckets = max(16, width)
     texts = (
         docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(4 * width)).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(2 * width)).cast("int"))
         .repartition(width, "chunk")
     )
     told = texts.groupBy("chunk").applyInArrow(_ask_anchors(buckets), ROW).groupBy("bucket").applyInArrow(_tell_shared, ROW).repartition(width, "chunk")
