@@ -323,10 +323,10 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", num: i
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
-    buckets = max(32, 4 * width)
+    buckets = max(32, width)
     texts = (
         docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in carry))
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(4 * width)).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int"))
         .repartition(width, "chunk")
     )
     told = texts.groupBy("chunk").applyInArrow(_ask(buckets), ROW).groupBy("bucket").applyInArrow(_tell, ROW).repartition(width, "chunk")
