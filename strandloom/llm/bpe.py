@@ -4,7 +4,7 @@ Encoding. Texts are cut into pre-tokens by the tokenizer's pattern. A task deals
 chunks; a chunk keeps, for each text, the positions of its pre-tokens as a sequence of numbers of
 the chunk's distinct words. The distinct words travel to hash buckets, where equal words of all
 chunks meet and each is encoded once; token ids travel back to the chunk and are put in place by
-position. A frequent word so costs one entry a chunk, not one a use, and no bucket holds more
+position. Texts are cut twice, once for the words and once for the positions, which so travel once. A frequent word so costs one entry a chunk, not one a use, and no bucket holds more
 than its share of the distinct words.
 
 Decoding joins ids with the table of token bytes (at most the vocabulary's size, so broadcast).
@@ -69,7 +69,9 @@ def _rows(rows: list[tuple]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(b, pa.int32()), pa.array(c, pa.int64()), pa.array(k, pa.string()), pa.array(v, pa.binary())], names=["bucket", "chunk", "kind", "blob"])
 
 
-def _split(pattern: str, buckets: int, chunk_chars: int):
+def _split(pattern: str, buckets: int, chunk_chars: int, kind: str):
+    """Rows of one kind, words or docs, of a task's chunks; both kinds number chunks and words alike."""
+
     def flush(chunk: int, ids: list, seqs: list[np.ndarray], numbers: _Numbers) -> Iterator[pa.RecordBatch]:
         seq = np.concatenate(seqs) if seqs else np.empty(0, np.int32)
         order = np.argsort(-np.bincount(seq, minlength=len(numbers)), kind="stable")
@@ -80,7 +82,9 @@ def _split(pattern: str, buckets: int, chunk_chars: int):
         keys = np.array([0 if i is None else i for i in ids], np.int64)
         nulls = np.array([i is None for i in ids], np.uint8)
         lengths = np.array([len(s) for s in seqs], np.uint32)
-        yield _rows([(chunk % buckets, chunk, "docs", pack(keys, nulls, lengths, rank[seq], home))])
+        if kind == "docs":
+            yield _rows([(-1, chunk, "docs", pack(keys, nulls, lengths, rank[seq], home))])
+            return
         by_home = np.argsort(home, kind="stable")
         cuts = np.searchsorted(home[by_home], np.arange(buckets + 1))
         out = []
@@ -117,11 +121,8 @@ def _encode_bucket(ranks, pattern: str):
         encode = _encoder(ranks.value, pattern)._encode_single_piece
         known: dict[bytes, np.ndarray] = {}
         out = []
-        for bucket, chunk, kind, blob in zip(*(table[c] for c in ("bucket", "chunk", "kind", "blob"))):
-            bucket, chunk, kind = bucket.as_py(), chunk.as_py(), kind.as_py()
-            if kind == "docs":
-                out.append((bucket, chunk, kind, blob.as_py()))
-                continue
+        for bucket, chunk, blob in zip(*(table[c] for c in ("bucket", "chunk", "blob"))):
+            bucket, chunk = bucket.as_py(), chunk.as_py()
             lengths, raw = unpack(blob.as_buffer())
             ends = np.cumsum(lengths, dtype=np.int64).tolist()
             raw, at, found = raw.tobytes(), 0, []
@@ -173,9 +174,10 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     buckets = max(16, 2 * shuffle_width(spark))
-    cut = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")).mapInArrow(_split(pattern, buckets, chunk_chars), ROW)
-    coded = cut.groupBy("bucket").applyInArrow(_encode_bucket(ranks, pattern), ROW)
-    return coded.groupBy("chunk").applyInArrow(_assemble, "doc_id long, ids array<int>")
+    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    placed, words = (rows.mapInArrow(_split(pattern, buckets, chunk_chars, kind), ROW) for kind in ("docs", "words"))
+    coded = words.groupBy("bucket").applyInArrow(_encode_bucket(ranks, pattern), ROW)
+    return placed.unionByName(coded).groupBy("chunk").applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
