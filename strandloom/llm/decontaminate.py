@@ -1,12 +1,12 @@
-"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
 
 Benchmark items are taken in blocks of bounded size; each block's word n-grams are broadcast.
-A first scan counts in how many texts each n-gram occurs. The rarer half of an item's n-grams
-(never fewer than MIN_SEEDS) are its seeds: copies raise the counts of all n-grams of an item alike,
-so common phrases go and the telling ones stay, however often the item was copied. A second scan
+All n-grams of an item are its seeds: an edited copy holds any of them, common or rare. One scan
 finds seeds in whole texts; around every cluster of seeds of an item a window of words is aligned
 with the item. The normalised score is the alignment's share of that of an exact copy, so that
-copies with replaced, added or dropped words score in proportion.
+copies with replaced, added or dropped words score in proportion. It cannot exceed the share of
+the item's words that the text, or the window, holds at all: common phrases are dropped by that
+bound before any alignment.
 
 Texts are never shuffled; per text only its own hits are held.
 """
@@ -24,7 +24,6 @@ from pyspark.sql import functions as F
 from strandloom.llm import _words
 
 GRAM = 3
-MIN_SEEDS = 12
 BLOCK_BYTES = 16 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 FILTER_BITS = 20
@@ -47,7 +46,7 @@ class Block:
         return out
 
 
-def index_block(ids: np.ndarray, texts: pa.Array, n: int, chosen: np.ndarray | None = None) -> Block:
+def index_block(ids: np.ndarray, texts: pa.Array, n: int) -> Block:
     """Items with at least one word; items shorter than ``n`` words get their whole sequence as gram of fewer words."""
     buf, off = _words.utf8(texts)
     h, _, _, first = _words.words(buf, off)
@@ -61,9 +60,6 @@ def index_block(ids: np.ndarray, texts: pa.Array, n: int, chosen: np.ndarray | N
         words.append(w), keep.append(i)
     cat = lambda v, t: np.concatenate(v) if v else np.empty(0, t)
     gram, item, place = cat(gram, np.uint64), cat(item, np.int64), cat(place, np.int64)
-    if chosen is not None:
-        on = chosen[: len(gram)]
-        gram, item, place = gram[on], item[on], place[on]
     order = np.argsort(gram, kind="stable")
     uniq, start = np.unique(gram[order], return_index=True)
     return Block(ids[keep], words, uniq, np.append(start, len(order)), item[order], place[order])
@@ -129,27 +125,31 @@ def _best_end(a: np.ndarray, b: np.ndarray) -> tuple[int, int]:
     return top, at
 
 
-def _count(shared, n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros(len(shared.value.grams), np.int64)
-        for _, _, _, _, _, _, gram in _hits(batches, shared.value, n):
-            total[np.unique(gram)] += 1
-        g = np.flatnonzero(total)
-        yield pa.RecordBatch.from_arrays([pa.array(g), pa.array(total[g])], names=["gram", "n"])
-
-    return run
+def held(words: np.ndarray, text: np.ndarray) -> np.ndarray:
+    """Which of ``words`` occur in the sorted ``text``."""
+    return text[np.minimum(np.searchsorted(text, words), len(text) - 1)] == words
 
 
 def _copies(batches: Iterator[pa.RecordBatch], block: Block, n: int, least: float, text: int = 1):
     """(batch, row, {item: (score, start byte, end byte)}) of each text with a copy."""
+    sizes = np.array([len(w) for w in block.words])
+    flat, begin = np.concatenate(block.words), np.cumsum(sizes) - sizes
     for batch, row, h, start, end, at, gram in _hits(batches, block, n, text):
         size = block.first[gram + 1] - block.first[gram]
         ends = np.cumsum(size)
         entry = np.repeat(block.first[gram] - (ends - size), size) + np.arange(int(ends[-1]))
         item, place, pos = block.item[entry], block.place[entry], np.repeat(at, size)
+        # no alignment scores more than the item's words that the text holds
+        mine, which = np.unique(item, return_inverse=True)
+        start_of = np.cumsum(sizes[mine]) - sizes[mine]
+        word = np.repeat(begin[mine] - start_of, sizes[mine]) + np.arange(int(sizes[mine].sum()))
+        on = (np.add.reduceat(held(flat[word], np.sort(h)), start_of, dtype=np.int64) / sizes[mine] >= least)[which]
+        if not on.any():
+            continue
+        item, place, pos = item[on], place[on], pos[on]
         order = np.lexsort((pos, item))
         item, place, pos = item[order], place[order], pos[order]
-        length = np.array([len(block.words[i]) for i in item.tolist()])
+        length = sizes[item]
         cut = np.flatnonzero(np.concatenate(([True], (item[1:] != item[:-1]) | (pos[1:] - pos[:-1] > length[1:]), [True])))
         best: dict[int, tuple] = {}
         for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
@@ -157,6 +157,8 @@ def _copies(batches: Iterator[pa.RecordBatch], block: Block, n: int, least: floa
             slack = len(words) // 2 + 4
             lo = max(0, int((pos[x:y] - place[x:y]).min()) - slack)
             hi = min(len(h), int((pos[x:y] - place[x:y]).max()) + len(words) + slack)
+            if held(words, np.sort(h[lo:hi])).sum() / len(words) < least:
+                continue
             score, s, e = align(words, h[lo:hi])
             share = score / (MATCH * len(words))
             if share >= least and (i not in best or share > best[i][0]):
@@ -200,7 +202,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = None
-    for seeds in seed_blocks(rows, benchmark, item_key, item_text, n, block_bytes):
+    for seeds in seed_blocks(benchmark, item_key, item_text, n, block_bytes):
         found = rows.mapInArrow(_match(seeds, n, least), FOUND)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
@@ -208,42 +210,25 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key:
 
 def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = GRAM, least: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that ``contaminated`` reports; all columns stay, no row is shuffled."""
-    rows = docs.select(F.lit(None).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = docs
-    for seeds in seed_blocks(rows, benchmark, item_key, item_text, n, block_bytes):
+    for seeds in seed_blocks(benchmark, item_key, item_text, n, block_bytes):
         out = out.mapInArrow(_drop(seeds, n, least, docs.columns.index(text)), docs.schema)
     return out
 
 
-def seed_blocks(rows: DataFrame, benchmark: DataFrame, item_key: str, item_text: str, n: int, block_bytes: int) -> list:
-    """Broadcast seeds of each block of items; counts of n-grams come from a scan of ``rows`` (doc_id, text)."""
-    spark = rows.sparkSession
+def seed_blocks(benchmark: DataFrame, item_key: str, item_text: str, n: int, block_bytes: int) -> list:
+    """Broadcast n-grams of each block of items."""
+    spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
     blocks = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
     out = []
     for b in range(blocks):
-        held = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").toArrow()
-        block = index_block(held["item_id"].to_numpy(), held["text"], n)
-        if not len(block.grams):
-            continue
-        df = np.zeros(len(block.grams), np.int64)
-        shared = spark.sparkContext.broadcast(block)
-        for r in rows.mapInArrow(_count(shared, n), "gram long, n long").groupBy("gram").agg(F.sum("n").alias("n")).toLocalIterator():  # at most the block's grams
-            df[r.gram] = r["n"]
-        out.append(spark.sparkContext.broadcast(index_block(held["item_id"].to_numpy(), held["text"], n, rare(block, df))))
+        part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").toArrow()
+        block = index_block(part["item_id"].to_numpy(), part["text"], n)
+        if len(block.grams):
+            out.append(spark.sparkContext.broadcast(block))
     return out
 
 
-def rare(block: Block, df: np.ndarray) -> np.ndarray:
-    """Which n-grams, in the order of items and places, are seeds of their item."""
-    which = np.repeat(np.arange(len(block.grams)), np.diff(block.first))
-    order = np.lexsort((block.place, df[which], block.item))
-    size = np.bincount(block.item, minlength=len(block.words))
-    rank = np.arange(len(order)) - np.repeat(np.cumsum(size) - size, size)
-    chosen = rank < np.repeat(np.maximum((size + 1) // 2, MIN_SEEDS), size)
-    by_place = np.lexsort((block.place[order], block.item[order]))
-    return chosen[by_place]
-
-
 def op3_decontaminate(spark, sf_dir: str) -> DataFrame:
     return contaminated(*(spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "benchmark")))

@@ -57,3 +57,10 @@ def test_item_in_most_texts_is_still_found(spark, rows):
     docs = rows([(i, f"intro {i} {item} outro {i}" if i % 4 else f"clean text {i}") for i in range(80)])
     got = contaminated(docs, spark.createDataFrame([(1, item)], "item_id long, text string"))
     assert sorted(r.doc_id for r in got.collect()) == [i for i in range(80) if i % 4]
+
+
+def test_one_copy_with_every_sixth_word_replaced(spark, rows):
+    words = [f"w{i}" for i in range(59)]
+    edited = [w if i % 6 != 1 else f"other{i}" for i, w in enumerate(words)]
+    got = contaminated(rows([(1, "intro " + " ".join(edited) + " outro"), (2, "w0 w1 w2 and nothing else")]), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"))
+    assert [(r.doc_id, r.item_id, r.score) for r in got.collect()] == [(1, 1, (2 * 49 - 10) / 118)]
