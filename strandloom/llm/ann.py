@@ -7,7 +7,9 @@ chosen is nearer to that centroid than the vector is. Lists are dealt into block
 so a list that holds a third of all vectors is still many tasks.
 
 Search. A query walks a neighbour graph of the centroids (held in memory, size bounded by the
-number of centroids) from a few entry points, best first; lists within ``1 + prune`` of the
+number of centroids) from a few entry points, best first. Edges go both ways; groups of centroids
+that are near to none outside are tied to the rest by their shortest link and have an entry each, and
+random long edges lead out of dense regions, so every list can be reached. Lists within ``1 + prune`` of the
 nearest centroid's distance are read, at least ``least`` of them. Within lists similarities are exact.
 Vectors are compared by cosine, so the index works on unit vectors.
 """
@@ -30,12 +32,13 @@ SAMPLE = 20_000
 CENTROIDS = 256
 BLOCK = 2048
 REPLICAS = 2
+LONG = 8
 
 
 @dataclass(frozen=True)
 class Index:
     centroids: np.ndarray
-    graph: np.ndarray
+    graph: list[np.ndarray]
     entries: np.ndarray
 
 
@@ -73,11 +76,40 @@ def build(vectors: DataFrame, sample: int = SAMPLE, centroids: int = CENTROIDS,
     """Centroids and their graph from the ``sample`` rows with the smallest hash of the key."""
     rows = vectors.orderBy(F.xxhash64("vec_id"), "vec_id").limit(sample).select("v").toArrow()
     if not rows.num_rows:
-        return Index(np.empty((0, 0)), np.empty((0, 0), np.int64), np.empty(0, np.int64))
+        return Index(np.empty((0, 0)), [], np.empty(0, np.int64))
     x = _unit(rows["v"].combine_chunks())
     c = balanced_kmeans(x, min(centroids, max(1, len(x) // 16)))
-    near = np.argsort(2 - 2 * c @ c.T, axis=1)[:, 1 : degree + 1]
-    return Index(c, near, np.arange(0, len(c), max(1, len(c) // 8)))
+    return Index(c, *connected(c, degree))
+
+
+def _components(edge: np.ndarray) -> np.ndarray:
+    """The smallest node of each node's component; ``edge`` is symmetric."""
+    label = np.arange(len(edge))
+    while True:
+        low = np.minimum(label, np.where(edge, label, len(edge)).min(axis=1))
+        if (low == label).all():
+            return label
+        label = low
+
+
+def connected(c: np.ndarray, degree: int, long: int = LONG) -> tuple[list[np.ndarray], np.ndarray]:
+    """Neighbours of each centroid in a connected graph, and entry points in all groups that nearness alone does not tie together."""
+    rng, n = np.random.default_rng(7), len(c)
+    d = 2 - 2 * c @ c.T
+    edge = np.zeros((n, n), bool)
+    edge[np.arange(n)[:, None], np.argsort(d, axis=1)[:, 1 : degree + 1]] = True
+    edge |= edge.T
+    group = _components(edge)
+    entries = np.union1d(np.arange(0, n, max(1, n // 8)), group)
+    while group.any():
+        mine = group == group.max()
+        a, b = np.unravel_index(np.where(mine[:, None] & ~mine, d, np.inf).argmin(), d.shape)
+        edge[a, b] = edge[b, a] = True
+        group[mine] = group[b]
+    far = rng.integers(0, n, (n, long))
+    edge[np.arange(n)[:, None], far] = True
+    edge |= edge.T
+    return [np.flatnonzero(e) for e in edge], entries
 
 
 def walk(index: Index, q: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:

@@ -38,3 +38,35 @@ def test_copies_of_one_vector(spark):
     df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
     got = ann.search(df, F.col("vec_id") == 0).orderBy("rank").collect()
     assert [r.vec_id for r in got] == [1, 2, 3, 4, 5]
+
+
+def clusters(groups=10, each=400, dim=32):
+    rng = np.random.default_rng(1)
+    centre = np.linalg.qr(rng.normal(size=(dim, dim)))[0][:groups]
+    return np.repeat(centre, each, axis=0) + 0.02 * rng.normal(size=(groups * each, dim))
+
+
+def test_walk_reaches_all_lists_of_tight_clusters(spark):
+    x = clusters()
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, v array<double>")
+    index = ann.build(df)
+    n = len(index.centroids)
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    for most in (80, 160, 400):
+        for q in unit[::50]:
+            ids, _ = ann.walk(index, q, most)
+            assert len(ids) == len(set(ids.tolist())) == min(most, n)
+            assert ids[0] == (index.centroids @ q).argmax()
+
+
+def test_recall_in_tight_clusters(spark):
+    x = clusters()
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(x.tolist())], "vec_id long, embedding array<double>")
+    got = ann.search(df, F.col("vec_id") % 50 == 0).toPandas()
+    unit = x / np.linalg.norm(x, axis=1, keepdims=True)
+    hits = 0
+    for i in range(0, len(x), 50):
+        s = unit @ unit[i]
+        s[i] = -9
+        hits += len(set(np.argsort(-s)[:5]) & set(got[got.query_id == i].vec_id))
+    assert hits >= 0.99 * 5 * len(range(0, len(x), 50))
