@@ -23,7 +23,7 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Later similar lines go; every document stays with its other lines."""
     carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = line_dedup.dedup_lines(docs, carry=carry)
+    cut = line_dedup.dedup_lines(docs, min_words=1, carry=carry)
     return cut.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
 
 

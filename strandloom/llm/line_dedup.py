@@ -2,7 +2,8 @@
 
 A line is the set of its words. A line is removed if an earlier line (by key, then place in the
 text) has a Jaccard similarity of at least ``num / den`` with it, whether or not that earlier line
-stays itself. Lines with fewer than ``min_words`` distinct words are left alone.
+stays itself. Lines with fewer than ``min_words`` distinct words are left alone; the registered
+query and the pipeline set it to 1, so that every line with a word takes part.
 
 Texts are dealt to chunks by key; that exchange serves all steps.
 
@@ -286,7 +287,7 @@ def _remove(buckets: int, num: int, den: int, min_words: int, carry: list[str]):
         lines, first = _firsts(x, told, buckets)
         gone = np.zeros(len(x.start), bool)
         again = lines[~first]
-        gone[again] = [len(np.unique(x.h[x.cut[i] : x.cut[i + 1]])) >= min_words for i in again.tolist()]
+        gone[again] = True if min_words <= 1 else [len(np.unique(x.h[x.cut[i] : x.cut[i + 1]])) >= min_words for i in again.tolist()]
         for k, v in zip(told["kind"].to_pylist(), told["blob"]):
             if k == "sets":
                 size, flat, which, key, number = unpack(v.as_buffer())
@@ -341,5 +342,5 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", num: i
 
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
-    found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_words=1)
     return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), F.sha2("kept", 256).alias("kept_sha256"))

@@ -2,7 +2,8 @@
 
 from collections import defaultdict
 
-from strandloom.llm.line_dedup import dedup_lines
+import corpus_pipeline
+from strandloom.llm.line_dedup import dedup_lines, op1_line_dedup
 
 
 def brute(pairs, num=80, den=100, min_words=3):
@@ -53,3 +54,20 @@ def test_frequent_line(rows):
 
 def test_empty_table(rows):
     assert result(rows([(1, "a")]).limit(0)) == []
+
+
+def test_short_lines_take_part_in_the_query_and_the_pipeline(spark, tmp_path):
+    chars = "\u4e00\u4e8c\u4e09" * 20
+    pairs = [(1, f"And ornd.\nx x\n\n{chars}"), (2, "And ornd.\nx\n\nonly here"), (3, f"ornd. and\n \nx y\n{chars}\nand ornd. more"), (4, "z z y " * 30 + "\ny z\nx y z")]
+    docs = spark.createDataFrame([(d, t, len(t)) for d, t in pairs], "doc_id long, text string, n_chars int")
+    docs.write.parquet(f"{tmp_path}/documents.parquet")
+    want = brute(pairs, min_words=1)
+    assert [w[2] for w in want] == [[], [0, 1], [0, 3], [1]]
+    got = op1_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()
+    assert [(r.doc_id, r.n_lines, r.removed_lines) for r in got] == [(d, n, ",".join(map(str, gone))) for d, n, gone, _ in want]
+    assert [r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).orderBy("doc_id").collect()] == [w[3] for w in want]
+
+
+def test_documents_with_short_lines(rows, documents):
+    got = sorted(map(tuple, dedup_lines(rows(documents), min_words=1).collect()), key=order)
+    assert got == sorted(brute(documents, min_words=1), key=order)
