@@ -405,9 +405,9 @@ def intrapriming(spark, sf):
     return polya.intrapriming(reads, recover=True).withColumn("ratio", F.col("ratio").cast("double"))
 
 
-def tails(spark, sf) -> DataFrame:
+def tails(spark, sf, text: str = "substring(text, 1, 120)") -> DataFrame:
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    body = F.translate(F.upper(F.regexp_replace(F.substring("text", 1, 120), "[^A-Za-z]", "")), "BDEFHIJKLMNOPQRSUVWXYZ", "CAAGATCAGTTAACCGGATCTA")
+    body = F.translate(F.upper(F.regexp_replace(F.expr(text), "[^A-Za-z]", "")), "BDEFHIJKLMNOPQRSUVWXYZ", "CAAGATCAGTTAACCGGATCTA")
     return docs.select("doc_id", F.concat(F.repeat(F.lit("A"), (F.col("doc_id") % 60).cast("int")), body).alias("seq"))
 
 
@@ -445,6 +445,30 @@ def maxent_consensus(spark, sf):
     return tails(spark, sf).where("length(seq) >= 90").select("doc_id", dna.consensus_score(F.substring("seq", 60, 23)).alias("score"))
 
 
+# Whole texts: without SQL, which would be recursive or quadratic here; tested against plain loops.
+
+
+@query("polya_tail_whole")
+def polya_tail_whole(spark, sf):
+    return tails(spark, sf, "text").select("doc_id", polya.tail_length(F.col("seq")).cast("long").alias("tail"))
+
+
+@query("revcomp_whole")
+def revcomp_whole(spark, sf):
+    return tails(spark, sf, "text").select("doc_id", dna.reverse_complement(F.col("seq")).alias("rc"))
+
+
+@query("kmer_rt_scan_whole")
+def kmer_rt_scan_whole(spark, sf):
+    t = tails(spark, sf, "text").where("length(seq) >= 101")
+    return t.select("doc_id", dna.rt_repeat(F.substring("seq", 70, 12), F.substring("seq", 90, 12)).alias("is_rt"))
+
+
+@query("maxent_consensus_whole")
+def maxent_consensus_whole(spark, sf):
+    return tails(spark, sf, "text").where("length(seq) >= 90").select("doc_id", dna.consensus_score(F.substring("seq", 60, 23)).alias("score"))
+
+
 # --- tables, sets, chunks ---------------------------------------------------------------------------
 
 
