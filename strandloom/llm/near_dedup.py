@@ -281,7 +281,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
             found = _closest(unresolved.join(sketch.hint("merge"), "rep"), least, best)
         more = materialize(found.join(tested, ["a", "b"], "left_anti"), "more")
         if more.isEmpty():
-            break
+            continue  # closest partners all tested: the exact completion still follows
         tested = tested.unionByName(more)
         links = links.unionByName(materialize(confirm(more, texts, shingle, num, den), "links"))
         comp = materialize(connected_components(links, "a", "b"), "comp")

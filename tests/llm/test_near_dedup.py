@@ -53,6 +53,34 @@ def test_large_group_with_members_about_the_threshold(rows):
     assert result(rows(pairs)) == brute(pairs)
 
 
+#: word number -> number in its replacement, for texts of the words w0 to w199
+EDITS = [
+    {75: 93466, 80: 638805, 198: 58360}, {38: 247825, 131: 340819}, {62: 919895, 161: 976922}, {30: 336152, 50: 31695, 129: 823147}, {92: 546616, 135: 499600, 183: 719081, 198: 325865},
+    {159: 73456, 168: 111375}, {64: 69950, 123: 458543, 171: 842559}, {115: 232658, 122: 333699, 182: 983627, 197: 438720}, {80: 979284, 136: 389724, 185: 972626, 199: 468550},
+    {26: 53533, 71: 967270, 116: 806510, 163: 92128}, {16: 135216, 142: 39192}, {17: 689571, 76: 36830, 158: 717288}, {37: 89863, 87: 808203, 133: 458598, 178: 412993},
+]
+
+
+def test_a_link_that_the_closest_partners_do_not_show(rows):
+    pairs = [(d, " ".join(f"x{e[i]}" if i in e else f"w{i}" for i in range(200))) for d, e in enumerate(EDITS)]
+    got = result(rows(pairs))
+    assert got == brute(pairs)
+    assert {c for _, c, _ in got.values()} == {0}
+
+
+def test_many_small_groups_about_the_threshold(rows):
+    rng = random.Random(11)
+    pairs = []
+    for g in range(60):
+        size = rng.choice((40, 80, 200))
+        for _ in range(rng.randrange(8, 15)):
+            words = [f"g{g}w{i}" for i in range(size)]
+            for _ in range(rng.randrange(1, 5)):
+                words[rng.randrange(size)] = f"x{rng.randrange(10**6)}"
+            pairs.append((len(pairs), " ".join(words)))
+    assert result(rows(pairs)) == brute(pairs)
+
+
 def test_odd_rows(rows):
     pairs = [(1, None), (2, ""), (3, " \n"), (4, "one two"), (5, "ONE two"), (6, "one two three four five"), (7, "one two three four five"), (8, "y " * 30_000)]
     assert result(rows(pairs)) == brute(pairs)
