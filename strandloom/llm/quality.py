@@ -9,7 +9,9 @@
 3. The path's share (without the document itself) replaces the global prior in the odds of p.
 
 Only group sums are shuffled, pre-aggregated, so a host with a third of all rows is one partial sum
-a task. Texts stay where they are read.
+a task. Texts stay where they are read: the evidence is written once beside the columns asked for, and
+site posteriors are looked up by broadcast as long as their counted number is at most MAX_SITES. Beyond
+that they are joined by site and a salt, so that a hot site is SALTS tasks.
 """
 
 from __future__ import annotations
@@ -28,6 +30,7 @@ from strandloom.workspace import materialize
 
 PER_CLASS = 4000
 BINS = 8
+MAX_SITES, SALTS = 50_000, 32
 _SETS = {"upper": b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", "lower": b"abcdefghijklmnopqrstuvwxyz", "digit": b"0123456789", "space": b" \t\r\n\v\f", "line": b"\n", "stop": b".,;:?", "bang": b"!", "symbol": b"#$%&*|<>{}[]=~^\\_@+/"}
 FEATURES = ("upper", "digit", "space", "stop", "bang", "symbol", "word_length", "words", "line_length", "repeated")
 
@@ -131,17 +134,18 @@ def _strength(groups: DataFrame, parent: str) -> float:
     return float(min(max(v / tau - 1 if tau > 0 else 1e4, 1.0), 1e4))
 
 
-def judge(docs: DataFrame, model: Classifier, host: Column, path: Column, text: str = "text") -> DataFrame:
-    """``docs`` with ``quality_p`` (document alone), ``site_p`` (its path's posterior) and ``quality`` (combined).
+def judge(docs: DataFrame, model: Classifier, host: Column, path: Column, text: str = "text", keep: list[str] | None = None, max_sites: int = MAX_SITES) -> DataFrame:
+    """The columns ``keep`` of ``docs`` (all by default) with ``quality_p`` (document alone), ``site_p`` (its path's posterior) and ``quality`` (combined).
 
     A null host or path is a site of its own. Columns of these names in ``docs`` are replaced.
     Null and empty texts are judged by their (empty) features; an empty table stays empty.
     """
-    docs = docs.drop("quality_p", "site_p", "quality", "_host", "_path").withColumns({"_host": host.cast("string"), "_path": path.cast("string")})
-    judged = with_evidence(docs, model, text)
-    site = with_evidence(docs.select(text, "_host", "_path"), model, text)
-    paths = materialize(site.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("quality_p").alias("s")), "paths")
-    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s")).first()
+    keep = [c for c in docs.columns if (keep is None or c in keep) and c not in ("quality_p", "site_p", "quality")]
+    sited = docs.select(*keep, host.cast("string").alias("_host"), path.cast("string").alias("_path"), F.col(text).alias("_text"))
+    judged = with_evidence(sited.drop("_text") if text in keep else sited, model, text if text in keep else "_text").drop("_text")
+    judged = materialize(judged, "evidence")
+    paths = materialize(judged.groupBy("_host", "_path").agg(F.count("*").alias("n"), F.sum("quality_p").alias("s")), "paths")
+    total = paths.agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.count("*").alias("sites")).first()
     mean = float(min(max((total.s or 0.5) / (total.n or 1), 1e-6), 1 - 1e-6))
     hosts = paths.groupBy("_host").agg(F.sum("n").alias("n"), F.sum("s").alias("s")).withColumn("m", F.lit(mean))
     k = _strength(hosts, "m")
@@ -149,12 +153,18 @@ def judge(docs: DataFrame, model: Classifier, host: Column, path: Column, text:
     paths = paths.join(hosts, F.col("_host").eqNullSafe(F.col("_h"))).drop("_h")
     kp = _strength(paths, "host_p")
     sites = paths.select(F.col("_host").alias("_h"), F.col("_path").alias("_p"), F.col("n").alias("_n"), F.col("s").alias("_s"), F.col("host_p").alias("_m"))
+    on = F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p"))
+    if total.sites <= max_sites:
+        joined = judged.join(F.broadcast(sites), on, "left")
+    else:
+        salted = sites.withColumn("_t", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = judged.withColumn("_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int")).join(salted.hint("merge"), on & (F.col("_salt") == F.col("_t")), "left").drop("_salt", "_t")
     logit = lambda x: F.log(x / (1 - x))
     p = F.least(F.greatest("quality_p", F.lit(1e-9)), F.lit(1 - 1e-9))
     # the document's own share is taken out of its path's sum
     prior = (F.greatest(F.col("_s") - F.col("quality_p"), F.lit(0.0)) + kp * F.col("_m")) / (F.col("_n") - 1 + kp)
     prior = F.least(F.greatest(prior, F.lit(1e-6)), F.lit(1 - 1e-6))
-    joined = judged.join(sites, F.col("_host").eqNullSafe(F.col("_h")) & F.col("_path").eqNullSafe(F.col("_p")), "left").withColumn("site_p", prior)
+    joined = joined.withColumn("site_p", prior)
     z = logit(p) + logit(F.col("site_p")) - logit(F.lit(mean))
     return joined.withColumn("quality", 1 / (1 + F.exp(-z))).drop("_host", "_path", "_h", "_p", "_n", "_s", "_m")
 
@@ -166,5 +176,5 @@ def sites_of_documents() -> tuple[Column, Column]:
 
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
-    judged = judge(docs.select("doc_id", "text", "source", "lang"), fit(docs, labels), *sites_of_documents())
+    judged = judge(docs.select("doc_id", "text", "source", "lang"), fit(docs, labels), *sites_of_documents(), keep=["doc_id"])
     return judged.select("doc_id", "quality_p", "site_p", "quality", (F.col("quality") >= 0.5).alias("kept"))

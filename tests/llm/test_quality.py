@@ -1,5 +1,8 @@
 """Quality: labels are met, sites shrink, odd rows are defined."""
 
+import math
+from collections import defaultdict
+
 from pyspark.sql import functions as F
 
 from strandloom.llm import quality
@@ -26,6 +29,47 @@ def test_sparse_sites_stay_near_the_global_share(spark):
     assert got[0].quality > 0.5 > got[1].quality
 
 
+def strength(groups):
+    groups = [(n, s, m) for n, s, m in groups if n > 1]
+    total = sum(n for n, _, _ in groups)
+    if not total:
+        return 100.0
+    between = sum(n * (s / n - m) ** 2 for n, s, m in groups)
+    v = sum(n * m * (1 - m) for n, _, m in groups) / total
+    tau = (between - len(groups) * v) / total
+    return min(max(v / tau - 1 if tau > 0 else 1e4, 1.0), 1e4)
+
+
+def posteriors(rows):
+    """The combined quality of (host, path, p) by plain loops."""
+    sites, hosts = defaultdict(lambda: [0, 0.0]), defaultdict(lambda: [0, 0.0])
+    for h, path, p in rows:
+        for group in (sites[h, path], hosts[h]):
+            group[0] += 1
+            group[1] += p
+    mean = sum(p for _, _, p in rows) / len(rows)
+    k = strength([(n, s, mean) for n, s in hosts.values()])
+    of_host = {h: (s + k * mean) / (n + k) for h, (n, s) in hosts.items()}
+    kp = strength([(n, s, of_host[h]) for (h, _), (n, s) in sites.items()])
+    logit = lambda x: math.log(x / (1 - x))
+    for h, path, p in rows:
+        n, s = sites[h, path]
+        site = (s - p + kp * of_host[h]) / (n - 1 + kp)
+        yield 1 / (1 + math.exp(-(logit(min(max(p, 1e-9), 1 - 1e-9)) + logit(min(max(site, 1e-6), 1 - 1e-6)) - logit(mean))))
+
+
+def test_posteriors_by_plain_loops_and_with_salted_sites(spark):
+    sf = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    docs = docs.withColumn("host", F.when(F.col("doc_id") % 3 == 0, None).otherwise(F.col("source")))
+    model = quality.fit(docs, labels)
+    got = quality.judge(docs, model, F.col("host"), F.col("lang")).orderBy("doc_id").collect()
+    want = list(posteriors([(r.host, r.lang, r.quality_p) for r in got]))
+    assert all(abs(r.quality - w) < 1e-9 for r, w in zip(got, want))
+    salted = quality.judge(docs, model, F.col("host"), F.col("lang"), keep=["doc_id"], max_sites=0).orderBy("doc_id").collect()
+    assert [(r.doc_id, round(r.quality, 12)) for r in salted] == [(r.doc_id, round(r.quality, 12)) for r in got]
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(1, None, None, "x"), (2, "", "a", None), (None, "text", "a", "b"), (2, "w " * 50_000, "a", "b")], "doc_id long, text string, source string, lang string").withColumn("quality", F.lit("old"))
     labels = spark.createDataFrame([(1, None), (None, 1)], "doc_id long, quality int")
