@@ -5,7 +5,9 @@ text) has a Jaccard similarity of at least ``num / den`` with it, whether or not
 stays itself. Lines with fewer than ``min_words`` distinct words are left alone; the registered
 query and the pipeline set it to 1, so that every line with a word takes part.
 
-Texts are dealt to chunks by key; that exchange serves all steps.
+Texts are dealt to chunks of about CHUNK_BYTES by key, however wide the shuffle; that exchange serves
+all steps. Messages between chunks and buckets hold one entry at least, so they are never more rows than
+the plain form of one row an entry.
 
 1. A chunk sends its distinct words with counts, and the hashes of its lines with their first place.
    Buckets answer with the words' total counts and with which lines are the first of their kind;
@@ -21,6 +23,8 @@ Texts are dealt to chunks by key; that exchange serves all steps.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
@@ -36,6 +40,7 @@ from strandloom.workspace import shuffle_width
 NUM, DEN, MIN_WORDS = 80, 100, 3
 PAIRS = 1 << 20
 TOKEN_BITS = 40
+CHUNK_BYTES = 8 << 20
 MIDDLE, LONG = 80, 200
 
 
@@ -97,11 +102,17 @@ class _Lines:
         return lines[order][head], s[head], number, lines, np.searchsorted(s[head][:, 0] % np.uint64(buckets), np.arange(buckets + 1))
 
     def vocabulary(self, buckets: int):
-        uniq, inv, n = np.unique(self.h, return_inverse=True, return_counts=True)
+        by_hash = np.argsort(self.h).astype(np.int32)
+        s = self.h[by_hash]
+        head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, np.int64)
+        uniq, n = s[head], np.diff(np.append(head, len(s)))
+        del s
         order = np.argsort(uniq % np.uint64(buckets), kind="stable")
-        place = np.empty(len(order), np.int64)
+        place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        return uniq[order], place[inv], n[order], np.searchsorted(uniq[order] % np.uint64(buckets), np.arange(buckets + 1))
+        number = np.empty(len(by_hash), np.int32)
+        number[by_hash] = np.repeat(place, n)
+        return uniq[order], number, n[order], np.searchsorted(uniq[order] % np.uint64(buckets), np.arange(buckets + 1))
 
     def find(self, key: np.ndarray, number: np.ndarray) -> np.ndarray:
         """Lines by key and number."""
@@ -217,13 +228,25 @@ def _unfold(size: np.ndarray, one: np.ndarray, two: np.ndarray, w0: np.ndarray,
     return one[:, None], two_all, four
 
 
+def _pair_rows(b: int, chunk: np.ndarray, key: np.ndarray, number: np.ndarray, a: np.ndarray, z: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """Pairs of places as messages to the chunk of the earlier line."""
+    swap = (key[z] < key[a]) | ((key[z] == key[a]) & (number[z] < number[a]))
+    a, z = np.where(swap, z, a), np.where(swap, a, z)
+    order = np.argsort(chunk[a], kind="stable")
+    a, z = a[order], z[order]
+    cuts = np.flatnonzero(np.concatenate(([True], chunk[a][1:] != chunk[a][:-1], [True]))) if len(a) else []
+    yield from _rows([(b, int(chunk[a[i]]), "pairs", pack(key[a[i:j]], narrow(number[a[i:j]]), narrow(chunk[z[i:j]]), key[z[i:j]], narrow(number[z[i:j]]))) for i, j in zip(cuts[:-1], cuts[1:])]).to_batches()
+
+
 def _candidates(num: int, den: int):
-    def run(table: pa.Table) -> pa.Table:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        table = pa.Table.from_batches(batches)
         b = table["bucket"][0].as_py()
         parts = [unpack(v.as_buffer()) for v in table["blob"]]
         chunk = np.repeat(table["chunk"].to_numpy(), [len(p[0]) for p in parts])
         t = np.concatenate([from_gaps(p[0]) for p in parts])
         key, number, size, pos, *maps = (np.concatenate([p[k] for p in parts]) for k in range(1, 9))
+        del table, parts
         size, pos = size.astype(np.int64), pos.astype(np.int64)
         order = np.lexsort((size, t))
         t, chunk, key, number, size, pos, *maps = (v[order] for v in (t, chunk, key, number, size, pos, *_unfold(size, *maps)))
@@ -232,7 +255,7 @@ def _candidates(num: int, den: int):
         span = np.int64(1) << 40
         many = np.maximum(np.searchsorted(group * span + size, group * span + size * den // num, "right") - np.arange(len(t)) - 1, 0)
         total = np.cumsum(many)
-        left, right, i = [np.empty(0, np.int64)], [np.empty(0, np.int64)], 0
+        left, right, held, i = [], [], 0, 0
         while i < len(t):
             j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + PAIRS, "right")))
             # a place with very many partners is taken in steps of its own
@@ -249,14 +272,13 @@ def _candidates(num: int, den: int):
                     ok = (apart <= size[a] + size[z] - 2 * need) | (size[a] <= least)
                     a, z, need = a[ok], z[ok], need[ok]
                 left.append(a), right.append(z)
+                held += len(a)
+                if held >= PAIRS:
+                    yield from _pair_rows(b, chunk, key, number, np.concatenate(left), np.concatenate(right))
+                    left, right, held = [], [], 0
             i = j
-        a, z = np.concatenate(left), np.concatenate(right)
-        swap = (key[z] < key[a]) | ((key[z] == key[a]) & (number[z] < number[a]))
-        a, z = np.where(swap, z, a), np.where(swap, a, z)
-        order = np.argsort(chunk[a], kind="stable")
-        a, z = a[order], z[order]
-        cuts = np.flatnonzero(np.concatenate(([True], chunk[a][1:] != chunk[a][:-1], [True]))) if len(a) else []
-        return _rows([(b, int(chunk[a[i]]), "pairs", pack(key[a[i:j]], narrow(number[a[i:j]]), narrow(chunk[z[i:j]]), key[z[i:j]], narrow(number[z[i:j]]))) for i, j in zip(cuts[:-1], cuts[1:])])
+        if held:
+            yield from _pair_rows(b, chunk, key, number, np.concatenate(left), np.concatenate(right))
 
     return run
 
@@ -314,7 +336,7 @@ def _remove(buckets: int, num: int, den: int, min_words: int, carry: list[str]):
     return run
 
 
-def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS, carry: tuple[str, ...] = ()) -> DataFrame:
+def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS, carry: tuple[str, ...] = (), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``(doc_id, n_lines, removed, kept)``, one row per input row: numbers of the removed lines (from 0) and the text of the others.
 
     Lines end at line feeds. A null or empty text is one empty line, which stays. Lines without
@@ -325,9 +347,11 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", num: i
     spark = docs.sparkSession
     width = shuffle_width(spark)
     buckets = max(32, width)
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    chunks = max(1, -(-size // chunk_bytes))
     texts = (
         docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), *(F.col(c).alias(f"_{c}") for c in carry))
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(width)).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
         .repartition(width, "chunk")
     )
     told = texts.groupBy("chunk").applyInArrow(_ask(buckets), ROW).groupBy("bucket").applyInArrow(_tell, ROW).repartition(width, "chunk")
