@@ -21,14 +21,18 @@ def drop_low_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_repeated_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later similar lines go; every document stays with its other lines."""
-    carry = tuple(c for c in docs.columns if c not in ("doc_id", "text"))
-    cut = line_dedup.dedup_lines(docs, min_words=1, carry=carry)
-    return cut.withColumnRenamed("kept", "text").withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)).select(docs.columns)
+    """Later similar lines go; every document stays with its other lines. ``n_chars``, if there is one, is counted anew."""
+    others = [c for c in docs.columns if c not in ("doc_id", "text")]
+    plain = docs.select("doc_id", "text", *(F.col(c).alias(f"other{i}") for i, c in enumerate(others)))
+    cut = line_dedup.dedup_lines(plain, min_words=1, carry=tuple(f"other{i}" for i in range(len(others))))
+    back = cut.select("doc_id", F.col("kept").alias("text"), *(F.col(f"other{i}").alias(c) for i, c in enumerate(others)))
+    if "n_chars" in others:
+        back = back.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
+    return back.select(docs.columns)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near duplicates the document with the smallest id stays."""
+    """Of each group of near duplicates the document with the smallest id stays; rows of one id stay or go together."""
     gone = near_dedup.near_duplicates(docs).where("doc_id <> component_id").select("doc_id").distinct()
     return docs.join(gone.hint("merge"), "doc_id", "left_anti").select(docs.columns)
 
