@@ -1,11 +1,13 @@
 """Toxicity: a linear classifier on character n-grams scaled by naive Bayes log-count ratios.
 
-Features are the presence of hashed byte n-grams (A-Z folded) in the whole text. Training takes a
-bounded sample of labelled rows: at most ``per_class`` rows of each label, those with the smallest
-hash of the key. n-grams are ranked by their log odds over its standard error, the first
-``features`` are kept, each is scaled by its log-count ratio, and a logistic regression with L2
-penalty is fitted. The intercept is moved to the share of label 1 among all training labels.
-Scoring is one scan: a table lookup per n-gram, then a sum per text.
+Features are the presence of n-grams of code points (A-Z folded) in the whole text. Training takes
+a bounded sample of labelled rows: at most ``per_class`` rows of each label, those with the smallest
+hash of the key. All its n-grams are counted in 2^SLOT_BITS hash slots, which screens them; those of
+the best slots are counted again one by one (by 64-bit hash) and ranked by their log odds over its
+standard error. The first ``features`` that ``min_df`` texts hold are kept, each is scaled by its
+log-count ratio, and a logistic regression with L2 penalty is fitted. The intercept is moved to the
+share of label 1 among all training labels. Scoring is one scan: a table lookup per n-gram, then a
+sum per text.
 """
 
 from __future__ import annotations
@@ -22,46 +24,78 @@ from strandloom.llm import _words
 from strandloom.workspace import materialize
 
 SIZES = (3, 4, 5, 6)
-BITS = 18
+SLOT_BITS = 22
 PER_CLASS = 4000
 FEATURES = 4096
+MIN_DF = 3
 
 
 @dataclass(frozen=True)
 class Model:
-    """weight[f] of each hashed n-gram (0: not a feature) and the intercept."""
+    """Ascending hashes of the n-grams, their weights, and the intercept."""
 
+    grams: np.ndarray
     weight: np.ndarray
     bias: float
     sizes: tuple[int, ...] = SIZES
 
 
-def gram_ids(buf: np.ndarray, off: np.ndarray, sizes: tuple[int, ...] = SIZES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n the start and the hashed id of every n-gram that lies within one text."""
+def slots_of(grams: np.ndarray) -> np.ndarray:
+    """Which slots hold any of the hashes."""
+    held = np.zeros(1 << SLOT_BITS, bool)
+    held[grams >> np.uint64(64 - SLOT_BITS)] = True
+    return held
+
+
+def gram_hashes(buf: np.ndarray, off: np.ndarray, sizes: tuple[int, ...] = SIZES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n the text and the 64-bit hash of every n-gram of code points that lies within one text."""
     c = _words.prefix_hash(buf)
     inv = _words.powers(len(c))[1]
-    left = np.repeat(off[1:], np.diff(off)) - np.arange(len(buf))
+    chars = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
+    text = np.searchsorted(off, chars[:-1], "right") - 1
     for n in sizes:
-        if len(buf) < n:
+        if len(chars) <= n:
             continue
-        h = (c[n:] - c[:-n]) * inv[: len(c) - n]
+        s, e = chars[:-n], chars[n:]
+        h = (c[e] - c[s]) * inv[s] + np.uint64(n)
         h ^= h >> np.uint64(29)
-        h *= np.uint64(0xBF58476D1CE4E5B9 + 2 * n)
-        ids = (h >> np.uint64(64 - BITS)).astype(np.int32)
-        at = np.flatnonzero(left[: len(ids)] >= n)
-        yield at, ids[at]
-
-
-def present(buf: np.ndarray, off: np.ndarray, wanted: np.ndarray | None, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, n-gram id), only ids with wanted[id] if given."""
-    keys = []
-    for at, ids in gram_ids(buf, off, sizes):
-        if wanted is not None:
-            hit = wanted[ids]
-            at, ids = at[hit], ids[hit]
-        keys.append((np.searchsorted(off, at, "right") - 1) << BITS | ids)
+        h *= np.uint64(0xBF58476D1CE4E5B9)
+        within = np.flatnonzero(e <= off[1:][text[: len(s)]])
+        yield text[within], h[within]
+
+
+def _distinct(text: list[np.ndarray], value: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    if not text:
+        return np.empty(0, np.int64), np.empty(0, np.int64)
+    t, v = np.concatenate(text), np.concatenate(value)
+    order = np.lexsort((v, t))
+    t, v = t[order], v[order]
+    new = np.concatenate(([True], (t[1:] != t[:-1]) | (v[1:] != v[:-1]))) if len(t) else np.empty(0, bool)
+    return t[new], v[new]
+
+
+def slots(buf: np.ndarray, off: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, slot)."""
+    keys = [t << SLOT_BITS | (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for t, h in gram_hashes(buf, off, sizes)]
     found = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
-    return found >> BITS, found & ((1 << BITS) - 1)
+    return found >> SLOT_BITS, found & ((1 << SLOT_BITS) - 1)
+
+
+def hashes_in(buf: np.ndarray, off: np.ndarray, sizes: tuple[int, ...], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, hash) of the n-grams in the slots ``held``."""
+    text, value = [], []
+    for t, h in gram_hashes(buf, off, sizes):
+        hit = held[h >> np.uint64(64 - SLOT_BITS)]
+        text.append(t[hit]), value.append(h[hit])
+    return _distinct(text, value)
+
+
+def present(buf: np.ndarray, off: np.ndarray, sizes: tuple[int, ...], grams: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, place of a feature in ``grams``)."""
+    t, h = hashes_in(buf, off, sizes, held)
+    i = np.minimum(np.searchsorted(grams, h), max(len(grams) - 1, 0))
+    hit = grams[i] == h if len(grams) else np.zeros(len(h), bool)
+    return t[hit], i[hit]
 
 
 def _sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int) -> DataFrame:
@@ -73,27 +107,45 @@ def _sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int)
 
 def _count(sizes):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        n = np.zeros((2, 1 << BITS), np.int64)
+        n = np.zeros((2, 1 << SLOT_BITS), np.int32)
         for batch in batches:
             buf, off = _words.utf8(batch.column(0))
             y = batch.column(1).to_numpy(zero_copy_only=False)
             for i, j in _words.slices(off):
-                doc, ids = present(buf[off[i] : off[j]], off[i : j + 1] - off[i], None, sizes)
+                doc, ids = slots(buf[off[i] : off[j]], off[i : j + 1] - off[i], sizes)
                 for v in (0, 1):
-                    n[v] += np.bincount(ids[y[i:j][doc] == v], minlength=1 << BITS)
+                    at, times = np.unique(ids[y[i:j][doc] == v], return_counts=True)
+                    n[v, at] += times.astype(np.int32)
         f = np.flatnonzero(n.sum(axis=0))
-        yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int32)), pa.array(n[1][f]), pa.array(n[0][f])], names=["f", "pos", "neg"])
+        yield pa.RecordBatch.from_arrays([pa.array(f.astype(np.int64)), pa.array(n[1][f].astype(np.int64)), pa.array(n[0][f].astype(np.int64))], names=["f", "pos", "neg"])
 
     return run
 
 
-def _vectors(wanted: np.ndarray, sizes):
+def _count_exact(sizes, held: np.ndarray):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            buf, off = _words.utf8(batch.column(0))
+            y = batch.column(1).to_numpy(zero_copy_only=False)
+            for i, j in _words.slices(off, 4 << 20):
+                doc, h = hashes_in(buf[off[i] : off[j]], off[i : j + 1] - off[i], sizes, held)
+                grams, inv = np.unique(h, return_inverse=True)
+                one = y[i:j][doc] == 1
+                pos, neg = (np.bincount(inv[m], minlength=len(grams)) for m in (one, ~one))
+                yield pa.RecordBatch.from_arrays([pa.array(grams.view(np.int64)), pa.array(pos), pa.array(neg)], names=["f", "pos", "neg"])
+
+    return run
+
+
+def _vectors(grams: np.ndarray, sizes):
+    held = slots_of(grams)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = _words.utf8(batch.column(0))
             out = []
             for i, j in _words.slices(off):
-                doc, ids = present(buf[off[i] : off[j]], off[i : j + 1] - off[i], wanted, sizes)
+                doc, ids = present(buf[off[i] : off[j]], off[i : j + 1] - off[i], sizes, grams, held)
                 cut = np.searchsorted(doc, np.arange(j - i + 1))
                 out += [ids[a:b].tolist() for a, b in zip(cut[:-1], cut[1:])]
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.list_(pa.int32())), batch.column(1)], names=["ids", "y"])
@@ -119,56 +171,61 @@ def logistic(rows: np.ndarray, cols: np.ndarray, values: np.ndarray, y: np.ndarr
     return w, b
 
 
-def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text", key: str = "doc_id", label: str = "toxic", per_class: int = PER_CLASS, features: int = FEATURES, sizes: tuple[int, ...] = SIZES, penalty: float = 1e-4) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text", key: str = "doc_id", label: str = "toxic", per_class: int = PER_CLASS, features: int = FEATURES, sizes: tuple[int, ...] = SIZES, min_df: int = MIN_DF, penalty: float = 1e-4) -> Model:
     """Fit on the labelled rows where ``usable`` (an expression on doc_id) is true.
 
-    Rows with a null key or label are not training rows. With one label only, or none, the model
-    has no features and an intercept at that share (half without labels).
+    Rows with a null key or label are not training rows; a null text is an empty one. A label given
+    twice, or a repeated document, counts as often as it is there. Other columns are ignored. With
+    one label only, or none (an empty table), the model has no features and an intercept at that
+    share (half without labels).
     """
     known = labels.select(F.col(key).cast("long").alias("doc_id"), F.col(label).cast("int").alias("y")).where("doc_id is not null and y in (0, 1)")
     counts = known.where(usable).agg(F.count("*").alias("n"), F.coalesce(F.sum("y"), F.lit(0)).alias("pos")).first()
     share = (counts.pos + 0.5) / (counts.n + 1)
-    weight = np.zeros(1 << BITS)
+    flat = Model(np.empty(0, np.uint64), np.empty(0), float(np.log(share / (1 - share))), sizes)
     sample = _sample(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), known, usable, per_class).select("text", "y")
     n = {r.y: r["n"] for r in sample.groupBy("y").agg(F.count("*").alias("n")).collect()}
     if not n.get(0) or not n.get(1):
-        return Model(weight, float(np.log(share / (1 - share))), sizes)
-    table = sample.mapInArrow(_count(sizes), "f int, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+        return flat
     p, q, P, Q = F.col("p") + 0.5, F.col("q") + 0.5, n[1] + 1.0, n[0] + 1.0
-    z = (F.log(p / (P - p)) - F.log(q / (Q - q))) / F.sqrt(1 / p + 1 / (P - p) + 1 / q + 1 / (Q - q))
-    best = table.withColumn("z", F.abs(z)).where("p + q >= 3").orderBy(F.desc("z"), "f").limit(features).collect()
-    if not best:
-        return Model(weight, float(np.log(share / (1 - share))), sizes)
-    f = np.array([r.f for r in best])
-    p, q = np.array([r.p for r in best]) + 1.0, np.array([r.q for r in best]) + 1.0
-    ratio = np.log((p / (n[1] + 1)) / (q / (n[0] + 1)))
-    wanted = np.zeros(1 << BITS, bool)
-    wanted[f] = True
-    place = np.zeros(1 << BITS, np.int64)
-    place[f] = np.arange(len(f))
-    got = sample.mapInArrow(_vectors(wanted, sizes), "ids array<int>, y int").collect()
+    z = F.abs(F.log(p / (P - p)) - F.log(q / (Q - q))) / F.sqrt(1 / p + 1 / (P - p) + 1 / q + 1 / (Q - q))
+
+    def best(run, wanted: int) -> list:
+        table = sample.mapInArrow(run, "f long, pos long, neg long").groupBy("f").agg(F.sum("pos").alias("p"), F.sum("neg").alias("q"))
+        return table.where(F.col("p") + F.col("q") >= min_df).orderBy(z.desc(), "f").limit(wanted).collect()  # bounded by the number of features
+
+    held = np.zeros(1 << SLOT_BITS, bool)
+    held[[r.f for r in best(_count(sizes), 2 * features)]] = True
+    found = best(_count_exact(sizes, held), features)
+    if not found:
+        return flat
+    grams = np.array([r.f for r in found], np.int64).view(np.uint64)
+    p, q = np.array([r.p for r in found]) + 1.0, np.array([r.q for r in found]) + 1.0
+    order = np.argsort(grams)
+    grams, ratio = grams[order], np.log((p / (n[1] + 1)) / (q / (n[0] + 1)))[order]
+    got = sample.mapInArrow(_vectors(grams, sizes), "ids array<int>, y int").collect()  # at most 2 * per_class rows
     y = np.array([r.y for r in got], float)
     rows = np.repeat(np.arange(len(got)), [len(r.ids) for r in got])
-    cols = place[np.array([i for r in got for i in r.ids], np.int64)]
-    w, b = logistic(rows, cols, ratio[cols], y, len(f), penalty)
-    weight[f] = w * ratio
+    cols = np.array([i for r in got for i in r.ids], np.int64)
+    w, b = logistic(rows, cols, ratio[cols], y, len(grams), penalty)
     drawn = n[1] / (n[0] + n[1])
-    return Model(weight, float(b + np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))), sizes)
+    return Model(grams, w * ratio, float(b + np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))), sizes)
 
 
 def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """``(doc_id, score)``, one row per input row; a null or empty text gets the intercept's score."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.weight.astype(np.float32), model.bias, model.sizes))
+    """``(doc_id, score)``, one row per input row, repeated ones too; a null or empty text gets the
+    intercept's score. Other columns are ignored; an empty table stays empty."""
+    shared = docs.sparkSession.sparkContext.broadcast(model)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        weight, bias, sizes = shared.value
-        wanted = weight != 0
+        m = shared.value
+        held = slots_of(m.grams)
         for batch in batches:
             buf, off = _words.utf8(batch.column(1))
             out = [np.empty(0)]
             for i, j in _words.slices(off):
-                doc, ids = present(buf[off[i] : off[j]], off[i : j + 1] - off[i], wanted, sizes)
-                out.append(np.bincount(doc, weights=weight[ids].astype(float), minlength=j - i) + bias)
+                doc, ids = present(buf[off[i] : off[j]], off[i : j + 1] - off[i], m.sizes, m.grams, held)
+                out.append(np.bincount(doc, weights=m.weight[ids], minlength=j - i) + m.bias)
             s = 1 / (1 + np.exp(-np.clip(np.concatenate(out), -500, 500)))
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(s)], names=["doc_id", "score"])
 

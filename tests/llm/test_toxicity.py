@@ -1,5 +1,8 @@
 """Toxicity: held-out accuracy, and defined scores for odd rows."""
 
+import math
+
+import numpy as np
 from pyspark.sql import functions as F
 
 from strandloom.llm import toxicity
@@ -26,3 +29,37 @@ def test_separates_planted_words(spark):
     labels = spark.createDataFrame([(i, int(i % 3 == 0)) for i, _ in pairs], "doc_id long, toxic int")
     model = toxicity.fit(df, labels, F.col("doc_id") % 2 == 0)
     assert all((r.score >= 0.5) == (r.doc_id % 3 == 0) for r in toxicity.score(df, model).collect())
+
+
+def one_hash(gram):
+    raw = np.frombuffer(gram.encode(), np.uint8)
+    return int(next(toxicity.gram_hashes(raw, np.array([0, len(raw)]), (len(gram),)))[1][0])
+
+
+def test_scores_by_plain_sets_of_characters(spark, documents):
+    """Counts, log-count ratios and scores against sets of code point n-grams of short texts."""
+    pairs = [(d, (t or "")[:300]) for d, t in documents[:60]] + [(10_000, "Ünïcödé ÜNÏ 漢字漢字 you clown"), (10_001, "é"), (10_002, "漢字")]
+    df = spark.createDataFrame(pairs, "doc_id long, text string")
+    toxic = {d: int(d % 3 == 0) for d, _ in pairs}
+    model = toxicity.fit(df, spark.createDataFrame(list(toxic.items()), "doc_id long, toxic int"), F.lit(True), features=10**6)
+    fold = lambda t: "".join(chr(ord(c) + 32) if "A" <= c <= "Z" else c for c in t)
+    sets = {d: {fold(t)[i : i + n] for n in toxicity.SIZES for i in range(len(t) - n + 1)} for d, t in pairs}
+    held = {}
+    for d, grams in sets.items():
+        for g in grams:
+            held.setdefault(g, [0, 0])[toxic[d]] += 1
+    kept = sorted(one_hash(g) for g, n in held.items() if sum(n) >= toxicity.MIN_DF)
+    assert model.grams.tolist() == kept
+    weight = dict(zip(model.grams.tolist(), model.weight.tolist()))
+    for r in toxicity.score(df, model).collect():
+        z = model.bias + sum(weight.get(one_hash(g), 0.0) for g in sets[r.doc_id])
+        assert abs(r.score - 1 / (1 + math.exp(-max(min(z, 500), -500)))) < 1e-9
+
+
+def test_repeated_rows_and_clashing_columns(spark):
+    pairs = [(1, "you clown you clown", "a", 0.1)] * 2 + [(2, "a friendly line", "b", 0.2), (3, "you clown again", "c", 0.3), (4, "friendly line again", "d", 0.4)]
+    df = spark.createDataFrame(pairs, "doc_id long, text string, y string, score double")
+    labels = spark.createDataFrame([(1, 1), (2, 0), (3, 1), (3, 1), (4, 0)], "doc_id long, toxic int")
+    got = toxicity.score(df, toxicity.fit(df, labels, F.lit(True), min_df=1)).collect()
+    assert sorted(r.doc_id for r in got) == [1, 1, 2, 3, 4]
+    assert all((r.score > 0.5) == (r.doc_id in (1, 3)) for r in got)
