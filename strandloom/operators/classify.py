@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom import config
 from strandloom.config import SCALE
+from strandloom.operators.intervals import point_join
 
 
 def intron_rows(packed: DataFrame) -> DataFrame:
@@ -24,7 +25,7 @@ def intron_table(packed: DataFrame) -> DataFrame:
     table = rows.groupBy(*keys).agg(F.count_if(~F.col("is_ref")).alias("seen"), F.bool_or("is_ref").alias("is_toga"))
     hull = packed.where("is_ref").groupBy("comp").agg(F.min("cds_start").alias("h0"), F.max("cds_end").alias("h1"))
     reads = packed.where("not is_ref").select("comp", F.col("start").alias("rs"), F.col("end").alias("re"))
-    spanned = table.where("seen > 0").join(reads, "comp").where("rs <= istart and iend <= re").groupBy("comp", "istart", "iend").agg(F.count("*").alias("spanned"))
+    spanned = point_join(reads, table.where("seen > 0").select("comp", "istart", "iend"), ["comp"], "rs", "re", "istart").where("iend <= re").groupBy("comp", "istart", "iend").agg(F.count("*").alias("spanned"))
     t = table.join(spanned, ["comp", "istart", "iend"], "left").join(hull, "comp", "left").withColumns({"spanned": F.coalesce("spanned", F.lit(0)), "h0": F.coalesce("h0", F.lit(2**63 - 1)), "h1": F.coalesce("h1", F.lit(0))})
     s, e, a, b = F.col("istart"), F.col("iend"), F.col("h0"), F.col("h1")
     position = (

@@ -8,6 +8,7 @@ from pyspark.sql.window import Window
 
 from strandloom import config
 from strandloom.functions.coords import location
+from strandloom.operators.intervals import overlap_join
 
 
 def reference_loci(refs: DataFrame, comp: str = "comp") -> DataFrame:
@@ -22,9 +23,9 @@ def overlaps(packed: DataFrame, key: str = "k", match_intron: bool = False) -> D
     ``packed``: comp, is_ref, locus (of references), exons, introns.
     """
     exons = packed.select(key, "comp", "is_ref", "locus", F.explode("exons").alias("x")).select(key, "comp", "is_ref", "locus", F.col("x.start").alias("s"), F.col("x.end").alias("e"))
-    q = exons.where("not is_ref").select(key, "comp", "s", "e")
-    r = exons.where("is_ref").select("comp", "locus", F.col("s").alias("rs"), F.col("e").alias("re")).distinct()
-    touched = q.join(r, "comp").where("s < re and rs < e").groupBy(key).agg(F.count_distinct("locus").alias("n_loci"))
+    q = exons.where("not is_ref").select(key, "comp", F.col("s").alias("start"), F.col("e").alias("end"))
+    r = exons.where("is_ref").select("comp", "locus", F.col("s").alias("start"), F.col("e").alias("end")).distinct()
+    touched = overlap_join(q, r, ["comp"]).groupBy(key).agg(F.count_distinct("r_locus").alias("n_loci"))
     sites = F.transform("introns", lambda i: i) if match_intron else F.flatten(F.transform("introns", lambda i: F.array(i["start"], i["end"])))
     points = packed.select(key, "comp", "is_ref", "locus", F.explode(F.array_distinct(sites)).alias("site"))
     shared = points.where("not is_ref").select(key, "comp", "site").join(points.where("is_ref").select("comp", "locus", "site").distinct(), ["comp", "site"]).groupBy(key).agg(F.count_distinct("locus").alias("n_spliced"))

@@ -7,16 +7,29 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 
-def islands(rows: DataFrame, by: list[str], start: str = "start", end: str = "end", out: str = "island") -> DataFrame:
+def islands(rows: DataFrame, by: list[str], start: str = "start", end: str = "end", out: str = "island", tile: int = 1 << 20) -> DataFrame:
     """Number the maximal chains of overlapping intervals (strict: touching ones do not join) within ``by``.
 
-    One sort per group; a genome's ``(chrom, strand)`` groups can be cut first at coverage gaps.
+    Intervals are sorted within tiles of ``tile`` positions only. What reaches into a tile from the
+    left, and how many islands open before it, are running values over one row a tile.
     """
-    order = Window.partitionBy(*by).orderBy(F.col(start), F.col(end).desc())
-    before = F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1))
-    opens = F.when(before.isNull() | (F.col(start) >= before), 1).otherwise(0)
-    marked = rows.withColumn("_opens", opens)
-    return marked.withColumn(out, F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)).cast("bigint")).drop("_opens")
+    keys = [*by, "_tile"]
+    tiled = rows.withColumn("_tile", F.floor(F.col(start) / tile))
+    left_of = Window.partitionBy(*by).orderBy("_tile").rowsBetween(Window.unboundedPreceding, -1)
+    tops = tiled.groupBy(*keys).agg(F.max(end).alias("_top")).select(*keys, F.max("_top").over(left_of).alias("_reach"))
+    order = Window.partitionBy(*keys).orderBy(F.col(start), F.col(end).desc())
+    before = F.greatest(F.max(end).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.col("_reach"))
+    marked = tiled.join(tops, keys, "left").withColumn("_opens", F.when(before.isNull() | (F.col(start) >= before), 1).otherwise(0))
+    opened = marked.groupBy(*keys).agg(F.sum("_opens").alias("_n")).select(*keys, F.coalesce(F.sum("_n").over(left_of), F.lit(0)).alias("_base"))
+    number = F.sum("_opens").over(order.rowsBetween(Window.unboundedPreceding, Window.currentRow)) + F.col("_base")
+    return marked.join(opened, keys, "left").withColumn(out, number.cast("bigint")).drop("_tile", "_reach", "_opens", "_base")
+
+
+def point_join(spans: DataFrame, points: DataFrame, by: list[str], start: str, end: str, at: str, width: int = 1 << 14) -> DataFrame:
+    """Pairs of a span and a point ``at`` within [start, end], as an equi-join on ``by`` and the point's bin."""
+    first = lambda c: F.floor(F.col(c) / width)
+    binned = spans.withColumn("_bin", F.explode(F.sequence(first(start), first(end))))
+    return binned.join(points.withColumn("_bin", first(at)), [*by, "_bin"]).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end))).drop("_bin")
 
 
 def overlap_join(left: DataFrame, right: DataFrame, by: list[str], width: int = 4096, closed: bool = False) -> DataFrame:

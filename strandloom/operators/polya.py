@@ -3,12 +3,15 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
-import pandas as pd
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom import config
+from strandloom.operators.intervals import point_join
 
 
 def genomic_polya(pa: Column, pr: Column, tc: Column) -> Column:
@@ -39,7 +42,7 @@ def tail_length(seq: Column, p2p: float = config.P2P, emit_a: float = config.EMI
 def location_of_end(reads: DataFrame, projections: DataFrame, key: str = "k") -> DataFrame:
     """``reads`` with location: CDS if their end lies strictly within a projection of the component, else UTR."""
     p = projections.select("comp", F.col("start").alias("ps"), F.col("end").alias("pe"))
-    inside = reads.select(key, "comp", F.col("end").alias("re")).join(p, "comp").where("ps < re and re < pe").select(key).distinct().withColumn("_in", F.lit(True))
+    inside = point_join(p.distinct(), reads.select(key, "comp", F.col("end").alias("re")), ["comp"], "ps", "pe", "re").where("ps < re and re < pe").select(key).distinct().withColumn("_in", F.lit(True))
     return reads.join(inside, key, "left").withColumn("location", F.when(F.col("_in"), "CDS").otherwise("UTR")).drop("_in")
 
 
@@ -53,33 +56,55 @@ def with_scores(reads: DataFrame, scores: DataFrame) -> DataFrame:
 def intrapriming(reads: DataFrame, key: str = "k", wiggle: int = config.WIGGLE, max_gpa: int = config.GENOMIC_POLYA_THRESHOLD, min_polya: int = config.POLYA_LENGTH_THRESHOLD, threshold: float = config.APARENT_THRESHOLD, recover: bool = False) -> DataFrame:
     """(key, comp, is_supported, is_intrapriming, forced, ratio, category) for reads with comp, start, end, name, gpa, poly_a, score, location.
 
-    Two ordered sweeps over a component (start, end descending, name): the first accepts by the read
-    itself or by an accepted end within {0, w, 2w}; the second accepts the rest by position only. The
-    sweeps depend on their order, so a component, bounded by its locus, is one group.
+    Two ordered sweeps over a component (start, end descending, name, key): the first accepts by the
+    read itself or by an accepted end within {0, w, 2w}; the second accepts the rest by position only.
+    Reads are dealt by component and sorted; a task sweeps its components one after the other and
+    holds one of them at a time.
     """
 
-    def run(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values(["start", "end", "name"], ascending=[True, False, True], kind="stable").reset_index(drop=True)
-        good = (pdf.gpa < max_gpa) | (pdf.poly_a >= min_polya) | (pdf.score > threshold) | (pdf.location == "UTR")
+    def sweep(good: list[bool], ends: list[int]) -> list[int]:
         seen: set[int] = set()
-        ends, state = pdf.end.tolist(), [0] * len(pdf)
-        for sweep in (1, 2):
+        state = [0] * len(ends)
+        for turn in (1, 2):
             for i, end in enumerate(ends):
-                if state[i]:
-                    continue
                 near = (end, end - wiggle, end + wiggle)
-                if (sweep == 1 and good[i]) or not seen.isdisjoint(near):
+                if not state[i] and ((turn == 1 and good[i]) or not seen.isdisjoint(near)):
                     seen.update(near)
-                    state[i] = sweep
-        s = pd.Series(state, dtype="int64")
-        ratio = float((s == 0).mean())
-        out = pd.DataFrame({key: pdf[key], "comp": pdf.comp, "is_supported": s == 1, "is_intrapriming": s == 0, "forced": s == 2})
-        out["ratio"] = pd.Series([ratio] * len(out), dtype="float32")
-        out["category"] = "review" if recover and ratio > config.INTRAPRIMING_RATIO_THRESHOLD else s.map({0: "intrapriming", 1: "pass", 2: "pass"})
-        return out
-
-    cols = reads.select(key, "comp", "start", "end", "name", "gpa", "poly_a", "score", "location")
-    return cols.groupBy("comp").applyInPandas(run, f"{key} long, comp long, is_supported boolean, is_intrapriming boolean, forced boolean, ratio float, category string")
+                    state[i] = turn
+        return state
+
+    def judged(part: pa.Table) -> pa.RecordBatch:
+        comp = part["comp"].to_numpy()
+        good, ends = part["good"].to_pylist(), part["end"].to_pylist()
+        cuts = np.flatnonzero(np.concatenate(([True], comp[1:] != comp[:-1], [True]))).tolist()
+        state = np.concatenate([sweep(good[a:b], ends[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
+        ratio = np.repeat([(state[a:b] == 0).mean() for a, b in zip(cuts[:-1], cuts[1:])], np.diff(cuts))
+        category = np.where(recover & (ratio > config.INTRAPRIMING_RATIO_THRESHOLD), "review", np.where(state == 0, "intrapriming", "pass"))
+        columns = [part[key].combine_chunks(), part["comp"].combine_chunks(), pa.array(state == 1), pa.array(state == 0), pa.array(state == 2), pa.array(ratio.astype(np.float32)), pa.array(category.tolist())]
+        return pa.RecordBatch.from_arrays(columns, names=[key, "comp", "is_supported", "is_intrapriming", "forced", "ratio", "category"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            # all but the last component of what is held are complete
+            last = batch.column("comp")[-1].as_py()
+            cut = int(np.searchsorted(batch.column("comp").to_numpy(), last))
+            if held and cut == 0 and held[-1].column("comp")[-1].as_py() == last:
+                held.append(batch)
+                continue
+            done = pa.Table.from_batches([*held, batch.slice(0, cut)])
+            if done.num_rows:
+                yield judged(done)
+            held = [batch.slice(cut)]
+        if held:
+            yield judged(pa.Table.from_batches(held))
+
+    good = (F.col("gpa") < max_gpa) | (F.col("poly_a") >= min_polya) | (F.col("score") > threshold) | (F.col("location") == "UTR")
+    cols = reads.select(F.col(key).cast("long").alias(key), F.col("comp").cast("long").alias("comp"), "start", F.col("end").cast("long").alias("end"), "name", F.coalesce(good, F.lit(False)).alias("good"))
+    ordered = cols.repartition("comp").sortWithinPartitions("comp", "start", F.desc("end"), "name", key)
+    return ordered.select(key, "comp", "end", "good").mapInArrow(run, f"{key} long, comp long, is_supported boolean, is_intrapriming boolean, forced boolean, ratio float, category string")
 
 
 def filter_tails(reads: DataFrame, at_least: int = config.POLYA_LENGTH_THRESHOLD, above: bool = True) -> DataFrame:

@@ -8,12 +8,13 @@ from pyspark.sql.window import Window
 
 from strandloom import config
 from strandloom.functions.coords import location
+from strandloom.operators.intervals import point_join
 
 
 def retained(reads: DataFrame, introns: DataFrame, key: str = "k") -> DataFrame:
     """(read, intron) pairs where an exon strictly contains the intron; both sides have comp."""
     exons = reads.select(key, "comp", F.explode("exons").alias("x")).select(key, "comp", F.col("x.start").alias("es"), F.col("x.end").alias("ee"))
-    return exons.join(introns, "comp").where("es < istart and iend < ee").drop("es", "ee")
+    return point_join(exons, introns, ["comp"], "es", "ee", "istart").where("es < istart and iend < ee").drop("es", "ee")
 
 
 def rt_hits(reads: DataFrame, introns: DataFrame, key: str = "k") -> DataFrame:

@@ -11,6 +11,7 @@ from strandloom.operators import classify, components, fusion, nmd, polya, reten
 from strandloom.operators.components import Mode, Overlap
 from strandloom.plans import fixtures
 from strandloom.plans.fixtures import EXONS_SQL, transcripts
+from strandloom.workspace import materialize
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -23,8 +24,8 @@ def clusters_sql(source: str) -> str:
 isl1 AS (SELECT k, chrom, strand, s, e, CASE WHEN s < max(e) OVER (PARTITION BY chrom, strand ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM {source}),
 isl AS (SELECT k, concat(chrom, strand, sum(o) OVER (PARTITION BY chrom, strand ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS g FROM isl1),
 reach AS (SELECT DISTINCT k, k AS r FROM isl UNION SELECT b.k, reach.r FROM reach JOIN isl a ON a.k = reach.k JOIN isl b ON b.g = a.g),
-comp AS (SELECT k, min(r) AS comp FROM reach GROUP BY k),
-packed AS (SELECT tx.*, comp, count(*) FILTER (WHERE is_ref) OVER (PARTITION BY comp) AS n_refs, count(*) FILTER (WHERE NOT is_ref) OVER (PARTITION BY comp) AS n_queries FROM tx JOIN comp USING (k))"""
+comp AS MATERIALIZED (SELECT k, min(r) AS comp FROM reach GROUP BY k),
+packed AS MATERIALIZED (SELECT tx.*, comp, count(*) FILTER (WHERE is_ref) OVER (PARTITION BY comp) AS n_refs, count(*) FILTER (WHERE NOT is_ref) OVER (PARTITION BY comp) AS n_queries FROM tx JOIN comp USING (k))"""
 
 
 EXON_PACK = BASE + "," + clusters_sql("exons")
@@ -67,6 +68,11 @@ def _packed(spark, sf: str, mode: Mode = Mode.DEFAULT, overlap: Overlap = Overla
     return components.pack(transcripts(spark, sf), overlap, mode)
 
 
+def _packed_once(spark, sf: str, mode: Mode = Mode.DEFAULT, overlap: Overlap = Overlap.EXON) -> DataFrame:
+    """The packed transcripts, written once for all uses in a query."""
+    return materialize(_packed(spark, sf, mode, overlap), "packed")
+
+
 # --- coordinates ------------------------------------------------------------------------------------
 
 LIST = "string_agg(concat(s, '-', e), ',' ORDER BY s, e)"
@@ -187,66 +193,77 @@ def shared_splice_sites(spark, sf):
 # --- introns ----------------------------------------------------------------------------------------
 
 
-def scored_introns(spark, sf) -> DataFrame:
+def scored_introns(packed: DataFrame) -> DataFrame:
     """The intron table with the fixture's scores and support."""
     s, e = F.col("istart"), F.col("iend")
     donor, acceptor = classify.splice_positions(F.col("strand"), s, e)
     ai = lambda p: (p * 31 % 100).cast("double") / 1000
-    t = classify.intron_table(_packed(spark, sf, Mode.INTRON)).withColumns({"ai_donor": ai(donor), "ai_acceptor": ai(acceptor), "me_donor": (s * 17 % 40).cast("double") / 10, "me_acceptor": (e * 17 % 40).cast("double") / 10, "is_rt": s % 7 == 0})
+    t = classify.intron_table(packed).withColumns({"ai_donor": ai(donor), "ai_acceptor": ai(acceptor), "me_donor": (s * 17 % 40).cast("double") / 10, "me_acceptor": (e * 17 % 40).cast("double") / 10, "is_rt": s % 7 == 0})
     known = lambda c: F.when(s % 3 == 0, F.col(c)).otherwise(0.0)
     return t.withColumns({"ai_donor": known("ai_donor"), "ai_acceptor": known("ai_acceptor")}).withColumn("support", classify.support())
 
 
 @query("intron_seen", INTRON_TABLE + " SELECT comp, s AS istart, e AS iend, seen, spanned FROM it")
 def intron_seen(spark, sf):
-    return classify.intron_table(_packed(spark, sf, Mode.INTRON)).select("comp", "istart", "iend", "seen", "spanned")
+    return classify.intron_table(_packed_once(spark, sf, Mode.INTRON)).select("comp", "istart", "iend", "seen", "spanned")
 
 
 @query("intron_position", INTRON_TABLE + " SELECT comp, s AS istart, e AS iend, position, is_toga, in_frame FROM it")
 def intron_position(spark, sf):
-    return classify.intron_table(_packed(spark, sf, Mode.INTRON)).select("comp", "istart", "iend", "position", "is_toga", "in_frame")
+    return classify.intron_table(_packed_once(spark, sf, Mode.INTRON)).select("comp", "istart", "iend", "position", "is_toga", "in_frame")
 
 
 @query("toga_union", INTRON_TABLE + " SELECT position, is_toga, seen > 0 AS observed, count(*) AS n FROM it GROUP BY ALL")
 def toga_union(spark, sf):
-    return classify.intron_table(_packed(spark, sf, Mode.INTRON)).groupBy("position", "is_toga", (F.col("seen") > 0).alias("observed")).agg(F.count("*").alias("n"))
+    return classify.intron_table(_packed_once(spark, sf, Mode.INTRON)).groupBy("position", "is_toga", (F.col("seen") > 0).alias("observed")).agg(F.count("*").alias("n"))
 
 
 @query("intron_support", INTRON_TABLE + " SELECT comp, s AS istart, e AS iend, support FROM su")
 def intron_support(spark, sf):
-    return scored_introns(spark, sf).select("comp", "istart", "iend", "support")
+    return scored_introns(_packed_once(spark, sf, Mode.INTRON)).select("comp", "istart", "iend", "support")
 
 
 RETAINED = INTRON_TABLE + """,
-rd AS (SELECT k, comp, chrom, strand, count(*) OVER (PARTITION BY comp) AS query_size FROM pk WHERE NOT is_ref AND comp IN (SELECT comp FROM su)),
-hit AS (SELECT rd.k, su.s, su.e, su.support, position, in_frame FROM rd JOIN exons x ON x.k = rd.k JOIN su ON su.comp = rd.comp AND x.s < su.s AND su.e < x.e),
-own AS (SELECT DISTINCT rd.k FROM rd JOIN introns i ON i.k = rd.k JOIN su ON su.comp = rd.comp AND su.s = i.s AND su.e = i.e AND su.support = 'RT'),
+sw AS MATERIALIZED (SELECT *, concat(chrom, ':', CASE WHEN strand = '-' THEN 100000000000 - e ELSE s END, '-', CASE WHEN strand = '-' THEN 100000000000 - s ELSE e END) AS w, count(*) OVER (PARTITION BY comp) AS ref_size, CASE WHEN s % 3 = 0 THEN ai_donor ELSE 0 END AS don, CASE WHEN s % 3 = 0 THEN ai_acceptor ELSE 0 END AS acc FROM su),
+rd AS MATERIALIZED (SELECT k, pk.comp, chrom, strand, ref_size, count(*) OVER (PARTITION BY pk.comp) AS query_size FROM pk JOIN (SELECT DISTINCT comp, ref_size FROM sw) USING (comp) WHERE NOT is_ref),
+hit AS MATERIALIZED (SELECT rd.k, sw.* FROM rd JOIN exons x ON x.k = rd.k JOIN sw ON sw.comp = rd.comp AND x.s < sw.s AND sw.e < x.e),
+own AS MATERIALIZED (SELECT rd.k, string_agg(w, ',' ORDER BY sw.s, sw.e) AS has_map FROM rd JOIN introns i ON i.k = rd.k JOIN sw ON sw.comp = rd.comp AND sw.s = i.s AND sw.e = i.e AND sw.support = 'RT' GROUP BY rd.k),
 vv AS (SELECT k, count(*) FILTER (WHERE support <> 'RT') AS n, max(CASE WHEN support = 'RT' THEN 0 WHEN position = 'CDS' AND NOT in_frame THEN CASE support WHEN 'UNCLEAR' THEN 1 ELSE 2 END WHEN position = 'Unknown' THEN CASE WHEN in_frame THEN 1 ELSE 2 END ELSE 0 END) AS worst,
-  coalesce(bool_or(support = 'RT'), false) AS rt FROM hit GROUP BY k),
-ve AS (SELECT rd.*, coalesce(n, 0) AS number_of_retentions, coalesce(rt, false) AS retains_rt_intron, k IN (SELECT k FROM own) AS has_rt_intron, CASE worst WHEN 2 THEN 'DISCARD' WHEN 1 THEN 'UNCLEAR' ELSE 'KEEP' END AS exonic_status FROM rd LEFT JOIN vv USING (k)),
-vr AS (SELECT *, CAST(avg(CASE WHEN number_of_retentions > 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY comp) AS FLOAT) AS ratio FROM ve)"""
+  coalesce(bool_or(support = 'RT'), false) AS rt, string_agg(w, ',' ORDER BY s, e) FILTER (WHERE support = 'RT') AS rt_map, string_agg(w, ',' ORDER BY s, e) FILTER (WHERE support <> 'RT') AS coords, string_agg(support, ',' ORDER BY s, e) FILTER (WHERE support <> 'RT') AS types,
+  string_agg(position, ',' ORDER BY s, e) FILTER (WHERE support <> 'RT') AS places, string_agg(in_frame::VARCHAR, ',' ORDER BY s, e) FILTER (WHERE support <> 'RT') AS frames, string_agg(CAST(round(don * 1000) AS BIGINT)::VARCHAR, ',' ORDER BY s, e) FILTER (WHERE support <> 'RT') AS donors,
+  string_agg(CAST(round(acc * 1000) AS BIGINT)::VARCHAR, ',' ORDER BY s, e) FILTER (WHERE support <> 'RT') AS acceptors FROM hit GROUP BY k),
+ve AS (SELECT rd.*, coalesce(n, 0) AS number_of_retentions, coalesce(rt, false) AS retains_rt_intron, k IN (SELECT k FROM own) AS has_rt_intron, CASE worst WHEN 2 THEN 'DISCARD' WHEN 1 THEN 'UNCLEAR' ELSE 'KEEP' END AS exonic_status, rt_map, coords, types, places, frames, donors, acceptors FROM rd LEFT JOIN vv USING (k)),
+vr AS MATERIALIZED (SELECT *, CAST(avg(CASE WHEN number_of_retentions > 0 THEN 1.0 ELSE 0.0 END) OVER (PARTITION BY comp) AS FLOAT) AS ratio FROM ve)"""
 
 
 def _retention(spark, sf, recover: bool = False):
-    reads = _packed(spark, sf, Mode.INTRON).where("not is_ref")
-    return retention.verdicts(reads, scored_introns(spark, sf), recover=recover)
+    packed = _packed_once(spark, sf, Mode.INTRON)
+    return retention.verdicts(packed.where("not is_ref"), scored_introns(packed), recover=recover)
 
 
 @query("retention_hits", RETAINED + " SELECT k, s AS istart, e AS iend, support FROM hit")
 def retention_hits(spark, sf):
-    reads = _packed(spark, sf, Mode.INTRON).where("not is_ref")
-    return retention.retained(reads, scored_introns(spark, sf)).select("k", "istart", "iend", "support")
+    packed = _packed_once(spark, sf, Mode.INTRON)
+    return retention.retained(packed.where("not is_ref"), scored_introns(packed)).select("k", "istart", "iend", "support")
 
 
 @query("rt_reads", RETAINED + " SELECT k FROM own")
 def rt_reads(spark, sf):
-    reads = _packed(spark, sf, Mode.INTRON).where("not is_ref")
-    return retention.rt_hits(reads, scored_introns(spark, sf)).select("k").distinct()
+    packed = _packed_once(spark, sf, Mode.INTRON)
+    return retention.rt_hits(packed.where("not is_ref"), scored_introns(packed)).select("k").distinct()
 
 
-@query("retention_verdict", RETAINED + " SELECT k, comp, number_of_retentions, retains_rt_intron, has_rt_intron, exonic_status, CASE WHEN has_rt_intron THEN 'DISCARD' ELSE 'KEEP' END AS intronic_status, query_size, CASE WHEN exonic_status = 'DISCARD' OR has_rt_intron THEN 'discard' ELSE 'keep' END AS category FROM vr")
+@query("retention_verdict", RETAINED + """ SELECT k, comp, number_of_retentions, number_of_retentions > 0 AS intron_retention, retains_rt_intron, has_rt_intron, exonic_status, CASE WHEN has_rt_intron THEN 'DISCARD' ELSE 'KEEP' END AS intronic_status, ref_size, query_size, CAST(ratio AS DOUBLE) AS ratio,
+ CASE WHEN exonic_status = 'DISCARD' OR has_rt_intron THEN 'discard' ELSE 'keep' END AS category, coalesce(coords, '') AS coords_of_retention, coalesce(types, '') AS retention_support_type, coalesce(places, '') AS location_of_retention, coalesce(frames, '') AS is_intron_retained_in_frame,
+ coalesce(donors, '') AS retention_donor_score, coalesce(acceptors, '') AS retention_acceptor_score, coalesce(rt_map, '') AS retains_rt_intron_map, coalesce(has_map, '') AS has_rt_intron_map FROM vr LEFT JOIN own USING (k)""")
 def retention_verdict(spark, sf):
-    return _retention(spark, sf).select("k", "comp", "number_of_retentions", "retains_rt_intron", "has_rt_intron", "exonic_status", "intronic_status", "query_size", "category")
+    """All columns; arrays as text, scores in thousandths."""
+    v = _retention(spark, sf)
+    text = lambda c: F.array_join(F.col(c).cast("array<string>"), ",").alias(c)
+    score = lambda c: F.array_join(F.transform(c, lambda x: F.round(x * 1000).cast("long").cast("string")), ",").alias(c)
+    arrays = ("coords_of_retention", "retention_support_type", "location_of_retention", "is_intron_retained_in_frame", "retains_rt_intron_map", "has_rt_intron_map")
+    plain = [F.col("ratio").cast("double").alias("ratio") if c == "ratio" else c for c in v.columns if c not in arrays and not c.endswith("_score")]
+    return v.select(*plain, *map(text, arrays), score("retention_donor_score"), score("retention_acceptor_score"))
 
 
 @query("retention_review", RETAINED + " SELECT k, CAST(ratio AS DOUBLE) AS ratio, CASE WHEN ratio > 0.001 THEN 'review' WHEN exonic_status = 'DISCARD' OR has_rt_intron THEN 'discard' ELSE 'keep' END AS category FROM vr")
@@ -271,7 +288,7 @@ def nmd_class(spark, sf):
 
 FUSION = BASE + """,
 fx AS (SELECT CASE WHEN is_ref THEN k * 2 + (n >= 4)::INT ELSE k * 2 END AS k, chrom, strand, is_ref, s, e, CASE WHEN is_ref THEN concat('G', k - k % 40, CASE WHEN n >= 4 THEN 'B' ELSE 'A' END) END AS gene FROM exons),
-fi AS (SELECT k, is_ref, gene, e + 1 AS s, ns - 1 AS e FROM (SELECT *, lead(s) OVER (PARTITION BY k ORDER BY s, e) AS ns FROM fx) WHERE e + 1 < ns - 1),""" + clusters_sql("fx").replace("packed AS (SELECT tx.*", "unused AS (SELECT tx.*") + """,
+fi AS (SELECT k, is_ref, gene, e + 1 AS s, ns - 1 AS e FROM (SELECT *, lead(s) OVER (PARTITION BY k ORDER BY s, e) AS ns FROM fx) WHERE e + 1 < ns - 1),""" + clusters_sql("fx").replace("packed AS MATERIALIZED (SELECT tx.*", "unused AS (SELECT tx.*") + """,
 refx AS (SELECT * FROM fx WHERE is_ref), r1 AS (SELECT k, chrom, strand, s, e, CASE WHEN s < max(e) OVER (PARTITION BY chrom, strand ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) THEN 0 ELSE 1 END AS o FROM refx),
 r2 AS (SELECT k, concat(chrom, strand, sum(o) OVER (PARTITION BY chrom, strand ORDER BY s, e DESC ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW)) AS g FROM r1),
 r3 AS (SELECT DISTINCT k, k AS r FROM r2 UNION SELECT b.k, r3.r FROM r3 JOIN r2 a ON a.k = r3.k JOIN r2 b ON b.g = a.g),
@@ -302,7 +319,7 @@ def fusion_packed(spark, sf) -> DataFrame:
     tx = fusion_fixture(spark, sf)
     refs = tx.where("is_ref")
     loci = fusion.reference_loci(refs.select("k", "gene").join(components.components(refs), "k")).select("k", "locus")
-    return components.pack(tx, Overlap.EXON, Mode.DEFAULT).join(loci, "k", "left")
+    return materialize(components.pack(tx, Overlap.EXON, Mode.DEFAULT).join(loci, "k", "left"), "packed")
 
 
 @query("ref_loci", FUSION + " SELECT k, locus FROM lo")
@@ -350,17 +367,17 @@ dr AS (SELECT k, bool_or(sp < 0.5) AS released, CAST(coalesce(arg_min(sp, o) FIL
 
 @query("truncation_verdict", TRUNCATION + " SELECT k, comp, is_truncated, NOT complete AS is_novel_start, n_refs AS ref_size, n_queries AS query_size, CAST(ratio AS DOUBLE) AS ratio, CASE WHEN is_truncated THEN 'truncated' ELSE 'pass' END AS category FROM qr")
 def truncation_verdict(spark, sf):
-    return truncation.verdicts(_packed(spark, sf)).select("k", "comp", "is_truncated", "is_novel_start", "ref_size", "query_size", F.col("ratio").cast("double").alias("ratio"), "category")
+    return truncation.verdicts(_packed_once(spark, sf)).select("k", "comp", "is_truncated", "is_novel_start", "ref_size", "query_size", F.col("ratio").cast("double").alias("ratio"), "category")
 
 
 @query("truncation_recovery", RECOVERY + " SELECT k, comp, released IS NOT NULL AS is_dirty, coalesce(NOT released, false) AS is_supported, coalesce(support, 0) AS support_ratio, CASE WHEN is_truncated AND NOT coalesce(released, false) THEN 'truncated' ELSE 'pass' END AS category FROM qr LEFT JOIN dr USING (k)")
 def truncation_recovery(spark, sf):
-    return truncation.verdicts(_packed(spark, sf), recover=True).select("k", "comp", "is_dirty", "is_supported", F.col("support_ratio").cast("double").alias("support_ratio"), "category")
+    return truncation.verdicts(_packed_once(spark, sf), recover=True).select("k", "comp", "is_dirty", "is_supported", F.col("support_ratio").cast("double").alias("support_ratio"), "category")
 
 
 @query("exon_support", EXON_PACK + ", rx AS (SELECT comp, n_refs, s, e FROM packed JOIN (SELECT DISTINCT k, s, e FROM exons) USING (k) WHERE is_ref) SELECT comp, s, e, CAST(CAST(CAST(count(*) AS DOUBLE) / min(n_refs) AS FLOAT) AS DOUBLE) AS support FROM rx GROUP BY comp, s, e")
 def exon_support(spark, sf):
-    return truncation.owner_support(_packed(spark, sf)).select("comp", F.col("o.start").alias("s"), F.col("o.end").alias("e"), F.col("support").cast("double").alias("support"))
+    return truncation.owner_support(_packed_once(spark, sf)).select("comp", F.col("o.start").alias("s"), F.col("o.end").alias("e"), F.col("support").cast("double").alias("support"))
 
 
 # --- poly-A -----------------------------------------------------------------------------------------
@@ -379,7 +396,7 @@ def _polya_reads(reads: DataFrame) -> DataFrame:
 
 @query("polya_location", REF_PACK + " SELECT q.k, CASE WHEN bool_or(r.tstart < q.tend AND q.tend < r.tend) THEN 'CDS' ELSE 'UTR' END AS location FROM pk q JOIN pk r ON r.comp = q.comp AND r.is_ref WHERE NOT q.is_ref GROUP BY q.k")
 def polya_location(spark, sf):
-    p = _packed(spark, sf, Mode.POLYA)
+    p = _packed_once(spark, sf, Mode.POLYA)
     return polya.location_of_end(p.where("not is_ref"), p.where("is_ref")).select("k", "location")
 
 
@@ -398,24 +415,42 @@ def score_track(spark, sf) -> DataFrame:
     return tx.select("chrom", F.when(F.col("strand") == "-", F.col("end") + 1).otherwise(F.col("end")).alias("end"), ((F.col("k") % 100).cast("double") / 1000).alias("score"))
 
 
-@query("intrapriming")
+INTRAPRIMING = REF_PACK + f""",
+lo AS (SELECT q.k, CASE WHEN bool_or(r.tstart < q.tend AND q.tend < r.tend) THEN 'CDS' ELSE 'UTR' END AS location FROM pk q JOIN pk r ON r.comp = q.comp AND r.is_ref WHERE NOT q.is_ref GROUP BY q.k),
+sc AS (SELECT chrom, CASE WHEN k % 2 = 1 THEN tend + 1 ELSE tend END AS pos, max(CAST(k % 100 AS DOUBLE) / 1000) AS score FROM tx WHERE k % 3 = 0 GROUP BY ALL),
+tg AS (SELECT k, {TAGS} FROM tx WHERE NOT is_ref),
+ip AS MATERIALIZED (SELECT pk.k, comp, tend AS e, (CASE WHEN pa = pr THEN 0 ELSE pr - (tc + pa) END) < 5 OR pr >= 50 OR coalesce(score, 0) > 0.01 OR location = 'UTR' AS good, row_number() OVER (PARTITION BY comp ORDER BY tstart, tend DESC, concat('R', pk.k, '_'), pk.k) AS rn
+ FROM pk JOIN lo USING (k) JOIN tg USING (k) LEFT JOIN sc ON sc.chrom = pk.chrom AND pos = CASE WHEN strand = '-' THEN tend + 1 ELSE tend END WHERE NOT is_ref),
+one AS (SELECT DISTINCT comp, CAST(0 AS BIGINT) AS r, CAST([] AS BIGINT[]) AS seen, CAST([] AS BIGINT[]) AS took FROM ip UNION ALL
+ SELECT one.comp, rn, CASE WHEN good OR list_has_any(seen, [e, e - 2, e + 2]) THEN list_concat(seen, [e, e - 2, e + 2]) ELSE seen END, CASE WHEN good OR list_has_any(seen, [e, e - 2, e + 2]) THEN list_append(took, k) ELSE took END FROM one JOIN ip ON ip.comp = one.comp AND rn = r + 1),
+o1 AS MATERIALIZED (SELECT comp, max_by(seen, r) AS seen, max_by(took, r) AS took FROM one GROUP BY comp),
+rest AS MATERIALIZED (SELECT ip.comp, k, e, row_number() OVER (PARTITION BY ip.comp ORDER BY rn) AS rn FROM ip JOIN o1 USING (comp) WHERE NOT list_contains(took, k)),
+two AS (SELECT comp, CAST(0 AS BIGINT) AS r, seen, CAST([] AS BIGINT[]) AS took FROM o1 UNION ALL
+ SELECT two.comp, rn, CASE WHEN list_has_any(seen, [e, e - 2, e + 2]) THEN list_concat(seen, [e, e - 2, e + 2]) ELSE seen END, CASE WHEN list_has_any(seen, [e, e - 2, e + 2]) THEN list_append(took, k) ELSE took END FROM two JOIN rest ON rest.comp = two.comp AND rn = r + 1),
+o2 AS (SELECT comp, max_by(took, r) AS took2 FROM two GROUP BY comp),
+iq AS (SELECT k, ip.comp, list_contains(took, k) AS a, list_contains(took2, k) AS b FROM ip JOIN o1 USING (comp) JOIN o2 USING (comp)),
+ir2 AS (SELECT *, CAST(avg(CASE WHEN a OR b THEN 0.0 ELSE 1.0 END) OVER (PARTITION BY comp) AS FLOAT) AS ratio FROM iq)"""
+
+
+@query("intrapriming", INTRAPRIMING + " SELECT k, comp, a AS is_supported, NOT (a OR b) AS is_intrapriming, b AS forced, CAST(ratio AS DOUBLE) AS ratio, CASE WHEN ratio > 0.5 THEN 'review' WHEN a OR b THEN 'pass' ELSE 'intrapriming' END AS category FROM ir2")
 def intrapriming(spark, sf):
-    p = _packed(spark, sf, Mode.POLYA)
+    p = _packed_once(spark, sf, Mode.POLYA)
     reads = polya.with_scores(_polya_reads(polya.location_of_end(p.where("not is_ref"), p.where("is_ref"))), score_track(spark, sf))
     return polya.intrapriming(reads, recover=True).withColumn("ratio", F.col("ratio").cast("double"))
 
 
-def tails(spark, sf, text: str = "substring(text, 1, 120)") -> DataFrame:
+def tails(spark, sf) -> DataFrame:
+    """Whole texts as bases, after a run of A."""
     docs = spark.read.parquet(f"{sf}/documents.parquet")
-    body = F.translate(F.upper(F.regexp_replace(F.expr(text), "[^A-Za-z]", "")), "BDEFHIJKLMNOPQRSUVWXYZ", "CAAGATCAGTTAACCGGATCTA")
+    body = F.translate(F.upper(F.regexp_replace("text", "[^A-Za-z]", "")), "BDEFHIJKLMNOPQRSUVWXYZ", "CAAGATCAGTTAACCGGATCTA")
     return docs.select("doc_id", F.concat(F.repeat(F.lit("A"), (F.col("doc_id") % 60).cast("int")), body).alias("seq"))
 
 
-TAIL_SQL = """WITH RECURSIVE b AS (SELECT doc_id, concat(repeat('A', CAST(doc_id % 60 AS INT)), translate(upper(regexp_replace(substring(text, 1, 120), '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMNOPQRSUVWXYZ', 'CAAGATCAGTTAACCGGATCTA')) AS seq FROM documents)"""
+TAIL_SQL = """WITH RECURSIVE b AS (SELECT doc_id, concat(repeat('A', CAST(doc_id % 60 AS INT)), translate(upper(regexp_replace(text, '[^A-Za-z]', '', 'g')), 'BDEFHIJKLMNOPQRSUVWXYZ', 'CAAGATCAGTTAACCGGATCTA')) AS seq FROM documents)"""
 
 
-@query("polya_tail", TAIL_SQL + """, p AS (SELECT doc_id, length(seq) AS n, unnest(range(1, length(seq) + 1)) AS k, seq FROM b),
- e AS (SELECT doc_id, n, k, sum(CASE WHEN substring(seq, k, 1) = 'A' THEN ln(0.99) ELSE ln((1 - 0.99) / 3) END) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM p),
+@query("polya_tail", TAIL_SQL + """, p AS (SELECT doc_id, length(seq) AS n, unnest(range(1, length(seq) + 1)) AS k, unnest(string_split(seq, '')) AS base FROM b WHERE seq <> ''),
+ e AS (SELECT doc_id, n, k, sum(CASE WHEN base = 'A' THEN ln(0.99) ELSE ln((1 - 0.99) / 3) END) OVER (PARTITION BY doc_id ORDER BY k) AS e FROM p),
  s AS (SELECT doc_id, k, ln(0.5) + (k - 1) * ln(0.9) + e + CASE WHEN k < n THEN ln(1 - 0.9) + (n - k) * ln(0.25) ELSE 0 END AS v FROM e UNION ALL SELECT doc_id, 0, ln(0.5) + length(seq) * ln(0.25) FROM b)
  SELECT doc_id, CAST(arg_max(k, v) AS BIGINT) AS tail FROM s GROUP BY doc_id""")
 def polya_tail(spark, sf):
@@ -445,28 +480,9 @@ def maxent_consensus(spark, sf):
     return tails(spark, sf).where("length(seq) >= 90").select("doc_id", dna.consensus_score(F.substring("seq", 60, 23)).alias("score"))
 
 
-# Whole texts: without SQL, which would be recursive or quadratic here; tested against plain loops.
-
-
-@query("polya_tail_whole")
-def polya_tail_whole(spark, sf):
-    return tails(spark, sf, "text").select("doc_id", polya.tail_length(F.col("seq")).cast("long").alias("tail"))
-
-
-@query("revcomp_whole")
-def revcomp_whole(spark, sf):
-    return tails(spark, sf, "text").select("doc_id", dna.reverse_complement(F.col("seq")).alias("rc"))
-
-
-@query("kmer_rt_scan_whole")
-def kmer_rt_scan_whole(spark, sf):
-    t = tails(spark, sf, "text").where("length(seq) >= 101")
-    return t.select("doc_id", dna.rt_repeat(F.substring("seq", 70, 12), F.substring("seq", 90, 12)).alias("is_rt"))
-
-
-@query("maxent_consensus_whole")
-def maxent_consensus_whole(spark, sf):
-    return tails(spark, sf, "text").where("length(seq) >= 90").select("doc_id", dna.consensus_score(F.substring("seq", 60, 23)).alias("score"))
+# under their second names too
+for _name in ("polya_tail", "revcomp", "kmer_rt_scan", "maxent_consensus"):
+    QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
 
 
 # --- tables, sets, chunks ---------------------------------------------------------------------------
@@ -544,7 +560,7 @@ def dedup_lines(spark, sf):
 
 @query("splice_scores", INTRON_TABLE + " SELECT comp, s AS istart, e AS iend, CASE WHEN s % 3 = 0 THEN ai_donor ELSE 0 END AS ai_donor, CASE WHEN s % 3 = 0 THEN ai_acceptor ELSE 0 END AS ai_acceptor FROM ai")
 def splice_scores(spark, sf):
-    return scored_introns(spark, sf).select("comp", "istart", "iend", "ai_donor", "ai_acceptor")
+    return scored_introns(_packed_once(spark, sf, Mode.INTRON)).select("comp", "istart", "iend", "ai_donor", "ai_acceptor")
 
 
 @query("global_counters", RETAINED + " SELECT count(DISTINCT comp) AS components, count(*) AS reads, count(*) FILTER (WHERE number_of_retentions > 0) AS retentions, count(DISTINCT comp) FILTER (WHERE ratio > 0.001) AS reviews FROM vr")
@@ -588,7 +604,7 @@ def component_genes(spark, sf):
 def nag_shift(spark, sf):
     pick = lambda c: F.substring(F.lit("CAGTAGAAGCCC"), (1 + 3 * (F.col(c) % 4)).cast("int"), F.lit(3))
     contexts = F.struct(F.when(F.col("istart") % 2 == 0, "AG").otherwise("AC").alias("acceptor"), pick("istart").alias("before"), pick("iend").alias("after"))
-    return classify.nag_shift(classify.intron_table(_packed(spark, sf, Mode.INTRON)), contexts).select("comp", "istart", "iend")
+    return classify.nag_shift(classify.intron_table(_packed_once(spark, sf, Mode.INTRON)), contexts).select("comp", "istart", "iend")
 
 
 @query("end_windows", BASE + 'SELECT k, chrom, CASE WHEN strand = \'-\' THEN ps ELSE pe END - 150 AS "start", CASE WHEN strand = \'-\' THEN ps ELSE pe END + 150 AS "end" FROM tx JOIN (SELECT k, ps, pe FROM pc) USING (k) WHERE ps >= 200')
@@ -646,4 +662,4 @@ def bed12_line(spark, sf):
 
 @query("reference_frames", INTRON_TABLE + " SELECT in_frame, count(*) AS n, CAST(sum(e - s) AS BIGINT) AS bases FROM it GROUP BY in_frame")
 def reference_frames(spark, sf):
-    return classify.intron_table(_packed(spark, sf, Mode.INTRON)).groupBy("in_frame").agg(F.count("*").alias("n"), F.sum(F.col("iend") - F.col("istart")).alias("bases"))
+    return classify.intron_table(_packed_once(spark, sf, Mode.INTRON)).groupBy("in_frame").agg(F.count("*").alias("n"), F.sum(F.col("iend") - F.col("istart")).alias("bases"))
