@@ -6,7 +6,10 @@ Words are identified by 64-bit hashes (a polynomial over per-byte random values,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import inspect
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +36,35 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _powers[0][:n], _powers[1][:n]
 
 
+def _give_back() -> None:
+    """Hand freed memory back to the system: Python workers live on between tasks and share an executor's memory."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
+def lean(f: Callable) -> Callable:
+    """``f`` of one or two arguments (Arrow batches or groups), after which freed memory goes back to the system."""
+    # Spark tells functions apart by their number of arguments, so each form has its own wrapper
+    if inspect.isgeneratorfunction(f):
+
+        @functools.wraps(f)
+        def one(batches):
+            yield from f(batches)
+            _give_back()
+
+        return one
+
+    def done(out):
+        _give_back()
+        return out
+
+    if f.__code__.co_argcount == 1:
+        return functools.wraps(f)(lambda table: done(f(table)))
+    return functools.wraps(f)(lambda left, right: done(f(left, right)))
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
     x = x ^ (x >> np.uint64(33))
@@ -43,6 +75,12 @@ def mix(x: np.ndarray) -> np.ndarray:
     return x
 
 
+def distinct(a: np.ndarray) -> np.ndarray:
+    """The ascending distinct values, by sorting."""
+    a = np.sort(a)
+    return a[np.concatenate(([True], a[1:] != a[:-1]))] if len(a) else a
+
+
 def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n+1) of a string column; null is an empty text."""
     if isinstance(col, pa.ChunkedArray):
@@ -124,7 +162,7 @@ def shingle_sets(buf: np.ndarray, off: np.ndarray, n: int) -> Iterator[np.ndarra
     all_grams = grams(h, n)
     for a, b in zip(first[:-1].tolist(), first[1:].tolist()):
         if b - a >= n:
-            yield np.unique(all_grams[a : b - n + 1])
+            yield distinct(all_grams[a : b - n + 1])
         else:
             yield grams(h[a:b], b - a) if b > a else np.empty(0, np.uint64)
 

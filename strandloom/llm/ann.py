@@ -32,6 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom.llm import _words
 from strandloom.workspace import materialize
 
 #: at most SAMPLE vectors reach the driver, SHARE for each centroid
@@ -196,6 +197,7 @@ def posting_lists(index: Index, x: np.ndarray, closure: float, replicas: int) ->
 def _assign(lists_of):
     """Rows (list, vec_id, v) from the lists that ``lists_of`` gives for unit vectors."""
 
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if batch.num_rows:
@@ -207,6 +209,7 @@ def _assign(lists_of):
 
 
 def _scan(k: int):
+    @_words.lean
     def run(queries: pa.Table, vectors: pa.Table) -> pa.Table:
         none = pa.table({"query_id": pa.array([], pa.int64()), "vec_id": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
         if not queries.num_rows or not vectors.num_rows:

@@ -23,6 +23,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from strandloom.llm import _words
 from strandloom.llm._pack import narrow, pack, unpack
 from strandloom.workspace import shuffle_width
 
@@ -95,6 +96,7 @@ def _split(pattern: str, buckets: int, chunk_chars: int, kind: str):
         if out:
             yield _rows(out)
 
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import regex
 
@@ -117,6 +119,7 @@ def _split(pattern: str, buckets: int, chunk_chars: int, kind: str):
 
 
 def _encode_bucket(ranks, pattern: str):
+    @_words.lean
     def run(table: pa.Table) -> pa.Table:
         encode = _encoder(ranks.value, pattern)._encode_single_piece
         known: dict[bytes, np.ndarray] = {}
@@ -138,6 +141,7 @@ def _encode_bucket(ranks, pattern: str):
     return run
 
 
+@_words.lean
 def _assemble(table: pa.Table) -> pa.Table:
     kinds, buckets = table["kind"].to_pylist(), table["bucket"].to_pylist()
     keys, nulls, lengths, seq, home = unpack(table["blob"][kinds.index("docs")].as_buffer())
@@ -185,6 +189,7 @@ def decode(coded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
     table = coded.sparkSession.sparkContext.broadcast(token_bytes(read_ranks(ranks_path)))
     at = coded.columns.index(ids)
 
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         get = table.value.__getitem__
         for batch in batches:

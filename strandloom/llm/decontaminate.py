@@ -168,6 +168,7 @@ def _copies(batches: Iterator[pa.RecordBatch], block: Block, n: int, least: floa
 
 
 def _match(shared, n: int, least: float):
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
         for batch, row, best in _copies(batches, block, n, least):
@@ -181,6 +182,7 @@ def _match(shared, n: int, least: float):
 
 
 def _drop(shared, n: int, least: float, text: int):
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)

@@ -114,6 +114,7 @@ def _numbered(train: np.ndarray, n: np.ndarray, h: np.ndarray, buckets: int):
 
 
 def _word_requests(buckets: int, most: int):
+    @_words.lean
     def run(batches):
         for chunk, _, train, n, h in _chunks(batches, most):
             uniq, _, count = _numbered(train, n, h, buckets)
@@ -124,6 +125,7 @@ def _word_requests(buckets: int, most: int):
 
 
 def _word_bucket(buckets: int):
+    @_words.lean
     def run(table: pa.Table) -> pa.Table:
         b = table["bucket"][0].as_py()
         asked = [(c.as_py(), *unpack(v.as_buffer())) for c, v in zip(table["chunk"], table["blob"])]
@@ -150,6 +152,7 @@ def _word_bucket(buckets: int):
 
 
 def _doc_rows(buckets: int, most: int):
+    @_words.lean
     def run(batches):
         for chunk, keys, train, n, h in _chunks(batches, most):
             uniq, number, _ = _numbered(train, n, h, buckets)
@@ -203,6 +206,7 @@ def _pairs(train, n, ident, count, buckets: int):
 
 
 def _pair_requests(buckets: int):
+    @_words.lean
     def run(table: pa.Table) -> pa.Table:
         chunk = table["chunk"][0].as_py()
         _, _, train, n, ident, count = _restore(table, buckets)
@@ -243,6 +247,7 @@ def _merge(table: pa.Table):
     return asked, group, c[at], w[at], cw[at], total
 
 
+@_words.lean
 def _pair_stats(table: pa.Table) -> pa.Table:
     total = _merge(table)[-1]
     n = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
@@ -250,6 +255,7 @@ def _pair_stats(table: pa.Table) -> pa.Table:
 
 
 def _pair_bucket(words_total: int, types: int, n1: list[int]):
+    @_words.lean
     def run(table: pa.Table) -> pa.Table:
         b = table["bucket"][0].as_py()
         asked, group, c, _, cw, total = _merge(table)
@@ -270,6 +276,7 @@ def _pair_bucket(words_total: int, types: int, n1: list[int]):
 
 
 def _score(buckets: int, words_total: int, types: int, n1: list[int]):
+    @_words.lean
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
         keys, nulls, train, n, ident, count = _restore(left, buckets)
         c, w, cw, _, pair = _pairs(train, n, ident, count, buckets)

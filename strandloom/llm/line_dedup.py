@@ -121,6 +121,7 @@ class _Lines:
 
 
 def _ask(buckets: int):
+    @_words.lean
     def run(table: pa.Table) -> pa.Table:
         c, x = table["chunk"][0].as_py(), _Lines(table)
         uniq, _, n, cuts = x.vocabulary(buckets)
@@ -132,6 +133,7 @@ def _ask(buckets: int):
     return run
 
 
+@_words.lean
 def _tell(table: pa.Table) -> pa.Table:
     b, out = table["bucket"][0].as_py(), []
     rows = list(zip(table["chunk"].to_pylist(), table["kind"].to_pylist(), table["blob"]))
@@ -170,6 +172,7 @@ def needed(a: np.ndarray, b: np.ndarray, num: int, den: int) -> np.ndarray:
 
 
 def _postings(buckets: int, num: int, den: int, min_words: int):
+    @_words.lean
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _rows([])
@@ -185,7 +188,7 @@ def _postings(buckets: int, num: int, den: int, min_words: int):
         rank[by_rarity] = np.arange(len(uniq))
         mine = lines[first]
         n = np.diff(x.cut)[mine]
-        key = np.unique(np.repeat(np.arange(len(mine)), n) << 32 | rank[word[spread(x.cut[mine], n)]])
+        key = _words.distinct(np.repeat(np.arange(len(mine)), n) << 32 | rank[word[spread(x.cut[mine], n)]])
         line, token = key >> 32, by_rarity[key & 0xFFFFFFFF]
         size = np.bincount(line, minlength=len(mine))
         start = np.cumsum(size) - size
@@ -239,6 +242,7 @@ def _pair_rows(b: int, chunk: np.ndarray, key: np.ndarray, number: np.ndarray, a
 
 
 def _candidates(num: int, den: int):
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         table = pa.Table.from_batches(batches)
         b = table["bucket"][0].as_py()
@@ -283,6 +287,7 @@ def _candidates(num: int, den: int):
     return run
 
 
+@_words.lean
 def _send(texts: pa.Table, pairs: pa.Table) -> pa.Table:
     """The words of each earlier line of a pair, to the chunk of the later line."""
     if not texts.num_rows or not pairs.num_rows:
@@ -295,12 +300,13 @@ def _send(texts: pa.Table, pairs: pa.Table) -> pa.Table:
     for to in np.unique(p[:, 0]).tolist():
         mine = p[p[:, 0] == to]
         lines, which = np.unique(mine[:, 1], return_inverse=True)
-        sets = [np.unique(x.h[x.cut[i] : x.cut[i + 1]]) for i in lines.tolist()]
+        sets = [_words.distinct(x.h[x.cut[i] : x.cut[i + 1]]) for i in lines.tolist()]
         out.append((c, to, "sets", pack(narrow(np.array([len(s) for s in sets])), np.concatenate(sets), narrow(which), mine[:, 2], narrow(mine[:, 3]))))
     return _rows(out)
 
 
 def _remove(buckets: int, num: int, den: int, min_words: int, carry: list[str]):
+    @_words.lean
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         spans = pa.list_(pa.int64())
         if not texts.num_rows:
@@ -309,14 +315,14 @@ def _remove(buckets: int, num: int, den: int, min_words: int, carry: list[str]):
         lines, first = _firsts(x, told, buckets)
         gone = np.zeros(len(x.start), bool)
         again = lines[~first]
-        gone[again] = True if min_words <= 1 else [len(np.unique(x.h[x.cut[i] : x.cut[i + 1]])) >= min_words for i in again.tolist()]
+        gone[again] = True if min_words <= 1 else [len(_words.distinct(x.h[x.cut[i] : x.cut[i + 1]])) >= min_words for i in again.tolist()]
         for k, v in zip(told["kind"].to_pylist(), told["blob"]):
             if k == "sets":
                 size, flat, which, key, number = unpack(v.as_buffer())
                 end = np.cumsum(size, dtype=np.int64)
                 for w, i in zip(which.tolist(), x.find(key, number).tolist()):
                     if not gone[i]:
-                        a, b = flat[end[w] - size[w] : end[w]], np.unique(x.h[x.cut[i] : x.cut[i + 1]])
+                        a, b = flat[end[w] - size[w] : end[w]], _words.distinct(x.h[x.cut[i] : x.cut[i + 1]])
                         both = np.concatenate((a, b))
                         both.sort()
                         shared = int((both[1:] == both[:-1]).sum())

@@ -62,6 +62,7 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
     k = bands * rows
     salt = _words.mix(np.arange(1, bands + 1, dtype=np.uint64))
 
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = _words.utf8(batch.column(1))
@@ -91,6 +92,7 @@ def signatures(docs: DataFrame, text: str = "text", key: str = "doc_id", shingle
 
 
 def _sets(docs: DataFrame, shingle: int) -> DataFrame:
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = _words.utf8(batch.column(1))
@@ -105,6 +107,7 @@ def _sets(docs: DataFrame, shingle: int) -> DataFrame:
 def _close(pairs: DataFrame, least: float, left: str = "sa", right: str = "sb") -> DataFrame:
     """Pairs whose sketches agree in at least the share ``least`` of bins."""
 
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             if not batch.num_rows:
@@ -126,6 +129,7 @@ def confirm(pairs: DataFrame, docs: DataFrame, shingle: int, num: int, den: int)
         .select("a", "b", "sa", "sb")
     )
 
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -163,6 +167,7 @@ def may_link(one: np.ndarray, size: int, others: np.ndarray, sizes: np.ndarray,
 
 
 def _fine(texts: DataFrame, shingle: int) -> DataFrame:
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = _words.utf8(batch.column(1))
@@ -193,6 +198,7 @@ def _dealt(members: DataFrame) -> DataFrame:
 def _closest(members: DataFrame, least: float, best: int) -> DataFrame:
     """For each loose member the ``best`` closest others by sketch, of other components."""
 
+    @_words.lean
     def run(table: pa.Table) -> pa.Table:
         left = np.asarray(table["left"].combine_chunks().to_numpy(zero_copy_only=False), bool)
         rep, comp = (table[c].to_numpy() for c in ("rep", "comp"))
@@ -215,6 +221,7 @@ def _closest(members: DataFrame, least: float, best: int) -> DataFrame:
 def _remaining(members: DataFrame, t: float) -> DataFrame:
     """All pairs of different components that may be linked, each from its first common band."""
 
+    @_words.lean
     def run(table: pa.Table) -> pa.Table:
         left = np.asarray(table["left"].combine_chunks().to_numpy(zero_copy_only=False), bool)
         rep, comp, size = (table[c].to_numpy() for c in ("rep", "comp", "size"))

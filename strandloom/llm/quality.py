@@ -89,6 +89,7 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column | None = None, text:
     pick = lambda v: known.where(F.col("y") == v).orderBy(F.xxhash64("doc_id"), "doc_id").limit(per_class)
     ids = F.broadcast(pick(0).unionByName(pick(1)))  # at most 2 * per_class rows of two numbers
 
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, x in _each(batches, 0, features):
             yield pa.RecordBatch.from_arrays([pa.array(x.tolist(), pa.list_(pa.float64())), batch.column(1)], names=["x", "y"])
@@ -113,6 +114,7 @@ def with_evidence(docs: DataFrame, model: Classifier, text: str = "text", out: s
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
 
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, p in _each(batches, at, lambda buf, off: shared.value.predict(features(buf, off))):
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(p)], names=[*batch.schema.names, out])

@@ -127,6 +127,7 @@ class _Chunk:
 
 
 def _ask_anchors(buckets: int):
+    @_words.lean
     def run(table: pa.Table) -> pa.Table:
         chunk = _Chunk(table)
         uniq, _, several, cuts = chunk.anchors(buckets)
@@ -136,6 +137,7 @@ def _ask_anchors(buckets: int):
     return run
 
 
+@_words.lean
 def _tell_shared(table: pa.Table) -> pa.Table:
     b = table["bucket"][0].as_py()
     chunks = table["chunk"].to_pylist()
@@ -162,6 +164,7 @@ def spread(start: np.ndarray, count: np.ndarray) -> np.ndarray:
 
 
 def _ask_strings(buckets: int):
+    @_words.lean
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return _rows([])
@@ -228,6 +231,7 @@ def has_previous_factor(order: np.ndarray, same: np.ndarray, keys: np.ndarray) -
     return out
 
 
+@_words.lean
 def _tell_covered(table: pa.Table) -> pa.Table:
     b, chunks = table["bucket"][0].as_py(), table["chunk"].to_pylist()
     held = [unpack(v.as_buffer()) for v in table["blob"]]
@@ -251,6 +255,7 @@ def _tell_covered(table: pa.Table) -> pa.Table:
 
 
 def _cut(buckets: int):
+    @_words.lean
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         if not texts.num_rows:
             return pa.table({"doc_id": pa.array([], pa.int64()), "n_bytes": pa.array([], pa.int64()), "starts": pa.array([], pa.list_(pa.int64())), "ends": pa.array([], pa.list_(pa.int64())), "kept": pa.array([], pa.binary())})

@@ -77,7 +77,7 @@ def _distinct(text: list[np.ndarray], value: list[np.ndarray]) -> tuple[np.ndarr
 def slots(buf: np.ndarray, off: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, slot)."""
     keys = [t << SLOT_BITS | (h >> np.uint64(64 - SLOT_BITS)).astype(np.int64) for t, h in gram_hashes(buf, off, sizes)]
-    found = np.unique(np.concatenate(keys)) if keys else np.empty(0, np.int64)
+    found = _words.distinct(np.concatenate(keys)) if keys else np.empty(0, np.int64)
     return found >> SLOT_BITS, found & ((1 << SLOT_BITS) - 1)
 
 
@@ -106,6 +106,7 @@ def _sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int)
 
 
 def _count(sizes):
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         n = np.zeros((2, 1 << SLOT_BITS), np.int32)
         for batch in batches:
@@ -123,6 +124,7 @@ def _count(sizes):
 
 
 def _count_exact(sizes, held: np.ndarray):
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = _words.utf8(batch.column(0))
@@ -140,6 +142,7 @@ def _count_exact(sizes, held: np.ndarray):
 def _vectors(grams: np.ndarray, sizes):
     held = slots_of(grams)
 
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             buf, off = _words.utf8(batch.column(0))
@@ -217,6 +220,7 @@ def score(docs: DataFrame, model: Model, text: str = "text", key: str = "doc_id"
     intercept's score. Other columns are ignored; an empty table stays empty."""
     shared = docs.sparkSession.sparkContext.broadcast(model)
 
+    @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
         held = slots_of(m.grams)
