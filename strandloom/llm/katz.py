@@ -1,17 +1,23 @@
 """Katz backoff language model: Good-Turing discounts, exactly normalised backoff weights.
 
-Tokens are words (A-Z folded) and one end token a text; the context of a text's first token is a
-start mark. The model is P(w | h) = d(c) c(h, w) / c(h) for seen pairs and alpha(h) P(w) for the
-rest, where P(w) is the same recursion one level down: seen words d(c) c / N, and one unknown type
-that gets what the discounts leave. alpha(h) is what the pairs of h leave, divided by the lower
-probability of the words not seen after h, so every distribution sums to one.
-
-How it runs. Chunks of a task's texts hold token sequences as numbers of the chunk's distinct
-words. Counts meet in hash buckets: words by word, pairs by context. A bucket answers each chunk
-with what its own entries need (ids and counts; then pair counts, context totals, count classes
-and seen mass), so a frequent word or pair costs one entry a chunk. Discounts come from global
-counts of counts, a single row. The word table is written to the shared folder, partitioned by
-bucket; the pair table lives in the exchange that is partitioned by context. Words are 64-bit hashes.
+Tokens are words (A-Z folded) and one end token a text. The history of a token are the tokens before
+it in its text, up to ``order`` - 1, and one start mark before the first. The model is
+P(w | h) = d(c) c(h, w) / c(h) for seen n-grams and alpha(h) P(w | h') for the rest, h' being h
+without its first token; a history not seen in training is left out. P(w) is the same recursion one
+level down: seen words d(c) c / N, and one unknown type that gets what the discounts leave. alpha(h)
+is what the n-grams of h leave, divided by the lower probability of the words not seen after h, so
+every distribution sums to one.
+
+How it runs. Chunks of a task's texts hold token sequences as numbers of the chunk's distinct words.
+Counts meet in hash buckets, level by level: words by word, n-grams by history. A bucket answers each
+chunk with what its own entries need (ids and counts; for n-grams also the history's total, and,
+where one of them is unseen, its count classes and seen mass), so a frequent n-gram costs one entry a
+chunk. Its id is the history one level up. Discounts come from global counts of counts, one row a
+level. Words are 64-bit hashes.
+
+``save`` stores the model as tables: words, n-grams with their probability, and histories with their
+backoff weight, partitioned by level and bucket. ``score_saved`` evaluates any other corpus from them
+by joins, recursively for each token.
 """
 
 from __future__ import annotations
@@ -21,17 +27,22 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandloom.llm import _words
 from strandloom.llm._pack import from_gaps, gaps, narrow, pack, unpack
 from strandloom.workspace import materialize, shuffle_width
 
-CHUNK_BYTES = 16 << 20
+CHUNK_BYTES = 8 << 20
+ORDER = 3
 K = 5
+#: floor of the probability not seen after a history, against rounding
+LEAST = 1e-12
 END, START = np.uint64(0x0E0D0E0D0E0D0E0D), np.uint64(0x57A2757A2757A275)
 ROW = "bucket int, chunk long, kind string, blob binary"
+CLASSES = ", ".join(f"n{r} long" for r in range(1, K + 2))
 
 
 def _rows(rows: list[tuple]) -> pa.Table:
@@ -140,7 +151,7 @@ def _word_bucket(buckets: int):
         out, at = [], 0
         for (chunk, _, _), h in zip(asked, hashes):
             i = inv[at : at + len(h)]
-            out.append((b, chunk, "ids", pack(narrow(ident[i] // buckets + (ident[i] > 0)), narrow(count[i]))))
+            out.append((b, chunk, "ids", pack(narrow((ident[i] + buckets - 1) // buckets), narrow(count[i]))))
             at += len(h)
         seen = count > 0
         out.append((b, None, "table", pack(uniq[seen], narrow(count[seen]))))
@@ -182,168 +193,350 @@ def _restore(table: pa.Table, buckets: int):
     return keys, nulls, train.astype(bool), n.astype(np.int64), ident[word], count[word]
 
 
-def _pairs(train, n, ident, count, buckets: int):
-    """Distinct (context, word) of a chunk, ordered by bucket, context, word; contexts unseen in training left out.
+class _Level:
+    """Distinct n-grams (history, word) of a chunk in order of bucket, history and word.
 
-    The start mark is context 0 with its own place in bucket 0. Gives contexts, words, the words'
-    counts, training counts, and for each token its pair (-1: context unseen).
+    ``history``: one id a token, -1 where it was not seen in training. ``token``: each token's place
+    among the n-grams, or -1. ``rep``: a token of each n-gram.
     """
-    first = np.zeros(len(ident), bool)
-    first[np.concatenate(([0], np.cumsum(n)[:-1]))[n > 0].astype(np.int64)] = True
-    ctx = np.concatenate(([0], ident[:-1])) if len(ident) else ident
-    known = (ctx > 0) | first
-    ctx = np.where(first, 0, ctx)
-    at = np.flatnonzero(known)
-    c, w = ctx[at], ident[at]
-    order = np.lexsort((w, c, c % buckets))
-    c, w = c[order], w[order]
-    head = np.concatenate(([True], (c[1:] != c[:-1]) | (w[1:] != w[:-1]))) if len(c) else np.empty(0, bool)
-    group = np.cumsum(head) - 1
-    pair = np.full(len(ident), -1, np.int64)
-    pair[at[order]] = group
-    seen = np.bincount(group, weights=np.repeat(train, n)[at[order]], minlength=int(head.sum())).astype(np.int64)
-    return c[head], w[head], count[at[order]][head], seen, pair
-
-
-def _pair_requests(buckets: int):
-    @_words.lean
-    def run(table: pa.Table) -> pa.Table:
-        chunk = table["chunk"][0].as_py()
-        _, _, train, n, ident, count = _restore(table, buckets)
-        c, w, cw, seen, _ = _pairs(train, n, ident, count, buckets)
-        cuts = np.searchsorted(c % buckets, np.arange(buckets + 1))
+
+    def __init__(self, history: np.ndarray, word: np.ndarray, train: np.ndarray, buckets: int):
+        at = np.flatnonzero(history >= 0)
+        h, w = history[at], word[at]
+        # ranks that fit one sorting key
+        ids, rank = np.unique(h, return_inverse=True)
+        place = np.empty(len(ids), np.int64)
+        place[np.argsort(ids % buckets, kind="stable")] = np.arange(len(ids))
+        key = place[rank] << 32 | (w if not len(w) or int(w.max()) < 1 << 32 else np.unique(w, return_inverse=True)[1])
+        order = np.argsort(key)
+        key = key[order]
+        head = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
+        group = np.cumsum(head) - 1
+        self.rep = at[order[head]]
+        self.history, self.word = history[self.rep], word[self.rep]
+        self.token = np.full(len(history), -1, np.int32)
+        self.token[at[order]] = group
+        self.seen = np.bincount(group, weights=train[at[order]], minlength=len(self.rep)).astype(np.int64)
+        self.cuts = np.searchsorted(self.history % buckets, np.arange(buckets + 1))
+        self.head = np.concatenate(([True], self.history[1:] != self.history[:-1])) if len(self.rep) else np.empty(0, bool)
+        self.group = np.cumsum(self.head) - 1
+
+    def requests(self, chunk: int, lower: np.ndarray, buckets: int) -> list[tuple]:
+        """One message a bucket; ``lower``: each token's probability one level down."""
         out = []
-        for b, (x, y) in enumerate(zip(cuts[:-1], cuts[1:])):
+        for b, (x, y) in enumerate(zip(self.cuts[:-1], self.cuts[1:])):
             if x < y:
-                head = np.concatenate(([True], c[x + 1 : y] != c[x : y - 1]))
-                sizes = np.diff(np.append(np.flatnonzero(head), y - x))
-                step = w[x:y].copy()
-                step[1:] -= np.where(head[1:], 0, w[x : y - 1])
-                out.append((b, chunk, "pairs", pack(narrow(gaps(c[x:y][head] // buckets)), narrow(sizes), narrow(step), narrow(cw[x:y]), narrow(seen[x:y]))))
-        return _rows(out)
+                head = np.flatnonzero(self.head[x:y])
+                step = self.word[x:y].copy()
+                step[1:] -= np.where(self.head[x + 1 : y], 0, self.word[x : y - 1])
+                below, which = np.unique(np.where(self.seen[x:y] > 0, lower[self.rep[x:y]], 0.0), return_inverse=True)
+                out.append((b, chunk, "grams", pack(narrow(gaps(self.history[x:y][head] // buckets)), narrow(np.diff(np.append(head, y - x))), narrow(step), narrow(self.seen[x:y]), below, narrow(which))))
+        return out
+
+    def evaluate(self, answers: list[tuple[int, bytes]], n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Each token's probability at this level, and the id of its n-gram (0: unseen)."""
+        d = np.append(discounts(n), 1.0)
+        total, ident = np.zeros(len(self.rep), np.int64), np.zeros(len(self.rep), np.int64)
+        size, left, mass = (np.zeros(int(self.head.sum()), t) for t in (np.int64, float, float))
+        keeps = np.ones(len(size), bool)
+        for b, v in answers:
+            x, y = self.cuts[b], self.cuts[b + 1]
+            t, ids, sized, m, *classes = unpack(v)
+            total[x:y], ident[x:y] = t, ids
+            g = self.group[x]
+            size[g : g + len(sized)], keeps[g : g + len(sized)] = sized >> 1, sized & 1
+            open_ = g + _open(t.astype(np.int64), self.group[x:y] - g, len(sized))
+            mass[open_] = m
+            left[open_] = sum(c.astype(float) * r * (1 - d[r]) for r, c in enumerate(classes, 1))
+        seen = total * d[np.minimum(total, K + 1)] / np.maximum(size + ~keeps, 1)[self.group] if len(self.rep) else np.empty(0)
+        alpha = np.where(keeps, left, 1.0) / np.maximum(size + ~keeps, 1) / np.maximum(1 - mass, LEAST)
+        # a history that starts no n-gram in training (size 0) leaves all to the lower level
+        back = np.where(size > 0, alpha, 1.0)[self.group] * lower[self.rep] if len(self.rep) else np.empty(0)
+        value = np.where(total > 0, seen, back)
+        p, ids = lower.copy(), np.zeros(len(lower), np.int64)
+        known = self.token >= 0
+        p[known], ids[known] = value[self.token[known]], ident[self.token[known]]
+        return p, ids
+
+
+def _open(total: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
+    """Histories with an unseen n-gram among those asked for."""
+    return np.flatnonzero(np.bincount(group, weights=total == 0, minlength=groups))
+
+
+class _Chunk:
+    """Tokens of a chunk's texts, and their probabilities as far as levels are answered."""
+
+    def __init__(self, table: pa.Table, buckets: int, words_total: int, types: int, n1: list[int]):
+        self.keys, self.nulls, train, self.n, self.word, self.count = _restore(table, buckets)
+        self.train, self.buckets = np.repeat(train, self.n), buckets
+        self.doc_train = train
+        self.first = np.zeros(len(self.word), bool)
+        self.first[(np.cumsum(self.n) - self.n)[self.n > 0]] = True
+        self.p, _ = unigram(self.count, words_total, np.array(n1), types)
+        self.ids, self.level = self.word, 1
+
+    def next(self) -> _Level:
+        """The n-grams one level up; the first token's only history is the start mark."""
+        before = np.concatenate(([0], self.ids[:-1])) if len(self.ids) else self.ids
+        self.level += 1
+        history = np.where(self.first, 0 if self.level == 2 else -1, np.where(before > 0, before, -1))
+        return _Level(history, self.word, self.train, self.buckets)
+
+    def climb(self, answered: pa.Table | None, order: int) -> None:
+        """Evaluate the levels 2 to ``order`` from their answers."""
+        kinds = answered["kind"].to_pylist() if answered is not None else []
+        for level in range(2, order + 1):
+            grams = self.next()
+            rows = [i for i, k in enumerate(kinds) if k == f"answer{level}"]
+            if rows:
+                n = np.array([0, *(answered[f"n{r}"][rows[0]].as_py() or 0 for r in range(1, K + 2))])
+                self.p, self.ids = grams.evaluate([(answered["bucket"][i].as_py(), answered["blob"][i].as_buffer()) for i in rows], n, self.p)
+            else:
+                self.ids = np.zeros(len(self.word), np.int64)
+
+
+def _requests(buckets: int, words: tuple):
+    """Messages of the bigrams."""
+
+    @_words.lean
+    def run(table: pa.Table) -> pa.Table:
+        chunk = _Chunk(table, buckets, *words)
+        return _rows(chunk.next().requests(table["chunk"][0].as_py(), chunk.p, buckets))
+
+    return run
+
+
+def _requests_above(order: int, buckets: int, words: tuple):
+    """Messages of the n-grams of level ``order`` + 1, once those up to ``order`` are answered."""
+
+    @_words.lean
+    def run(table: pa.Table, answered: pa.Table) -> pa.Table:
+        if not table.num_rows:
+            return _rows([])
+        chunk = _Chunk(table, buckets, *words)
+        chunk.climb(answered if answered.num_rows else None, order)
+        return _rows(chunk.next().requests(table["chunk"][0].as_py(), chunk.p, buckets))
 
     return run
 
 
 def _merge(table: pa.Table):
-    """All chunks' requests of a bucket: per request (contexts, sizes), and merged pairs with total counts."""
-    asked, cs, ws, cws, seens = [], [], [], [], []
+    """All chunks' requests of a bucket: per request (chunk, histories, sizes), each entry's n-gram, and the
+    distinct n-grams: history (// buckets), word, total count and lower probability."""
+    asked, hs, ws, seens, lowers = [], [], [], [], []
     for chunk, v in zip(table["chunk"].to_pylist(), table["blob"]):
-        g, sizes, step, cw, seen = unpack(v.as_buffer())
-        ctx = from_gaps(g).astype(np.int64)
-        sizes = sizes.astype(np.int64)
+        g, sizes, step, seen, below, which = unpack(v.as_buffer())
+        history, sizes = from_gaps(g).astype(np.int64), sizes.astype(np.int64)
         s = np.cumsum(step.astype(np.int64))
         first = np.cumsum(sizes) - sizes
-        w = s - np.repeat(s[first] - step[first].astype(np.int64), sizes)
-        asked.append((chunk, ctx, sizes))
-        cs.append(np.repeat(ctx, sizes)), ws.append(w), cws.append(cw.astype(np.int64)), seens.append(seen.astype(np.int64))
-    c, w, cw, seen = (np.concatenate(x) for x in (cs, ws, cws, seens))
-    order = np.lexsort((w, c))
-    head = np.concatenate(([True], (np.diff(c[order]) != 0) | (np.diff(w[order]) != 0)))
-    group = np.empty(len(c), np.int64)
+        asked.append((chunk, history, sizes))
+        hs.append(np.repeat(history, sizes)), ws.append(s - np.repeat(s[first] - step[first].astype(np.int64), sizes))
+        seens.append(seen.astype(np.int64)), lowers.append(below[which])
+    h, w, seen, lower = (np.concatenate(x) for x in (hs, ws, seens, lowers))
+    ids, rank = np.unique(h, return_inverse=True)
+    order = np.argsort(rank << 32 | (w if int(w.max()) < 1 << 32 else np.unique(w, return_inverse=True)[1]))
+    head = np.concatenate(([True], (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0)))
+    group = np.empty(len(h), np.int64)
     group[order] = np.cumsum(head) - 1
     total = np.bincount(group, weights=seen).astype(np.int64)
+    below = np.zeros(len(total))
+    np.maximum.at(below, group, lower)
     at = order[head]
-    return asked, group, c[at], w[at], cw[at], total
+    return asked, group, h[at], w[at], total, below
+
+
+def _idents(total: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """Ids of seen n-grams, smaller for more frequent ones; 0 for unseen ones."""
+    rank = np.empty(len(total), np.int64)
+    rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+    return np.where(total > 0, rank * buckets + bucket + 1, 0)
 
 
 @_words.lean
-def _pair_stats(table: pa.Table) -> pa.Table:
-    total = _merge(table)[-1]
+def _gram_stats(table: pa.Table) -> pa.Table:
+    total = _merge(table)[4]
     n = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
     return pa.table({f"n{r}": pa.array([int(n[r])], pa.int64()) for r in range(1, K + 2)})
 
 
-def _pair_bucket(words_total: int, types: int, n1: list[int]):
+def _gram_bucket(level: int, buckets: int, last: bool):
     @_words.lean
     def run(table: pa.Table) -> pa.Table:
         b = table["bucket"][0].as_py()
-        asked, group, c, _, cw, total = _merge(table)
-        p, _ = unigram(cw, words_total, np.array(n1), types)
-        ctx, at = np.unique(c, return_inverse=True)
+        asked, group, h, _, total, lower = _merge(table)
+        history, at = np.unique(h, return_inverse=True)
         size = np.bincount(at, weights=total).astype(np.int64)
-        mass = np.bincount(at, weights=np.where(total > 0, p, 0.0))
+        mass = np.bincount(at, weights=np.where(total > 0, lower, 0.0))
         classes = [np.bincount(at, weights=total == r).astype(np.int64) for r in range(1, K + 1)]
+        # where no count is discounted, one unseen event is added to the history's total
+        keeps = np.sum(classes, axis=0) > 0
+        ident = np.zeros(len(total), np.int64) if last else _idents(total, b, buckets)
         out, start = [], 0
         for chunk, mine, sizes in asked:
-            i = np.searchsorted(ctx, mine)
+            i = np.searchsorted(history, mine)
             g = group[start : start + int(sizes.sum())]
             start += len(g)
-            out.append((b, chunk, "answer", pack(narrow(total[g]), narrow(size[i]), mass[i], *(narrow(m[i]) for m in classes))))
+            o = i[_open(total[g], np.repeat(np.arange(len(mine)), sizes), len(mine))]
+            out.append((b, chunk, f"answer{level}", pack(narrow(total[g]), narrow(ident[g]), narrow(size[i] << 1 | keeps[i]), mass[o], *(narrow(c[o]) for c in classes))))
         return _rows(out)
 
     return run
 
 
-def _score(buckets: int, words_total: int, types: int, n1: list[int]):
+def _score(order: int, buckets: int, words: tuple):
+    words_total, types, _ = words
+
     @_words.lean
-    def run(left: pa.Table, right: pa.Table) -> pa.Table:
-        keys, nulls, train, n, ident, count = _restore(left, buckets)
-        c, w, cw, _, pair = _pairs(train, n, ident, count, buckets)
-        p1, unknown = unigram(count, words_total, np.array(n1), types)
-        logp = np.log10(p1)
-        if len(c) and right.num_rows:
-            n2 = np.array([0, *(right[f"n{r}"][0].as_py() or 0 for r in range(1, K + 2))])
-            d = np.append(discounts(n2), 1.0)
-            cuts = np.searchsorted(c % buckets, np.arange(buckets + 1))
-            total = np.zeros(len(c), np.int64)
-            head = np.concatenate(([True], c[1:] != c[:-1]))
-            ctx_of = np.cumsum(head) - 1
-            size, mass = np.zeros(int(head.sum()), np.int64), np.zeros(int(head.sum()))
-            classes = np.zeros((K + 1, len(size)), np.int64)
-            for b, v in zip(right["bucket"].to_pylist(), right["blob"]):
-                t, s, m, *k = unpack(v.as_buffer())
-                total[cuts[b] : cuts[b + 1]] = t
-                x = ctx_of[cuts[b]]
-                size[x : x + len(s)], mass[x : x + len(s)] = s, m
-                for r in range(1, K + 1):
-                    classes[r, x : x + len(s)] = k[r - 1]
-            left_over = sum(classes[r] * r * (1 - d[r]) for r in range(1, K + 1))
-            denom = np.where(left_over > 0, size, size + 1).astype(float)
-            left_over = np.where(left_over > 0, left_over, 1.0)
-            alpha = left_over / denom / np.maximum(1 - mass, unknown)
-            pw, _ = unigram(cw, words_total, np.array(n1), types)
-            seen = total * d[np.minimum(total, K + 1)] / np.maximum(denom, 1)[ctx_of]
-            # a context that starts no pair in training (size 0) leaves all to the lower order
-            back = np.where(size[ctx_of] > 0, alpha[ctx_of], 1.0) * pw
-            lp = np.log10(np.where(total > 0, seen, back))
-            logp = np.where(pair >= 0, lp[pair], logp)
-        doc = np.repeat(np.arange(len(n)), n)
-        base = np.log10((count + 0.5) / (words_total + 0.5 * (types + 1)))
-        add = lambda x: np.bincount(doc, weights=x, minlength=len(n))
+    def run(table: pa.Table, answered: pa.Table) -> pa.Table:
+        chunk = _Chunk(table, buckets, *words)
+        chunk.climb(answered if answered.num_rows else None, order)
+        doc = np.repeat(np.arange(len(chunk.n)), chunk.n)
+        base = np.log10((chunk.count + 0.5) / (words_total + 0.5 * (types + 1)))
+        add = lambda x: np.bincount(doc, weights=x, minlength=len(chunk.n))
         return pa.table({
-            "doc_id": pa.array(keys, mask=nulls.astype(bool)), "held_out": pa.array(~train), "n_tokens": pa.array(n),
-            "n_known": pa.array(add(count > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(n), words_total, np.int64)),
-            "base_score": pa.array(add(base)), "score": pa.array(add(logp)),
+            "doc_id": pa.array(chunk.keys, mask=chunk.nulls.astype(bool)), "held_out": pa.array(~chunk.doc_train), "n_tokens": pa.array(chunk.n),
+            "n_known": pa.array(add(chunk.count > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(chunk.n), words_total, np.int64)),
+            "base_score": pa.array(add(base)), "score": pa.array(add(np.log10(chunk.p))),
         })
 
     return run
 
 
-def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
+class _Counts:
+    """The plan of all levels' counts: chunks, per level the requests by bucket and the counts of counts."""
+
+    def __init__(self, docs: DataFrame, held_out: Column, text: str, key: str, order: int, chunk_bytes: int):
+        spark = docs.sparkSession
+        width = shuffle_width(spark)
+        self.order, self.buckets = order, max(16, 2 * width)
+        rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
+        self.table = materialize(rows.mapInArrow(_word_requests(self.buckets, chunk_bytes), ROW).groupBy("bucket").applyInArrow(_word_bucket(self.buckets), ROW), "words")
+        stats = [np.frombuffer(r.blob, np.int64) for r in self.table.where("kind = 'stats'").select("blob").toLocalIterator()]
+        total = np.sum(stats, axis=0) if stats else np.zeros(K + 3, np.int64)
+        self.words = (int(total[1]), int(total[0]), [0, *total[2:].tolist()])
+        self.chunks = rows.mapInArrow(_doc_rows(self.buckets, chunk_bytes), ROW).unionByName(self.table.where("kind = 'ids'")).repartition(width, "chunk")
+        self.asked, self.classes, self.answers = {}, {}, None
+        for level in range(2, order + 1):
+            grouped = self.chunks.groupBy("chunk")
+            asked = grouped.applyInArrow(_requests(self.buckets, self.words), ROW) if level == 2 else grouped.cogroup(self.answers.groupBy("chunk")).applyInArrow(_requests_above(level - 1, self.buckets, self.words), ROW)
+            asked = self.asked[level] = asked.repartition(width, "bucket")
+            self.classes[level] = asked.groupBy("bucket").applyInArrow(_gram_stats, CLASSES).agg(*(F.sum(f"n{r}").alias(f"n{r}") for r in range(1, K + 2)))
+            answers = asked.groupBy("bucket").applyInArrow(_gram_bucket(level, self.buckets, level == order), ROW).join(F.broadcast(self.classes[level]))  # one row
+            answers = answers.repartition(width, "chunk")
+            self.answers = answers if self.answers is None else self.answers.unionByName(answers)
+
+
+def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc_id", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """Fit on the rows where ``held_out`` is not true and score all rows.
 
     ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per input
     row; scores are log10 probabilities. A null or empty text is one end token. A null ``held_out``
     counts as training. With no training rows every token is the unknown type, of probability one.
+    ``docs`` must be a scan, whose tasks give their rows in one order: texts are cut twice.
     """
-    spark = docs.sparkSession
-    buckets = max(16, 2 * shuffle_width(spark))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
-    table = materialize(rows.mapInArrow(_word_requests(buckets, chunk_bytes), ROW).groupBy("bucket").applyInArrow(_word_bucket(buckets), ROW), "words")
-    stats = [np.frombuffer(r.blob, np.int64) for r in table.where("kind = 'stats'").select("blob").toLocalIterator()]
-    total = np.sum(stats, axis=0) if stats else np.zeros(K + 3, np.int64)
-    types, n_words, n1 = int(total[0]), int(total[1]), [0, *total[2:].tolist()]
-    chunks = rows.mapInArrow(_doc_rows(buckets, chunk_bytes), ROW).unionByName(table.where("kind = 'ids'")).repartition(shuffle_width(spark), "chunk")
-    asked = chunks.groupBy("chunk").applyInArrow(_pair_requests(buckets), ROW).repartition(shuffle_width(spark), "bucket")
-    counts = asked.groupBy("bucket").applyInArrow(_pair_stats, ", ".join(f"n{r} long" for r in range(1, K + 2)))
-    n2 = counts.agg(*(F.sum(f"n{r}").alias(f"n{r}") for r in range(1, K + 2)))
-    answers = asked.groupBy("bucket").applyInArrow(_pair_bucket(n_words, types, n1), ROW).crossJoin(F.broadcast(n2))
-    return chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(
-        _score(buckets, n_words, types, n1), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    c = _Counts(docs, held_out, text, key, order, chunk_bytes)
+    empty = docs.sparkSession.createDataFrame([], f"{ROW}, {CLASSES}")
+    answers = (c.answers if c.answers is not None else empty).groupBy("chunk")
+    return c.chunks.groupBy("chunk").cogroup(answers).applyInArrow(
+        _score(order, c.buckets, c.words), "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
     )
 
 
+def _word_table(words_total: int, types: int, n1: list[int], buckets: int):
+    @_words.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for b, v in zip(batch.column("bucket").to_pylist(), batch.column("blob")):
+                h, c = unpack(v.as_buffer())
+                c = c.astype(np.int64)
+                # ids as the bucket gave them: by count, equal counts by hash
+                ident = _idents(c, b, buckets)
+                p, _ = unigram(c, words_total, np.array(n1), types)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), b, np.int32)), pa.array(h.view(np.int64)), pa.array(ident), pa.array(c), pa.array(p)], names=["bucket", "hash", "id", "n", "p"])
+
+    return run
+
+
+GRAMS = "bucket int, history long, word long, id long, n long, p double"
+HISTORIES = "bucket int, history long, n long, backoff double"
+
+
+def _gram_table(buckets: int, n: list[int], histories: bool):
+    @_words.lean
+    def run(table: pa.Table) -> pa.Table:
+        b = table["bucket"][0].as_py()
+        _, _, h, w, total, lower = _merge(table)
+        d = np.append(discounts(np.array(n)), 1.0)
+        history, at = np.unique(h, return_inverse=True)
+        size = np.bincount(at, weights=total)
+        left = np.bincount(at, weights=np.where(total <= K, total * (1 - d[np.minimum(total, K + 1)]), 0.0))
+        keeps = np.bincount(at, weights=(total > 0) & (total <= K)) > 0
+        denom = size + ~keeps
+        if histories:
+            mass = np.bincount(at, weights=np.where(total > 0, lower, 0.0))
+            backoff = np.where(keeps, left, 1.0) / np.maximum(denom, 1) / np.maximum(1 - mass, LEAST)
+            on = size > 0
+            return pa.table({"bucket": pa.array(np.full(int(on.sum()), b, np.int32)), "history": pa.array(history[on] * buckets + b), "n": pa.array(size[on].astype(np.int64)), "backoff": pa.array(backoff[on])})
+        on = total > 0
+        p = total * d[np.minimum(total, K + 1)] / np.maximum(denom, 1)[at]
+        return pa.table({"bucket": pa.array(np.full(int(on.sum()), b, np.int32)), "history": pa.array(h[on] * buckets + b), "word": pa.array(w[on]), "id": pa.array(_idents(total, b, buckets)[on]), "n": pa.array(total[on]), "p": pa.array(p[on])})
+
+    return run
+
+
+def save(docs: DataFrame, path: str, held_out: Column | None = None, text: str = "text", key: str = "doc_id", order: int = ORDER, chunk_bytes: int = CHUNK_BYTES) -> None:
+    """Fit on the rows where ``held_out`` is not true and store the model below ``path``.
+
+    ``words`` (hash, id, n, p), and for each level ``grams`` (history, word, id, n, p) and
+    ``histories`` (history, n, backoff), partitioned by level and bucket; ``model``: one row of totals.
+    """
+    c = _Counts(docs, F.lit(False) if held_out is None else held_out, text, key, order, chunk_bytes)
+    total, types, n1 = c.words
+    unknown = unigram(np.zeros(1, np.int64), total, np.array(n1), types)[1]
+    c.table.where("kind = 'table'").select("bucket", "blob").mapInArrow(_word_table(*c.words, c.buckets), "bucket int, hash long, id long, n long, p double").repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/words")
+    for level in range(2, order + 1):
+        row = c.classes[level].first()
+        n = [0, *(row[f"n{r}"] or 0 for r in range(1, K + 2))]
+        for name, histories, schema in (("grams", False, GRAMS), ("histories", True, HISTORIES)):
+            c.asked[level].groupBy("bucket").applyInArrow(_gram_table(c.buckets, n, histories), schema).write.partitionBy("bucket").parquet(f"{path}/{name}/level={level}")
+    docs.sparkSession.range(1).select(F.lit(order).alias("order"), F.lit(total).alias("tokens"), F.lit(types).alias("types"), F.lit(float(unknown)).alias("unknown")).write.parquet(f"{path}/model")
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        buf, off = _words.utf8(batch.column(1))
+        for i, j in _words.slices(off):
+            h, _, _, first = _words.words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            n = np.diff(first) + 1
+            row = np.repeat(np.asarray(batch.column(0).slice(i, j - i)), n)
+            place = np.arange(len(row)) - np.repeat(np.cumsum(n) - n, n)
+            yield pa.RecordBatch.from_arrays([pa.array(row), pa.array(place), pa.array(np.insert(h, first[1:], END).view(np.int64))], names=["row", "place", "hash"])
+
+
+def score_saved(spark: SparkSession, docs: DataFrame, path: str, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """``(doc_id, n_tokens, n_known, score)`` of any corpus under a model that ``save`` stored; one row per input row.
+
+    Tokens meet the tables by joins, one level after the other; a null or empty text is one end token.
+    """
+    model = spark.read.parquet(f"{path}/model").first()
+    rows = materialize(docs.select(F.monotonically_increasing_id().alias("row"), F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "rows")
+    words = spark.read.parquet(f"{path}/words").select("hash", F.col("id").alias("word"), "p")
+    x = rows.select("row", "text").mapInArrow(_tokens, "row long, place long, hash long").join(words, "hash", "left")
+    x = x.select("row", "place", F.coalesce("word", F.lit(0)).alias("word"), F.coalesce("p", F.lit(model.unknown)).alias("p")).withColumns({"id": F.col("word"), "known": F.col("word") > 0})
+    before = Window.partitionBy("row").orderBy("place")
+    for level in range(2, model.order + 1):
+        start = F.lit(0 if level == 2 else None).cast("long")
+        lag = F.lag("id").over(before)
+        x = x.withColumn("history", F.when(F.col("place") == 0, start).when(lag > 0, lag)).drop("id")
+        grams = spark.read.parquet(f"{path}/grams/level={level}").select("history", "word", "id", F.col("p").alias("seen"))
+        histories = spark.read.parquet(f"{path}/histories/level={level}").select("history", "backoff")
+        x = x.join(grams, ["history", "word"], "left").join(histories, "history", "left")
+        x = x.select("row", "place", "word", "known", F.coalesce("seen", F.coalesce("backoff", F.lit(1.0)) * F.col("p")).alias("p"), F.coalesce("id", F.lit(0)).alias("id"))
+    scored = x.groupBy("row").agg(F.count("*").alias("n_tokens"), F.count_if("known").alias("n_known"), F.sum(F.log10("p")).alias("score"))
+    return rows.select("row", "doc_id").join(scored, "row").drop("row")
+
+
 def op10_katz(spark, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     return score(docs, F.crc32(F.col("doc_id").cast("string")) % 5 == 1)

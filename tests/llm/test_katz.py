@@ -1,58 +1,82 @@
 """The model against a plain one: scores, counts and sums to one."""
 
 import math
+import statistics
 from collections import Counter, defaultdict
 
-import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from strandloom.llm import katz
 
 
+def valid(d):
+    return all(0 < x < 1 for x in d)
+
+
+def good_turing(n, k=5):
+    """Discounts of the counts 1 to k from the counts of counts n[1], n[2], ... by the textbook formula."""
+    if not n[1]:
+        return [0.0] * k
+    top = (k + 1) * n[k + 1] / n[1]
+    return [((r + 1) * n[r + 1] / n[r] / r - top) / (1 - top) if n[r] and top != 1 else 0.0 for r in range(1, k + 1)]
+
+
+def discounts(counts, k=5):
+    of = Counter(counts)
+    n = [0] + [of[r] for r in range(1, k + 2)]
+    d = good_turing(n)
+    if not valid(d) and all(n[1:]):
+        slope, start = statistics.linear_regression([math.log(r) for r in range(1, k + 2)], [math.log(x) for x in n[1:]])
+        d = good_turing([0] + [math.exp(start + slope * math.log(r)) for r in range(1, k + 2)])
+    return [1.0] + (d if valid(d) else [(r - 0.5) / r for r in range(1, k + 1)]) + [1.0]
+
+
 class Plain:
-    def __init__(self, texts):
-        self.one, self.two, self.context = Counter(), Counter(), Counter()
+    """The model of any order by dictionaries: histories are tuples, the first token's is the start mark."""
+
+    def __init__(self, texts, order):
+        self.order = order
+        self.grams = [Counter() for _ in range(order + 1)]
         for t in texts:
-            tokens = self.tokens(t)
-            self.one.update(tokens)
-            for h, w in zip(["<s>", *tokens[:-1]], tokens):
-                self.two[h, w] += 1
-                self.context[h] += 1
+            tokens = ["<s>", *self.tokens(t)]
+            for i in range(1, len(tokens)):
+                for n in range(1, min(order, i + 1) + 1):
+                    self.grams[n][tuple(tokens[i - n + 1 : i + 1])] += 1
+        self.one = {g[0]: c for g, c in self.grams[1].items()}
         self.n, self.v = sum(self.one.values()), len(self.one)
-        count = lambda c: np.array([0, *(sum(x == r for x in c.values()) for r in range(1, 7))])
-        self.d1, self.d2 = (np.append(katz.discounts(count(c)), 1.0) for c in (self.one, self.two))
-        left = sum(c * (1 - self.d1[min(c, 6)]) for c in self.one.values())
+        self.d = [None] + [discounts(self.grams[n].values()) for n in range(1, order + 1)]
+        left = sum(c * (1 - self.d[1][min(c, 6)]) for c in self.one.values())
         self.left, self.total = (left, self.n) if left > 0 else (1.0, self.n + 1.0)
         self.after = defaultdict(list)
-        for (h, w), c in self.two.items():
-            self.after[h].append((w, c))
+        for n in range(2, order + 1):
+            for g, c in self.grams[n].items():
+                self.after[g[:-1]].append((g[-1], c))
 
     @staticmethod
     def tokens(t):
         return [w.decode() for w in (t or "").encode().lower().split()] + ["</s>"]
 
-    def p1(self, w):
-        c = self.one.get(w, 0)
-        return c * self.d1[min(c, 6)] / self.total if c else self.left / self.total
-
-    def p2(self, h, w):
-        if h not in self.context:
-            return self.p1(w)
-        total = self.context[h]
-        left = sum(c * (1 - self.d2[min(c, 6)]) for _, c in self.after[h])
+    def p(self, history, w):
+        if not history:
+            c = self.one.get(w, 0)
+            return c * self.d[1][min(c, 6)] / self.total if c else self.left / self.total
+        if history not in self.after:
+            return self.p(history[1:], w)
+        d, after = self.d[len(history) + 1], self.after[history]
+        total, left = sum(c for _, c in after), sum(c * (1 - d[min(c, 6)]) for _, c in after)
         left, total = (left, total) if left > 1e-12 else (1.0, total + 1)
-        c = self.two.get((h, w), 0)
-        return c * self.d2[min(c, 6)] / total if c else left / total / (1 - sum(self.p1(x) for x, _ in self.after[h])) * self.p1(w)
+        c = self.grams[len(history) + 1].get((*history, w), 0)
+        return c * d[min(c, 6)] / total if c else left / total / (1 - sum(self.p(history[1:], x) for x, _ in after)) * self.p(history[1:], w)
 
     def score(self, t):
-        tokens = self.tokens(t)
-        return sum(math.log10(self.p2(h, w)) for h, w in zip(["<s>", *tokens[:-1]], tokens))
+        tokens = ["<s>", *self.tokens(t)]
+        return sum(math.log10(self.p(tuple(tokens[max(0, i - self.order + 1) : i]), tokens[i])) for i in range(1, len(tokens)))
 
 
-def check(df, pairs, held):
-    model = Plain([t for d, t in pairs if not held(d)])
-    got = katz.score(df, F.col("doc_id") % 5 == 1).collect()
+def check(df, pairs, held, order=3):
+    model = Plain([t for d, t in pairs if not held(d)], order)
+    got = katz.score(df, F.col("doc_id") % 5 == 1, order=order).collect()
     assert len(got) == len(pairs)
     texts = defaultdict(list)
     for d, t in pairs:
@@ -60,8 +84,8 @@ def check(df, pairs, held):
     for r in got:
         tokens = [Plain.tokens(t) for t in texts[r.doc_id]]
         assert any(
-            r.n_tokens == len(k) and r.n_known == sum(w in model.one for w in k) and r.score == pytest.approx(model.score(t), rel=1e-9)
-            and r.base_score == pytest.approx(sum(math.log10((model.one[w] + 0.5) / (model.n + 0.5 * (model.v + 1))) for w in k), rel=1e-9)
+            r.n_tokens == len(k) and r.n_known == sum(w in model.one for w in k) and r.score == pytest.approx(model.score(t), rel=1e-8)
+            and r.base_score == pytest.approx(sum(math.log10((model.one.get(w, 0) + 0.5) / (model.n + 0.5 * (model.v + 1))) for w in k), rel=1e-9)
             for k, t in zip(tokens, texts[r.doc_id])
         )
         assert r.train_tokens == model.n and r.held_out == held(r.doc_id)
@@ -69,9 +93,17 @@ def check(df, pairs, held):
 
 
 def test_documents(rows, documents):
-    model = check(rows(documents), documents, lambda d: d % 5 == 1)
-    for h in ["<s>", "the", *list(model.context)[:5]]:
-        assert sum(model.p2(h, w) for w in model.one) + model.p2(h, "\0") == pytest.approx(1, abs=1e-9)
+    texts = [(d, (t or "")[:900]) for d, t in documents]
+    model = check(rows(texts), texts, lambda d: d % 5 == 1)
+    some = ["<s>", *list(model.one)[:6]]
+    for history in [(h,) for h in some] + [g[:-1] for g in list(model.grams[3])[:6]]:
+        assert sum(model.p(history, w) for w in model.one) + model.p(history, "\0") == pytest.approx(1, abs=1e-9)
+
+
+@pytest.mark.parametrize("order", [1, 2, 4])
+def test_other_orders(rows, documents, order):
+    texts = [(d, (t or "")[:300]) for d, t in documents[:80]]
+    check(rows(texts), texts, lambda d: d % 5 == 1, order)
 
 
 def test_odd_rows(rows):
@@ -79,3 +111,18 @@ def test_odd_rows(rows):
     check(rows(pairs), pairs, lambda d: d is not None and d % 5 == 1)
     assert katz.score(rows(pairs).limit(0), F.lit(False)).count() == 0
     assert {(r.score, r.base_score) for r in katz.score(rows(pairs), F.lit(True)).collect()} == {(0.0, 0.0)}
+
+
+def test_stored_tables_score_another_corpus(spark, rows, documents, tmp_path):
+    texts = [(d, (t or "")[:300]) for d, t in documents]
+    old, new = texts[:120], [*texts[120:], (9000, None), (9001, "words never seen anywhere before"), (None, texts[0][1])]
+    katz.save(rows(old), f"{tmp_path}/model")
+    model = Plain([t for _, t in old], 3)
+    got = {r.doc_id: r for r in katz.score_saved(spark, rows(new), f"{tmp_path}/model").collect()}
+    assert len(got) == len(new)
+    for d, t in new:
+        assert got[d].score == pytest.approx(model.score(t), rel=1e-8)
+        assert (got[d].n_tokens, got[d].n_known) == (len(Plain.tokens(t)), sum(w in model.one for w in Plain.tokens(t)))
+    stored = spark.read.parquet(f"{tmp_path}/model/grams/level=3")
+    assert stored.agg(F.sum("n")).first()[0] == sum(model.grams[3].values())
+    assert {r.bucket for r in stored.select("bucket").distinct().collect()} > {0}
