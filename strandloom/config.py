@@ -43,6 +43,8 @@ BIG_EXON_DIST_TO_EJ = 400
 RT_WINDOW = 8
 RT_CONTEXT = 12
 RT_MISMATCH = 1
+WIGGLE_SWITCH = (2, 4)
+PEAK_HEIGHT, PEAK_DISTANCE, PEAK_PROMINENCE = 0.01, 50, 0.01
 NAG_PATTERNS = ("CAG", "TAG", "AAG")
 
 # base frequencies (A, C, G, T): background, first and second consensus position of an acceptor

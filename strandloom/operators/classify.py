@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from strandloom import config
 from strandloom.config import SCALE
+from strandloom.functions.dna import acceptor_score
 from strandloom.operators.intervals import point_join
 
 
@@ -62,6 +63,30 @@ def support() -> Column:
     return F.when(c("is_rt") & c("is_toga"), "SPLICED").when(c("is_rt"), "RT").when(c("is_toga") | ai | often | entropy, "SPLICED").otherwise("UNCLEAR")
 
 
+def with_max_entropy(introns: DataFrame, donors: DataFrame, acceptors: DataFrame) -> DataFrame:
+    """``introns`` (donor and acceptor contexts) with me_donor and me_acceptor.
+
+    ``donors``: (kmer, score), met by the 9 bases from the 8th on; missing ones score 0. ``acceptors``:
+    (kmer, s0 to s8); there are at most 4^7 k-mers, so the table is one row, a map.
+    """
+    scores = F.array(*(F.col(f"s{i}") for i in range(9)))
+    table = acceptors.agg(F.map_from_entries(F.collect_list(F.struct("kmer", scores))).alias("_t"))
+    d = donors.select(F.col("kmer").alias("_k"), F.col("score").alias("_d"))
+    x = introns.withColumn("_k", F.substring("donor", 9, 9)).join(d, "_k", "left").join(F.broadcast(table))
+    return x.withColumns({"me_donor": F.coalesce("_d", F.lit(0.0)), "me_acceptor": acceptor_score(F.col("acceptor"), F.col("_t"))}).drop("_k", "_d", "_t")
+
+
+def wiggled(introns: DataFrame, annotated: DataFrame, by: tuple[int, ...] = config.WIGGLE_SWITCH) -> DataFrame:
+    """``introns`` (comp, istart, iend) where an intron beside each, moved by one of ``by`` to either side,
+    is in ``annotated``: those are SPLICED and annotated, whatever they were."""
+    moves = F.array(*(F.lit(m) for w in by for m in (-w, w)))
+    keys = ["comp", "istart", "iend"]
+    near = introns.select("comp", "istart", "iend", F.explode(moves).alias("_m")).select("comp", (F.col("istart") + F.col("_m")).alias("istart"), (F.col("iend") + F.col("_m")).alias("iend"))
+    hit = near.join(annotated.select(*keys), keys, "left_semi").distinct().withColumn("_hit", F.lit(True))
+    x = introns.join(hit, keys, "left")
+    return x.withColumns({"is_toga": F.coalesce("_hit", F.lit(False)) | F.col("is_toga"), "support": F.when(F.col("_hit"), "SPLICED").otherwise(F.col("support"))}).drop("_hit")
+
+
 def nag_shift(introns: DataFrame, contexts: Column, patterns: tuple[str, ...] = config.NAG_PATTERNS) -> DataFrame:
     """Extra introns of annotated AG acceptors whose triplet before (-3) or after (+3) is NAG.
 

@@ -48,6 +48,58 @@ def profile(seq: str, model: Model) -> np.ndarray:
     return total / np.maximum(count, 1)
 
 
+def one_hot(seq: str, width: int = WIDTH) -> np.ndarray:
+    """width x 4 numbers (A, C, G, T) of a slice; other letters, and what is missing at the end, are zeros."""
+    codes = np.frombuffer(seq[:width].ljust(width, "X").encode(), np.uint8)
+    return (codes[:, None] == np.frombuffer(b"ACGT", np.uint8)).astype(np.float32)
+
+
+def peaks(p: np.ndarray, height: float = config.PEAK_HEIGHT, distance: int = config.PEAK_DISTANCE, prominence: float = config.PEAK_PROMINENCE) -> list[int]:
+    """Places of local maxima (the middle of a plateau) of at least ``height``; of those nearer than
+    ``distance`` the highest stays; then each must rise by ``prominence`` above the higher of the lows
+    that part it from higher ground, or from the ends."""
+    if len(p) < 3:
+        return []
+    start = np.concatenate(([0], np.flatnonzero(p[1:] != p[:-1]) + 1))
+    end, value = np.append(start[1:], len(p)), p[start]
+    top = np.flatnonzero((value[1:-1] > value[:-2]) & (value[1:-1] > value[2:])) + 1
+    top = top[value[top] >= height]
+    at = (start[top] + end[top] - 1) // 2
+    kept: list[int] = []
+    for i in at[np.lexsort((-at, -p[at]))].tolist():
+        if all(abs(i - k) >= distance for k in kept):
+            kept.append(i)
+
+    def rise(i: int) -> float:
+        above = np.flatnonzero(p > p[i])
+        left, right = above[above < i], above[above > i]
+        lo, hi = (int(left[-1]) + 1 if len(left) else 0), (int(right[0]) if len(right) else len(p))
+        return float(p[i] - max(p[lo : i + 1].min(), p[i:hi].min()))
+
+    return sorted(i for i in kept if rise(i) >= prominence)
+
+
+def window_peaks(windows: DataFrame, load: Callable[[], Model], best_only: bool = False) -> DataFrame:
+    """(chrom, position, name, place, score, strand): the peaks of each window's profile; ``best_only``: its highest place instead."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for pdf in batches:
+            out = []
+            for w in pdf.itertuples():
+                p = profile(w.seq, model)
+                for i in [int(p.argmax())] if best_only and len(p) else peaks(p):
+                    out.append((w.chrom, w.end - i - 1 if w.strand == "-" else w.start + i - 1, w.name, i, float(p[i]), w.strand))
+            yield pd.DataFrame(out, columns=["chrom", "position", "name", "place", "score", "strand"])
+
+    return windows.select("chrom", "start", "end", "name", "strand", "seq").mapInPandas(run, "chrom string, position long, name string, place long, score double, strand string")
+
+
+def highest(scored: DataFrame, key: str = "name") -> DataFrame:
+    """(key, start, score): the place of the largest score of each key, the first of equal ones."""
+    return scored.groupBy(key).agg(F.min(F.struct((-F.col("score")).alias("s"), F.col("start").alias("start"))).alias("_b")).select(key, F.col("_b.start").alias("start"), (-F.col("_b.s")).alias("score"))
+
+
 def score_windows(windows: DataFrame, load: Callable[[], Model], least: float = config.APARENT_THRESHOLD) -> DataFrame:
     """(chrom, start, end, id, score, strand) of positions that reach ``least``.
 

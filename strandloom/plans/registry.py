@@ -6,11 +6,13 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from strandloom import config
 from strandloom.functions import coords, dna
 from strandloom.operators import classify, components, fusion, nmd, polya, retention, truncation
 from strandloom.operators.components import Mode, Overlap
 from strandloom.plans import fixtures
 from strandloom.plans.fixtures import EXONS_SQL, transcripts
+from strandloom.sources import text
 from strandloom.workspace import materialize
 
 QUERIES: dict = {}
@@ -663,3 +665,66 @@ def bed12_line(spark, sf):
 @query("reference_frames", INTRON_TABLE + " SELECT in_frame, count(*) AS n, CAST(sum(e - s) AS BIGINT) AS bases FROM it GROUP BY in_frame")
 def reference_frames(spark, sf):
     return classify.intron_table(_packed_once(spark, sf, Mode.INTRON)).groupBy("in_frame").agg(F.count("*").alias("n"), F.sum(F.col("iend") - F.col("istart")).alias("bases"))
+
+
+# --- keys, lines, tracks ----------------------------------------------------------------------------
+
+
+@query("nested_attributes", BASE + " SELECT chrom, tstart % 97 AS key, string_agg(concat(tend, '-', k), ',' ORDER BY tend, k) AS attributes FROM tx GROUP BY ALL")
+def nested_attributes(spark, sf):
+    tx = transcripts(spark, sf).withColumn("bin", F.col("start") % 97)
+    found = text.nested_attributes(tx, "bin", "end", "k")
+    return found.select("chrom", "key", F.array_join(F.transform("attributes", lambda a: F.concat_ws("-", a["end"].cast("string"), a["k"].cast("string"))), ",").alias("attributes"))
+
+
+@query("first_of_key", BASE + """, ky AS (SELECT chrom, tstart, tend, k, concat('p_', upper(split_part(CASE WHEN is_ref THEN concat('TX.G', k - k % 40, '.', k) ELSE concat('R', k, '_', chrom) END, '.', 2)), '_s') AS key, is_ref FROM tx),
+ kz AS (SELECT chrom, CASE WHEN is_ref THEN key ELSE concat('p_', upper(concat('R', k, '_', chrom)), '_s') END AS key, tstart, tend, k FROM ky)
+ SELECT chrom, key, min_by(k, (tstart, k)) AS k, min(tstart) AS "start" FROM kz GROUP BY ALL""")
+def first_of_key(spark, sf):
+    tx = transcripts(spark, sf).select("chrom", "start", "k", F.when(F.col("is_ref"), F.col("name")).otherwise(F.concat_ws("_", F.concat(F.lit("R"), F.col("k")), "chrom")).alias("name"))
+    found = text.first_of_key(tx, text.key_of("name", split=(".", 1), case="upper", prefix="p_", suffix="_s"), "start", "k")
+    return found.select("chrom", "key", "k", "start")
+
+
+@query("padded_key", BASE + " SELECT k, CAST(greatest(tstart - 5000, 0) AS VARCHAR) AS low, CAST(tstart + 5000 AS VARCHAR) AS high FROM tx")
+def padded_key(spark, sf):
+    return transcripts(spark, sf).select("k", text.key_of("start", padding=-5000).alias("low"), text.key_of("start", padding=5000).alias("high"))
+
+
+LINE_SQL = """, bx AS (SELECT k, count(*) AS n, string_agg(e - s, ',' ORDER BY s, e) AS sizes, string_agg(s - ps, ',' ORDER BY s, e) AS offs FROM plain JOIN pt USING (k) GROUP BY k),
+ ln AS (SELECT tx.k, chrom, ps, pe, strand, pcs, pce, n, sizes, offs FROM tx JOIN pc USING (k) JOIN bx USING (k) WHERE is_ref)"""
+
+
+@query("bed_line_clamped", BASE + LINE_SQL + """ SELECT k, concat_ws(chr(9), chrom, ps, pe, concat('TX.G', k - k % 40, '.', k), '0', strand, greatest(CASE WHEN strand = '-' THEN pcs - 7 ELSE pcs - 40 END, ps), least(CASE WHEN strand = '-' THEN pce + 40 ELSE pce + 7 END, pe), '0,0,0', n, concat(sizes, ','), concat(offs, ',')) AS line FROM ln""")
+def bed_line_clamped(spark, sf):
+    tx = transcripts(spark, sf).where("is_ref")
+    moved = text.with_cds(tx, F.col("cds_start") - 40, F.col("cds_end") + 7)
+    lines = text.bed12_lines(moved.withColumns({"score": F.lit("0"), "rgb": F.lit("0,0,0")}))
+    return lines.select(F.regexp_extract("line", r"TX\.G[0-9]+\.([0-9]+)", 1).cast("long").alias("k"), "line")
+
+
+@query("edited_lines", BASE + LINE_SQL + """ SELECT concat_ws(chr(9), chrom, ps, pe, concat('N', ps), '0', strand, pcs, pce, '222,166,62', n, concat(sizes, ','), concat(offs, ',')) AS line FROM ln""")
+def edited_lines(spark, sf):
+    lines = text.bed12_lines(transcripts(spark, sf).where("is_ref").withColumns({"score": F.lit("0"), "rgb": F.lit("0,0,0")}))
+    named = lines.select(text.with_field(F.col("line"), 3, F.concat(F.lit("N"), F.split("line", "\t")[1])).alias("line"))
+    return named.select(text.with_field(F.col("line"), 8, config.REVIEW_RGB).alias("line"))
+
+
+@query("wiggle_switch", INTRON_TABLE + """, wh AS (SELECT DISTINCT a.comp, a.s, a.e, true AS hit FROM su a JOIN (VALUES (-2), (2), (-4), (4)) v(m) ON true JOIN su b ON b.comp = a.comp AND b.s = a.s - m AND b.e = a.e - m WHERE a.is_toga)
+ SELECT comp, s AS istart, e AS iend, is_toga OR coalesce(hit, false) AS is_toga, CASE WHEN hit THEN 'SPLICED' ELSE support END AS support FROM su LEFT JOIN wh USING (comp, s, e)""")
+def wiggle_switch(spark, sf):
+    t = materialize(scored_introns(_packed_once(spark, sf, Mode.INTRON)), "introns")
+    return classify.wiggled(t, t.where("is_toga")).select("comp", "istart", "iend", "is_toga", "support")
+
+
+@query("bedgraph_lines", BASE + " SELECT strand, concat_ws(chr(9), chrom, ps, pe, CAST(k % 100 AS DOUBLE) / 8) AS line FROM tx JOIN pt USING (k)")
+def bedgraph_lines(spark, sf):
+    b = fixtures.bed12(spark, sf)
+    return text.bedgraph_lines(b.select("chrom", "start", "end", ((F.col("k") % 100).cast("double") / 8).alias("score"), "strand"))
+
+
+@query("highest_place", BASE + " SELECT chrom AS name, min_by(tend, (-(k % 100), tend)) AS \"start\", CAST(max(k % 100) AS DOUBLE) / 8 AS score FROM tx GROUP BY chrom")
+def highest_place(spark, sf):
+    from strandloom.operators.cutsites import highest
+
+    return highest(transcripts(spark, sf).select(F.col("chrom").alias("name"), F.col("end").alias("start"), ((F.col("k") % 100).cast("double") / 8).alias("score")))

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from strandloom.config import EXPANSION_SIZE, SCALE
@@ -84,6 +84,81 @@ def nested_scores(rows: DataFrame) -> DataFrame:
     return rows.groupBy("chrom", "key").agg(F.array_sort(F.collect_list("score")).alias("scores"))
 
 
+def nested_attributes(rows: DataFrame, key: str, *attributes: str) -> DataFrame:
+    """(chrom, key, attributes): all attribute tuples of a key, in order."""
+    return rows.groupBy("chrom", F.col(key).alias("key")).agg(F.array_sort(F.collect_list(F.struct(*attributes))).alias("attributes"))
+
+
+def first_of_key(rows: DataFrame, key: Column | str, *order: str) -> DataFrame:
+    """One row per chrom and key, the first in ``order``; null keys are left out."""
+    keyed = rows.withColumn("key", F.col(key) if isinstance(key, str) else key).where("key is not null")
+    pick = F.struct(*order, *(c for c in rows.columns if c not in order and c not in ("chrom", "key")))
+    return keyed.groupBy("chrom", "key").agg(F.min(pick).alias("_r")).select("chrom", "key", "_r.*")
+
+
+def key_of(column: str, split: tuple[str, int] | None = None, case: str | None = None, prefix: str = "", suffix: str = "", padding: int = 0) -> Column:
+    """A column as key: one part of it (the whole where there is no such part), upper or lower case, with
+    prefix and suffix, or a number moved by ``padding``, which never falls below 0 (text counts as 0)."""
+    k = F.col(column).cast("string")
+    if padding:
+        return F.greatest(F.coalesce(F.expr(f"try_cast(`{column}` as bigint)"), F.lit(0)) + padding, F.lit(0)).cast("string")
+    if split:
+        parts = F.split(k, F.lit("\\Q" + split[0] + "\\E"))
+        k = F.coalesce(F.get(parts, F.lit(split[1])), k)
+    k = {"upper": F.upper, "lower": F.lower}.get(case, lambda x: x)(k)
+    return F.concat(F.lit(prefix), k, F.lit(suffix))
+
+
+def with_field(line: Column, place: int, value: Column | str) -> Column:
+    """A tab-separated line whose field ``place`` (from 0) is ``value``: 3 renames a BED line, 8 recolours it.
+
+    Lines with fewer fields stay as they are.
+    """
+    f = F.split(line, "\t", -1)
+    new = F.lit(value) if isinstance(value, str) else value
+    put = F.array_join(F.concat(F.slice(f, 1, place), F.array(new), F.slice(f, F.lit(place + 2), F.size(f))), "\t")
+    return F.when(F.size(f) > place, put).otherwise(line)
+
+
+def with_cds(tx: DataFrame, cds_start: Column, cds_end: Column) -> DataFrame:
+    """Oriented transcripts with another CDS, kept within their bounds, as ``bed12_lines`` then renders it."""
+    return tx.withColumns({"cds_start": F.greatest(cds_start, F.col("start")), "cds_end": F.least(cds_end, F.col("end"))})
+
+
+def bedgraph_lines(scored: DataFrame) -> DataFrame:
+    """(strand, line) of (chrom, start, end, score, strand): four bedGraph columns."""
+    return scored.select("strand", F.concat_ws("\t", "chrom", "start", "end", F.col("score").cast("string")).alias("line"))
+
+
+def write_bedgraph(scored: DataFrame, path: str) -> None:
+    """One folder a strand, each part sorted by chrom and start."""
+    ordered = scored.repartition("strand", "chrom").sortWithinPartitions("strand", "chrom", "start")
+    bedgraph_lines(ordered).write.mode("overwrite").partitionBy("strand").text(path)
+
+
+def read_max_entropy(spark: SparkSession, paths: str | list[str], schema: str = MAXENT_ACCEPTOR) -> DataFrame:
+    """k-mers with their scores (MAXENT_ACCEPTOR: nine, MAXENT_DONOR: one); of repeated k-mers the first by value."""
+    x = _read(spark, paths, schema)
+    return x.groupBy(F.upper("kmer").alias("kmer")).agg(F.min(F.struct(*x.columns[1:])).alias("_s")).select("kmer", "_s.*")
+
+
+def check_input(spark: SparkSession, path: str, suffixes: tuple[str, ...] = (".bed", ".tsv")) -> str:
+    """``path`` if it is a non-empty file with one of the suffixes, in any store that Spark reads; else ValueError."""
+    jvm = spark.sparkContext._jvm
+    where = jvm.org.apache.hadoop.fs.Path(path)
+    fs = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    if not fs.exists(where):
+        raise ValueError(f"{path} does not exist")
+    status = fs.getFileStatus(where)
+    if not status.isFile():
+        raise ValueError(f"{path} is not a file")
+    if not path.endswith(suffixes):
+        raise ValueError(f"{path} does not end in {' or '.join(suffixes)}")
+    if status.getLen() == 0:
+        raise ValueError(f"{path} is empty")
+    return path
+
+
 def distinct_lines(lines: DataFrame) -> DataFrame:
     return lines.dropDuplicates(["line"])
 
