@@ -1,5 +1,7 @@
 """Coordinate vectors: clipping, gaps, mirroring, ORF mapping."""
 
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -21,14 +23,32 @@ def test_mirrored(spark, strand, expected):
     assert tuple(spark.range(1).select(a, b).first()) == expected
 
 
-@pytest.mark.parametrize("args, exons, introns", [
-    (("+", "0,30", "10,10", 10, 50, 15, 45), [(15, 20), (40, 45)], [(21, 39)]),
-    (("-", "0,20,40,60,80", "10,10,10,10,10", 10, 100, 30, 80), [(S - 80, S - 70), (S - 60, S - 50), (S - 40, S - 30)], [(S - 69, S - 61), (S - 49, S - 41)]),
-    (("+", "0,20,40,60,80,", "10,10,10,10,10,", 10, 100, 15, 95), [(15, 20), (30, 40), (50, 60), (70, 80), (90, 95)], [(21, 29), (41, 49), (61, 69), (81, 89)]),
-    (("-", "0,20,40,60", "10,10,10,10", 10, 80, 15, 75), [(S - 75, S - 70), (S - 60, S - 50), (S - 40, S - 30), (S - 20, S - 15)], [(S - 69, S - 61), (S - 49, S - 41), (S - 29, S - 21)]),
-])
-def test_cds_clip(spark, args, exons, introns):
-    assert clipped(spark, *args) == (exons, introns)
+def plain_clip(strand, blocks, cs, ce):
+    """Exons cut to the CDS and the gaps between them, from the bases each exon has within it."""
+    kept = []
+    for s, e in blocks:
+        if e >= cs and s <= ce:
+            bases = [x for x in range(s, e + 1) if cs <= x <= ce]
+            kept.append((bases[0], bases[-1]) if strand == "+" else (S - bases[-1], S - bases[0]))
+    kept = sorted(set(kept))
+    return kept, [(a[1] + 1, b[0] - 1) for a, b in zip(kept, kept[1:]) if b[0] - a[1] > 2]
+
+
+@pytest.mark.parametrize("strand", ["+", "-"])
+def test_cds_clip(spark, strand):
+    rng = random.Random(8)
+    for _ in range(6):
+        at, blocks = rng.randrange(500), []
+        for _ in range(rng.randrange(1, 9)):
+            size = rng.randrange(1, 30)
+            blocks.append((at, at + size))
+            at += size + rng.randrange(1, 25)
+        start, end = blocks[0][0], blocks[-1][1]
+        cs = rng.randrange(start, end)
+        ce = rng.randrange(cs, end + 1)
+        tail = rng.choice(("", ","))
+        sizes, starts = (",".join(str(v) for v in c) + tail for c in ([e - s for s, e in blocks], [s - start for s, _ in blocks]))
+        assert clipped(spark, strand, starts, sizes, start, end, cs, ce) == plain_clip(strand, blocks, cs, ce)
 
 
 def test_read_tags(spark):
