@@ -227,8 +227,12 @@ def _remaining(members: DataFrame, t: float) -> DataFrame:
         rep, comp, size = (table[c].to_numpy() for c in ("rep", "comp", "size"))
         sk = np.frombuffer(b"".join(table["sketch"].to_pylist()), np.uint8).reshape(len(rep), -1)
         bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(rep), -1)
-        here = int(np.flatnonzero(bands[0] == table["key"][0].as_py())[0])
-        r = np.flatnonzero(~left)
+        # an id with several texts comes with the bands of each; those of another bucket do not count
+        mine_here = bands == table["key"][0].as_py()
+        held = mine_here.any(axis=1)
+        here = int(mine_here[held][0].argmax()) if held.any() else 0
+        left &= held
+        r = np.flatnonzero(~left & held)
         a, b = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
         for i in np.flatnonzero(left):
             mine = r[comp[r] != comp[i]]
@@ -245,8 +249,9 @@ def near_duplicates(docs: DataFrame, text: str = "text", key: str = "doc_id", sh
     """``(doc_id, n_shingles, component_id, kept)``, one row per input row.
 
     Null or empty texts and texts without words have an empty set, are linked with nothing and are
-    kept. Rows with a null key are kept under a null component. Repeated keys with equal text share
-    a component. An empty table gives an empty result. Other columns are ignored.
+    kept. Rows with a null key are kept under a null component. Rows of one key are one document,
+    which has the links of all their texts. An empty table gives an empty result. Other columns are
+    ignored.
     """
     docs = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     k = bands * rows

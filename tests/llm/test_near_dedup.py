@@ -87,3 +87,10 @@ def test_odd_rows(rows):
     repeated = near_duplicates(rows([(9, "a b c d e f"), (9, "a b c d e f"), (None, "a b c d e f")])).collect()
     assert sorted((str(r.doc_id), str(r.component_id), r.kept) for r in repeated) == [("9", "9", True), ("9", "9", True), ("None", "9", False)]
     assert result(rows(pairs).limit(0)) == {}
+
+
+def test_rows_of_one_id_with_several_texts(rows):
+    base = lambda p, n=60: " ".join(f"{p}{i}" for i in range(n))
+    pairs = [(5, base("a")), (5, base("b")), (6, base("a", 55)), (7, base("b", 55)), (8, base("c")), (8, base("d"))] + [(20 + i, base("b", 50 + i % 5) + f" x{i}") for i in range(12)]
+    got = {(r.doc_id, r.component_id) for r in near_duplicates(rows(pairs)).collect()}
+    assert got == {(d, 8 if d == 8 else 5) for d, _ in pairs}
