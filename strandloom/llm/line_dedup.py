@@ -23,6 +23,7 @@ the plain form of one row an entry.
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Iterator
 
 import numpy as np
@@ -40,7 +41,7 @@ from strandloom.workspace import shuffle_width
 NUM, DEN, MIN_WORDS = 80, 100, 3
 PAIRS = 1 << 20
 TOKEN_BITS = 40
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 12 << 20
 MIDDLE, LONG = 80, 200
 
 
@@ -53,10 +54,6 @@ class _Lines:
         table = table.take(order)
         self.table, self.keys = table, keys.take(order).to_numpy()
         self.buf, self.off = _words.utf8(table["text"])
-        parts = [_words.words(self.buf[self.off[i] : self.off[j]], self.off[i : j + 1] - self.off[i])[:2] for i, j in _words.slices(self.off)]
-        cuts = [self.off[i] for i, _ in _words.slices(self.off)]
-        self.h = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.uint64)
-        at = np.concatenate([p[1] + c for p, c in zip(parts, cuts)]) if parts else np.empty(0, np.int64)
         # a line starts at a text's start and after each line end
         breaks = np.flatnonzero(self.buf == 10) + 1
         lines = np.bincount(np.searchsorted(self.off, breaks - 1, "right") - 1, minlength=len(self.keys)) + 1
@@ -72,13 +69,40 @@ class _Lines:
         self.end[:-1] = begin[1:] - 1
         last = first + lines - 1
         self.end[last] = self.off[1:]
-        self.cut = np.concatenate((np.searchsorted(at, begin), [len(at)]))
         self.key = self.keys[self.doc]
         # rows with one key are numbered on, so that every line has a place of its own
         fresh = np.concatenate(([True], self.key[1:] != self.key[:-1])) if len(self.key) else np.empty(0, bool)
         origin = np.maximum.accumulate(np.where(fresh, np.arange(len(fresh)), 0))
         self.number = np.arange(len(fresh)) - origin
 
+    @functools.cached_property
+    def _hashed(self) -> tuple[np.ndarray, np.ndarray]:
+        parts = [_words.words(self.buf[self.off[i] : self.off[j]], self.off[i : j + 1] - self.off[i])[:2] for i, j in _words.slices(self.off)]
+        cuts = [self.off[i] for i, _ in _words.slices(self.off)]
+        h = np.concatenate([p[0] for p in parts]) if parts else np.empty(0, np.uint64)
+        at = np.concatenate([p[1] + c for p, c in zip(parts, cuts)]) if parts else np.empty(0, np.int64)
+        return h, np.concatenate((np.searchsorted(at, self.start), [len(at)]))
+
+    @property
+    def h(self) -> np.ndarray:
+        """Hashes of all words."""
+        return self._hashed[0]
+
+    @property
+    def cut(self) -> np.ndarray:
+        """Places of the words of each line."""
+        return self._hashed[1]
+
+    def sets(self, lines: np.ndarray) -> list[np.ndarray]:
+        """The distinct words of some lines, of which alone words are taken."""
+        size = (self.end - self.start)[lines]
+        off = np.concatenate(([0], np.cumsum(size)))
+        buf, out = self.buf[spread(self.start[lines], size)], []
+        for i, j in _words.slices(off):
+            h, _, _, first = _words.words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
+            out += [_words.distinct(h[a:b]) for a, b in zip(first[:-1].tolist(), first[1:].tolist())]
+        return out
+
     def marks(self) -> np.ndarray:
         """128-bit hash of each line's word sequence, as two columns."""
         p, inv = _words.powers(len(self.h) + 1)
@@ -300,7 +324,7 @@ def _send(texts: pa.Table, pairs: pa.Table) -> pa.Table:
     for to in np.unique(p[:, 0]).tolist():
         mine = p[p[:, 0] == to]
         lines, which = np.unique(mine[:, 1], return_inverse=True)
-        sets = [_words.distinct(x.h[x.cut[i] : x.cut[i + 1]]) for i in lines.tolist()]
+        sets = x.sets(lines)
         out.append((c, to, "sets", pack(narrow(np.array([len(s) for s in sets])), np.concatenate(sets), narrow(which), mine[:, 2], narrow(mine[:, 3]))))
     return _rows(out)
 
