@@ -17,6 +17,7 @@ import pyarrow.compute as pc
 
 _RNG = np.random.default_rng(20240229)
 _BYTE = _RNG.integers(1, 2**63, 256, dtype=np.uint64) * np.uint64(2) + np.uint64(1)
+_RAW = _BYTE.copy()
 _BYTE[65:91] = _BYTE[97:123]
 _P = np.uint64(0x9E3779B97F4A7C15)
 _PI = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
@@ -103,10 +104,10 @@ def slices(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
         i = min(j, n)
 
 
-def prefix_hash(buf: np.ndarray) -> np.ndarray:
-    """Running sums (n+1) from which span_hash takes the hash of any span."""
+def prefix_hash(buf: np.ndarray, fold: bool = True) -> np.ndarray:
+    """Running sums (n+1) from which span_hash takes the hash of any span; ``fold``: A-Z as a-z."""
     c = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum(_BYTE[buf] * powers(len(buf) + 1)[0][: len(buf)], out=c[1:])
+    np.cumsum((_BYTE if fold else _RAW)[buf] * powers(len(buf) + 1)[0][: len(buf)], out=c[1:])
     return c
 
 

@@ -8,7 +8,10 @@ The suffix array of a whole corpus fits no task, so suffixes are first dealt to
 must be. Each window of ``length`` bytes has an anchor: its gram of GRAM bytes with the least hash.
 Equal windows have equal anchors at equal places, and neighbouring windows mostly share one.
 
-1. Texts are dealt to chunks by key. A chunk sends its distinct anchors' hashes to hash buckets and
+Grams of a repeated pattern (rules of blanks, dashes and the like) are anchors only of windows that
+hold nothing else, so that what stands beside a rule is not dealt to one bucket.
+
+1. Texts are dealt to chunks of about CHUNK_BYTES by key, however wide the shuffle. A chunk sends its distinct anchors' hashes to hash buckets and
    hears which of them other texts hold too.
 2. For those, it sends the run of windows of each anchor as one string, equal strings once with
    their smallest key. The bucket builds the suffix array of its strings, takes the previous
@@ -33,6 +36,7 @@ from strandloom.workspace import shuffle_width
 
 LENGTH, GRAM = 50, 16
 PIECE = 64 << 20
+CHUNK_BYTES = 8 << 20
 #: a bucket is worked off in so many parts of its hash range
 PARTS = 32
 ROW = "bucket int, chunk int, kind string, blob binary"
@@ -69,6 +73,8 @@ def anchor_runs(buf: np.ndarray, off: np.ndarray, length: int = LENGTH) -> tuple
         return none, none, np.empty(0, np.uint64)
     w = words8(buf)
     h = _words.mix(w[: len(buf) - GRAM + 1] * np.uint64(0x9E3779B97F4A7C15) ^ _words.mix(w[8 : len(buf) - GRAM + 9] + np.uint64(1)))
+    # a gram whose halves are equal has a period of 8 bytes or less: it comes last
+    h[w[: len(h)] == w[8 : len(h) + 8]] |= np.uint64(0xFFFFFF << 40)
     low = np.uint64((1 << 27) - 1)
     # place in the low bits: of equal hashes the leftmost is the least
     place = np.arange(len(h), dtype=np.uint64) & low
@@ -118,7 +124,7 @@ class _Chunk:
         for b, bits in answers.items():
             held[cuts[b] : cuts[b + 1]] = np.unpackbits(np.frombuffer(bits, np.uint8), count=cuts[b + 1] - cuts[b])
         run = np.flatnonzero(held[inv])
-        c = _words.prefix_hash(self.buf)
+        c = _words.prefix_hash(self.buf, fold=False)
         same = _words.span_hash(c, self.start[run], self.start[run] + self.count[run] + (LENGTH - 1))
         order = np.lexsort((self.text[run], same, self.hash[run]))
         run, same = run[order], same[order]
@@ -296,7 +302,7 @@ def _cut(buckets: int):
     return run
 
 
-def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id", chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
     """``(doc_id, n_bytes, starts, ends, kept)``, one row per input row: the removed byte spans and the bytes left.
 
     A null or empty text has no bytes. A row with a null key comes after all others; rows with one
@@ -306,9 +312,11 @@ def remove_repeats(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     spark = docs.sparkSession
     width = shuffle_width(spark)
     buckets = max(16, width)
+    size = docs.agg(F.sum(F.octet_length(F.col(text).cast("string")))).first()[0] or 0
+    chunks = max(1, -(-size // chunk_bytes))
     texts = (
         docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-        .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(2 * width)).cast("int"))
+        .withColumn("chunk", F.pmod(F.xxhash64("doc_id"), F.lit(chunks)).cast("int"))
         .repartition(width, "chunk")
     )
     told = texts.groupBy("chunk").applyInArrow(_ask_anchors(buckets), ROW).groupBy("bucket").applyInArrow(_tell_shared, ROW).repartition(width, "chunk")

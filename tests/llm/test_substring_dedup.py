@@ -2,7 +2,7 @@
 
 import numpy as np
 
-from strandloom.llm.substring_dedup import has_previous_factor, remove_repeats, suffix_order
+from strandloom.llm.substring_dedup import anchor_runs, has_previous_factor, remove_repeats, suffix_order
 
 LENGTH = 50
 
@@ -52,3 +52,26 @@ def test_previous_factors():
     text = buf.tobytes()
     for i in range(380):
         assert got[i] == any(keys[j] < keys[i] and text[j : j + 16] == text[i : i + 16] for j in range(380))
+
+
+def test_rules_beside_own_text(rows):
+    pairs = [(i, f"text number {i} begins {i * 7919}" + "-" * 30 + f" and goes on with {i * 104729} of its own" + " " * (40 + i % 3) + "=-" * 20) for i in range(200)]
+    assert result(rows(pairs)) == sorted(brute(pairs), key=order)
+    # a rule is the anchor of windows that hold nothing else only
+    raw = np.frombuffer(b"some words stand before " + b"-" * 40 + b" and after the rule there are others", np.uint8)
+    start, count, _ = anchor_runs(raw, np.array([0, len(raw)]))
+    rule = np.concatenate([anchor_runs(np.frombuffer(b"-" * 60, np.uint8), np.array([0, 60]))[2]])
+    assert not set(anchor_runs(raw, np.array([0, len(raw)]))[2].tolist()) & set(rule.tolist())
+    assert count.sum() == len(raw) - LENGTH + 1 and start[0] == 0
+
+
+def test_small_chunks(rows, documents):
+    few = documents[:60]
+    got = sorted(((r.doc_id, r.n_bytes, bytes(r.kept)) for r in remove_repeats(rows(few), chunk_bytes=5000).collect()), key=order)
+    assert got == sorted(brute(few), key=order)
+
+
+def test_case_counts(rows):
+    head = "The and attion to thanedble the, anea. Eriner thanea. "
+    pairs = [(7, head + "The end"), (66, head + "THE end"), (80, head + "The end")]
+    assert result(rows(pairs)) == sorted(brute(pairs), key=order)
