@@ -7,6 +7,7 @@ a folder below the warehouse is used.
 
 from __future__ import annotations
 
+import re
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +37,14 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def as_scan(df: DataFrame, name: str) -> DataFrame:
+    """``df`` if each task gives its rows in one order whenever it runs, as scans and what keeps rows in
+    place do; else a scan of a table written from it."""
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    nodes = set(re.findall(r"^[\s:+-]*([A-Za-z]+)", plan, re.MULTILINE))
+    return df if nodes <= {"Project", "Filter", "Relation", "LocalRelation", "LogicalRDD"} else materialize(df, name)
+
+
 def shuffle_width(spark: SparkSession) -> int:
     """Number of shuffle partitions of the session."""
     return int(spark.conf.get("spark.sql.shuffle.partitions"))

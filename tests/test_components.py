@@ -82,3 +82,13 @@ def test_intrapriming_sweeps(spark):
     got = {r.k: (r.is_supported, r.forced, r.is_intrapriming) for r in polya.intrapriming(df).collect()}
     # d comes first and finds nothing; b is 4 from a, so within two wiggles; c is 5 from b; d stays odd
     assert got == {1: (True, False, False), 2: (True, False, False), 3: (False, False, True), 4: (False, False, True)}
+
+
+def test_only_shuffled_rows_are_written_for_a_scan(spark, small):
+    from strandloom.workspace import as_scan
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").where("doc_id > 3").select("doc_id", F.upper("text").alias("text"))
+    assert as_scan(docs, "docs") is docs
+    for shuffled in (docs.repartition(3), docs.orderBy("text"), docs.dropDuplicates(["text"]), docs.join(docs.select("doc_id"), "doc_id"), docs.limit(50)):
+        again = as_scan(shuffled, "docs")
+        assert again is not shuffled and again.count() == shuffled.count()
