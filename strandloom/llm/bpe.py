@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import _words
 from strandloom.llm._pack import narrow, pack, unpack
-from strandloom.workspace import shuffle_width
+from strandloom.workspace import as_scan, shuffle_width
 
 CHUNK_CHARS = 12_000_000
 ROW = "bucket int, chunk long, kind string, blob binary"
@@ -173,19 +173,21 @@ def encode(docs: DataFrame, ranks_path: str, pattern: str, text: str = "text", k
     """``(doc_id, ids)``, one row per input row; a null or empty text has no ids.
 
     Special tokens are ordinary text. Null and repeated keys are kept as they are; other columns
-    are ignored. ``docs`` should be a scan: chunks are made of a task's rows in their order.
+    are ignored. Chunks are made of a task's rows in their order, so shuffled rows are written first.
     """
     spark = docs.sparkSession
     ranks = spark.sparkContext.broadcast(read_ranks(ranks_path))
     buckets = max(16, 2 * shuffle_width(spark))
-    rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
+    rows = as_scan(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), "texts")
     placed, words = (rows.mapInArrow(_split(pattern, buckets, chunk_chars, kind), ROW) for kind in ("docs", "words"))
     coded = words.groupBy("bucket").applyInArrow(_encode_bucket(ranks, pattern), ROW)
     return placed.unionByName(coded).groupBy("chunk").applyInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 def decode(coded: DataFrame, ranks_path: str, ids: str = "ids") -> DataFrame:
-    """The columns of ``coded`` and ``decoded``: the concatenated bytes of its ids; null ids: empty. An id outside the table is an error."""
+    """The columns of ``coded`` and ``decoded``: the concatenated bytes of its ids; null ids: empty. An id outside the
+    table is an error. A column ``decoded`` is replaced."""
+    coded = coded.drop("decoded") if ids != "decoded" else coded
     table = coded.sparkSession.sparkContext.broadcast(token_bytes(read_ranks(ranks_path)))
     at = coded.columns.index(ids)
 

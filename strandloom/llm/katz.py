@@ -33,7 +33,7 @@ from pyspark.sql.window import Window
 
 from strandloom.llm import _words
 from strandloom.llm._pack import from_gaps, gaps, narrow, pack, unpack
-from strandloom.workspace import materialize, shuffle_width
+from strandloom.workspace import as_scan, materialize, shuffle_width
 
 CHUNK_BYTES = 8 << 20
 ORDER = 3
@@ -410,7 +410,7 @@ class _Counts:
         spark = docs.sparkSession
         width = shuffle_width(spark)
         self.order, self.buckets = order, max(16, 2 * width)
-        rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train"))
+        rows = as_scan(docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), (~F.coalesce(held_out, F.lit(False))).alias("train")), "texts")
         self.table = materialize(rows.mapInArrow(_word_requests(self.buckets, chunk_bytes), ROW).groupBy("bucket").applyInArrow(_word_bucket(self.buckets), ROW), "words")
         stats = [np.frombuffer(r.blob, np.int64) for r in self.table.where("kind = 'stats'").select("blob").toLocalIterator()]
         total = np.sum(stats, axis=0) if stats else np.zeros(K + 3, np.int64)
@@ -433,7 +433,7 @@ def score(docs: DataFrame, held_out: Column, text: str = "text", key: str = "doc
     ``(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score)``, one row per input
     row; scores are log10 probabilities. A null or empty text is one end token. A null ``held_out``
     counts as training. With no training rows every token is the unknown type, of probability one.
-    ``docs`` must be a scan, whose tasks give their rows in one order: texts are cut twice.
+    Texts are cut twice, in a task's order of rows, so shuffled rows are written first.
     """
     c = _Counts(docs, held_out, text, key, order, chunk_bytes)
     empty = docs.sparkSession.createDataFrame([], f"{ROW}, {CLASSES}")

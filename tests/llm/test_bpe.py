@@ -21,3 +21,12 @@ def test_odd_cases(rows):
     got = bpe.decode(bpe.encode(rows([(None if i == 2 else i, t) for i, t in enumerate(texts)]), path, pattern), path).collect()
     assert {(r.doc_id, tuple(r.ids), bytes(r.decoded)) for r in got} == {(None if i == 2 else i, tuple(encoder.encode_ordinary(t or "")), (t or "").encode()) for i, t in enumerate(texts)}
     assert bpe.encode(rows([(1, "a")]).limit(0), path, pattern).count() == 0
+
+
+def test_shuffled_rows_and_a_column_named_decoded(rows, documents):
+    path, pattern = bpe.default_ranks()
+    texts = dict(documents)
+    coded = bpe.encode(rows(documents).repartition(5, "text").dropDuplicates(["text"]), path, pattern, chunk_chars=50_000)
+    got = bpe.decode(coded.selectExpr("*", "'old' AS decoded"), path).collect()
+    assert len(got) == len(set(texts.values()))
+    assert all(bytes(r.decoded).decode() == texts[r.doc_id] for r in got)
