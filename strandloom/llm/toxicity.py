@@ -24,7 +24,8 @@ from strandloom.llm import _words
 from strandloom.workspace import materialize
 
 SIZES = (3, 4, 5, 6)
-SLOT_BITS = 22
+#: slots that screen n-grams for training, and slots before the table of features (small enough for a cache)
+SLOT_BITS, FILTER_BITS = 22, 18
 PER_CLASS = 4000
 FEATURES = 4096
 MIN_DF = 3
@@ -40,28 +41,33 @@ class Model:
     sizes: tuple[int, ...] = SIZES
 
 
-def slots_of(grams: np.ndarray) -> np.ndarray:
-    """Which slots hold any of the hashes."""
-    held = np.zeros(1 << SLOT_BITS, bool)
-    held[grams >> np.uint64(64 - SLOT_BITS)] = True
+def slots_of(grams: np.ndarray, bits: int = FILTER_BITS) -> np.ndarray:
+    """Which of 2^bits slots hold any of the hashes."""
+    held = np.zeros(1 << bits, bool)
+    held[grams >> np.uint64(64 - bits)] = True
     return held
 
 
-def gram_hashes(buf: np.ndarray, off: np.ndarray, sizes: tuple[int, ...] = SIZES) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """For each n the text and the 64-bit hash of every n-gram of code points that lies within one text."""
-    c = _words.prefix_hash(buf)
-    inv = _words.powers(len(c))[1]
+def gram_hashes(buf: np.ndarray, off: np.ndarray, sizes: tuple[int, ...] = SIZES, held: np.ndarray | None = None) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """For each n the text and the 64-bit hash of every n-gram of code points that lies within one text and, if given, in the slots ``held``."""
     chars = np.append(np.flatnonzero((buf & 0xC0) != 0x80), len(buf))
-    text = np.searchsorted(off, chars[:-1], "right") - 1
+    c = _words.prefix_hash(buf)
+    inv = _words.powers(len(c))[1][chars[:-1]]
+    c = c[chars]
+    ends = np.searchsorted(chars, off)
+    text = np.repeat(np.arange(len(off) - 1), np.diff(ends))
+    left = ends[1:][text] - np.arange(len(text))
     for n in sizes:
-        if len(chars) <= n:
+        if len(text) < n:
             continue
-        s, e = chars[:-n], chars[n:]
-        h = (c[e] - c[s]) * inv[s] + np.uint64(n)
+        h = (c[n:] - c[:-n]) * inv[: len(c) - n] + np.uint64(n)
         h ^= h >> np.uint64(29)
         h *= np.uint64(0xBF58476D1CE4E5B9)
-        within = np.flatnonzero(e <= off[1:][text[: len(s)]])
-        yield text[within], h[within]
+        inside = left[: len(h)] >= n
+        if held is not None:
+            inside &= held[h >> np.uint64(65 - len(held).bit_length())]
+        at = np.flatnonzero(inside)
+        yield text[at], h[at]
 
 
 def _distinct(text: list[np.ndarray], value: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
@@ -83,19 +89,18 @@ def slots(buf: np.ndarray, off: np.ndarray, sizes: tuple[int, ...]) -> tuple[np.
 
 def hashes_in(buf: np.ndarray, off: np.ndarray, sizes: tuple[int, ...], held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, hash) of the n-grams in the slots ``held``."""
-    text, value = [], []
-    for t, h in gram_hashes(buf, off, sizes):
-        hit = held[h >> np.uint64(64 - SLOT_BITS)]
-        text.append(t[hit]), value.append(h[hit])
-    return _distinct(text, value)
+    found = list(gram_hashes(buf, off, sizes, held))
+    return _distinct([t for t, _ in found], [h for _, h in found])
 
 
 def present(buf: np.ndarray, off: np.ndarray, sizes: tuple[int, ...], grams: np.ndarray, held: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Distinct (text, place of a feature in ``grams``)."""
-    t, h = hashes_in(buf, off, sizes, held)
-    i = np.minimum(np.searchsorted(grams, h), max(len(grams) - 1, 0))
-    hit = grams[i] == h if len(grams) else np.zeros(len(h), bool)
-    return t[hit], i[hit]
+    text, place = [], []
+    for t, h in gram_hashes(buf, off, sizes, held):
+        i = np.minimum(np.searchsorted(grams, h), max(len(grams) - 1, 0))
+        hit = grams[i] == h if len(grams) else np.zeros(len(h), bool)
+        text.append(t[hit]), place.append(i[hit])
+    return _distinct(text, place)
 
 
 def _sample(docs: DataFrame, labels: DataFrame, usable: Column, per_class: int) -> DataFrame:
@@ -206,10 +211,11 @@ def fit(docs: DataFrame, labels: DataFrame, usable: Column, text: str = "text",
     p, q = np.array([r.p for r in found]) + 1.0, np.array([r.q for r in found]) + 1.0
     order = np.argsort(grams)
     grams, ratio = grams[order], np.log((p / (n[1] + 1)) / (q / (n[0] + 1)))[order]
-    got = sample.mapInArrow(_vectors(grams, sizes), "ids array<int>, y int").collect()  # at most 2 * per_class rows
-    y = np.array([r.y for r in got], float)
-    rows = np.repeat(np.arange(len(got)), [len(r.ids) for r in got])
-    cols = np.array([i for r in got for i in r.ids], np.int64)
+    got = sample.mapInArrow(_vectors(grams, sizes), "ids array<int>, y int").toArrow()  # at most 2 * per_class rows
+    y = got["y"].to_numpy().astype(float)
+    ids = got["ids"].combine_chunks()
+    rows = np.repeat(np.arange(len(y)), ids.value_lengths().to_numpy())
+    cols = ids.flatten().to_numpy()
     w, b = logistic(rows, cols, ratio[cols], y, len(grams), penalty)
     drawn = n[1] / (n[0] + n[1])
     return Model(grams, w * ratio, float(b + np.log(share / (1 - share)) - np.log(drawn / (1 - drawn))), sizes)
