@@ -15,6 +15,10 @@ where one of them is unseen, its count classes and seen mass), so a frequent n-g
 chunk. Its id is the history one level up. Discounts come from global counts of counts, one row a
 level. Words are 64-bit hashes.
 
+An n-gram that occurs once, in a training text, is closed: as a history it has one successor, known
+where it stands, and nobody else asks for it. So it gets no id, and what follows it is not sent but
+only counted.
+
 ``save`` stores the model as tables: words, n-grams with their probability, and histories with their
 backoff weight, partitioned by level and bucket. ``score_saved`` evaluates any other corpus from them
 by joins, recursively for each token.
@@ -35,7 +39,7 @@ from strandloom.llm import _words
 from strandloom.llm._pack import from_gaps, gaps, narrow, pack, unpack
 from strandloom.workspace import as_scan, materialize, shuffle_width
 
-CHUNK_BYTES = 8 << 20
+CHUNK_BYTES = 16 << 20
 ORDER = 3
 K = 5
 #: floor of the probability not seen after a history, against rounding
@@ -196,8 +200,9 @@ def _restore(table: pa.Table, buckets: int):
 class _Level:
     """Distinct n-grams (history, word) of a chunk in order of bucket, history and word.
 
-    ``history``: one id a token, -1 where it was not seen in training. ``token``: each token's place
-    among the n-grams, or -1. ``rep``: a token of each n-gram.
+    ``history``: one id a token, -1 where there is none to ask for. ``token``: each token's place
+    among the n-grams, or -1. ``rep``: a token of each n-gram. ``seen``: training counts, ``open``:
+    whether texts that are not trained on have it.
     """
 
     def __init__(self, history: np.ndarray, word: np.ndarray, train: np.ndarray, buckets: int):
@@ -216,47 +221,47 @@ class _Level:
         self.history, self.word = history[self.rep], word[self.rep]
         self.token = np.full(len(history), -1, np.int32)
         self.token[at[order]] = group
-        self.seen = np.bincount(group, weights=train[at[order]], minlength=len(self.rep)).astype(np.int64)
+        count = lambda x: np.bincount(group, weights=x, minlength=len(self.rep)).astype(np.int64)
+        self.seen, self.open = count(train[at[order]]), count(~train[at[order]]) > 0
         self.cuts = np.searchsorted(self.history % buckets, np.arange(buckets + 1))
         self.head = np.concatenate(([True], self.history[1:] != self.history[:-1])) if len(self.rep) else np.empty(0, bool)
         self.group = np.cumsum(self.head) - 1
 
-    def requests(self, chunk: int, lower: np.ndarray, buckets: int) -> list[tuple]:
-        """One message a bucket; ``lower``: each token's probability one level down."""
+    def requests(self, chunk: int, counts: np.ndarray, totals: np.ndarray, closed: int, buckets: int) -> list[tuple]:
+        """One message a bucket; ``counts`` and ``totals``: each token's n-gram and history one level down; ``closed``: n-grams not sent."""
         out = []
         for b, (x, y) in enumerate(zip(self.cuts[:-1], self.cuts[1:])):
-            if x < y:
+            if x < y or (closed and b == buckets - 1):
                 head = np.flatnonzero(self.head[x:y])
                 step = self.word[x:y].copy()
                 step[1:] -= np.where(self.head[x + 1 : y], 0, self.word[x : y - 1])
-                below, which = np.unique(np.where(self.seen[x:y] > 0, lower[self.rep[x:y]], 0.0), return_inverse=True)
-                out.append((b, chunk, "grams", pack(narrow(gaps(self.history[x:y][head] // buckets)), narrow(np.diff(np.append(head, y - x))), narrow(step), narrow(self.seen[x:y]), below, narrow(which))))
+                rep = self.rep[x:y]
+                below = np.where(self.seen[x:y] > 0, counts[rep], 0)
+                under = np.zeros(len(head), np.int64)
+                np.maximum.at(under, self.group[x:y] - self.group[x] if x < y else rep, np.where(below > 0, totals[rep], 0))
+                out.append((b, chunk, "grams", pack(narrow(gaps(self.history[x:y][head] // buckets)), narrow(np.diff(np.append(head, y - x))), narrow(step), narrow(self.seen[x:y]), np.packbits(self.open[x:y]), narrow(below), narrow(under), np.array([closed]))))
+                closed = 0
         return out
 
-    def evaluate(self, answers: list[tuple[int, bytes]], n: np.ndarray, lower: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Each token's probability at this level, and the id of its n-gram (0: unseen)."""
-        d = np.append(discounts(n), 1.0)
+    def answered(self, answers: list[tuple[int, bytes]]):
+        """Total, id, and by history: total, whether counts are discounted, what remains by class, mass of seen words."""
         total, ident = np.zeros(len(self.rep), np.int64), np.zeros(len(self.rep), np.int64)
-        size, left, mass = (np.zeros(int(self.head.sum()), t) for t in (np.int64, float, float))
+        size, mass = np.zeros(int(self.head.sum()), np.int64), np.zeros(int(self.head.sum()))
+        left = np.zeros((K + 1, len(size)))
         keeps = np.ones(len(size), bool)
         for b, v in answers:
             x, y = self.cuts[b], self.cuts[b + 1]
+            if x == y:
+                continue
             t, ids, sized, m, *classes = unpack(v)
             total[x:y], ident[x:y] = t, ids
             g = self.group[x]
             size[g : g + len(sized)], keeps[g : g + len(sized)] = sized >> 1, sized & 1
             open_ = g + _open(t.astype(np.int64), self.group[x:y] - g, len(sized))
             mass[open_] = m
-            left[open_] = sum(c.astype(float) * r * (1 - d[r]) for r, c in enumerate(classes, 1))
-        seen = total * d[np.minimum(total, K + 1)] / np.maximum(size + ~keeps, 1)[self.group] if len(self.rep) else np.empty(0)
-        alpha = np.where(keeps, left, 1.0) / np.maximum(size + ~keeps, 1) / np.maximum(1 - mass, LEAST)
-        # a history that starts no n-gram in training (size 0) leaves all to the lower level
-        back = np.where(size > 0, alpha, 1.0)[self.group] * lower[self.rep] if len(self.rep) else np.empty(0)
-        value = np.where(total > 0, seen, back)
-        p, ids = lower.copy(), np.zeros(len(lower), np.int64)
-        known = self.token >= 0
-        p[known], ids[known] = value[self.token[known]], ident[self.token[known]]
-        return p, ids
+            for r, c in enumerate(classes, 1):
+                left[r, open_] = c
+        return total, ident, size, keeps, left, mass
 
 
 def _open(total: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
@@ -265,35 +270,69 @@ def _open(total: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
 
 
 class _Chunk:
-    """Tokens of a chunk's texts, and their probabilities as far as levels are answered."""
+    """Tokens of a chunk's texts, and what is known of their n-grams as far as levels are answered.
+
+    For each token: ``p``, its probability; ``ids``, its n-gram's id (0: none); ``closed``, whether that
+    n-gram is closed; ``counts`` and ``totals``, training counts of the n-gram and of its history.
+    """
 
     def __init__(self, table: pa.Table, buckets: int, words_total: int, types: int, n1: list[int]):
-        self.keys, self.nulls, train, self.n, self.word, self.count = _restore(table, buckets)
+        self.keys, self.nulls, train, self.n, self.word, self.known = _restore(table, buckets)
         self.train, self.buckets = np.repeat(train, self.n), buckets
         self.doc_train = train
         self.first = np.zeros(len(self.word), bool)
         self.first[(np.cumsum(self.n) - self.n)[self.n > 0]] = True
-        self.p, _ = unigram(self.count, words_total, np.array(n1), types)
-        self.ids, self.level = self.word, 1
+        self.p, _ = unigram(self.known, words_total, np.array(n1), types)
+        self.ids, self.level, self.closed = self.word, 1, np.zeros(len(self.word), bool)
+        self.counts, self.totals = self.known, np.full(len(self.word), words_total + (not _discounted(n1)))
 
     def next(self) -> _Level:
         """The n-grams one level up; the first token's only history is the start mark."""
         before = np.concatenate(([0], self.ids[:-1])) if len(self.ids) else self.ids
+        self.closed = ~self.first & np.concatenate(([False], self.closed[:-1])) if len(self.ids) else self.closed
         self.level += 1
-        history = np.where(self.first, 0 if self.level == 2 else -1, np.where(before > 0, before, -1))
+        history = np.where(self.first, 0 if self.level == 2 else -1, np.where((before > 0) & ~self.closed, before, -1))
         return _Level(history, self.word, self.train, self.buckets)
 
-    def climb(self, answered: pa.Table | None, order: int) -> None:
+    def requests(self, chunk: int) -> pa.Table:
+        grams = self.next()
+        return _rows(grams.requests(chunk, self.counts, self.totals, int(self.closed.sum()), self.buckets))
+
+    def climb(self, answers: pa.Table | None, order: int) -> None:
         """Evaluate the levels 2 to ``order`` from their answers."""
-        kinds = answered["kind"].to_pylist() if answered is not None else []
+        kinds = answers["kind"].to_pylist() if answers is not None else []
         for level in range(2, order + 1):
             grams = self.next()
             rows = [i for i, k in enumerate(kinds) if k == f"answer{level}"]
-            if rows:
-                n = np.array([0, *(answered[f"n{r}"][rows[0]].as_py() or 0 for r in range(1, K + 2))])
-                self.p, self.ids = grams.evaluate([(answered["bucket"][i].as_py(), answered["blob"][i].as_buffer()) for i in rows], n, self.p)
-            else:
+            if not rows:
                 self.ids = np.zeros(len(self.word), np.int64)
+                continue
+            d = np.append(discounts(np.array([0, *(answers[f"n{r}"][rows[0]].as_py() or 0 for r in range(1, K + 2))])), 1.0)
+            total, ident, size, keeps, left, mass = grams.answered([(answers["bucket"][i].as_py(), answers["blob"][i].as_buffer()) for i in rows])
+            denom = np.maximum(size + ~keeps, 1)
+            over = sum(left[r] * r * (1 - d[r]) for r in range(1, K + 1))
+            alpha = np.where(keeps, over, 1.0) / denom / np.maximum(1 - mass, LEAST)
+            of = lambda x: x[grams.group] if len(grams.rep) else x[:0]
+            # a history that starts no n-gram in training (size 0) leaves all to the lower level
+            value = np.where(total > 0, total * d[np.minimum(total, K + 1)] / of(denom), of(np.where(size > 0, alpha, 1.0)) * self.p[grams.rep])
+            here = grams.token >= 0
+            at = grams.token[here]
+            fill = lambda x, rest: self._filled(here, at, x, rest)
+            single = (total == 1) & (ident == 0)
+            self.p = fill(value, np.where(self.closed, d[1], self.p))
+            self.ids, self.counts, self.totals = fill(ident, 0), fill(total, np.where(self.closed, 1, 0)), fill(of(denom), 1)
+            self.closed = fill(single, self.closed)
+
+    @staticmethod
+    def _filled(here: np.ndarray, at: np.ndarray, value: np.ndarray, rest) -> np.ndarray:
+        out = np.array(np.broadcast_to(rest, here.shape)).astype(value.dtype)
+        out[here] = value[at]
+        return out
+
+
+def _discounted(n: list[int]) -> bool:
+    """Whether any of the counts that are discounted occurs."""
+    return any(n[1 : K + 1])
 
 
 def _requests(buckets: int, words: tuple):
@@ -301,8 +340,7 @@ def _requests(buckets: int, words: tuple):
 
     @_words.lean
     def run(table: pa.Table) -> pa.Table:
-        chunk = _Chunk(table, buckets, *words)
-        return _rows(chunk.next().requests(table["chunk"][0].as_py(), chunk.p, buckets))
+        return _Chunk(table, buckets, *words).requests(table["chunk"][0].as_py())
 
     return run
 
@@ -316,34 +354,43 @@ def _requests_above(order: int, buckets: int, words: tuple):
             return _rows([])
         chunk = _Chunk(table, buckets, *words)
         chunk.climb(answered if answered.num_rows else None, order)
-        return _rows(chunk.next().requests(table["chunk"][0].as_py(), chunk.p, buckets))
+        return chunk.requests(table["chunk"][0].as_py())
 
     return run
 
 
-def _merge(table: pa.Table):
-    """All chunks' requests of a bucket: per request (chunk, histories, sizes), each entry's n-gram, and the
-    distinct n-grams: history (// buckets), word, total count and lower probability."""
-    asked, hs, ws, seens, lowers = [], [], [], [], []
+def _merge(table: pa.Table, n_lower: list[int]):
+    """All chunks' requests of a bucket: per request (chunk, histories, sizes), each entry's n-gram, and of the
+    distinct n-grams: history (// buckets), word, total count, lower probability, whether they are open;
+    and the number of n-grams not sent."""
+    asked, parts, closed = [], [], 0
     for chunk, v in zip(table["chunk"].to_pylist(), table["blob"]):
-        g, sizes, step, seen, below, which = unpack(v.as_buffer())
+        g, sizes, step, seen, bits, below, under, apart = unpack(v.as_buffer())
         history, sizes = from_gaps(g).astype(np.int64), sizes.astype(np.int64)
+        closed += int(apart[0])
         s = np.cumsum(step.astype(np.int64))
         first = np.cumsum(sizes) - sizes
         asked.append((chunk, history, sizes))
-        hs.append(np.repeat(history, sizes)), ws.append(s - np.repeat(s[first] - step[first].astype(np.int64), sizes))
-        seens.append(seen.astype(np.int64)), lowers.append(below[which])
-    h, w, seen, lower = (np.concatenate(x) for x in (hs, ws, seens, lowers))
+        word = s - np.repeat(s[first] - step[first].astype(np.int64), sizes) if len(s) else s
+        parts.append((np.repeat(history, sizes), word, seen.astype(np.int64), np.unpackbits(bits, count=len(seen)).astype(bool), below.astype(np.int64), np.repeat(under.astype(np.int64), sizes)))
+    h, w, seen, opened, below, under = (np.concatenate(x) for x in zip(*parts))
     ids, rank = np.unique(h, return_inverse=True)
-    order = np.argsort(rank << 32 | (w if int(w.max()) < 1 << 32 else np.unique(w, return_inverse=True)[1]))
-    head = np.concatenate(([True], (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0)))
+    order = np.argsort(rank << 32 | (w if not len(w) or int(w.max()) < 1 << 32 else np.unique(w, return_inverse=True)[1]))
+    head = np.concatenate(([True], (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0))) if len(h) else np.empty(0, bool)
     group = np.empty(len(h), np.int64)
     group[order] = np.cumsum(head) - 1
-    total = np.bincount(group, weights=seen).astype(np.int64)
-    below = np.zeros(len(total))
-    np.maximum.at(below, group, lower)
-    at = order[head]
-    return asked, group, h[at], w[at], total, below
+    at, many = order[head], int(head.sum())
+    total = np.bincount(group, weights=seen, minlength=many).astype(np.int64)
+    is_open = np.bincount(group, weights=opened, minlength=many) > 0
+    count, of = np.zeros(many, np.int64), np.ones(many, np.int64)
+    np.maximum.at(count, group, below), np.maximum.at(of, group, under)
+    d = np.append(discounts(np.array(n_lower)), 1.0)
+    return asked, group, h[at], w[at], total, count * d[np.minimum(count, K + 1)] / of, is_open, closed
+
+
+def _lower_classes(table: pa.Table, n1: list[int]) -> list[int]:
+    """Counts of counts one level down: those that came with the requests, or the words'."""
+    return [0, *(table[f"n{r}"][0].as_py() or 0 for r in range(1, K + 2))] if "n1" in table.column_names else n1
 
 
 def _idents(total: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
@@ -353,25 +400,29 @@ def _idents(total: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
     return np.where(total > 0, rank * buckets + bucket + 1, 0)
 
 
-@_words.lean
-def _gram_stats(table: pa.Table) -> pa.Table:
-    total = _merge(table)[4]
-    n = np.bincount(np.minimum(total, K + 2), minlength=K + 3)
-    return pa.table({f"n{r}": pa.array([int(n[r])], pa.int64()) for r in range(1, K + 2)})
+def _gram_stats(n1: list[int]):
+    @_words.lean
+    def run(table: pa.Table) -> pa.Table:
+        merged = _merge(table, _lower_classes(table, n1))
+        n = np.bincount(np.minimum(merged[4], K + 2), minlength=K + 3)
+        n[1] += merged[7]
+        return pa.table({f"n{r}": pa.array([int(n[r])], pa.int64()) for r in range(1, K + 2)})
+
+    return run
 
 
-def _gram_bucket(level: int, buckets: int, last: bool):
+def _gram_bucket(level: int, buckets: int, last: bool, n1: list[int], whole: bool):
     @_words.lean
     def run(table: pa.Table) -> pa.Table:
         b = table["bucket"][0].as_py()
-        asked, group, h, _, total, lower = _merge(table)
+        asked, group, h, _, total, lower, is_open, _ = _merge(table, _lower_classes(table, n1))
         history, at = np.unique(h, return_inverse=True)
-        size = np.bincount(at, weights=total).astype(np.int64)
-        mass = np.bincount(at, weights=np.where(total > 0, lower, 0.0))
-        classes = [np.bincount(at, weights=total == r).astype(np.int64) for r in range(1, K + 1)]
+        size = np.bincount(at, weights=total, minlength=len(history)).astype(np.int64)
+        mass = np.bincount(at, weights=np.where(total > 0, lower, 0.0), minlength=len(history))
+        classes = [np.bincount(at, weights=total == r, minlength=len(history)).astype(np.int64) for r in range(1, K + 1)]
         # where no count is discounted, one unseen event is added to the history's total
         keeps = np.sum(classes, axis=0) > 0
-        ident = np.zeros(len(total), np.int64) if last else _idents(total, b, buckets)
+        ident = np.zeros(len(total), np.int64) if last else np.where((total == 1) & ~is_open & (not whole), 0, _idents(total, b, buckets))
         out, start = [], 0
         for chunk, mine, sizes in asked:
             i = np.searchsorted(history, mine)
@@ -392,11 +443,11 @@ def _score(order: int, buckets: int, words: tuple):
         chunk = _Chunk(table, buckets, *words)
         chunk.climb(answered if answered.num_rows else None, order)
         doc = np.repeat(np.arange(len(chunk.n)), chunk.n)
-        base = np.log10((chunk.count + 0.5) / (words_total + 0.5 * (types + 1)))
+        base = np.log10((chunk.known + 0.5) / (words_total + 0.5 * (types + 1)))
         add = lambda x: np.bincount(doc, weights=x, minlength=len(chunk.n))
         return pa.table({
             "doc_id": pa.array(chunk.keys, mask=chunk.nulls.astype(bool)), "held_out": pa.array(~chunk.doc_train), "n_tokens": pa.array(chunk.n),
-            "n_known": pa.array(add(chunk.count > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(chunk.n), words_total, np.int64)),
+            "n_known": pa.array(add(chunk.known > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(chunk.n), words_total, np.int64)),
             "base_score": pa.array(add(base)), "score": pa.array(add(np.log10(chunk.p))),
         })
 
@@ -406,7 +457,7 @@ def _score(order: int, buckets: int, words: tuple):
 class _Counts:
     """The plan of all levels' counts: chunks, per level the requests by bucket and the counts of counts."""
 
-    def __init__(self, docs: DataFrame, held_out: Column, text: str, key: str, order: int, chunk_bytes: int):
+    def __init__(self, docs: DataFrame, held_out: Column, text: str, key: str, order: int, chunk_bytes: int, whole: bool = False):
         spark = docs.sparkSession
         width = shuffle_width(spark)
         self.order, self.buckets = order, max(16, 2 * width)
@@ -420,9 +471,11 @@ class _Counts:
         for level in range(2, order + 1):
             grouped = self.chunks.groupBy("chunk")
             asked = grouped.applyInArrow(_requests(self.buckets, self.words), ROW) if level == 2 else grouped.cogroup(self.answers.groupBy("chunk")).applyInArrow(_requests_above(level - 1, self.buckets, self.words), ROW)
+            if level > 2:
+                asked = asked.join(F.broadcast(self.classes[level - 1]))  # one row
             asked = self.asked[level] = asked.repartition(width, "bucket")
-            self.classes[level] = asked.groupBy("bucket").applyInArrow(_gram_stats, CLASSES).agg(*(F.sum(f"n{r}").alias(f"n{r}") for r in range(1, K + 2)))
-            answers = asked.groupBy("bucket").applyInArrow(_gram_bucket(level, self.buckets, level == order), ROW).join(F.broadcast(self.classes[level]))  # one row
+            self.classes[level] = asked.groupBy("bucket").applyInArrow(_gram_stats(self.words[2]), CLASSES).agg(*(F.sum(f"n{r}").alias(f"n{r}") for r in range(1, K + 2)))
+            answers = asked.groupBy("bucket").applyInArrow(_gram_bucket(level, self.buckets, level == order, self.words[2], whole), ROW).join(F.broadcast(self.classes[level]))  # one row
             answers = answers.repartition(width, "chunk")
             self.answers = answers if self.answers is None else self.answers.unionByName(answers)
 
@@ -462,11 +515,11 @@ GRAMS = "bucket int, history long, word long, id long, n long, p double"
 HISTORIES = "bucket int, history long, n long, backoff double"
 
 
-def _gram_table(buckets: int, n: list[int], histories: bool):
+def _gram_table(buckets: int, n: list[int], n1: list[int], histories: bool):
     @_words.lean
     def run(table: pa.Table) -> pa.Table:
         b = table["bucket"][0].as_py()
-        _, _, h, w, total, lower = _merge(table)
+        _, _, h, w, total, lower, _, _ = _merge(table, _lower_classes(table, n1))
         d = np.append(discounts(np.array(n)), 1.0)
         history, at = np.unique(h, return_inverse=True)
         size = np.bincount(at, weights=total)
@@ -491,7 +544,7 @@ def save(docs: DataFrame, path: str, held_out: Column | None = None, text: str =
     ``words`` (hash, id, n, p), and for each level ``grams`` (history, word, id, n, p) and
     ``histories`` (history, n, backoff), partitioned by level and bucket; ``model``: one row of totals.
     """
-    c = _Counts(docs, F.lit(False) if held_out is None else held_out, text, key, order, chunk_bytes)
+    c = _Counts(docs, F.lit(False) if held_out is None else held_out, text, key, order, chunk_bytes, whole=True)
     total, types, n1 = c.words
     unknown = unigram(np.zeros(1, np.int64), total, np.array(n1), types)[1]
     c.table.where("kind = 'table'").select("bucket", "blob").mapInArrow(_word_table(*c.words, c.buckets), "bucket int, hash long, id long, n long, p double").repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/words")
@@ -499,7 +552,7 @@ def save(docs: DataFrame, path: str, held_out: Column | None = None, text: str =
         row = c.classes[level].first()
         n = [0, *(row[f"n{r}"] or 0 for r in range(1, K + 2))]
         for name, histories, schema in (("grams", False, GRAMS), ("histories", True, HISTORIES)):
-            c.asked[level].groupBy("bucket").applyInArrow(_gram_table(c.buckets, n, histories), schema).write.partitionBy("bucket").parquet(f"{path}/{name}/level={level}")
+            c.asked[level].groupBy("bucket").applyInArrow(_gram_table(c.buckets, n, n1, histories), schema).write.partitionBy("bucket").parquet(f"{path}/{name}/level={level}")
     docs.sparkSession.range(1).select(F.lit(order).alias("order"), F.lit(total).alias("tokens"), F.lit(types).alias("types"), F.lit(float(unknown)).alias("unknown")).write.parquet(f"{path}/model")
 
 
