@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from strandloom.workspace import materialize
@@ -25,6 +25,13 @@ def _small_star(edges: DataFrame) -> DataFrame:
     return moved.unionByName(least.select("src", F.col("m").alias("dst"))).distinct()
 
 
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, with their number and digests of them, observed while they are written."""
+    seen, h = Observation(), F.xxhash64("src", "dst")
+    table = materialize(edges.observe(seen, F.count(F.lit(1)).alias("n"), F.bit_xor(h).alias("x"), F.sum(F.pmod(h, F.lit(2**31 - 1))).alias("s")), "cc")
+    return table, tuple(seen.get[k] for k in ("n", "x", "s"))
+
+
 def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", max_rounds: int = 60) -> DataFrame:
     """``(node, component)`` for every node of ``edges``; component = smallest node reachable.
 
@@ -33,16 +40,14 @@ def connected_components(edges: DataFrame, src: str = "src", dst: str = "dst", m
     partial aggregation and by the skew-join rule. Rounds grow with the logarithm of the size.
     """
     pairs = edges.select(F.col(src).alias("src"), F.col(dst).alias("dst")).where("src <> dst")
-    state = materialize(
-        pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct(), "cc"
-    )
-    mark = None
+    state, mark = _written(pairs.select(F.greatest("src", "dst").alias("src"), F.least("src", "dst").alias("dst")).distinct())
     for _ in range(max_rounds):
-        row = state.select(F.count("*").alias("n"), F.sum(F.xxhash64("src", "dst").cast("decimal(38,0)")).alias("h")).first()
-        if (row.n, row.h) == mark or row.n == 0:
+        if not mark[0]:
+            break
+        before = mark
+        state, mark = _written(_small_star(_large_star(state)))
+        if mark == before:
             break
-        mark = (row.n, row.h)
-        state = materialize(_small_star(_large_star(state)), "cc")
     else:
         raise RuntimeError(f"components did not settle in {max_rounds} rounds")
     roots = state.select(F.col("dst").alias("node")).distinct()
