@@ -334,10 +334,10 @@ def _remove(buckets: int, num: int, den: int, min_words: int, carry: list[str]):
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
         spans = pa.list_(pa.int64())
         if not texts.num_rows:
-            return pa.table({"doc_id": texts["doc_id"], "n_lines": pa.array([], pa.int64()), "removed": pa.array([], spans), "kept": pa.array([], pa.string())} | {c: texts[f"_{c}"] for c in carry})
+            return pa.table({"doc_id": texts["doc_id"], "n_lines": pa.array([], pa.int64()), "n_links": pa.array([], pa.int64()), "removed": pa.array([], spans), "kept": pa.array([], pa.string())} | {c: texts[f"_{c}"] for c in carry})
         x = _Lines(texts)
         lines, first = _firsts(x, told, buckets)
-        gone = np.zeros(len(x.start), bool)
+        gone, links = np.zeros(len(x.start), bool), np.zeros(len(x.start), np.int64)
         again = lines[~first]
         gone[again] = True if min_words <= 1 else [len(_words.distinct(x.h[x.cut[i] : x.cut[i + 1]])) >= min_words for i in again.tolist()]
         for k, v in zip(told["kind"].to_pylist(), told["blob"]):
@@ -345,12 +345,13 @@ def _remove(buckets: int, num: int, den: int, min_words: int, carry: list[str]):
                 size, flat, which, key, number = unpack(v.as_buffer())
                 end = np.cumsum(size, dtype=np.int64)
                 for w, i in zip(which.tolist(), x.find(key, number).tolist()):
-                    if not gone[i]:
-                        a, b = flat[end[w] - size[w] : end[w]], _words.distinct(x.h[x.cut[i] : x.cut[i + 1]])
-                        both = np.concatenate((a, b))
-                        both.sort()
-                        shared = int((both[1:] == both[:-1]).sum())
-                        gone[i] = den * shared >= num * (len(both) - shared)
+                    a, b = flat[end[w] - size[w] : end[w]], _words.distinct(x.h[x.cut[i] : x.cut[i + 1]])
+                    both = np.concatenate((a, b))
+                    both.sort()
+                    shared = int((both[1:] == both[:-1]).sum())
+                    links[i] += den * shared >= num * (len(both) - shared)
+        links[again] += gone[again]
+        gone |= links > 0
         per = np.bincount(x.doc, minlength=len(x.keys))
         ends = np.cumsum(per)
         raw, removed, kept = x.buf.tobytes(), [], []
@@ -361,18 +362,21 @@ def _remove(buckets: int, num: int, den: int, min_words: int, carry: list[str]):
                 kept.append(b"\n".join(raw[s:e] for s, e in zip(x.start[i:j][~g].tolist(), x.end[i:j][~g].tolist())).decode())
             else:
                 kept.append(raw[x.start[i] : x.end[j - 1]].decode())
-        return pa.table({"doc_id": x.table["doc_id"], "n_lines": pa.array(per), "removed": pa.array(removed, spans), "kept": pa.array(kept, pa.string())} | {c: x.table[f"_{c}"] for c in carry})
+        return pa.table({"doc_id": x.table["doc_id"], "n_lines": pa.array(per), "n_links": pa.array(np.bincount(x.doc, weights=links, minlength=len(x.keys)).astype(np.int64)), "removed": pa.array(removed, spans), "kept": pa.array(kept, pa.string())} | {c: x.table[f"_{c}"] for c in carry})
 
     return run
 
 
 def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", num: int = NUM, den: int = DEN, min_words: int = MIN_WORDS, carry: tuple[str, ...] = (), chunk_bytes: int = CHUNK_BYTES) -> DataFrame:
-    """``(doc_id, n_lines, removed, kept)``, one row per input row: numbers of the removed lines (from 0) and the text of the others.
+    """``(doc_id, n_lines, n_links, removed, kept)``, one row per input row: numbers of the removed lines (from 0) and the text of the others.
+
+    ``n_links`` counts, over the lines of the row, the different earlier lines that each is similar to;
+    a line with the words of an earlier one in the same order has that one link.
 
     Lines end at line feeds. A null or empty text is one empty line, which stays. Lines without
     words stay. A row with a null key comes after all others; rows with one key come in the order of
     their texts, and their lines count on. An empty table stays empty. Of the other columns those in
-    ``carry`` (none named like the four above) are handed through.
+    ``carry`` (none named like the five above) are handed through.
     """
     spark = docs.sparkSession
     width = shuffle_width(spark)
@@ -389,7 +393,7 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", num: i
     pairs = posted.groupBy("bucket").applyInArrow(_candidates(num, den), ROW)
     sets = texts.groupBy("chunk").cogroup(pairs.groupBy("chunk")).applyInArrow(_send, ROW)
     answers = told.where("kind = 'firsts'").unionByName(sets).repartition(width, "chunk")
-    out = StructType.fromDDL("doc_id long, n_lines long, removed array<long>, kept string")
+    out = StructType.fromDDL("doc_id long, n_lines long, n_links long, removed array<long>, kept string")
     for c in carry:
         out.add(docs.schema[c])
     return texts.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(_remove(buckets, num, den, min_words, list(carry)), out)
@@ -397,4 +401,4 @@ def dedup_lines(docs: DataFrame, text: str = "text", key: str = "doc_id", num: i
 
 def op1_line_dedup(spark, sf_dir: str) -> DataFrame:
     found = dedup_lines(spark.read.parquet(f"{sf_dir}/documents.parquet"), min_words=1)
-    return found.select("doc_id", "n_lines", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), F.sha2("kept", 256).alias("kept_sha256"))
+    return found.select("doc_id", "n_lines", "n_links", F.size("removed").cast("long").alias("n_removed"), F.array_join(F.col("removed").cast("array<string>"), ",").alias("removed_lines"), F.sha2("kept", 256).alias("kept_sha256"))

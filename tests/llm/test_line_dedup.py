@@ -8,26 +8,32 @@ from strandloom.llm.line_dedup import dedup_lines, op1_line_dedup
 
 def brute(pairs, num=80, den=100, min_words=3):
     pairs = sorted(pairs, key=lambda r: (r[0] is None, r[0] or 0, r[1] or ""))
-    lines = [frozenset(line.encode().lower().split()) for _, t in pairs for line in (t or "").split("\n")]
-    index, gone = defaultdict(list), [False] * len(lines)
+    words = [tuple(line.encode().lower().split()) for _, t in pairs for line in (t or "").split("\n")]
+    lines = [frozenset(w) for w in words]
+    index, kinds, links = defaultdict(list), set(), [0] * len(lines)
     for i, s in enumerate(lines):
         if len(s) >= min_words:
+            if words[i] in kinds:
+                links[i] = 1
+                continue
+            kinds.add(words[i])
             shared = defaultdict(int)
             for w in s:
                 for j in index[w]:
                     shared[j] += 1
                 index[w].append(i)
-            gone[i] = any(den * n >= num * (len(s) + len(lines[j]) - n) for j, n in shared.items())
+            links[i] = sum(den * n >= num * (len(s) + len(lines[j]) - n) for j, n in shared.items())
     out, i = [], 0
     for d, t in pairs:
         own = (t or "").split("\n")
-        out.append((d, len(own), [k for k in range(len(own)) if gone[i + k]], "\n".join(x for k, x in enumerate(own) if not gone[i + k])))
+        mine = links[i : i + len(own)]
+        out.append((d, len(own), sum(mine), [k for k, n in enumerate(mine) if n], "\n".join(x for x, n in zip(own, mine) if not n)))
         i += len(own)
     return out
 
 
 def order(x):
-    return (x[0] is None, x[0] or 0, x[3], x[1:3])
+    return (x[0] is None, x[0] or 0, x[4], x[1:4])
 
 
 def result(df):
@@ -62,10 +68,10 @@ def test_short_lines_take_part_in_the_query_and_the_pipeline(spark, tmp_path):
     docs = spark.createDataFrame([(d, t, len(t)) for d, t in pairs], "doc_id long, text string, n_chars int")
     docs.write.parquet(f"{tmp_path}/documents.parquet")
     want = brute(pairs, min_words=1)
-    assert [w[2] for w in want] == [[], [0, 1], [0, 3], [1]]
+    assert [w[3] for w in want] == [[], [0, 1], [0, 3], [1]]
     got = op1_line_dedup(spark, str(tmp_path)).orderBy("doc_id").collect()
-    assert [(r.doc_id, r.n_lines, r.removed_lines) for r in got] == [(d, n, ",".join(map(str, gone))) for d, n, gone, _ in want]
-    assert [r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).orderBy("doc_id").collect()] == [w[3] for w in want]
+    assert [(r.doc_id, r.n_lines, r.n_links, r.removed_lines) for r in got] == [(d, n, links, ",".join(map(str, gone))) for d, n, links, gone, _ in want]
+    assert [r.text for r in corpus_pipeline.drop_repeated_lines(spark, docs, str(tmp_path)).orderBy("doc_id").collect()] == [w[4] for w in want]
 
 
 def test_documents_with_short_lines(rows, documents):
