@@ -51,10 +51,16 @@ def tails(reads: DataFrame, suffix: int = config.POLYA_SUFFIX, step: int = confi
     return x.withColumn("polya_read_len", F.greatest(F.col("polya_len"), F.when(size > 0, read).otherwise(0)))
 
 
+def once(records: DataFrame) -> DataFrame:
+    """Equal (name, start) once."""
+    return records.dropDuplicates(["name", "start"])
+
+
 def segment(records: DataFrame, tag: bool = True) -> DataFrame:
     """Tagged reads with verdict accept or reject; reads below the least identity are left out; equal (name, start) once."""
     x = tails(features(records)).withColumn("three_clip", F.col("three_clip") - F.least("polya_len", "three_clip"))
-    x = x.withColumn("verdict", polya.read_quality(F.col("identity"), F.col("five_clip"), F.col("three_clip"))).where("verdict <> 'drop'").dropDuplicates(["name", "start"])
+    x = x.withColumn("verdict", polya.read_quality(F.col("identity"), F.col("five_clip"), F.col("three_clip"))).where("verdict <> 'drop'")
+    x = once(x)
     return x.withColumn("name", polya.tag_name(F.col("name"), F.col("five_clip"), F.col("three_clip"), F.col("polya_len"), F.col("polya_read_len"), F.col("identity"))) if tag else x
 
 

@@ -47,3 +47,14 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], width: int =
     if closed:
         hit = (F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end"))
     return a.join(b, keys).where(hit & (F.col("_bin") == F.greatest(first("start"), first("r_start")))).drop("_bin", "_rbin")
+
+
+def without_names(rows: DataFrame, banned: DataFrame) -> DataFrame:
+    """Rows whose name is not in a blacklist of names."""
+    return rows.join(banned.select("name").distinct(), "name", "left_anti").select(rows.columns)
+
+
+def without_intervals(rows: DataFrame, banned: DataFrame, start: str = "start", end: str = "end") -> DataFrame:
+    """Rows whose interval is none of a blacklist (chrom, start, end) of intervals."""
+    b = banned.select("chrom", F.col("start").alias(start), F.col("end").alias(end)).distinct()
+    return rows.join(b, ["chrom", start, end], "left_anti").select(rows.columns)

@@ -2,18 +2,20 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from strandloom import config
 from strandloom.functions import coords, dna
-from strandloom.operators import classify, components, fusion, nmd, polya, retention, truncation
+from strandloom.operators import alignments, classify, components, cutsites, descriptor, fusion, intervals, nmd, polya, retention, truncation
 from strandloom.operators.components import Mode, Overlap
 from strandloom.plans import fixtures
 from strandloom.plans.fixtures import EXONS_SQL, transcripts
-from strandloom.sources import text
-from strandloom.workspace import materialize
+from strandloom.sources import sequences, text
+from strandloom.workspace import materialize, shared_dir
 
 QUERIES: dict = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -508,22 +510,137 @@ def score_nested_map(spark, sf):
     return s.select("chrom", "key", F.size("scores").cast("long").alias("n"), F.array_max("scores").alias("max_score"), F.expr("aggregate(scores, 0D, (a, x) -> a + x, a -> a / size(scores))").alias("avg_score"))
 
 
+def _lines(df: DataFrame, name: str, suffix: str = "") -> str:
+    """The rows as a tab-separated folder of the shared directory, for queries that read files."""
+    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}{suffix}"
+    df.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).alias("line")).write.text(path)
+    return path
+
+
 @query("isoform_map", BASE + "SELECT concat('TX.G', k - k % 40, '.', k) AS transcript, concat('G', k - k % 40) AS gene FROM tx WHERE is_ref")
 def isoform_map(spark, sf):
-    return transcripts(spark, sf).where("is_ref").select(F.col("name").alias("transcript"), coords.gene_token(F.col("name")).alias("gene"))
+    refs = transcripts(spark, sf).where("is_ref").select(coords.gene_token(F.col("name")).alias("gene"), F.col("name").alias("transcript"))
+    return text.read_isoforms(spark, _lines(refs, "isoforms")).select("transcript", "gene")
 
 
 @query("blacklist_anti", BASE + "SELECT k FROM tx WHERE NOT is_ref AND k % 97 <> 0")
 def blacklist_anti(spark, sf):
     tx = transcripts(spark, sf).where("not is_ref")
-    return tx.join(tx.where("k % 97 = 0").select("name"), "name", "left_anti").select("k")
+    names = text.read_names(spark, _lines(tx.where("k % 97 = 0").select("name"), "names"))
+    return intervals.without_names(tx, names).select("k")
 
 
 @query("blacklist_interval", BASE + ", bi AS (SELECT DISTINCT chrom, s, e FROM introns WHERE s % 53 = 0) SELECT i.k, i.s, i.e FROM introns i ANTI JOIN bi ON bi.chrom = i.chrom AND bi.s = i.s AND bi.e = i.e")
 def blacklist_interval(spark, sf):
     rows = transcripts(spark, sf).select("k", "chrom", F.explode("introns").alias("i")).select("k", "chrom", F.col("i.start").alias("s"), F.col("i.end").alias("e"))
-    banned = rows.where("s % 53 = 0").select("chrom", "s", "e").distinct()
-    return rows.join(banned, ["chrom", "s", "e"], "left_anti").select("k", "s", "e")
+    # files hold whole introns, which are shrunk by one at both sides when read
+    whole = rows.where("s % 53 = 0").select("chrom", F.col("s") - 1, F.col("e") + 1, "k")
+    return intervals.without_intervals(rows, text.read_bed4(spark, _lines(whole, "introns"), strand_aware=False), "s", "e").select("k", "s", "e")
+
+
+@query("read_bed12", BASE + ' SELECT k, chrom, strand, tstart AS "start", tend AS "end", cs AS cds_start, ce AS cds_end, n AS n_exons FROM tx JOIN (SELECT k, count(*) AS n FROM exons GROUP BY k) USING (k)')
+def read_bed12(spark, sf):
+    b = fixtures.bed12(spark, sf).withColumn("name", F.col("k").cast("string")).drop("k", "is_ref")
+    tx = text.read_bed12(spark, _lines(b, "transcripts"))
+    return tx.select(F.col("name").cast("long").alias("k"), "chrom", "strand", "start", "end", "cds_start", "cds_end", F.size("exons").cast("long").alias("n_exons"))
+
+
+@query("read_bed4", BASE + ' SELECT k, chrom, ps + 1 AS "start", pe - 1 AS "end" FROM tx JOIN pt USING (k) UNION ALL SELECT k, chrom, 100000000000 - pe + 1, 100000000000 - ps - 1 FROM tx JOIN pt USING (k)')
+def read_bed4(spark, sf):
+    b = fixtures.bed12(spark, sf).select("chrom", "start", "end", "k")
+    return text.read_bed4(spark, _lines(b, "intervals")).select(F.col("id").cast("long").alias("k"), "chrom", "start", "end")
+
+
+@query("read_bed6", BASE + ' SELECT k, chrom, tstart AS "start", tend AS "end", CAST(k % 16 AS DOUBLE) / 4 AS score, strand FROM tx')
+def read_bed6(spark, sf):
+    b = fixtures.bed12(spark, sf).select("chrom", "start", "end", "k", (F.col("k") % 16 / 4).alias("score"), "strand")
+    return text.read_bed6(spark, _lines(b, "scored")).select(F.col("id").cast("long").alias("k"), "chrom", "start", "end", F.col("score").cast("double").alias("score"), "strand")
+
+
+@query("read_polya", BASE + ' SELECT k, chrom, tstart AS "start", tend AS "end", cs AS cds_start, ce AS cds_end FROM tx')
+def read_polya(spark, sf):
+    b = fixtures.bed12(spark, sf).select("chrom", "start", "end", "k", "score", "strand", "thick_start", "thick_end")
+    return text.read_polya(spark, _lines(b, "tails")).select(F.col("name").cast("long").alias("k"), "chrom", "start", "end", "cds_start", "cds_end")
+
+
+@query("read_bedgraph", BASE + ' SELECT chrom, ps AS "start", pe AS "end", strand, max(CAST(k % 16 AS DOUBLE) / 4) AS score FROM tx JOIN pt USING (k) GROUP BY ALL')
+def read_bedgraph(spark, sf):
+    b = fixtures.bed12(spark, sf).select("chrom", "start", "end", (F.col("k") % 16 / 4).alias("score"), "strand")
+    return text.max_signal(text.read_bedgraph(spark, _lines(b, "signal")))
+
+
+@query("intron_lines", INTRON_TABLE + " SELECT chrom, s AS \"start\", e AS \"end\", strand, seen, spanned, position AS intron_position, is_toga AS is_toga_supported, in_frame AS is_in_frame, support FROM su")
+def intron_lines(spark, sf):
+    """The 22-column lines, written and read again."""
+    t = scored_introns(_packed_once(spark, sf, Mode.INTRON))
+    renamed = t.withColumnsRenamed({"istart": "start", "iend": "end", "position": "intron_position", "is_toga": "is_toga_supported", "in_frame": "is_in_frame", "ai_donor": "splice_ai_donor", "ai_acceptor": "splice_ai_acceptor", "me_donor": "max_ent_donor", "me_acceptor": "max_ent_acceptor", "is_rt": "is_rt_intron"})
+    whole = renamed.withColumns({c: F.lit("N") for c in ("donor_sequence", "acceptor_sequence", "donor_context", "acceptor_context", "donor_rt_context", "acceptor_rt_context")} | {"is_nag_intron": F.lit(False)})
+    back = text.read_introns(spark, _lines(text.intron_lines(whole), "introns"))
+    return back.select("chrom", "start", "end", "strand", "seen", "spanned", "intron_position", "is_toga_supported", "is_in_frame", "support")
+
+
+@query("fasta_records", BASE + " SELECT concat('s', k) AS name, concat(repeat('ACGT', CAST(k % 7 + 1 AS INT)), repeat('N', CAST(k % 3 AS INT))) AS seq FROM tx")
+def fasta_records(spark, sf):
+    tx = transcripts(spark, sf).select(F.concat(F.lit(">s"), "k", F.lit("\n"), F.repeat(F.lit("ACGT"), (F.col("k") % 7 + 1).cast("int")), F.lit("\n"), F.repeat(F.lit("N"), (F.col("k") % 3).cast("int"))).alias("r"))
+    return sequences.read_fasta(spark, _lines(tx, "records", ".fa"))
+
+
+@query("category_folders", BASE + " SELECT category, concat('line', k // 3) AS line FROM (SELECT k, CASE WHEN k % 3 = 0 THEN 'keep' WHEN k % 3 = 1 THEN 'review' END AS category FROM tx) WHERE category IS NOT NULL GROUP BY ALL")
+def category_folders(spark, sf):
+    category = F.when(F.col("k") % 3 == 0, "keep").when(F.col("k") % 3 == 1, "review")
+    rows = transcripts(spark, sf).select(category.alias("category"), F.concat(F.lit("line"), F.floor(F.col("k") / 3)).alias("line"))
+    path = f"{shared_dir(spark)}/categories-{uuid.uuid4().hex}"
+    descriptor.write_categories(rows.union(rows), path)
+    return spark.read.text(path).select("category", F.col("value").alias("line"))
+
+
+@query("descriptor_json", BASE + " SELECT k AS id, CASE WHEN k % 3 <> 0 THEN is_ref END AS flag, chrom FROM tx")
+def descriptor_json(spark, sf):
+    t = transcripts(spark, sf).select(F.col("k").alias("id"), F.when(F.col("k") % 3 != 0, F.col("is_ref")).alias("flag"), "chrom")
+    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    descriptor.write_json(t, path)
+    return spark.read.schema(t.schema).json(path)
+
+
+BASE_AT = "substr('ACGT', CAST((p * p + p // 5) % 4 + 1 AS INT), 1)"
+WINDOW_SQL = ", wn AS (SELECT k, strand, 200 + (k % 1000) * 100 AS a, 200 + (k % 1000) * 100 + 60 AS z FROM tx WHERE 200 + (k % 1000) * 100 + 60 <= 100100)"
+
+
+def small_genome(spark) -> DataFrame:
+    """(chrom, tile, seq, chrom_size): 100,100 bases of each of five chromosomes by a formula, in tiles of 4,096."""
+    base = lambda p: F.substring(F.lit("ACGT"), ((p * p + F.floor(p / 5)) % 4 + 1).cast("int"), F.lit(1))
+    tiles = spark.range(25).select(F.explode(F.sequence(F.lit(0), F.lit(4))).alias("c"), F.col("id").alias("tile"))
+    seq = F.array_join(F.transform(F.sequence(F.col("tile") * 4096, F.least(F.col("tile") * 4096 + 4095, F.lit(100_099))), base), "")
+    return tiles.select(F.concat(F.lit("chr"), "c").alias("chrom"), "tile", seq.alias("seq"), F.lit(100_100).cast("long").alias("chrom_size"))
+
+
+@query("window_sequences", BASE + WINDOW_SQL + f", sq AS (SELECT k, strand, string_agg({BASE_AT}, '' ORDER BY p) AS s FROM (SELECT k, strand, unnest(range(a, z)) AS p FROM wn) GROUP BY k, strand) SELECT k, CASE WHEN strand = '-' THEN translate(reverse(s), 'ACGT', 'TGCA') ELSE s END AS seq FROM sq")
+def window_sequences(spark, sf):
+    start = 200 + F.col("k") % 1000 * 100
+    w = transcripts(spark, sf).select("k", "chrom", start.alias("start"), (start + 60).alias("end"), F.col("k").cast("string").alias("name"), "strand")
+    return cutsites.window_sequences(w, small_genome(spark), tile=4096).select("k", "seq")
+
+
+@query("splice_contexts", BASE + WINDOW_SQL + f""", ct AS (SELECT k, strand, a - 1 AS s, z + 1 AS e FROM wn),
+ rg AS (SELECT k, strand, CASE WHEN strand = '+' THEN s - 8 ELSE e - 9 END AS d0, CASE WHEN strand = '+' THEN e - 20 ELSE s - 3 END AS a0 FROM ct),
+ dn AS (SELECT k, strand, string_agg({BASE_AT}, '' ORDER BY p) AS x FROM (SELECT k, strand, unnest(range(d0, d0 + 17)) AS p FROM rg) GROUP BY ALL), ac AS (SELECT k, strand, string_agg({BASE_AT}, '' ORDER BY p) AS x FROM (SELECT k, strand, unnest(range(a0, a0 + 23)) AS p FROM rg) GROUP BY ALL)
+ SELECT dn.k, CASE WHEN dn.strand = '-' THEN translate(reverse(dn.x), 'ACGT', 'TGCA') ELSE dn.x END AS donor, CASE WHEN dn.strand = '-' THEN translate(reverse(ac.x), 'ACGT', 'TGCA') ELSE ac.x END AS acceptor FROM dn JOIN ac USING (k)""")
+def splice_contexts(spark, sf):
+    start = 200 + F.col("k") % 1000 * 100
+    tx = transcripts(spark, sf).select("k", "chrom", "strand", start.alias("a"), (start + 60).alias("z")).where("z <= 100100")
+    s, e = coords.mirrored(F.col("strand"), F.col("a"), F.col("z"))
+    return classify.splice_contexts(tx.withColumns({"istart": s, "iend": e}), small_genome(spark), tile=4096).select("k", "donor", "acceptor")
+
+
+@query("dna_functions", TAIL_SQL + """ SELECT doc_id, translate(seq, 'ACGT', 'TGCA') AS comp, substring(seq, 6, 20) AS cut, concat(substring(seq, 1, 5), substring(seq, 26)) AS skipped, concat('AAA', seq) AS front, concat(seq, 'AA') AS back,
+ translate(seq, 'ACTG', '0123') AS codes, translate(reverse(substring(seq, 6, 20)), 'ACTG', '0123') AS reversed FROM b""")
+def dna_functions(spark, sf):
+    seq = F.col("seq")
+    text_of = lambda c: F.array_join(F.transform(c, lambda x: x.cast("string")), "")
+    return tails(spark, sf).select(
+        "doc_id", dna.complement(seq).alias("comp"), dna.cut(seq, 5, 25).alias("cut"), dna.skip(seq, 5, 25).alias("skipped"), dna.fill(seq, 3).alias("front"), dna.fill_back(seq, 2).alias("back"),
+        text_of(dna.encode2(seq)).alias("codes"), text_of(dna.reverse_encode2(seq, 5, 25)).alias("reversed"),
+    )
 
 
 @query("descriptor_merge", RETAINED + ", nm AS (SELECT k, k % 5 AS fc FROM tx WHERE NOT is_ref AND k % 3 = 0) SELECT k AS id, has_rt_intron, exonic_status, fc FROM (SELECT k, has_rt_intron, exonic_status FROM vr WHERE k % 2 = 0) FULL JOIN nm USING (k)")
@@ -643,7 +760,7 @@ def cigar_features(spark, sf):
 
 @query("distinct_alignments", BASE + "SELECT DISTINCT k % 50 AS name, tstart AS \"start\" FROM tx")
 def distinct_alignments(spark, sf):
-    return transcripts(spark, sf).select((F.col("k") % 50).alias("name"), "start").dropDuplicates(["name", "start"])
+    return alignments.once(transcripts(spark, sf).select((F.col("k") % 50).alias("name"), "start"))
 
 
 @query("descriptor_tsv", BASE + "SELECT CAST(k AS VARCHAR) AS id, CASE WHEN k % 3 = 0 THEN 'NULL' ELSE CAST(is_ref AS VARCHAR) END AS flag, concat('[\"', chrom, '\",\"', strand, '\"]') AS parts FROM tx")
@@ -654,12 +771,13 @@ def descriptor_tsv(spark, sf):
     return rendered(t)
 
 
-@query("bed12_line", BASE + ", b AS (SELECT k, string_agg(e - s, ',' ORDER BY s) AS sizes, string_agg(s - ps, ',' ORDER BY s) AS starts, count(*) AS n FROM plain JOIN (SELECT k, ps FROM pc) USING (k) GROUP BY k) SELECT concat_ws(chr(9), concat('chr', k % 5), ps, pe, CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END, pcs, pce, n, concat(sizes, ','), concat(starts, ',')) AS line FROM b JOIN pc USING (k)")
+@query("bed12_line", BASE + """, b AS (SELECT k, string_agg(e - s, ',' ORDER BY s) AS sizes, string_agg(s - ps, ',' ORDER BY s) AS starts, count(*) AS n FROM plain JOIN (SELECT k, ps FROM pc) USING (k) GROUP BY k)
+ SELECT concat_ws(chr(9), concat('chr', k % 5), ps, pe, concat('T', k), k % 10, CASE WHEN k % 2 = 0 THEN '+' ELSE '-' END, pcs, pce, '125,40,40', n, concat(sizes, ','), concat(starts, ',')) AS line FROM pc JOIN b USING (k)""")
 def bed12_line(spark, sf):
     from strandloom.sources.text import bed12_lines
 
-    parts = F.split("line", "\t")
-    return bed12_lines(transcripts(spark, sf)).select(F.concat_ws("\t", *(parts[i] for i in (0, 1, 2, 5, 6, 7, 9, 10, 11))).alias("line"))
+    named = transcripts(spark, sf).withColumns({"name": F.concat(F.lit("T"), "k"), "score": (F.col("k") % 10).cast("string"), "rgb": F.lit(config.STRONG_NMD_RGB)})
+    return bed12_lines(named)
 
 
 @query("reference_frames", INTRON_TABLE + " SELECT in_frame, count(*) AS n, CAST(sum(e - s) AS BIGINT) AS bases FROM it GROUP BY in_frame")
