@@ -41,7 +41,7 @@ from strandloom.workspace import shuffle_width
 NUM, DEN, MIN_WORDS = 80, 100, 3
 PAIRS = 1 << 20
 TOKEN_BITS = 40
-CHUNK_BYTES = 12 << 20
+CHUNK_BYTES = 8 << 20
 MIDDLE, LONG = 80, 200
 
 
@@ -318,14 +318,23 @@ def _send(texts: pa.Table, pairs: pa.Table) -> pa.Table:
         return _rows([])
     c, x = texts["chunk"][0].as_py(), _Lines(texts)
     key, number, chunk, key2, number2 = (np.concatenate(v) for v in zip(*(unpack(v.as_buffer()) for v in pairs["blob"])))
-    line = x.find(key, number)
-    p = np.unique(np.stack((chunk.astype(np.int64), line, key2, number2.astype(np.int64)), axis=1), axis=0)
+    line = x.find(key, number).astype(np.int64)
+    del key, number
+    # a pair is one code: the earlier line, and the number of the later one
+    keys, rank = np.unique(key2, return_inverse=True)
+    wide = int(number2.max()) + 1
+    later, first, rank = np.unique(rank * wide + number2, return_index=True, return_inverse=True)
+    to, number2 = chunk[first].astype(np.int64), later % wide
+    key2 = keys[later // wide]
+    code = _words.distinct(line * len(later) + rank)
+    line, rank = code // len(later), code % len(later)
     out = []
-    for to in np.unique(p[:, 0]).tolist():
-        mine = p[p[:, 0] == to]
-        lines, which = np.unique(mine[:, 1], return_inverse=True)
+    for c2 in _words.distinct(to).tolist():
+        mine = to[rank] == c2
+        lines, which = np.unique(line[mine], return_inverse=True)
         sets = x.sets(lines)
-        out.append((c, to, "sets", pack(narrow(np.array([len(s) for s in sets])), np.concatenate(sets), narrow(which), mine[:, 2], narrow(mine[:, 3]))))
+        r = rank[mine]
+        out.append((c, c2, "sets", pack(narrow(np.array([len(s) for s in sets])), np.concatenate(sets), narrow(which), key2[r], narrow(number2[r]))))
     return _rows(out)
 
 
