@@ -19,6 +19,10 @@ An n-gram that occurs once, in a training text, is closed: as a history it has o
 where it stands, and nobody else asks for it. So it gets no id, and what follows it is not sent but
 only counted.
 
+A frequent history (more than an average bucket's share of the training tokens) is split by its
+words into parts, each in a bucket of its own. A chunk that has it asks all its parts, and adds up
+what they say of the history, so no bucket holds more than a few such shares.
+
 ``save`` stores the model as tables: words, n-grams with their probability, and histories with their
 backoff weight, partitioned by level and bucket. ``score_saved`` evaluates any other corpus from them
 by joins, recursively for each token.
@@ -205,7 +209,15 @@ class _Level:
     whether texts that are not trained on have it.
     """
 
-    def __init__(self, history: np.ndarray, word: np.ndarray, train: np.ndarray, buckets: int):
+    def __init__(self, history: np.ndarray, word: np.ndarray, train: np.ndarray, parts: np.ndarray, buckets: int):
+        tokens, split = len(history), np.flatnonzero((history >= 0) & (parts > 1))
+        history = history.copy()
+        # every part of a split history is asked, if only for the unknown word
+        base, at = np.unique(history[split], return_index=True)
+        many = parts[split][at]
+        extra = _part_id(np.repeat(base, many), np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many), buckets)
+        history[split] = _part_id(history[split], word[split] % parts[split], buckets)
+        history, word, train = np.append(history, extra), np.append(word, np.zeros(len(extra), np.int64)), np.append(train, np.zeros(len(extra), bool))
         at = np.flatnonzero(history >= 0)
         h, w = history[at], word[at]
         # ranks that fit one sorting key
@@ -217,15 +229,19 @@ class _Level:
         key = key[order]
         head = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
         group = np.cumsum(head) - 1
-        self.rep = at[order[head]]
-        self.history, self.word = history[self.rep], word[self.rep]
+        rep = at[order[head]]
+        self.history, self.word = history[rep], word[rep]
+        self.rep = np.minimum(rep, max(tokens - 1, 0))
         self.token = np.full(len(history), -1, np.int32)
         self.token[at[order]] = group
+        self.token = self.token[:tokens]
         count = lambda x: np.bincount(group, weights=x, minlength=len(self.rep)).astype(np.int64)
         self.seen, self.open = count(train[at[order]]), count(~train[at[order]]) > 0
         self.cuts = np.searchsorted(self.history % buckets, np.arange(buckets + 1))
         self.head = np.concatenate(([True], self.history[1:] != self.history[:-1])) if len(self.rep) else np.empty(0, bool)
         self.group = np.cumsum(self.head) - 1
+        #: number of the whole history of each part
+        self.whole = np.unique(_whole_id(self.history[self.head], buckets), return_inverse=True)[1]
 
     def requests(self, chunk: int, counts: np.ndarray, totals: np.ndarray, closed: int, buckets: int) -> list[tuple]:
         """One message a bucket; ``counts`` and ``totals``: each token's n-gram and history one level down; ``closed``: n-grams not sent."""
@@ -261,9 +277,24 @@ class _Level:
             mass[open_] = m
             for r, c in enumerate(classes, 1):
                 left[r, open_] = c
+        if len(size):
+            add = lambda x: np.bincount(self.whole, weights=x)[self.whole]
+            size, keeps, mass, left = add(size).astype(np.int64), add(keeps) > 0, add(mass), np.stack([add(x) for x in left])
         return total, ident, size, keeps, left, mass
 
 
+PART = 1 << 34
+
+
+def _part_id(history: np.ndarray, part: np.ndarray, buckets: int) -> np.ndarray:
+    """The id of a part of a history; parts follow one another over the buckets."""
+    return history + part * (buckets * PART + 1)
+
+
+def _whole_id(history: np.ndarray, buckets: int) -> np.ndarray:
+    return history - history // (buckets * PART) * (buckets * PART + 1)
+
+
 def _open(total: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     """Histories with an unseen n-gram among those asked for."""
     return np.flatnonzero(np.bincount(group, weights=total == 0, minlength=groups))
@@ -285,6 +316,9 @@ class _Chunk:
         self.p, _ = unigram(self.known, words_total, np.array(n1), types)
         self.ids, self.level, self.closed = self.word, 1, np.zeros(len(self.word), bool)
         self.counts, self.totals = self.known, np.full(len(self.word), words_total + (not _discounted(n1)))
+        self.share = max(1, words_total // buckets)
+        # as many texts begin as end
+        self.texts = int(self.known[np.cumsum(self.n)[self.n > 0][-1:] - 1].sum())
 
     def next(self) -> _Level:
         """The n-grams one level up; the first token's only history is the start mark."""
@@ -292,7 +326,8 @@ class _Chunk:
         self.closed = ~self.first & np.concatenate(([False], self.closed[:-1])) if len(self.ids) else self.closed
         self.level += 1
         history = np.where(self.first, 0 if self.level == 2 else -1, np.where((before > 0) & ~self.closed, before, -1))
-        return _Level(history, self.word, self.train, self.buckets)
+        uses = np.where(self.first, self.texts, np.concatenate(([0], self.counts[:-1])) if len(self.counts) else self.counts)
+        return _Level(history, self.word, self.train, np.minimum(1 + uses // self.share, min(self.buckets, 1024)), self.buckets)
 
     def requests(self, chunk: int) -> pa.Table:
         grams = self.next()
@@ -511,29 +546,18 @@ def _word_table(words_total: int, types: int, n1: list[int], buckets: int):
     return run
 
 
-GRAMS = "bucket int, history long, word long, id long, n long, p double"
-HISTORIES = "bucket int, history long, n long, backoff double"
+COUNTED = "history long, word long, id long, n long, below double"
 
 
-def _gram_table(buckets: int, n: list[int], n1: list[int], histories: bool):
+def _counted(buckets: int, n1: list[int]):
+    """The n-grams of a bucket that occur in training, with their probability one level down."""
+
     @_words.lean
     def run(table: pa.Table) -> pa.Table:
         b = table["bucket"][0].as_py()
         _, _, h, w, total, lower, _, _ = _merge(table, _lower_classes(table, n1))
-        d = np.append(discounts(np.array(n)), 1.0)
-        history, at = np.unique(h, return_inverse=True)
-        size = np.bincount(at, weights=total)
-        left = np.bincount(at, weights=np.where(total <= K, total * (1 - d[np.minimum(total, K + 1)]), 0.0))
-        keeps = np.bincount(at, weights=(total > 0) & (total <= K)) > 0
-        denom = size + ~keeps
-        if histories:
-            mass = np.bincount(at, weights=np.where(total > 0, lower, 0.0))
-            backoff = np.where(keeps, left, 1.0) / np.maximum(denom, 1) / np.maximum(1 - mass, LEAST)
-            on = size > 0
-            return pa.table({"bucket": pa.array(np.full(int(on.sum()), b, np.int32)), "history": pa.array(history[on] * buckets + b), "n": pa.array(size[on].astype(np.int64)), "backoff": pa.array(backoff[on])})
         on = total > 0
-        p = total * d[np.minimum(total, K + 1)] / np.maximum(denom, 1)[at]
-        return pa.table({"bucket": pa.array(np.full(int(on.sum()), b, np.int32)), "history": pa.array(h[on] * buckets + b), "word": pa.array(w[on]), "id": pa.array(_idents(total, b, buckets)[on]), "n": pa.array(total[on]), "p": pa.array(p[on])})
+        return pa.table({"history": pa.array(_whole_id(h[on] * buckets + b, buckets)), "word": pa.array(w[on]), "id": pa.array(_idents(total, b, buckets)[on]), "n": pa.array(total[on]), "below": pa.array(lower[on])})
 
     return run
 
@@ -542,7 +566,7 @@ def save(docs: DataFrame, path: str, held_out: Column | None = None, text: str =
     """Fit on the rows where ``held_out`` is not true and store the model below ``path``.
 
     ``words`` (hash, id, n, p), and for each level ``grams`` (history, word, id, n, p) and
-    ``histories`` (history, n, backoff), partitioned by level and bucket; ``model``: one row of totals.
+    ``histories`` (history, backoff), partitioned by level and bucket; ``model``: one row of totals.
     """
     c = _Counts(docs, F.lit(False) if held_out is None else held_out, text, key, order, chunk_bytes, whole=True)
     total, types, n1 = c.words
@@ -550,9 +574,18 @@ def save(docs: DataFrame, path: str, held_out: Column | None = None, text: str =
     c.table.where("kind = 'table'").select("bucket", "blob").mapInArrow(_word_table(*c.words, c.buckets), "bucket int, hash long, id long, n long, p double").repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/words")
     for level in range(2, order + 1):
         row = c.classes[level].first()
-        n = [0, *(row[f"n{r}"] or 0 for r in range(1, K + 2))]
-        for name, histories, schema in (("grams", False, GRAMS), ("histories", True, HISTORIES)):
-            c.asked[level].groupBy("bucket").applyInArrow(_gram_table(c.buckets, n, n1, histories), schema).write.partitionBy("bucket").parquet(f"{path}/{name}/level={level}")
+        d = np.append(discounts(np.array([0, *(row[f"n{r}"] or 0 for r in range(1, K + 2))])), 1.0)
+        grams = materialize(c.asked[level].groupBy("bucket").applyInArrow(_counted(c.buckets, n1), COUNTED), "grams")
+        cut = F.element_at(F.lit(d[1:].tolist()), F.least("n", F.lit(K + 1)).cast("int"))
+        left = F.sum(F.when(F.col("n") <= K, F.col("n") * (1 - cut)).otherwise(0.0))
+        keeps = F.bool_or(F.col("n") <= K)
+        total_of = F.sum("n") + F.when(keeps, 0).otherwise(1)
+        bucket = F.pmod("history", F.lit(c.buckets)).cast("int").alias("bucket")
+        histories = grams.groupBy("history").agg(total_of.alias("size"), (F.when(keeps, left).otherwise(1.0) / total_of / F.greatest(1 - F.sum("below"), F.lit(LEAST))).alias("backoff"))
+        histories = materialize(histories, "histories")
+        histories.select(bucket, "history", "backoff").repartition("bucket").write.partitionBy("bucket").parquet(f"{path}/histories/level={level}")
+        sized = grams.join(histories.select("history", "size"), "history").select(bucket, "history", "word", "id", "n", (F.col("n") * cut / F.col("size")).alias("p"))
+        sized.repartition("bucket", F.pmod("word", F.lit(8))).write.partitionBy("bucket").parquet(f"{path}/grams/level={level}")
     docs.sparkSession.range(1).select(F.lit(order).alias("order"), F.lit(total).alias("tokens"), F.lit(types).alias("types"), F.lit(float(unknown)).alias("unknown")).write.parquet(f"{path}/model")
 
 
