@@ -27,7 +27,7 @@ from strandloom.llm import _words
 from strandloom.llm._pack import narrow, pack, unpack
 from strandloom.workspace import as_scan, shuffle_width
 
-CHUNK_CHARS = 12_000_000
+CHUNK_CHARS = 8_000_000
 ROW = "bucket int, chunk long, kind string, blob binary"
 _encoders: dict[bytes, object] = {}
 
