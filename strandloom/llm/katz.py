@@ -209,22 +209,27 @@ class _Level:
     whether texts that are not trained on have it.
     """
 
-    def __init__(self, history: np.ndarray, word: np.ndarray, train: np.ndarray, parts: np.ndarray, buckets: int):
+    def __init__(self, history: np.ndarray, word: np.ndarray, train: np.ndarray, parts: np.ndarray, step: int, buckets: int):
         tokens, split = len(history), np.flatnonzero((history >= 0) & (parts > 1))
         history = history.copy()
         # every part of a split history is asked, if only for the unknown word
         base, at = np.unique(history[split], return_index=True)
         many = parts[split][at]
-        extra = _part_id(np.repeat(base, many), np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many), buckets)
-        history[split] = _part_id(history[split], word[split] % parts[split], buckets)
+        whole = np.repeat(np.arange(len(base)), many)
+        extra = _part_id(base[whole], np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many), step)
+        history[split] = _part_id(history[split], word[split] % parts[split], step)
         history, word, train = np.append(history, extra), np.append(word, np.zeros(len(extra), np.int64)), np.append(train, np.zeros(len(extra), bool))
         at = np.flatnonzero(history >= 0)
         h, w = history[at], word[at]
-        # ranks that fit one sorting key
-        ids, rank = np.unique(h, return_inverse=True)
-        place = np.empty(len(ids), np.int64)
-        place[np.argsort(ids % buckets, kind="stable")] = np.arange(len(ids))
-        key = place[rank] << 32 | (w if not len(w) or int(w.max()) < 1 << 32 else np.unique(w, return_inverse=True)[1])
+        place, home = np.divmod(h, buckets)
+        high, wide = (int(x.max()) + 1 if len(x) else 1 for x in (place, w))
+        if buckets * high * wide < 1 << 62:
+            key = (home * high + place) * wide + w
+        else:  # ranks fit one sorting key
+            ids, rank = np.unique(h, return_inverse=True)
+            by_home = np.empty(len(ids), np.int64)
+            by_home[np.argsort(ids % buckets, kind="stable")] = np.arange(len(ids))
+            key = by_home[rank] << 32 | np.unique(w, return_inverse=True)[1]
         order = np.argsort(key)
         key = key[order]
         head = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
@@ -240,8 +245,12 @@ class _Level:
         self.cuts = np.searchsorted(self.history % buckets, np.arange(buckets + 1))
         self.head = np.concatenate(([True], self.history[1:] != self.history[:-1])) if len(self.rep) else np.empty(0, bool)
         self.group = np.cumsum(self.head) - 1
-        #: number of the whole history of each part
-        self.whole = np.unique(_whole_id(self.history[self.head], buckets), return_inverse=True)[1]
+        #: the parts of split histories among the histories, and the number of the whole one of each
+        order = np.argsort(extra)
+        mine = self.history[self.head]
+        near = np.minimum(np.searchsorted(extra[order], mine), max(len(extra) - 1, 0))
+        self.parts = np.flatnonzero(extra[order][near] == mine) if len(extra) else np.empty(0, np.int64)
+        self.whole = whole[order][near[self.parts]] if len(extra) else self.parts
 
     def requests(self, chunk: int, counts: np.ndarray, totals: np.ndarray, closed: int, buckets: int) -> list[tuple]:
         """One message a bucket; ``counts`` and ``totals``: each token's n-gram and history one level down; ``closed``: n-grams not sent."""
@@ -277,22 +286,26 @@ class _Level:
             mass[open_] = m
             for r, c in enumerate(classes, 1):
                 left[r, open_] = c
-        if len(size):
-            add = lambda x: np.bincount(self.whole, weights=x)[self.whole]
-            size, keeps, mass, left = add(size).astype(np.int64), add(keeps) > 0, add(mass), np.stack([add(x) for x in left])
+        if len(self.parts):
+            add = lambda x: np.bincount(self.whole, weights=x[self.parts])[self.whole]
+            size[self.parts], keeps[self.parts], mass[self.parts] = add(size).astype(np.int64), add(keeps) > 0, add(mass)
+            for x in left:
+                x[self.parts] = add(x)
         return total, ident, size, keeps, left, mass
 
 
-PART = 1 << 34
+def _part_id(history: np.ndarray, part: np.ndarray, step: int) -> np.ndarray:
+    """The id of a part of a history; ids of histories are below ``step``, and parts follow one another over the buckets."""
+    return history + part * (step + 1)
 
 
-def _part_id(history: np.ndarray, part: np.ndarray, buckets: int) -> np.ndarray:
-    """The id of a part of a history; parts follow one another over the buckets."""
-    return history + part * (buckets * PART + 1)
+def _whole_id(history: np.ndarray, step: int) -> np.ndarray:
+    return history - history // step * (step + 1)
 
 
-def _whole_id(history: np.ndarray, buckets: int) -> np.ndarray:
-    return history - history // (buckets * PART) * (buckets * PART + 1)
+def _step(buckets: int, words_total: int) -> int:
+    """A multiple of ``buckets`` above all ids, of which a bucket gives one for each n-gram it has seen."""
+    return buckets * (words_total + 1025)
 
 
 def _open(total: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
@@ -316,7 +329,7 @@ class _Chunk:
         self.p, _ = unigram(self.known, words_total, np.array(n1), types)
         self.ids, self.level, self.closed = self.word, 1, np.zeros(len(self.word), bool)
         self.counts, self.totals = self.known, np.full(len(self.word), words_total + (not _discounted(n1)))
-        self.share = max(1, words_total // buckets)
+        self.share, self.step = max(1, words_total // buckets), _step(buckets, words_total)
         # as many texts begin as end
         self.texts = int(self.known[np.cumsum(self.n)[self.n > 0][-1:] - 1].sum())
 
@@ -327,7 +340,7 @@ class _Chunk:
         self.level += 1
         history = np.where(self.first, 0 if self.level == 2 else -1, np.where((before > 0) & ~self.closed, before, -1))
         uses = np.where(self.first, self.texts, np.concatenate(([0], self.counts[:-1])) if len(self.counts) else self.counts)
-        return _Level(history, self.word, self.train, np.minimum(1 + uses // self.share, min(self.buckets, 1024)), self.buckets)
+        return _Level(history, self.word, self.train, np.minimum(1 + uses // self.share, min(self.buckets, 1024)), self.step, self.buckets)
 
     def requests(self, chunk: int) -> pa.Table:
         grams = self.next()
@@ -549,7 +562,7 @@ def _word_table(words_total: int, types: int, n1: list[int], buckets: int):
 COUNTED = "history long, word long, id long, n long, below double"
 
 
-def _counted(buckets: int, n1: list[int]):
+def _counted(buckets: int, step: int, n1: list[int]):
     """The n-grams of a bucket that occur in training, with their probability one level down."""
 
     @_words.lean
@@ -557,7 +570,7 @@ def _counted(buckets: int, n1: list[int]):
         b = table["bucket"][0].as_py()
         _, _, h, w, total, lower, _, _ = _merge(table, _lower_classes(table, n1))
         on = total > 0
-        return pa.table({"history": pa.array(_whole_id(h[on] * buckets + b, buckets)), "word": pa.array(w[on]), "id": pa.array(_idents(total, b, buckets)[on]), "n": pa.array(total[on]), "below": pa.array(lower[on])})
+        return pa.table({"history": pa.array(_whole_id(h[on] * buckets + b, step)), "word": pa.array(w[on]), "id": pa.array(_idents(total, b, buckets)[on]), "n": pa.array(total[on]), "below": pa.array(lower[on])})
 
     return run
 
@@ -575,7 +588,7 @@ def save(docs: DataFrame, path: str, held_out: Column | None = None, text: str =
     for level in range(2, order + 1):
         row = c.classes[level].first()
         d = np.append(discounts(np.array([0, *(row[f"n{r}"] or 0 for r in range(1, K + 2))])), 1.0)
-        grams = materialize(c.asked[level].groupBy("bucket").applyInArrow(_counted(c.buckets, n1), COUNTED), "grams")
+        grams = materialize(c.asked[level].groupBy("bucket").applyInArrow(_counted(c.buckets, _step(c.buckets, total), n1), COUNTED), "grams")
         cut = F.element_at(F.lit(d[1:].tolist()), F.least("n", F.lit(K + 1)).cast("int"))
         left = F.sum(F.when(F.col("n") <= K, F.col("n") * (1 - cut)).otherwise(0.0))
         keeps = F.bool_or(F.col("n") <= K)
