@@ -8,10 +8,11 @@ from strandloom.llm.decontaminate import op3_decontaminate
 from strandloom.llm.katz import op10_katz
 from strandloom.llm.line_dedup import op1_line_dedup
 from strandloom.llm.near_dedup import op7_near_dedup
+from strandloom.llm.pieces import op13_pieces
 from strandloom.llm.pii import op8_pii
 from strandloom.llm.quality import op6_quality
 from strandloom.llm.substring_dedup import op4_suffix_dedup
 from strandloom.llm.toxicity import op2_toxicity
 
-QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_decontaminate": op3_decontaminate, "op6_quality": op6_quality, "op4_suffix_dedup": op4_suffix_dedup, "op8_pii": op8_pii, "op9_ann": op9_ann, "op2_toxicity": op2_toxicity, "op10_katz": op10_katz, "op5_byte_bpe": op5_byte_bpe, "op7_near_dedup": op7_near_dedup}
+QUERIES = {"op1_line_dedup": op1_line_dedup, "op3_decontaminate": op3_decontaminate, "op6_quality": op6_quality, "op4_suffix_dedup": op4_suffix_dedup, "op8_pii": op8_pii, "op9_ann": op9_ann, "op2_toxicity": op2_toxicity, "op10_katz": op10_katz, "op5_byte_bpe": op5_byte_bpe, "op7_near_dedup": op7_near_dedup, "op13_pieces": op13_pieces}
 ORACLE_SQL: dict[str, str] = {}
