@@ -1,26 +1,25 @@
-"""Binary sources in pure Python: 2bit genomes, bigWig tracks and BAM alignments, and a BAM sink.
+"""Binary sources in pure Python: 2bit genomes and bigWig tracks; BAM is in ``bam``.
 
-Each is a Python data source. Partitions are sequences of the file (2bit, bigWig, indexed BAM) or
-files (other BAM), so chromosomes are read in parallel; there files must be reachable from the
-executors by their path. ``read_store`` takes the same files from any store that Spark reads, a file
-a task and below 2 GB each.
+Each is a Python data source. Partitions are sequences of the file, so chromosomes are read in
+parallel; there files must be reachable from the executors by their path. ``read_store`` takes the
+same files from any store that Spark reads, a file a task and below 2 GB each.
 """
 
 from __future__ import annotations
 
 import io
-import os
 import struct
-import uuid
 import zlib
 from collections.abc import Iterator
-from dataclasses import dataclass
 
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql.datasource import DataSource, DataSourceReader, DataSourceWriter, InputPartition, WriterCommitMessage
+from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
+from strandloom.sources.bam import Bam, read_bam, write_bams
+from strandloom.sources.bam import block_of as _block, record_of as bam_record
+
+__all__ = ["Bam", "_block", "bam_record", "BigWig", "BigWigFile", "TwoBit", "read_bam", "read_sam", "read_store", "register", "twobit_index", "twobit_sequence", "write_bams"]
 _BASES = "TCAG"
 _QUADS = ["".join(_BASES[b >> s & 3] for s in (6, 4, 2, 0)) for b in range(256)]
 
@@ -188,269 +187,6 @@ class BigWig(DataSource):
         return _BigWigReader(self.options["path"], float(self.options.get("min_score", 0.01)), set(chroms.split(",")) if chroms else None)
 
 
-# --- BAM --------------------------------------------------------------------------------------------
-
-_SEQ = "=ACMGRSVTWYHKDBN"
-_OPS = "MIDNSHP=X"
-
-
-def bgzf(path: str | bytes, at: int = 0) -> Iterator[bytes]:
-    """Inflated members of a BGZF (multi-member gzip) file from the file offset ``at`` on."""
-    with _open(path) as f:
-        f.seek(at)
-        engine, held = zlib.decompressobj(31), b""
-        while chunk := held or f.read(1 << 16):
-            held = b""
-            out = engine.decompress(chunk)
-            if out:
-                yield out
-            if engine.eof:
-                held = engine.unused_data
-                engine = zlib.decompressobj(31)
-
-
-class _Stream:
-    """Bytes of a BGZF file from a virtual offset on."""
-
-    def __init__(self, path: str | bytes, offset: int = 0):
-        self.path, self.buf, self.source = path, bytearray(), bgzf(path, offset >> 16)
-        if offset & 0xFFFF:
-            self.take(offset & 0xFFFF)
-
-    def take(self, n: int) -> bytes:
-        while len(self.buf) < n:
-            more = next(self.source, None)
-            if more is None:
-                if self.buf:
-                    raise ValueError(f"truncated BAM file: {self.path if isinstance(self.path, str) else 'in memory'}")
-                return b""
-            self.buf.extend(more)
-        out = bytes(self.buf[:n])
-        del self.buf[:n]
-        return out
-
-    def number(self) -> int:
-        return struct.unpack("<i", self.take(4))[0]
-
-
-def _bam_header(stream: _Stream) -> list[str]:
-    if stream.take(4) != b"BAM\1":
-        raise ValueError("not a BAM file")
-    stream.take(stream.number())
-    chroms = []
-    for _ in range(stream.number()):
-        chroms.append(stream.take(stream.number())[:-1].decode())
-        stream.take(4)
-    return chroms
-
-
-def bam_records(path: str | bytes, chrom: str | None = None, begin: int = 0, end: int | None = None, offset: int | None = None) -> Iterator[tuple]:
-    """(name, flag, chrom, start, mapq, cigar, seq) of each record in file order.
-
-    With ``chrom`` only records that overlap [begin, end) of it; the file is then sorted, and reading
-    starts at the virtual ``offset`` and ends behind the region.
-    """
-    stream = _Stream(path)
-    chroms = _bam_header(stream)
-    if offset is not None:
-        stream = _Stream(path, offset)
-    while size := stream.take(4):
-        r = stream.take(struct.unpack("<i", size)[0])
-        ref, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", r)
-        at = 32 + l_name
-        name = r[32 : at - 1].decode()
-        ops = struct.unpack_from(f"<{n_cigar}I", r, at)
-        where = chroms[ref] if ref >= 0 else None
-        if chrom is not None:
-            # a placed record without a length covers one base
-            last = pos + max(1, sum(o >> 4 for o in ops if _OPS[o & 15] in "MDN=X"))
-            if where != chrom and offset is not None or where == chrom and end is not None and pos >= end:
-                return
-            if where != chrom or last <= begin:
-                continue
-        at += 4 * n_cigar
-        seq = "".join(_SEQ[b >> 4] + _SEQ[b & 15] for b in r[at : at + (l_seq + 1) // 2])[:l_seq]
-        yield name, flag, where, pos, mapq, "".join(f"{o >> 4}{_OPS[o & 15]}" for o in ops), seq
-
-
-def bai_offsets(path: str) -> list[tuple[int, list[int]]]:
-    """For each sequence of a BAM index the virtual offset of its first record (-1: none) and the offsets by 16 kb window."""
-    out = []
-    with _open(path) as f:
-        number = lambda: struct.unpack("<i", f.read(4))[0]
-        if f.read(4) != b"BAI\1":
-            raise ValueError(f"not a BAM index: {path}")
-        for _ in range(number()):
-            first = []
-            for _ in range(number()):
-                place, chunks = struct.unpack("<Ii", f.read(8))
-                pairs = struct.unpack(f"<{2 * chunks}Q", f.read(16 * chunks))
-                # the bin after the last real one holds counts
-                first += pairs[::2] if place <= 37449 else ()
-            n = number()
-            out.append((min(first, default=-1), list(struct.unpack(f"<{n}Q", f.read(8 * n)))))
-    return out
-
-
-@dataclass
-class _Region(InputPartition):
-    path: str
-    chrom: str | None = None
-    begin: int = 0
-    end: int | None = None
-    offset: int | None = None
-
-
-class _BamReader(DataSourceReader):
-    def __init__(self, paths: list[str], regions: list[str]):
-        self.paths, self.regions = paths, regions
-
-    def partitions(self) -> list[InputPartition]:
-        out: list[InputPartition] = []
-        for p in self.paths:
-            index = next((i for i in (f"{p}.bai", f"{p.removesuffix('.bam')}.bai") if os.path.exists(i)), None)
-            if index is None and not self.regions:
-                out.append(_Region(p))
-                continue
-            chroms = _bam_header(_Stream(p))
-            offsets = bai_offsets(index) if index else [None] * len(chroms)
-            wanted = [_region(r) for r in self.regions] or [(c, 0, None) for c in chroms]
-            for chrom, begin, end in wanted:
-                if chrom not in chroms:
-                    continue
-                found = offsets[chroms.index(chrom)]
-                if found is None:
-                    out.append(_Region(p, chrom, begin, end))
-                elif found[0] >= 0:
-                    window = found[1][begin >> 14] if begin >> 14 < len(found[1]) else 0
-                    out.append(_Region(p, chrom, begin, end, max(found[0], window)))
-        return out or [_Region("")]
-
-    def read(self, partition: _Region) -> Iterator[tuple]:
-        if partition.path:
-            for i, r in enumerate(bam_records(partition.path, partition.chrom, partition.begin, partition.end, partition.offset)):
-                yield (*r, i)
-
-
-def _region(text: str) -> tuple[str, int, int | None]:
-    """chrom, or chrom:begin-end (0-based, end exclusive)."""
-    chrom, colon, rest = text.rpartition(":")
-    if not colon:
-        return text, 0, None
-    begin, end = rest.split("-")
-    return chrom, int(begin), int(end)
-
-
-def _block(data: bytes) -> bytes:
-    """One BGZF member."""
-    engine = zlib.compressobj(6, zlib.DEFLATED, -15)
-    body = engine.compress(data) + engine.flush()
-    head = struct.pack("<4BI2BH2BHH", 31, 139, 8, 4, 0, 0, 255, 6, 66, 67, 2, len(body) + 25)
-    return head + body + struct.pack("<II", zlib.crc32(data), len(data))
-
-
-def _bin(begin: int, end: int) -> int:
-    """The smallest bin of the index scheme that holds [begin, end)."""
-    end -= 1
-    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
-        if begin >> shift == end >> shift:
-            return first + (begin >> shift)
-    return 0
-
-
-def bam_record(row, chroms: dict[str, int]) -> bytes:
-    """A record of (name, flag, chrom, start, mapq, cigar, seq), without qualities and tags."""
-    ops, n = [], ""
-    for c in row.cigar or "":
-        if c.isdigit():
-            n += c
-        elif c != "*":
-            ops.append(int(n) << 4 | _OPS.index(c))
-            n = ""
-    seq = row.seq or ""
-    codes = [_SEQ.index(c) if c in _SEQ else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
-    span = sum(o >> 4 for o in ops if _OPS[o & 15] in "MDN=X")
-    name = row.name.encode() + b"\0"
-    place = chroms[row.chrom] if row.chrom is not None else -1
-    body = struct.pack("<iiBBHHHiiii", place, row.start, len(name), row.mapq, _bin(max(row.start, 0), max(row.start, 0) + max(span, 1)), len(ops), row.flag, len(seq), -1, -1, 0)
-    body += name + struct.pack(f"<{len(ops)}I", *ops) + packed + b"\xff" * len(seq)
-    return struct.pack("<i", len(body)) + body
-
-
-@dataclass
-class _Written(WriterCommitMessage):
-    part: str
-    final: str
-
-
-class _BamWriter(DataSourceWriter):
-    def __init__(self, path: str, chroms: list[tuple[str, int]]):
-        self.path, self.chroms = path, chroms
-
-    def write(self, iterator) -> WriterCommitMessage:
-        os.makedirs(self.path, exist_ok=True)
-        number = TaskContext.get().partitionId()
-        part = f"{self.path}/_part-{number:05d}-{uuid.uuid4().hex}"
-        text = "@HD\tVN:1.6\n" + "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in self.chroms)
-        head = b"BAM\1" + struct.pack("<i", len(text)) + text.encode() + struct.pack("<i", len(self.chroms))
-        for c, n in self.chroms:
-            head += struct.pack("<i", len(c) + 1) + c.encode() + b"\0" + struct.pack("<i", n)
-        places = {c: i for i, (c, _) in enumerate(self.chroms)}
-        with open(part, "wb") as f:
-            buf = bytearray(head)
-            for row in iterator:
-                buf += bam_record(row, places)
-                while len(buf) >= 65280:
-                    f.write(_block(bytes(buf[:65280])))
-                    del buf[:65280]
-            f.write(_block(bytes(buf)) if buf else b"")
-            f.write(_block(b""))
-        return _Written(part, f"{self.path}/part-{number:05d}.bam")
-
-    def commit(self, messages) -> None:
-        for m in messages:
-            os.replace(m.part, m.final)
-
-    def abort(self, messages) -> None:
-        for m in messages:
-            if m is not None and os.path.exists(m.part):
-                os.remove(m.part)
-
-
-class Bam(DataSource):
-    """(name, flag, chrom, start, mapq, cigar, seq, record) of the files in ``path`` (comma list).
-
-    A file with an index beside it is one partition a chromosome, any other one partition. Option
-    ``regions`` (comma list of chrom or chrom:begin-end) reads records that overlap them, through the
-    index where there is one; a record that overlaps two regions comes twice. Written tables have the
-    same columns (``record`` is not needed) and go to one file a partition below ``path``, a folder
-    that executors share; option ``chroms`` (comma list of name:size) names the sequences.
-    """
-
-    @classmethod
-    def name(cls) -> str:
-        return "bam"
-
-    def schema(self) -> str:
-        return "name string, flag int, chrom string, start long, mapq int, cigar string, seq string, record long"
-
-    def reader(self, schema) -> DataSourceReader:
-        regions = self.options.get("regions")
-        return _BamReader(self.options["path"].split(","), regions.split(",") if regions else [])
-
-    def writer(self, schema, overwrite: bool) -> DataSourceWriter:
-        return _BamWriter(self.options["path"], [(c.rpartition(":")[0], int(c.rpartition(":")[2])) for c in self.options["chroms"].split(",")])
-
-
-def write_bams(reads: DataFrame, path: str, chroms: dict[str, int]) -> None:
-    """Reads with verdict accept below ``path``/good, those with reject below ``path``/bad."""
-    columns = ["name", "flag", "chrom", "start", "mapq", "cigar", "seq"]
-    for verdict, name in (("accept", "good"), ("reject", "bad")):
-        rows = reads.where(reads.verdict == verdict).select(*columns)
-        rows.write.format("bam").option("chroms", ",".join(f"{c}:{n}" for c, n in chroms.items())).mode("append").save(f"{path}/{name}")
-
-
 def _twobit_rows(content: bytes, tile: int) -> Iterator[tuple]:
     order, places = twobit_index(content)
     for chrom, place in places.items():
@@ -467,15 +203,14 @@ def _bigwig_rows(content: bytes, least: float) -> Iterator[tuple]:
                 yield from ((chrom, at, v) for at in range(s, e))
 
 
-def _bam_rows(content: bytes) -> Iterator[tuple]:
-    for i, r in enumerate(bam_records(content)):
-        yield (*r, i)
-
-
 def read_store(spark: SparkSession, kind: str, paths: str | list[str], tile: int = 65536, min_score: float = 0.01, batch: int = 4096) -> DataFrame:
-    """``kind`` twobit, bigwig or bam from any store that Spark reads, with the columns of the data source of that name."""
-    rows_of = {"twobit": lambda c: _twobit_rows(c, tile), "bigwig": lambda c: _bigwig_rows(c, min_score), "bam": _bam_rows}[kind]
-    schema = {"twobit": TwoBit, "bigwig": BigWig, "bam": Bam}[kind].schema(None)
+    """``kind`` twobit, bigwig or bam from any store that Spark reads, with the columns of the data source of that name.
+
+    A BAM file is split; the others are a file a task, below 2 GB each."""
+    if kind == "bam":
+        return read_bam(spark, paths).drop("file")
+    rows_of = {"twobit": lambda c: _twobit_rows(c, tile), "bigwig": lambda c: _bigwig_rows(c, min_score)}[kind]
+    schema = {"twobit": TwoBit, "bigwig": BigWig}[kind].schema(None)
     arrow = {"string": pa.string(), "int": pa.int32(), "long": pa.int64(), "float": pa.float32()}
     fields = pa.schema([(name, arrow[kind]) for name, kind in (c.split() for c in schema.split(", "))])
     table = lambda rows: pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*rows), fields)], schema=fields)

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from strandloom.functions.dna import consensus_score
 from strandloom.operators import classify, cutsites
-from strandloom.sources import binary, text
+from strandloom.sources import bam, binary, text
 from tests.test_sources import write_twobit
 
 CHROMS = {"chr1": 2_000_000, "chr2": 90_000}
@@ -44,8 +44,10 @@ def indexed(path):
     out = b"BAI\1" + struct.pack("<i", len(CHROMS))
     for c in CHROMS:
         mine = [(r[3], o) for r, o in zip(RECORDS, offsets) if r[2] == c]
+        chunks = [(bam.bin_of(*bam.where(binary.bam_record(Row(**dict(zip("name flag chrom start mapq cigar seq".split(), r))), places))[1:]), o, after) for r, o, after in zip(RECORDS, offsets, [*offsets[1:], len(data) << 16]) if r[2] == c]
+        bins = {b: [x[1:] for x in chunks if x[0] == b] for b in sorted({x[0] for x in chunks})}
         windows = [min([o for s, o in mine if s >> 14 >= w]) for w in range((mine[-1][0] >> 14) + 1)]
-        out += struct.pack("<i", 2) + struct.pack("<Ii2Q", 4681, 1, mine[0][1], len(data) << 16) + struct.pack("<Ii4Q", 37450, 2, 0, 0, 3, 0) + struct.pack(f"<i{len(windows)}Q", len(windows), *windows)
+        out += struct.pack("<i", len(bins) + 1) + b"".join(struct.pack(f"<Ii{2 * len(x)}Q", b, len(x), *(v for pair in x for v in pair)) for b, x in bins.items()) + struct.pack("<Ii4Q", 37450, 2, 0, 0, 3, 0) + struct.pack(f"<i{len(windows)}Q", len(windows), *windows)
     (path.parent / (path.name + ".bai")).write_bytes(out)
 
 
