@@ -42,12 +42,7 @@ def tails(reads: DataFrame, suffix: int = config.POLYA_SUFFIX, step: int = confi
     clipped = polya.tail_length(end(F.col("three_clip").cast("int")), p2p, emit_a)
     x = reads.withColumn("polya_len", F.when(F.col("three_clip") > 0, clipped).otherwise(0).cast("bigint"))
     size = F.length("seq")
-    steps = F.sequence(F.least(F.col("three_clip") + suffix, size), F.greatest(size + step, F.col("three_clip") + suffix), F.lit(step).cast("bigint"))
-    grown = F.filter(F.transform(steps, lambda n: F.least(n, size.cast("bigint"))), lambda n: n > 0)
-    # the first length that its tail does not fill; a read that is all tail: its length
-    lengths = F.transform(grown, lambda n: F.struct(n.alias("n"), polya.tail_length(end(n.cast("int")), p2p, emit_a).cast("bigint").alias("t")))
-    open_ = F.try_element_at(F.filter(lengths, lambda v: v["t"] < v["n"]), F.lit(1))["t"]
-    read = F.coalesce(open_, size.cast("bigint"))
+    read = polya.growing_tail(F.reverse("seq"), F.col("three_clip") + suffix, step, p2p, emit_a).cast("bigint")
     return x.withColumn("polya_read_len", F.greatest(F.col("polya_len"), F.when(size > 0, read).otherwise(0)))
 
 

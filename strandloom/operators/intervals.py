@@ -1,8 +1,8 @@
-"""Interval operators: islands, binned overlap joins, component-local containment."""
+"""Interval operators: islands, overlap joins by bins of several lengths, blacklists."""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -25,28 +25,54 @@ def islands(rows: DataFrame, by: list[str], start: str = "start", end: str = "en
     return marked.join(opened, keys, "left").withColumn(out, number.cast("bigint")).drop("_tile", "_reach", "_opens", "_base")
 
 
-def point_join(spans: DataFrame, points: DataFrame, by: list[str], start: str, end: str, at: str, width: int = 1 << 14) -> DataFrame:
-    """Pairs of a span and a point ``at`` within [start, end], as an equi-join on ``by`` and the point's bin."""
-    first = lambda c: F.floor(F.col(c) / width)
-    binned = spans.withColumn("_bin", F.explode(F.sequence(first(start), first(end))))
-    return binned.join(points.withColumn("_bin", first(at)), [*by, "_bin"]).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end))).drop("_bin")
+#: Bins of level l have 2^(FIRST_BITS + l * STEP_BITS) positions; an interval stands on the first level whose bins are as long.
+FIRST_BITS, STEP_BITS, LEVELS = 12, 6, 3
 
 
-def overlap_join(left: DataFrame, right: DataFrame, by: list[str], width: int = 4096, closed: bool = False) -> DataFrame:
+def _level(start: str, end: str) -> Column:
+    length = F.col(end) - F.col(start)
+    level = F.lit(LEVELS - 1)
+    for n in reversed(range(LEVELS - 1)):
+        level = F.when(length < (1 << FIRST_BITS + n * STEP_BITS), n).otherwise(level)
+    return level
+
+
+def _bin(at: str, level: str = "_level") -> Column:
+    return F.expr(f"shiftright({at}, {FIRST_BITS} + {STEP_BITS} * {level})")
+
+
+def point_join(spans: DataFrame, points: DataFrame, by: list[str], start: str, end: str, at: str) -> DataFrame:
+    """Pairs of a span and a point ``at`` within [start, end], as an equi-join on ``by``, level and bin.
+
+    A span stands in at most two bins of its level (of the last one in as many as it needs), a point in one
+    of each level, however long the spans are. A hot key spreads over its bins; a hot bin is split by the skew-join rule.
+    """
+    binned = spans.withColumn("_level", _level(start, end)).withColumn("_bin", F.explode(F.sequence(_bin(start), _bin(end))))
+    probes = points.withColumn("_level", F.explode(F.sequence(F.lit(0), F.lit(LEVELS - 1)))).withColumn("_bin", _bin(at))
+    return binned.join(probes, [*by, "_level", "_bin"]).where((F.col(start) <= F.col(at)) & (F.col(at) <= F.col(end))).drop("_level", "_bin")
+
+
+def overlap_join(left: DataFrame, right: DataFrame, by: list[str], closed: bool = False) -> DataFrame:
     """Pairs of overlapping half-open intervals: ``left`` columns, then ``right`` columns prefixed ``r_``.
 
-    Both sides have ``start`` and ``end``. Intervals are copied into bins of ``width``; a pair is
-    emitted once, in the later of the two first bins, so that it stays an equi-join.
+    Both sides have ``start`` and ``end``. An interval stands in the bins of its level and of all longer
+    levels, at most two each; a pair is emitted once, on the longer one's level and in the later of the two first
+    bins there, so that it stays an equi-join. ``closed``: touching intervals meet too.
     """
-    first = lambda c: F.floor(F.col(c) / width)
-    bins = lambda d, s, e: d.withColumn("_bin", F.explode(F.sequence(first(s), first(e))))
+
+    def binned(d: DataFrame, start: str, end: str, level: str, place: str) -> DataFrame:
+        own = d.withColumn(f"{level}_own", _level(start, end))
+        levels = own.withColumn(level, F.explode(F.sequence(F.col(f"{level}_own"), F.lit(LEVELS - 1))))
+        return levels.withColumn(place, F.explode(F.sequence(_bin(start, level), _bin(end, level))))
+
     r = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
-    a, b = bins(left, "start", "end"), bins(r, "r_start", "r_end").withColumnRenamed("_bin", "_rbin")
-    keys = [F.col(c) == F.col(f"r_{c}") for c in by] + [F.col("_bin") == F.col("_rbin")]
+    a, b = binned(left, "start", "end", "_level", "_bin"), binned(r, "r_start", "r_end", "_rlevel", "_rbin")
+    keys = [F.col(c) == F.col(f"r_{c}") for c in by] + [F.col("_level") == F.col("_rlevel"), F.col("_bin") == F.col("_rbin")]
     hit = (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
     if closed:
         hit = (F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end"))
-    return a.join(b, keys).where(hit & (F.col("_bin") == F.greatest(first("start"), first("r_start")))).drop("_bin", "_rbin")
+    once = (F.col("_level") == F.greatest("_level_own", "_rlevel_own")) & (F.col("_bin") == F.greatest(_bin("start"), _bin("r_start", "_rlevel")))
+    return a.join(b, keys).where(hit & once).drop("_level", "_bin", "_rlevel", "_rbin", "_level_own", "_rlevel_own")
 
 
 def without_names(rows: DataFrame, banned: DataFrame) -> DataFrame:

@@ -5,13 +5,14 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
-import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from strandloom import config
 from strandloom.operators.intervals import point_join
+from strandloom.workspace import materialize
 
 
 def genomic_polya(pa: Column, pr: Column, tc: Column) -> Column:
@@ -39,6 +40,33 @@ def tail_length(seq: Column, p2p: float = config.P2P, emit_a: float = config.EMI
     return F.when(n > 0, F.aggregate(F.split(seq, ""), start, step, lambda a: a["at"])).otherwise(0)
 
 
+def growing_tail(seq: Column, first: Column, step: int = config.SUFFIX_STEP_SIZE, p2p: float = config.P2P, emit_a: float = config.EMIT_A) -> Column:
+    """The tail over the first ``first`` bases of ``seq``, and over ``step`` more as long as it fills all of them; a tail that
+    fills the whole of ``seq`` has its length.
+
+    One pass for all lengths: a tail of k bases that ends before what is looked at scores the same, up to a term
+    that all tails share, however much is looked at. So the best of them is carried along, and at each
+    length only the tail that fills it is compared anew.
+    """
+    size = F.length(seq)
+    half, quarter, stay, leave = math.log(0.5), math.log(0.25), math.log(p2p), math.log(1 - p2p)
+    start = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("e"), F.lit(half).alias("best"), F.lit(0).alias("at"), F.least(first, size).cast("int").alias("next"), F.lit(-1).alias("found"))
+
+    def walk(a: Column, base: Column) -> Column:
+        k = a["k"] + 1
+        e = a["e"] + F.when(base == "A", math.log(emit_a)).otherwise(math.log((1 - emit_a) / 3))
+        filled = half + (k - 1) * stay + e - k * quarter
+        looked = (a["found"] < 0) & (k == a["next"])
+        here = F.when(filled > a["best"], k).otherwise(a["at"])
+        better = filled + leave > a["best"]
+        return F.struct(
+            k.alias("k"), e.alias("e"), F.when(better, filled + leave).otherwise(a["best"]).alias("best"), F.when(better, k).otherwise(a["at"]).alias("at"),
+            F.when(looked, F.least(a["next"] + step, size)).otherwise(a["next"]).alias("next"), F.when(looked & (here < k), here).otherwise(a["found"]).alias("found"),
+        )
+
+    return F.when(size > 0, F.aggregate(F.split(seq, ""), start, walk, lambda a: F.when(a["found"] >= 0, a["found"]).otherwise(size))).otherwise(0)
+
+
 def location_of_end(reads: DataFrame, projections: DataFrame, key: str = "k") -> DataFrame:
     """``reads`` with location: CDS if their end lies strictly within a projection of the component, else UTR."""
     p = projections.select("comp", F.col("start").alias("ps"), F.col("end").alias("pe"))
@@ -53,13 +81,23 @@ def with_scores(reads: DataFrame, scores: DataFrame) -> DataFrame:
     return reads.drop("score").withColumn("_at", at).join(best, ["chrom", "_at"], "left").withColumn("score", F.coalesce("score", F.lit(0.0))).drop("_at")
 
 
+def end_chains(reads: DataFrame, wiggle: int = config.WIGGLE) -> DataFrame:
+    """``reads`` (comp, end) with chain: ends of a component that differ by multiples of ``wiggle`` and follow each other within
+    two of it share one, their smallest end. Reads of different chains never meet within {0, w, 2w}."""
+    ends = reads.select("comp", "end").distinct()
+    by = Window.partitionBy("comp", F.pmod("end", F.lit(wiggle))).orderBy("end")
+    opens = F.coalesce(F.col("end") - F.lag("end").over(by) > 2 * wiggle, F.lit(True))
+    chains = ends.withColumn("_opens", F.when(opens, F.col("end"))).select("comp", "end", F.last("_opens", ignorenulls=True).over(by).alias("chain"))
+    return reads.join(chains, ["comp", "end"])
+
+
 def intrapriming(reads: DataFrame, key: str = "k", wiggle: int = config.WIGGLE, max_gpa: int = config.GENOMIC_POLYA_THRESHOLD, min_polya: int = config.POLYA_LENGTH_THRESHOLD, threshold: float = config.APARENT_THRESHOLD, recover: bool = False) -> DataFrame:
     """(key, comp, is_supported, is_intrapriming, forced, ratio, category) for reads with comp, start, end, name, gpa, poly_a, score, location.
 
     Two ordered sweeps over a component (start, end descending, name, key): the first accepts by the
     read itself or by an accepted end within {0, w, 2w}; the second accepts the rest by position only.
-    Reads are dealt by component and sorted; a task sweeps its components one after the other and
-    holds one of them at a time.
+    Reads act on each other along chains of ends only (``end_chains``), so each chain is swept by itself: reads
+    are dealt by component and chain, sorted, and a task holds one chain at a time. Ratios are taken over components.
     """
 
     def sweep(good: list[bool], ends: list[int]) -> list[int]:
@@ -73,38 +111,36 @@ def intrapriming(reads: DataFrame, key: str = "k", wiggle: int = config.WIGGLE,
                     state[i] = turn
         return state
 
-    def judged(part: pa.Table) -> pa.RecordBatch:
-        comp = part["comp"].to_numpy()
-        good, ends = part["good"].to_pylist(), part["end"].to_pylist()
-        cuts = np.flatnonzero(np.concatenate(([True], comp[1:] != comp[:-1], [True]))).tolist()
-        state = np.concatenate([sweep(good[a:b], ends[a:b]) for a, b in zip(cuts[:-1], cuts[1:])])
-        ratio = np.repeat([(state[a:b] == 0).mean() for a, b in zip(cuts[:-1], cuts[1:])], np.diff(cuts))
-        category = np.where(recover & (ratio > config.INTRAPRIMING_RATIO_THRESHOLD), "review", np.where(state == 0, "intrapriming", "pass"))
-        columns = [part[key].combine_chunks(), part["comp"].combine_chunks(), pa.array(state == 1), pa.array(state == 0), pa.array(state == 2), pa.array(ratio.astype(np.float32)), pa.array(category.tolist())]
-        return pa.RecordBatch.from_arrays(columns, names=[key, "comp", "is_supported", "is_intrapriming", "forced", "ratio", "category"])
+    def judged(rows: list[tuple]) -> Iterator[tuple]:
+        for (k, comp, *_), state in zip(rows, sweep([r[4] for r in rows], [r[3] for r in rows])):
+            yield k, comp, state
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
+        held: list[tuple] = []
+        out: list[tuple] = []
+        table = lambda: pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32()))], names=[key, "comp", "state"])
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            # all but the last component of what is held are complete
-            last = batch.column("comp")[-1].as_py()
-            cut = int(np.searchsorted(batch.column("comp").to_numpy(), last))
-            if held and cut == 0 and held[-1].column("comp")[-1].as_py() == last:
-                held.append(batch)
-                continue
-            done = pa.Table.from_batches([*held, batch.slice(0, cut)])
-            if done.num_rows:
-                yield judged(done)
-            held = [batch.slice(cut)]
-        if held:
-            yield judged(pa.Table.from_batches(held))
+            for row in zip(*(c.to_pylist() for c in batch.columns)):
+                if held and held[-1][1:3] != row[1:3]:
+                    out += judged(held)
+                    held = []
+                held.append(row)
+            if len(out) >= 10_000:
+                yield table()
+                out = []
+        out += judged(held)
+        if out:
+            yield table()
 
     good = (F.col("gpa") < max_gpa) | (F.col("poly_a") >= min_polya) | (F.col("score") > threshold) | (F.col("location") == "UTR")
     cols = reads.select(F.col(key).cast("long").alias(key), F.col("comp").cast("long").alias("comp"), "start", F.col("end").cast("long").alias("end"), "name", F.coalesce(good, F.lit(False)).alias("good"))
-    ordered = cols.repartition("comp").sortWithinPartitions("comp", "start", F.desc("end"), "name", key)
-    return ordered.select(key, "comp", "end", "good").mapInArrow(run, f"{key} long, comp long, is_supported boolean, is_intrapriming boolean, forced boolean, ratio float, category string")
+    ordered = end_chains(cols, wiggle).repartition("comp", "chain").sortWithinPartitions("comp", "chain", "start", F.desc("end"), "name", key)
+    swept = materialize(ordered.select(key, "comp", "chain", "end", "good").mapInArrow(run, f"{key} long, comp long, state int"), "swept")
+    ratios = swept.groupBy("comp").agg(F.avg((F.col("state") == 0).cast("double")).cast("float").alias("ratio"))
+    x = swept.join(ratios, "comp")
+    plain = F.when(F.col("state") == 0, "intrapriming").otherwise("pass")
+    category = F.when(F.col("ratio") > config.INTRAPRIMING_RATIO_THRESHOLD, "review").otherwise(plain) if recover else plain
+    return x.select(key, "comp", (F.col("state") == 1).alias("is_supported"), (F.col("state") == 0).alias("is_intrapriming"), (F.col("state") == 2).alias("forced"), "ratio", category.alias("category"))
 
 
 def filter_tails(reads: DataFrame, at_least: int = config.POLYA_LENGTH_THRESHOLD, above: bool = True) -> DataFrame:

@@ -121,11 +121,14 @@ def _members(f, held: bytes) -> Iterator[bytes]:
 
 
 def blocks(f, at: int) -> Iterator[tuple[int, bytes]]:
-    """Place and content of each block from the one at ``at`` on; a file of plain gzip members is one block."""
+    """Place and content of each block from the one at ``at`` on; of a file of plain gzip members what is inflated, by its place there."""
     f.seek(at)
     held = f.read(1 << 16)
     if not at and held[:2] == MAGIC[:2] and not block_length(held):
-        yield from ((0, data) for data in _members(f, held))
+        total = 0
+        for data in _members(f, held):
+            yield total, data
+            total += len(data)
         return
     while True:
         n = block_length(held)
@@ -178,7 +181,7 @@ class Stream:
     def place(self) -> int:
         while len(self.marks) > 1 and self.marks[1][0] <= self.at:
             self.marks.popleft()
-        return self.marks[0][1] << 16 | self.at - self.marks[0][0] if self.marks else 0
+        return (self.marks[0][1] << 16) + self.at - self.marks[0][0] if self.marks else 0
 
     def number(self) -> int:
         return struct.unpack("<i", self.take(4))[0]

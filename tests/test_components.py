@@ -92,3 +92,123 @@ def test_only_shuffled_rows_are_written_for_a_scan(spark, small):
     for shuffled in (docs.repartition(3), docs.orderBy("text"), docs.dropDuplicates(["text"]), docs.join(docs.select("doc_id"), "doc_id"), docs.limit(50)):
         again = as_scan(shuffled, "docs")
         assert again is not shuffled and again.count() == shuffled.count()
+
+
+def test_tiles_and_bounds_do_not_change_components(spark):
+    from strandloom.operators import components
+
+    rng = random.Random(8)
+    rows, intervals_of = [], {}
+    for k in range(400):
+        at, exons = rng.randrange(40_000), []
+        for _ in range(rng.randint(1, 5)):
+            exons.append((at, at + rng.choice([1, 30, 200, 3_000])))
+            at = exons[-1][1] + rng.randint(2, 900)
+        intervals_of[k] = exons
+        rows.append((k, rng.choice("ab"), "+", exons[0][0], exons[-1][1], exons))
+    tx = spark.createDataFrame(rows, "k long, chrom string, strand string, start long, end long, exons array<struct<start:long,end:long>>").withColumns({"cds_start": F.col("start"), "cds_end": F.col("end")})
+    chrom = {r[0]: r[1] for r in rows}
+    meets = lambda x, y: any(a < d and c < b for a, b in x for c, d in y)
+    for overlap, of in ((components.Overlap.EXON, intervals_of), (components.Overlap.BOUNDARY, {k: [(x[0][0], x[-1][1])] for k, x in intervals_of.items()})):
+        wanted = labels(400, [(i, j) for i in range(400) for j in range(i) if chrom[i] == chrom[j] and meets(of[i], of[j])])
+        for tile, most in ((1 << 20, 1 << 20), (1 << 20, 7), (256, 1 << 20), (1000, 50)):
+            assert {r.k: r.comp for r in components.components(tx, overlap, tile=tile, most=most).collect()} == wanted
+
+
+def test_a_deep_place_is_held_in_parts(spark):
+    """Many transcripts at one place: one component, of parts that are tied by the open island's first key."""
+    from strandloom.operators import components
+
+    tx = spark.range(5_000).selectExpr("id AS k", "'c' AS chrom", "'+' AS strand", "100 + id % 10 AS start", "200 + id % 10 AS end", "array(struct(100 + id % 10 AS start, 200 + id % 10 AS end)) AS exons")
+    got = components.components(tx, most=300)
+    assert {r.comp for r in got.collect()} == {0} and got.count() == 5_000
+
+
+def test_joins_of_short_and_long_intervals(spark):
+    rng = random.Random(12)
+    make = lambda: [(i, "xy"[i % 2], s := rng.randrange(3_000_000), s + rng.choice([0, 1, 50, 5_000, 300_000, 2_000_000])) for i in range(150)] + [(900, "x", 5, 90_000_000)]
+    a, b = make(), make()
+    df = lambda v: spark.createDataFrame(v, "id long, chrom string, start long, end long")
+    for closed, hit in ((False, lambda x, y: x[2] < y[3] and y[2] < x[3]), (True, lambda x, y: x[2] <= y[3] and y[2] <= x[3])):
+        got = sorted((r.id, r.r_id) for r in intervals.overlap_join(df(a), df(b), ["chrom"], closed=closed).collect())
+        assert got == sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and hit(x, y))
+    points = df(b).select(F.col("id").alias("p"), "chrom", F.col("start").alias("at"))
+    got = sorted((r.id, r.p) for r in intervals.point_join(df(a), points, ["chrom"], "start", "end", "at").collect())
+    assert got == sorted((x[0], y[0]) for x in a for y in b if x[1] == y[1] and x[2] <= y[2] <= x[3])
+
+
+def test_one_deep_component_spreads(spark):
+    """A component of 10^5 reads and some long ones: rows of the join stand in many tasks, long spans in few bins."""
+    reads = spark.range(100_000).selectExpr("id AS k", "1L AS comp", "id * 37 % 1900000 AS rs", "id * 37 % 1900000 + 900 + if(id % 10000 = 0, 2000000, 0) AS re")
+    points = spark.range(2_000).selectExpr("id AS i", "1L AS comp", "id * 1000 AS at")
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        joined = intervals.point_join(reads, points.hint("merge"), ["comp"], "rs", "re", "at")
+        by_task = [r["count"] for r in joined.groupBy(F.spark_partition_id()).count().collect()]
+    finally:
+        spark.conf.unset("spark.sql.adaptive.coalescePartitions.enabled")
+    starts = [(i * 37 % 1_900_000, i * 37 % 1_900_000 + 900 + (2_000_000 if i % 10_000 == 0 else 0)) for i in range(100_000)]
+    assert sum(by_task) == sum(min(e // 1000, 1999) - (s + 999) // 1000 + 1 for s, e in starts)
+    assert len(by_task) == 4 and max(by_task) < 0.6 * sum(by_task)
+
+
+def test_consensus_of_components_equals_the_fold(spark):
+    rng = random.Random(21)
+    rows = []
+    for k in range(300):
+        at, exons = rng.randrange(600), []
+        for _ in range(rng.randint(1, 4)):
+            exons.append((at, at + rng.choice([0, 5, 20, 90])))
+            at = exons[-1][1] + rng.randint(1, 60)
+        rows.append((k, rng.randrange(4), exons[0][0], exons[-1][1], f"n{k}", exons))
+    refs = spark.createDataFrame(rows, "k long, comp long, start long, end long, name string, exons array<struct<start:long,end:long>>")
+    from strandloom.functions.coords import first_exon, middle_exons
+
+    got = {}
+    for r in truncation.component_starts(refs).collect():
+        got.setdefault(r.comp, []).append((r.start, r.end))
+    order = F.struct(F.col("start").alias("o1"), (-F.col("end")).alias("o2"), F.col("name").alias("o3"), first_exon(F.col("exons")).alias("first"), middle_exons(F.col("exons")).alias("middles"))
+    folded = refs.groupBy("comp").agg(F.array_sort(F.collect_list(order)).alias("r")).select("comp", truncation.consensus_starts(F.col("r")).alias("c"))
+    assert {c: sorted(v) for c, v in got.items()} == {r.comp: sorted(map(tuple, r.c.starts)) for r in folded.collect()}
+
+
+def test_chains_of_ends_do_not_change_the_sweeps(spark):
+    rng = random.Random(17)
+    for wiggle in (1, 2, 3):
+        rows = [(k, rng.randrange(3), rng.randrange(50), 100 + rng.randrange(60), f"n{rng.randrange(40)}", rng.choice([0, 9, 9, 9]), 0, 0.0, "CDS") for k in range(200)]
+        df = spark.createDataFrame(rows, "k long, comp long, start long, end long, name string, gpa long, poly_a long, score double, location string")
+        state = {}
+        for comp in range(3):
+            mine, seen = sorted((r for r in rows if r[1] == comp), key=lambda r: (r[2], -r[3], r[4], r[0])), set()
+            for turn in (1, 2):
+                for r in mine:
+                    near = {r[3], r[3] - wiggle, r[3] + wiggle}
+                    if not state.get(r[0]) and ((turn == 1 and r[5] < 5) or seen & near):
+                        seen |= near
+                        state[r[0]] = turn
+        got = {r.k: r for r in polya.intrapriming(df, wiggle=wiggle, recover=True).collect()}
+        assert {k: 1 if r.is_supported else 2 if r.forced else 0 for k, r in got.items()} == {r[0]: state.get(r[0], 0) for r in rows}
+        for comp in range(3):
+            mine = [r[0] for r in rows if r[1] == comp]
+            ratio = sum(k not in state for k in mine) / len(mine)
+            assert all(abs(got[k].ratio - ratio) < 1e-6 and (got[k].category == "review") == (ratio > 0.5) for k in mine)
+        chained = polya.end_chains(df.select("k", "comp", "end"), wiggle).collect()
+        by = {}
+        for r in chained:
+            by.setdefault((r.comp, r.chain), []).append(r.end)
+        assert len(by) > 3 and all(e % wiggle == c % wiggle for (_, c), ends in by.items() for e in ends)
+
+
+def test_growing_tail_equals_a_pass_for_every_length(spark):
+    rng = random.Random(23)
+    seqs = ["A" * rng.choice([0, 3, 40, 90, 300]) + "".join(rng.choices("ACGT", weights=rng.choice([(1, 1, 1, 1), (9, 1, 1, 1)]), k=rng.choice([0, 1, 30, 200]))) for _ in range(60)]
+    df = spark.createDataFrame([(i, s, rng.choice([1, 30, 47])) for i, s in enumerate(seqs)], "i long, s string, first int").cache()
+    got = {r.i: r.t for r in df.select("i", polya.growing_tail(F.col("s"), F.col("first")).alias("t")).collect()}
+    lengths = df.select("i", "s", F.explode(F.expr("transform(sequence(first, first + length(s) + 50, 50), n -> least(n, length(s)))")).alias("n"))
+    each = lengths.select("i", "n", F.length("s").alias("size"), polya.tail_length(F.expr("left(s, n)")).alias("t")).where("n > 0")
+    wanted = {i: 0 for i, s in enumerate(seqs)}
+    rows = sorted(map(tuple, each.collect()))
+    for i, s in enumerate(seqs):
+        open_ = [t for k, n, _, t in rows if k == i and t < n]
+        wanted[i] = open_[0] if open_ else len(s)
+    assert got == wanted
