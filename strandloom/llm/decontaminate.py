@@ -1,18 +1,25 @@
-"""Benchmark decontamination: n-gram seeds, then Smith-Waterman alignment.
-
-Benchmark items are taken in blocks of bounded size; each block's word n-grams are broadcast.
-All n-grams of an item are its seeds: an edited copy holds any of them, common or rare. One scan
-finds seeds in whole texts; around every cluster of seeds of an item a window of words is aligned
-with the item. The normalised score is the alignment's share of that of an exact copy, so that
-copies with replaced, added or dropped words score in proportion. It cannot exceed the share of
-the item's words that the text, or the window, holds at all: common phrases are dropped by that
-bound before any alignment.
+"""Benchmark decontamination: rare n-gram seeds, then Smith-Waterman alignment.
+
+Seeds are pairs of words that stand next to each other or with one word between, in the item and in
+the text. An alignment of M matches and E edits that reaches a share s of an exact copy of an item of L
+words has E <= 2M - 2sL. Of its M - 1 pairs of consecutive matches those with two edits or more in between
+number E / 2 at most, so at least sL - 1 have one edit or none: they are seeds, whatever the edits. One
+of them is enough to find the copy, so each item leaves out its most frequent ceil(sL - 1) - 1 seeds,
+counted over all texts in a scan of their own, and is found by the rare ones that remain.
+
+Benchmark items are taken in blocks of bounded size; each block's seeds are broadcast. One scan finds
+seeds in whole texts; around every cluster of seeds of an item a window of words, long enough for
+any accepted copy, is aligned with the item. The normalised score is the alignment's share of that of an
+exact copy, so that copies with replaced, added or dropped words score in proportion. It cannot exceed
+the share of the item's words that the text, or the window, holds at all: common phrases are dropped
+by that bound before any alignment.
 
 Texts are never shuffled; per text only its own hits are held.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 
@@ -23,15 +30,14 @@ from pyspark.sql import functions as F
 
 from strandloom.llm import _words
 
-GRAM = 3
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 8 << 20
 MATCH, MISMATCH, GAP = 2, -1, -1
 FILTER_BITS = 20
 
 
 @dataclass(frozen=True)
 class Block:
-    """Items of a block: word hashes, and for each distinct n-gram hash its places in items."""
+    """Items of a block: word hashes, and for each distinct seed hash its places in items."""
 
     ids: np.ndarray
     words: list[np.ndarray]
@@ -45,9 +51,26 @@ class Block:
         out[self.grams >> np.uint64(64 - FILTER_BITS)] = True
         return out
 
+    def rare(self, counts: np.ndarray, least: float) -> "Block":
+        """The block without each item's most frequent seeds, as many as any accepted copy can spare."""
+        entry = np.repeat(np.arange(len(self.grams)), np.diff(self.first))
+        order = np.lexsort((self.place, -counts[entry], self.item))
+        item = self.item[order]
+        rank = np.arange(len(item)) - np.searchsorted(item, item)
+        spare = np.array([max(0, math.ceil(least * len(w) - 1) - 1) for w in self.words], np.int64)
+        kept = np.sort(order[rank >= spare[item]])
+        seeds, first = np.unique(entry[kept], return_index=True)
+        return Block(self.ids, self.words, self.grams[seeds], np.append(first, len(kept)), self.item[kept], self.place[kept])
+
+
+def seeds_of(h: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """Distance, and the hash of the pair that begins at each place, for the distances of seeds; 0: the word alone."""
+    two = lambda d: _words.mix(h[:-d] * _words._GRAM[0] + h[d:] * _words._GRAM[1] + np.uint64(2)) if len(h) > d else np.empty(0, np.uint64)
+    return [(0, _words.grams(h, 1)), (1, two(1)), (2, two(2))]
+
 
-def index_block(ids: np.ndarray, texts: pa.Array, n: int) -> Block:
-    """Items with at least one word; items shorter than ``n`` words get their whole sequence as gram of fewer words."""
+def index_block(ids: np.ndarray, texts: pa.Array) -> Block:
+    """Items with at least one word and all their seeds; an item of one word has that word as seed."""
     buf, off = _words.utf8(texts)
     h, _, _, first = _words.words(buf, off)
     words, keep, item, place, gram = [], [], [], [], []
@@ -55,8 +78,8 @@ def index_block(ids: np.ndarray, texts: pa.Array, n: int) -> Block:
         if a == b:
             continue
         w = h[a:b]
-        g = _words.grams(w, min(n, b - a))
-        item.append(np.full(len(g), len(words))), place.append(np.arange(len(g))), gram.append(g)
+        for _, g in seeds_of(w)[1:] if b - a > 1 else seeds_of(w)[:1]:
+            item.append(np.full(len(g), len(words))), place.append(np.arange(len(g))), gram.append(g)
         words.append(w), keep.append(i)
     cat = lambda v, t: np.concatenate(v) if v else np.empty(0, t)
     gram, item, place = cat(gram, np.uint64), cat(item, np.int64), cat(place, np.int64)
@@ -74,23 +97,19 @@ def lookup(h: np.ndarray, block: Block, bitmap: np.ndarray) -> tuple[np.ndarray,
     return at[hit], i[hit]
 
 
-def _gram_sizes(block: Block, n: int) -> list[int]:
-    return sorted({min(n, len(w)) for w in block.words})
-
-
-def _hits(batches: Iterator[pa.RecordBatch], block: Block, n: int, text: int = 1):
-    """(batch row, word hashes, starts, ends, hit words, hit grams) of each text with a hit."""
+def _hits(batches: Iterator[pa.RecordBatch], block: Block, text: int = 1):
+    """(batch row, word hashes, starts, ends, hit words, hit seeds) of each text with a hit."""
     bitmap = block.bitmap()
-    sizes = _gram_sizes(block, n)
+    alone = any(len(w) == 1 for w in block.words)
     for batch in batches:
         buf, off = _words.utf8(batch.column(text))
         for i, j in _words.slices(off):
             h, start, end, first = _words.words(buf[off[i] : off[j]], off[i : j + 1] - off[i])
             doc = np.repeat(np.arange(j - i), np.diff(first))
             at, gram = [np.empty(0, np.int64)], [np.empty(0, np.int64)]
-            for k in sizes:
-                a, g = lookup(_words.grams(h, k), block, bitmap)
-                inside = doc[a] == doc[a + k - 1]
+            for d, seeds in seeds_of(h)[not alone :]:
+                a, g = lookup(seeds, block, bitmap)
+                inside = doc[a] == doc[a + d]
                 at.append(a[inside]), gram.append(g[inside])
             at, gram = np.concatenate(at), np.concatenate(gram)
             order = np.argsort(at, kind="stable")
@@ -130,11 +149,11 @@ def held(words: np.ndarray, text: np.ndarray) -> np.ndarray:
     return text[np.minimum(np.searchsorted(text, words), len(text) - 1)] == words
 
 
-def _copies(batches: Iterator[pa.RecordBatch], block: Block, n: int, least: float, text: int = 1):
+def _copies(batches: Iterator[pa.RecordBatch], block: Block, least: float, text: int = 1):
     """(batch, row, {item: (score, start byte, end byte)}) of each text with a copy."""
     sizes = np.array([len(w) for w in block.words])
     flat, begin = np.concatenate(block.words), np.cumsum(sizes) - sizes
-    for batch, row, h, start, end, at, gram in _hits(batches, block, n, text):
+    for batch, row, h, start, end, at, gram in _hits(batches, block, text):
         size = block.first[gram + 1] - block.first[gram]
         ends = np.cumsum(size)
         entry = np.repeat(block.first[gram] - (ends - size), size) + np.arange(int(ends[-1]))
@@ -154,7 +173,8 @@ def _copies(batches: Iterator[pa.RecordBatch], block: Block, n: int, least: floa
         best: dict[int, tuple] = {}
         for x, y in zip(cut[:-1].tolist(), cut[1:].tolist()):
             i, words = int(item[x]), block.words[int(item[x])]
-            slack = len(words) // 2 + 4
+            # an accepted alignment has at most as many edits as the item has words
+            slack = len(words) + 4
             lo = max(0, int((pos[x:y] - place[x:y]).min()) - slack)
             hi = min(len(h), int((pos[x:y] - place[x:y]).max()) + len(words) + slack)
             if held(words, np.sort(h[lo:hi])).sum() / len(words) < least:
@@ -167,11 +187,11 @@ def _copies(batches: Iterator[pa.RecordBatch], block: Block, n: int, least: floa
             yield batch, row, best
 
 
-def _match(shared, n: int, least: float):
+def _match(shared, least: float):
     @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         block = shared.value
-        for batch, row, best in _copies(batches, block, n, least):
+        for batch, row, best in _copies(batches, block, least):
             share, s, e = zip(*best.values())
             yield pa.RecordBatch.from_arrays([
                 pa.array([batch.column(0)[row].as_py()] * len(best), pa.int64()), pa.array(block.ids[list(best)], pa.int64()),
@@ -181,12 +201,12 @@ def _match(shared, n: int, least: float):
     return run
 
 
-def _drop(shared, n: int, least: float, text: int):
+def _drop(shared, least: float, text: int):
     @_words.lean
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             clean = np.ones(batch.num_rows, bool)
-            clean[[row for _, row, _ in _copies(iter([batch]), shared.value, n, least, text)]] = False
+            clean[[row for _, row, _ in _copies(iter([batch]), shared.value, least, text)]] = False
             yield batch.filter(pa.array(clean))
 
     return run
@@ -195,40 +215,66 @@ def _drop(shared, n: int, least: float, text: int):
 FOUND = "doc_id long, item_id long, score double, start_byte long, end_byte long"
 
 
-def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", n: int = GRAM, least: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", key: str = "doc_id", item_key: str = "item_id", item_text: str = "text", least: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``(doc_id, item_id, score, start_byte, end_byte)``: the best copy of each item in each text, where the score reaches ``least``.
 
-    Null or empty texts and items without words match nothing. Rows with a null key are compared
+    Every alignment that reaches ``least`` is found, but those of one word of an item of two. Null or empty texts
+    and items without words match nothing; a very long text is one row of one task. Rows with a null key are compared
     and reported with a null doc_id; items with a null id are left out. Repeated rows are reported
     once each. Other columns are ignored; empty tables give an empty result.
     """
     rows = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     out = None
-    for seeds in seed_blocks(benchmark, item_key, item_text, n, block_bytes):
-        found = rows.mapInArrow(_match(seeds, n, least), FOUND)
+    for seeds in seed_blocks(rows, benchmark, item_key, item_text, least, block_bytes):
+        found = rows.mapInArrow(_match(seeds, least), FOUND)
         out = found if out is None else out.unionByName(found)
     return docs.sparkSession.createDataFrame([], FOUND) if out is None else out
 
 
-def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", n: int = GRAM, least: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+def without_contaminated(docs: DataFrame, benchmark: DataFrame, text: str = "text", item_key: str = "item_id", item_text: str = "text", least: float = 0.5, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     """``docs`` without the rows that ``contaminated`` reports; all columns stay, no row is shuffled."""
     out = docs
-    for seeds in seed_blocks(benchmark, item_key, item_text, n, block_bytes):
-        out = out.mapInArrow(_drop(seeds, n, least, docs.columns.index(text)), docs.schema)
+    for seeds in seed_blocks(docs.select(F.lit(None), F.col(text).cast("string")), benchmark, item_key, item_text, least, block_bytes):
+        out = out.mapInArrow(_drop(seeds, least, docs.columns.index(text)), docs.schema)
     return out
 
 
-def seed_blocks(benchmark: DataFrame, item_key: str, item_text: str, n: int, block_bytes: int) -> list:
-    """Broadcast n-grams of each block of items."""
+def _count(shared):
+    """How often each seed of a block occurs in a task's texts."""
+
+    @_words.lean
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = shared.value
+        counts = np.zeros(len(block.grams), np.int64)
+        for *_, gram in _hits(batches, block):
+            counts += np.bincount(gram, minlength=len(counts)) if len(gram) > len(counts) // 8 else 0
+            if len(gram) <= len(counts) // 8:
+                np.add.at(counts, gram, 1)
+        seen = np.flatnonzero(counts)
+        yield pa.RecordBatch.from_arrays([pa.array(seen), pa.array(counts[seen])], names=["seed", "n"])
+
+    return run
+
+
+def seed_blocks(rows: DataFrame, benchmark: DataFrame, item_key: str, item_text: str, least: float, block_bytes: int) -> list:
+    """Broadcast rare seeds of each block of items; ``rows`` has the texts in its second column.
+
+    Counts of a block's seeds, one row a seed, pass through the driver, as the block does."""
     spark = benchmark.sparkSession
     items = benchmark.select(F.col(item_key).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("text")).where("item_id is not null and text is not null")
     blocks = int((items.agg(F.sum(F.octet_length("text"))).first()[0] or 0) // block_bytes) + 1
     out = []
     for b in range(blocks):
         part = items.where(F.pmod(F.xxhash64("item_id"), F.lit(blocks)) == b).orderBy("item_id").toArrow()
-        block = index_block(part["item_id"].to_numpy(), part["text"], n)
-        if len(block.grams):
-            out.append(spark.sparkContext.broadcast(block))
+        block = index_block(part["item_id"].to_numpy(), part["text"])
+        if not len(block.grams):
+            continue
+        whole = spark.sparkContext.broadcast(block)
+        found = rows.mapInArrow(_count(whole), "seed long, n long").groupBy("seed").agg(F.sum("n").alias("n")).toArrow()
+        whole.unpersist()
+        counts = np.zeros(len(block.grams), np.int64)
+        counts[found["seed"].to_numpy()] = found["n"].to_numpy()
+        out.append(spark.sparkContext.broadcast(block.rare(counts, least)))
     return out
 
 

@@ -280,7 +280,8 @@ def _candidates(num: int, den: int):
         t, chunk, key, number, size, pos, *maps = (v[order] for v in (t, chunk, key, number, size, pos, *_unfold(size, *maps)))
         # partners of i: later places of its word with sizes up to size_i * den / num
         group = np.cumsum(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.empty(0, np.int64)
-        span = np.int64(1) << 40
+        # wider than any size looked for, and far from the end of 64 bits with any number of words
+        span = np.int64(int(size.max()) * den // num + 2 if len(size) else 1)
         many = np.maximum(np.searchsorted(group * span + size, group * span + size * den // num, "right") - np.arange(len(t)) - 1, 0)
         total = np.cumsum(many)
         left, right, held, i = [], [], 0, 0

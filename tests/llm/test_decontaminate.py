@@ -64,3 +64,51 @@ def test_one_copy_with_every_sixth_word_replaced(spark, rows):
     edited = [w if i % 6 != 1 else f"other{i}" for i, w in enumerate(words)]
     got = contaminated(rows([(1, "intro " + " ".join(edited) + " outro"), (2, "w0 w1 w2 and nothing else")]), spark.createDataFrame([(1, " ".join(words))], "item_id long, text string"))
     assert [(r.doc_id, r.item_id, r.score) for r in got.collect()] == [(1, 1, (2 * 49 - 10) / 118)]
+
+
+def test_no_run_of_three_words_is_left(spark, rows):
+    """Every third word is replaced, or a word stands between all others: no 3-gram, or no 2-gram, of the item survives."""
+    words = [f"w{i}" for i in range(59)]
+    replaced = [w if i % 3 != 2 else f"other{i}" for i, w in enumerate(words)]
+    spread_out = [x for i, w in enumerate(words) for x in (w, f"new{i}")][:-1]
+    filler = " ".join(f"f{i}" for i in range(40))
+    docs = rows([(1, f"{filler} {' '.join(replaced)} {filler}"), (2, f"{filler} {' '.join(spread_out)} {filler}"), (3, filler)])
+    got = {r.doc_id: r.score for r in contaminated(docs, spark.createDataFrame([(1, " ".join(words))], "item_id long, text string")).collect()}
+    assert got == {1: 61 / 118, 2: (2 * 59 - 58) / 118}
+
+
+def test_random_edits_against_full_alignments(spark, rows):
+    """Whatever the edits, a copy is found if and only if its best alignment reaches the share, also where seeds are common."""
+    rng = np.random.default_rng(7)
+    vocabulary = [f"v{i}" for i in range(60)]
+    items = [[str(rng.choice(vocabulary)) for _ in range(int(rng.integers(3, 40)))] for _ in range(12)]
+    texts = []
+    for k in range(240):
+        words, rate, out = items[k % 12], rng.uniform(0, 0.6), []
+        for w in words:
+            edit = rng.random()
+            if edit < rate / 3:
+                out += [str(rng.choice(vocabulary))]
+            elif edit < 2 * rate / 3:
+                out += [w, str(rng.choice(vocabulary))]
+            elif edit >= rate:
+                out += [w]
+        around = lambda: [str(rng.choice(vocabulary)) for _ in range(int(rng.integers(0, 60)))]
+        texts.append((k, " ".join(around() + out + around())))
+    got = {(r.doc_id, r.item_id): r.score for r in contaminated(rows(texts), spark.createDataFrame([(i, " ".join(w)) for i, w in enumerate(items)], "item_id long, text string")).collect()}
+    wanted = {}
+    for k, t in texts:
+        for i, w in enumerate(items):
+            score = decontaminate._best_end(hashes(" ".join(w)), hashes(t))[0]
+            if score >= len(w):
+                wanted[k, i] = score / (2 * len(w))
+    assert got == wanted and 100 < len(wanted) < len(texts) * len(items)
+
+
+def test_frequent_seeds_are_left_out():
+    block = decontaminate.index_block(np.array([1, 2]), pa.array(["a b c d e f g h", "a b c x y z u v"]))
+    common = np.where(np.isin(block.grams, [decontaminate.seeds_of(hashes("a b c"))[1][1][0]]), 1000, 1)
+    rare = block.rare(common, 0.5)
+    # eight words: of at least three seeds that a copy holds two are spared
+    assert len(rare.item) == len(block.item) - 4
+    assert decontaminate.seeds_of(hashes("a b c"))[1][1][0] not in rare.grams
