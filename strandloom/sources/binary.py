@@ -1,37 +1,37 @@
-"""Binary sources in pure Python: 2bit genomes and bigWig tracks; BAM is in ``bam``.
+"""Binary sources in pure Python: 2bit genomes here, bigWig tracks in ``bigwig``, BAM in ``bam``.
 
-Each is a Python data source. Partitions are sequences of the file, so chromosomes are read in
-parallel; there files must be reachable from the executors by their path. ``read_store`` takes the
-same files from any store that Spark reads, a file a task and below 2 GB each.
+Each is a Python data source. Partitions are stretches of the file's sequences; files must be
+reachable from the executors by their path, or by a URI that Arrow opens. ``read_store`` takes the
+same files from any store that Spark reads: BAM in splits, the others a file a task and below 2 GB each.
 """
 
 from __future__ import annotations
 
 import io
 import struct
-import zlib
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from strandloom.sources.bam import Bam, read_bam, write_bams
+from strandloom.sources.bam import Bam, opened, parse_region, read_bam, write_bams
 from strandloom.sources.bam import block_of as _block, record_of as bam_record
+from strandloom.sources.bigwig import BigWig, Track, files_below, write_bigwig
 
-__all__ = ["Bam", "_block", "bam_record", "BigWig", "BigWigFile", "TwoBit", "read_bam", "read_sam", "read_store", "register", "twobit_index", "twobit_sequence", "write_bams"]
+__all__ = ["Bam", "_block", "bam_record", "BigWig", "Track", "files_below", "write_bigwig", "TwoBit", "read_bam", "read_sam", "read_store", "register", "twobit_index", "twobit_sequence", "write_bams"]
 _BASES = "TCAG"
 _QUADS = ["".join(_BASES[b >> s & 3] for s in (6, 4, 2, 0)) for b in range(256)]
 
 
 def _open(source: str | bytes):
     """A file by its path, or its content."""
-    return io.BytesIO(source) if isinstance(source, bytes) else open(source, "rb")
+    return io.BytesIO(source) if isinstance(source, bytes) else opened(source)
 
 
 class _Part(InputPartition):
-    def __init__(self, path: str, name: str = "", place: int = 0):
-        self.path, self.name, self.place = path, name, place
+    def __init__(self, path: str, name: str = "", place: int = 0, begin: int = 0, end: int | None = None):
+        self.path, self.name, self.place, self.begin, self.end = path, name, place, begin, end
 
 
 # --- 2bit -------------------------------------------------------------------------------------------
@@ -51,7 +51,8 @@ def twobit_index(path: str | bytes) -> tuple[str, dict[str, int]]:
     return order, out
 
 
-def twobit_sequence(path: str | bytes, order: str, place: int) -> str:
+def twobit_part(path: str | bytes, order: str, place: int, begin: int = 0, end: int | None = None) -> tuple[str, int]:
+    """Bases [begin, end) of a sequence, and its size; only their bytes are read."""
     with _open(path) as f:
         f.seek(place)
         number = lambda: struct.unpack(order + "I", f.read(4))[0]
@@ -63,128 +64,87 @@ def twobit_sequence(path: str | bytes, order: str, place: int) -> str:
 
         size, unknown, masked = number(), blocks(), blocks()
         number()
-        seq = bytearray("".join(_QUADS[b] for b in f.read((size + 3) // 4))[:size].encode())
-    for s, n in unknown:
-        seq[s : s + n] = b"N" * n
-    for s, n in masked:
-        seq[s : s + n] = seq[s : s + n].lower()
-    return seq.decode()
-
-
-class _TwoBitReader(DataSourceReader):
-    def __init__(self, path: str, tile: int):
-        self.path, self.tile = path, tile
+        end = size if end is None else min(end, size)
+        begin = min(begin, end)
+        f.seek(f.tell() + begin // 4)
+        seq = bytearray("".join(_QUADS[b] for b in f.read((end + 3) // 4 - begin // 4))[begin % 4 :][: end - begin].encode())
+    for runs, change in ((unknown, lambda old: b"N" * len(old)), (masked, bytes.lower)):
+        for s, n in runs:
+            a, b = max(s, begin) - begin, min(s + n, end) - begin
+            if a < b:
+                seq[a:b] = change(bytes(seq[a:b]))
+    return seq.decode(), size
 
-    def partitions(self) -> list[InputPartition]:
-        return [_Part(self.path, name, place) for name, place in twobit_index(self.path)[1].items()]
 
-    def read(self, partition: _Part) -> Iterator[tuple]:
-        seq = twobit_sequence(partition.path, twobit_index(partition.path)[0], partition.place)
-        for t in range(0, max(len(seq), 1), self.tile):
-            yield partition.name, t // self.tile, seq[t : t + self.tile], len(seq)
+def twobit_sequence(path: str | bytes, order: str, place: int) -> str:
+    return twobit_part(path, order, place)[0]
 
 
-class TwoBit(DataSource):
-    """(chrom, tile, seq, chrom_size); option ``tile`` is the bases of a tile."""
+def _twobit_size(path: str, order: str, place: int) -> int:
+    with _open(path) as f:
+        f.seek(place)
+        return struct.unpack(order + "I", f.read(4))[0]
 
-    @classmethod
-    def name(cls) -> str:
-        return "twobit"
 
-    def schema(self) -> str:
-        return "chrom string, tile long, seq string, chrom_size long"
+class _TwoBitReader(DataSourceReader):
+    """Partitions are stretches of ``span`` bases, whole tiles each."""
 
-    def reader(self, schema) -> DataSourceReader:
-        return _TwoBitReader(self.options["path"], int(self.options.get("tile", 65536)))
-
-
-# --- bigWig -----------------------------------------------------------------------------------------
-
-
-class BigWigFile:
-    """Chromosomes and intervals of a bigWig file."""
-
-    def __init__(self, path: str | bytes):
-        self.path = path
-        with _open(path) as f:
-            head = f.read(64)
-            self.order = "<" if struct.unpack("<I", head[:4])[0] == 0x888FFC26 else ">"
-            if struct.unpack(self.order + "I", head[:4])[0] != 0x888FFC26:
-                raise ValueError(f"not a bigWig file: {path}")
-            chrom_at, _, self.index_at = struct.unpack(self.order + "QQQ", head[8:32])
-            self.packed = struct.unpack(self.order + "I", head[52:56])[0] > 0
-            self.chroms: dict[str, tuple[int, int]] = {}
-            f.seek(chrom_at)
-            _, _, key, _, _ = struct.unpack(self.order + "IIIIQ", f.read(24))
-            self._chroms(f, chrom_at + 32, key)
-
-    def _chroms(self, f, at: int, key: int) -> None:
-        f.seek(at)
-        leaf, _, n = struct.unpack(self.order + "BBH", f.read(4))
-        rows = [(f.read(key).rstrip(b"\0").decode(), f.read(8)) for _ in range(n)]
-        for name, value in rows:
-            if leaf:
-                self.chroms[name] = struct.unpack(self.order + "II", value)
-            else:
-                self._chroms(f, struct.unpack(self.order + "Q", value)[0], key)
-
-    def intervals(self, chrom_id: int) -> Iterator[tuple[int, int, float]]:
-        with _open(self.path) as f:
-            todo = [self.index_at + 48]
-            while todo:
-                f.seek(todo.pop())
-                leaf, _, n = struct.unpack(self.order + "BBH", f.read(4))
-                rows = [struct.unpack(self.order + ("IIIIQQ" if leaf else "IIIIQ"), f.read(32 if leaf else 24)) for _ in range(n)]
-                for r in rows:
-                    if r[0] <= chrom_id <= r[2]:
-                        if leaf:
-                            f.seek(r[4])
-                            raw = f.read(r[5])
-                            yield from self._section(zlib.decompress(raw) if self.packed else raw, chrom_id)
-                        else:
-                            todo.append(r[4])
-
-    def _section(self, raw: bytes, chrom_id: int) -> Iterator[tuple[int, int, float]]:
-        chrom, start, _, step, span, kind, _, n = struct.unpack(self.order + "IIIIIBBH", raw[:24])
-        if chrom != chrom_id:
-            return
-        for i in range(n):
-            if kind == 1:
-                yield struct.unpack_from(self.order + "IIf", raw, 24 + 12 * i)
-            elif kind == 2:
-                s, v = struct.unpack_from(self.order + "If", raw, 24 + 8 * i)
-                yield s, s + span, v
-            else:
-                yield start + i * step, start + i * step + span, struct.unpack_from(self.order + "f", raw, 24 + 4 * i)[0]
-
-
-class _BigWigReader(DataSourceReader):
-    def __init__(self, path: str, least: float, chroms: set[str] | None):
-        self.path, self.least, self.chroms = path, least, chroms
+    def __init__(self, path: str, tile: int, regions: list[str], span: int):
+        self.path, self.tile, self.regions, self.span = path, tile, [parse_region(r) for r in regions], max(1, span // tile) * tile
 
     def partitions(self) -> list[InputPartition]:
-        return [_Part(self.path, name, ident) for name, (ident, _) in BigWigFile(self.path).chroms.items() if self.chroms is None or name in self.chroms]
+        order, places = twobit_index(self.path)
+        out = []
+        for name, begin, end in self.regions or [(n, 0, None) for n in places]:
+            if name in places:
+                size = _twobit_size(self.path, order, places[name])
+                stop = size if end is None else min(end, size)
+                first = begin // self.tile * self.tile
+                out += [_Part(self.path, name, places[name], a, min(a + self.span, -(-stop // self.tile) * self.tile)) for a in range(first, max(stop, first + 1), self.span)]
+        return out
 
     def read(self, partition: _Part) -> Iterator[tuple]:
-        for s, e, v in BigWigFile(partition.path).intervals(partition.place):
-            if v >= self.least:
-                for p in range(s, e):
-                    yield partition.name, p, v
+        seq, size = twobit_part(partition.path, twobit_index(partition.path)[0], partition.place, partition.begin, partition.end)
+        for t in range(0, max(len(seq), 1), self.tile):
+            yield partition.name, (partition.begin + t) // self.tile, seq[t : t + self.tile], size
+
+
+class _PushingTwoBitReader(_TwoBitReader):
+    def pushFilters(self, filters) -> Iterator:
+        """``chrom = x`` and bounds of ``tile`` become a region; every filter is applied again by Spark."""
+        chrom, low, high = None, 0, None
+        for f in filters:
+            kind, of = type(f).__name__, getattr(f, "attribute", None)
+            if kind == "EqualTo" and of == ("chrom",):
+                chrom = f.value
+            elif of == ("tile",):
+                if kind == "EqualTo":
+                    low, high = max(low, f.value), f.value if high is None else min(high, f.value)
+                elif kind in ("GreaterThan", "GreaterThanOrEqual"):
+                    low = max(low, f.value + (kind == "GreaterThan"))
+                elif kind in ("LessThan", "LessThanOrEqual"):
+                    high = f.value - (kind == "LessThan") if high is None else min(high, f.value - (kind == "LessThan"))
+            yield f
+        if chrom is not None and not self.regions:
+            self.regions = [(chrom, low * self.tile, None if high is None else max(high + 1, 0) * self.tile)]
 
 
-class BigWig(DataSource):
-    """(chrom, pos, score) per base; options ``min_score`` and ``chroms`` (comma list) cut at the source. NaN is never read."""
+class TwoBit(DataSource):
+    """(chrom, tile, seq, chrom_size); option ``tile`` is the bases of a tile, ``span`` those of a task, ``regions`` (comma list of
+    chrom or chrom:begin-end) reads the tiles that meet them only. Option ``pushdown`` turns filters on chrom and tile into a
+    region; it needs spark.sql.python.filterPushdown.enabled."""
 
     @classmethod
     def name(cls) -> str:
-        return "bigwig"
+        return "twobit"
 
     def schema(self) -> str:
-        return "chrom string, pos long, score float"
+        return "chrom string, tile long, seq string, chrom_size long"
 
     def reader(self, schema) -> DataSourceReader:
-        chroms = self.options.get("chroms")
-        return _BigWigReader(self.options["path"], float(self.options.get("min_score", 0.01)), set(chroms.split(",")) if chroms else None)
+        regions = self.options.get("regions")
+        kind = _PushingTwoBitReader if self.options.get("pushdown", "false").lower() == "true" else _TwoBitReader
+        return kind(self.options["path"], int(self.options.get("tile", 65536)), regions.split(",") if regions else [], int(self.options.get("span", 1 << 24)))
 
 
 def _twobit_rows(content: bytes, tile: int) -> Iterator[tuple]:
@@ -196,11 +156,10 @@ def _twobit_rows(content: bytes, tile: int) -> Iterator[tuple]:
 
 
 def _bigwig_rows(content: bytes, least: float) -> Iterator[tuple]:
-    track = BigWigFile(content)
+    track = Track(content)
     for chrom, (ident, _) in track.chroms.items():
-        for s, e, v in track.intervals(ident):
-            if v >= least:
-                yield from ((chrom, at, v) for at in range(s, e))
+        for pos, x in track.positions(ident, least):
+            yield from zip([chrom] * len(pos), pos.tolist(), x.tolist())
 
 
 def read_store(spark: SparkSession, kind: str, paths: str | list[str], tile: int = 65536, min_score: float = 0.01, batch: int = 4096) -> DataFrame:
