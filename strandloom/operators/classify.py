@@ -10,6 +10,8 @@ from strandloom.config import SCALE
 from strandloom.functions.dna import acceptor_score
 from strandloom.operators.intervals import point_join
 
+REACH = 20
+
 
 def intron_rows(packed: DataFrame) -> DataFrame:
     return packed.select("comp", "chrom", "strand", "is_ref", F.explode("introns").alias("i")).select("comp", "chrom", "strand", "is_ref", F.col("i.start").alias("istart"), F.col("i.end").alias("iend"))
@@ -97,25 +99,39 @@ def nag_shift(introns: DataFrame, contexts: Column, patterns: tuple[str, ...] =
     return x.withColumn("_s", F.explode(shifts)).withColumns({"iend": F.col("iend") + F.col("_s.by"), "seen": F.lit(0).cast("bigint"), "position": F.lit("Unknown"), "is_nag": F.lit(True), "support": F.lit("SPLICED")}).drop("_x", "_s")
 
 
+def overlapping_tiles(genome: DataFrame, margin: int) -> DataFrame:
+    """(chrom, tile, seq) whose tiles go on for ``margin`` bases of the next one."""
+    head = F.substring("seq", 1, margin)
+    parts = genome.select("chrom", "tile", F.lit(False).alias("_next"), "seq").unionByName(genome.select("chrom", (F.col("tile") - 1).alias("tile"), F.lit(True).alias("_next"), head.alias("seq")))
+    own, more = (F.max(F.when(F.col("_next") == v, F.col("seq"))) for v in (False, True))
+    return parts.groupBy("chrom", "tile").agg(F.concat(own, F.coalesce(more, F.lit(""))).alias("seq")).where("seq is not null")
+
+
 def splice_contexts(introns: DataFrame, genome: DataFrame, tile: int = 65536) -> DataFrame:
     """``introns`` with donor (17 bp), acceptor (23 bp) and both 12 bp template-switch contexts.
 
-    ``genome``: (chrom, tile, seq) with tiles of ``tile`` bases; a window meets at most two tiles.
+    ``genome``: (chrom, tile, seq) with tiles of ``tile`` bases, at least REACH. All windows of an intron end lie
+    within REACH of it, so the genome is joined once for each end, with tiles that overlap. A window that leaves
+    its chromosome is cut there.
     """
-    c = F.col
-    plus = c("strand") == "+"
-    s = F.when(plus, c("istart") - 1).otherwise(SCALE - c("iend") - 1)
-    e = F.when(plus, c("iend") + 1).otherwise(SCALE - c("istart") + 1)
-    windows = {"donor": (s - 8, s + 9, e - 9, e + 8), "acceptor": (e - 20, e + 3, s - 3, s + 20), "donor_rt": (s - 6, s + 6, e - 6, e + 6), "acceptor_rt": (e - 6, e + 6, s - 6, s + 6)}
+    plus = F.col("strand") == "+"
+    s = F.when(plus, F.col("istart") - 1).otherwise(SCALE - F.col("iend") - 1)
+    e = F.when(plus, F.col("iend") + 1).otherwise(SCALE - F.col("istart") + 1)
     from strandloom.functions.dna import reverse_complement
 
-    x = introns
-    for name, (pa, pb, ma, mb) in windows.items():
-        a, b = F.when(plus, pa).otherwise(ma), F.when(plus, pb).otherwise(mb)
-        left = genome.select("chrom", F.col("tile").alias("_t"), F.col("seq").alias("_l"))
-        right = genome.select("chrom", (F.col("tile") - 1).alias("_t"), F.col("seq").alias("_r"))
-        x = x.withColumns({"_a": a, "_n": b - a}).withColumn("_t", F.floor(F.col("_a") / tile))
-        x = x.join(left, ["chrom", "_t"], "left").join(right, ["chrom", "_t"], "left")
-        seq = F.upper(F.substring(F.concat(F.coalesce("_l", F.lit("")), F.coalesce("_r", F.lit(""))), (F.col("_a") - F.col("_t") * tile + 1).cast("int"), F.col("_n").cast("int")))
-        x = x.withColumn(name, F.when(plus, seq).otherwise(reverse_complement(seq))).drop("_a", "_n", "_t", "_l", "_r")
-    return x
+    tiles = overlapping_tiles(genome, 2 * REACH)
+    x = introns.withColumns({"_s": s, "_e": e})
+    for end in ("_s", "_e"):
+        x = x.withColumn(f"{end}0", F.greatest(F.col(end) - REACH, F.lit(0))).withColumn("_t", F.floor(F.col(f"{end}0") / tile))
+        at = tiles.select("chrom", F.col("tile").alias("_t"), F.col("seq").alias("_q"))
+        x = x.join(at, ["chrom", "_t"], "left")
+        around = F.substring("_q", (F.col(f"{end}0") - F.col("_t") * tile + 1).cast("int"), F.lit(2 * REACH))
+        x = x.withColumn(f"{end}q", F.upper(F.coalesce(around, F.lit("")))).drop("_t", "_q")
+
+    def window(end: str, begin: int, stop: int) -> Column:
+        first = F.greatest(F.col(end) + begin, F.lit(0))
+        return F.substring(f"{end}q", (first - F.col(f"{end}0") + 1).cast("int"), F.greatest(F.col(end) + stop - first, F.lit(0)).cast("int"))
+
+    windows = {"donor": (("_s", -8, 9), ("_e", -9, 8)), "acceptor": (("_e", -20, 3), ("_s", -3, 20)), "donor_rt": (("_s", -6, 6), ("_e", -6, 6)), "acceptor_rt": (("_e", -6, 6), ("_s", -6, 6))}
+    cut = {name: F.when(plus, window(*here)).otherwise(reverse_complement(window(*there))) for name, (here, there) in windows.items()}
+    return x.withColumns(cut).drop("_s", "_e", "_s0", "_e0", "_sq", "_eq")

@@ -33,19 +33,46 @@ def window_sequences(windows: DataFrame, genome: DataFrame, tile: int = 65536) -
     return x.withColumn("seq", F.when(F.col("strand") == "-", reverse_complement(seq)).otherwise(seq)).drop("_t", "_l", "_r", "_size")
 
 
+def slice_starts(length: int) -> np.ndarray:
+    """Where the slices of a sequence begin: every STRIDE bases up to the first one that reaches its end."""
+    return np.arange(0, max(-(-(length - WIDTH) // STRIDE), 0) * STRIDE + 1, STRIDE)
+
+
+def profiles(seqs: list[str], model: Model) -> list[np.ndarray]:
+    """Mean cut probability per position of overlapping slices of each sequence, smoothed; ``model`` gives WIDTH numbers (or more) a slice.
+
+    The slices of all sequences go through the model at once; sequences of one length are averaged and
+    smoothed as one array. Those shorter than the smoothing are not smoothed.
+    """
+    starts = [slice_starts(len(s)) for s in seqs]
+    slices = [s[a : a + WIDTH].ljust(WIDTH, "X") for s, at in zip(seqs, starts) for a in at.tolist()]
+    if not slices:
+        return []
+    raw = np.asarray(model(slices))
+    raw = raw.reshape(len(slices), -1)[:, :WIDTH].astype(float)
+    first = np.concatenate(([0], np.cumsum([len(a) for a in starts])))
+    length = np.array([len(s) for s in seqs])
+    out: list[np.ndarray] = [np.zeros(0)] * len(seqs)
+    for n in np.unique(length).tolist():
+        mine, at = np.flatnonzero(length == n), slice_starts(n)
+        total, count = np.zeros((len(mine), n + len(SMOOTHING) - 1)), np.zeros(n)
+        half = len(SMOOTHING) // 2
+        for k, a in enumerate(at.tolist()):
+            size = min(WIDTH, n - a)
+            total[:, half + a : half + a + size] += raw[first[mine] + k, :size]
+            count[a : a + size] += 1
+        if n >= len(SMOOTHING):
+            smooth = sum(w * total[:, k : k + n] for k, w in enumerate(SMOOTHING))
+        else:
+            smooth = total[:, half : half + n]
+        for i, row in zip(mine.tolist(), smooth / np.maximum(count, 1)):
+            out[i] = row
+    return out
+
+
 def profile(seq: str, model: Model) -> np.ndarray:
-    """Mean cut probability per position of overlapping slices, smoothed slice by slice; ``model`` gives WIDTH numbers (or more) a slice."""
-    starts = list(range(0, max(len(seq) - WIDTH, 0) + STRIDE, STRIDE))
-    starts = [s for i, s in enumerate(starts) if i == 0 or starts[i - 1] + WIDTH < len(seq)]
-    raw = np.asarray(model([seq[s : s + WIDTH].ljust(WIDTH, "X") for s in starts]))
-    total, count = np.zeros(len(seq)), np.zeros(len(seq))
-    for s, p in zip(starts, raw):
-        n = min(WIDTH, len(seq) - s)
-        line = np.zeros(len(seq))
-        line[s : s + n] = np.ravel(p)[:n]
-        total += np.convolve(line, SMOOTHING, "same") if len(seq) >= len(SMOOTHING) else line
-        count[s : s + n] += 1
-    return total / np.maximum(count, 1)
+    """``profiles`` of one sequence."""
+    return profiles([seq], model)[0]
 
 
 def one_hot(seq: str, width: int = WIDTH) -> np.ndarray:
@@ -86,8 +113,7 @@ def window_peaks(windows: DataFrame, load: Callable[[], Model], best_only: bool
         model = load()
         for pdf in batches:
             out = []
-            for w in pdf.itertuples():
-                p = profile(w.seq, model)
+            for w, p in zip(pdf.itertuples(), profiles(pdf["seq"].tolist(), model)):
                 for i in [int(p.argmax())] if best_only and len(p) else peaks(p):
                     out.append((w.chrom, w.end - i - 1 if w.strand == "-" else w.start + i - 1, w.name, i, float(p[i]), w.strand))
             yield pd.DataFrame(out, columns=["chrom", "position", "name", "place", "score", "strand"])
@@ -110,8 +136,7 @@ def score_windows(windows: DataFrame, load: Callable[[], Model], least: float =
         model = load()
         for pdf in batches:
             out = []
-            for w in pdf.itertuples():
-                p = profile(w.seq, model)
+            for w, p in zip(pdf.itertuples(), profiles(pdf["seq"].tolist(), model)):
                 for i in np.flatnonzero(p >= least).tolist():
                     at = w.end - i - 1 if w.strand == "-" else w.start + i - 1
                     out.append((w.chrom, at, at + 1, f"{w.name}_{i}", float(p[i]), w.strand))

@@ -469,26 +469,6 @@ def revcomp(spark, sf):
     return tails(spark, sf).select("doc_id", dna.reverse_complement(F.col("seq")).alias("rc"))
 
 
-@query("kmer_rt_scan", TAIL_SQL + """, c AS (SELECT doc_id, substring(seq, 70, 12) AS d, substring(seq, 90, 12) AS a FROM b WHERE length(seq) >= 101),
- codes AS (SELECT doc_id, side, CAST(list_sum(list_transform(range(0, 8), lambda j: (strpos('ACGT', substring(x, i + j, 1)) - 1) * CAST(pow(4, 7 - j) AS BIGINT))) AS BIGINT) AS code FROM (SELECT doc_id, 'd' AS side, d AS x FROM c UNION ALL SELECT doc_id, 'a', a FROM c), (VALUES (1), (2), (3), (4), (5)) v(i))
- SELECT c.doc_id, coalesce(bool_or(bit_count(xor(x.code, y.code)) <= 1), false) AS is_rt FROM c JOIN codes x ON x.doc_id = c.doc_id AND x.side = 'd' JOIN codes y ON y.doc_id = c.doc_id AND y.side = 'a' GROUP BY c.doc_id""")
-def kmer_rt_scan(spark, sf):
-    t = tails(spark, sf).where("length(seq) >= 101")
-    return t.select("doc_id", dna.rt_repeat(F.substring("seq", 70, 12), F.substring("seq", 90, 12)).alias("is_rt"))
-
-
-@query("maxent_consensus", TAIL_SQL + """, w AS (SELECT doc_id, substring(seq, 78, 1) AS x, substring(seq, 79, 1) AS y FROM b WHERE length(seq) >= 90)
- SELECT doc_id, (CASE x WHEN 'A' THEN 0.9903 WHEN 'C' THEN 0.0032 WHEN 'G' THEN 0.0034 ELSE 0.0030 END::DOUBLE * CASE y WHEN 'A' THEN 0.0027 WHEN 'C' THEN 0.0037 WHEN 'G' THEN 0.9905 ELSE 0.0030 END::DOUBLE)
-  / (CASE WHEN x IN ('A', 'T') THEN 0.27 ELSE 0.23 END::DOUBLE * CASE WHEN y IN ('A', 'T') THEN 0.27 ELSE 0.23 END::DOUBLE) AS score FROM w""")
-def maxent_consensus(spark, sf):
-    return tails(spark, sf).where("length(seq) >= 90").select("doc_id", dna.consensus_score(F.substring("seq", 60, 23)).alias("score"))
-
-
-# under their second names too
-for _name in ("polya_tail", "revcomp", "kmer_rt_scan", "maxent_consensus"):
-    QUERIES[f"{_name}_whole"], ORACLE_SQL[f"{_name}_whole"] = QUERIES[_name], ORACLE_SQL[_name]
-
-
 # --- tables, sets, chunks ---------------------------------------------------------------------------
 
 
@@ -846,3 +826,6 @@ def highest_place(spark, sf):
     from strandloom.operators.cutsites import highest
 
     return highest(transcripts(spark, sf).select(F.col("chrom").alias("name"), F.col("end").alias("start"), ((F.col("k") % 100).cast("double") / 8).alias("score")))
+
+
+from strandloom.plans import files  # noqa: E402, F401  its queries are registered here

@@ -24,25 +24,26 @@ def read_fasta(spark: SparkSession, path: str) -> DataFrame:
     return raw.select(F.element_at(lines, 1).alias("name"), F.array_join(F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))), "").alias("seq"))
 
 
-def read_fastq(spark: SparkSession, path: str) -> DataFrame:
-    """(record, name, seq, quality): groups of four lines, numbered from 0 in file order."""
-    lines = with_position(spark.read.text(path))
+def read_fastq(spark: SparkSession, path: str | list[str]) -> DataFrame:
+    """(record, name, seq, quality): groups of four lines, numbered from 0 over all files, by path and in file order."""
+    lines = with_line_number(spark.read.text(path))
     r = lines.withColumns({"record": F.floor(F.col("position") / 4), "part": F.col("position") % 4})
     part = lambda k: F.max(F.when(F.col("part") == k, F.col("value")))
     return r.groupBy("record").agg(F.substring(part(0), 2, 1 << 30).alias("name"), part(1).alias("seq"), part(3).alias("quality"))
 
 
-def with_position(df: DataFrame) -> DataFrame:
-    """``df`` with position: consecutive numbers from 0 in the order of its partitions.
+def with_line_number(lines: DataFrame) -> DataFrame:
+    """The rows of a text scan with position: consecutive numbers from 0 by file path, split and line, however Spark
+    deals splits to tasks.
 
-    Counts per partition come first (a few numbers each), then each partition numbers its own rows,
-    so that no task sees all rows.
+    A split's lines follow one another in its task. Their number, and the first one's id, is counted
+    first, one row a split; then each line takes its split's number of lines before it.
     """
-    ids = df.withColumn("_id", F.monotonically_increasing_id())
-    part = F.shiftright("_id", 33)
-    counts = ids.groupBy(part.alias("_p")).agg(F.count("*").alias("_n"))
-    before = counts.select("_p", (F.sum("_n").over(Window.orderBy("_p").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")).alias("_before"))
-    return ids.join(F.broadcast(before), part == F.col("_p")).withColumn("position", F.col("_before") + F.col("_id").bitwiseAND(2**33 - 1)).drop("_id", "_p", "_before")
+    ids = lines.select("*", F.col("_metadata.file_path").alias("_file"), F.col("_metadata.file_block_start").alias("_split")).withColumn("_id", F.monotonically_increasing_id())
+    counts = ids.groupBy("_file", "_split").agg(F.count("*").alias("_n"), F.min("_id").alias("_first"))
+    before = F.sum("_n").over(Window.orderBy("_file", "_split").rowsBetween(Window.unboundedPreceding, Window.currentRow)) - F.col("_n")
+    counts = counts.select("_file", "_split", "_first", before.alias("_before"))
+    return ids.join(counts, ["_file", "_split"]).withColumn("position", F.col("_before") + F.col("_id") - F.col("_first")).drop("_file", "_split", "_id", "_first", "_before")
 
 
 def with_chunk(df: DataFrame, order: list[str], size: int) -> DataFrame:

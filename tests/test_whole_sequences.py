@@ -17,7 +17,7 @@ def whole(spark, tmp_path_factory):
     path = tmp_path_factory.mktemp("whole")
     spark.createDataFrame(list(TEXTS.items()), "doc_id long, text string").write.parquet(f"{path}/documents.parquet")
     seqs = {d: "A" * (d % 60) + re.sub("[^A-Za-z]", "", t).upper().translate(LETTERS) for d, t in TEXTS.items()}
-    return lambda name: {r[0]: r[1] for r in registry.QUERIES[name](spark, str(path)).collect()}, seqs
+    return lambda name: {r[0]: r[1] if len(r) == 2 else tuple(r[1:]) for r in registry.QUERIES[name](spark, str(path)).collect()}, seqs
 
 
 def tail(seq):
@@ -33,12 +33,12 @@ def test_tail_length(whole):
     got, seqs = whole
     want = {d: tail(s) for d, s in seqs.items()}
     assert want[3] > 120
-    assert got("polya_tail_whole") == want
+    assert got("polya_tail") == want
 
 
 def test_reverse_complement(whole):
     got, seqs = whole
-    assert got("revcomp_whole") == {d: s[::-1].translate(str.maketrans("ACGT", "TGCA")) for d, s in seqs.items()}
+    assert got("revcomp") == {d: s[::-1].translate(str.maketrans("ACGT", "TGCA")) for d, s in seqs.items()}
 
 
 def test_repeats(whole):
@@ -47,13 +47,31 @@ def test_repeats(whole):
     def codes(s):
         return [sum("ACGT".index(b) << 2 * (7 - j) for j, b in enumerate(s[i : i + 8])) for i in range(5)]
 
-    want = {d: any((x ^ y).bit_count() <= 1 for x in codes(s[69:81]) for y in codes(s[89:101])) for d, s in seqs.items() if len(s) >= 101}
-    assert 60 in want
-    assert got("kmer_rt_scan_whole") == want
+    def hits(s):
+        return sum(any((x ^ y).bit_count() <= 1 for x in codes(s[i : i + 12]) for y in codes(s[i + 20 : i + 32])) for i in range(len(s) - 31))
+
+    want = {d: (len(s) - 31, hits(s)) for d, s in seqs.items() if len(s) >= 32}
+    assert 60 in want and any(0 < n < of for of, n in want.values())
+    assert got("kmer_rt_scan") == want
 
 
 def test_consensus(whole):
     got, seqs = whole
-    want = {d: config.CONS1[s[77]] * config.CONS2[s[78]] / (config.BGD[s[77]] * config.BGD[s[78]]) for d, s in seqs.items() if len(s) >= 90}
-    assert 60 in want
-    assert got("maxent_consensus_whole") == pytest.approx(want)
+    score = lambda x, y: config.CONS1[x] * config.CONS2[y] / (config.BGD[x] * config.BGD[y])
+    want = {d: (len(s) - 22, max(score(s[i + 18], s[i + 19]) for i in range(len(s) - 22))) for d, s in seqs.items() if len(s) >= 23}
+    assert {d: n for d, (n, _) in want.items()} == {d: n for d, (n, _) in got("maxent_consensus").items()}
+    assert {d: x for d, (_, x) in got("maxent_consensus").items()} == pytest.approx({d: x for d, (_, x) in want.items()})
+
+
+def test_growing_tails(whole):
+    got, seqs = whole
+
+    def grown(seq, first):
+        n = min(first, len(seq))
+        while True:
+            t = tail(seq[:n])
+            if t < n or n == len(seq):
+                return t if t < n else len(seq)
+            n = min(n + 50, len(seq))
+
+    assert got("polya_tail_growing") == {d: grown(s, 30 + d % 7) if s else 0 for d, s in seqs.items()}
