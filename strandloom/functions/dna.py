@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom import config
@@ -69,13 +69,43 @@ def rt_repeat(donor: Column, acceptor: Column, window: int = config.RT_WINDOW, m
     return F.exists(a, lambda x: F.exists(b, lambda y: F.bit_count(x.bitwiseXOR(y)) <= mismatch))
 
 
+def with_rt_sites(df: DataFrame, seq: str = "seq", context: int = config.RT_CONTEXT, apart: int = 20, window: int = config.RT_WINDOW, mismatch: int = config.RT_MISMATCH) -> DataFrame:
+    """``df`` with rt_sites: the places (from 0) of whole sequences whose ``context`` bases are, by ``rt_repeat``, repeated in
+    those ``apart`` bases on; empty where a sequence is too short.
+
+    Codes of all windows are made once, as arrays, so the work grows with the length: a window meets those
+    of distances within the reach of a context, as bits of one number, and a place looks at its windows' bits.
+    """
+    slack = context - window
+    many = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    v = F.transform(F.split(seq, ""), lambda b: F.when(b == "C", 1).when(b == "G", 2).when(b == "T", 3).otherwise(0))
+    code = lambda j: reduce(lambda a, t: a * 4 + F.get("_v", j + t), range(1, window), F.get("_v", j))
+    near = lambda j, k: F.when(F.bit_count(F.get("_c", j).bitwiseXOR(F.get("_c", j + k))) <= mismatch, 1 << (k - apart + slack)).otherwise(0)
+    bits = lambda j: reduce(lambda a, k: a + near(j, k), range(apart - slack + 1, apart + slack + 1), near(j, apart - slack))
+    hit = lambda i: reduce(lambda a, x: a | (F.shiftright(F.get("_d", i + x), slack - x).bitwiseAND((1 << slack + 1) - 1) != 0), range(1, slack + 1), F.shiftright(F.get("_d", i), slack).bitwiseAND((1 << slack + 1) - 1) != 0)
+    x = df.withColumn("_v", v).withColumn("_n", F.length(seq) - (apart + context) + 1)
+    x = x.withColumn("_c", F.transform(many(F.length(seq) - window + 1), code)).withColumn("_d", F.transform(many(F.when(F.col("_n") > 0, F.col("_n") + slack).otherwise(0)), bits))
+    return x.withColumn("rt_sites", F.filter(many(F.col("_n")), hit)).drop("_v", "_n", "_c", "_d")
+
+
+def with_consensus_scores(df: DataFrame, seq: str = "seq", width: int = 23) -> DataFrame:
+    """``df`` with consensus_scores: ``consensus_score`` of every run of ``width`` bases, by place."""
+    n = F.length(seq) - width + 1
+    places = F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
+    x = df.withColumn("_v", F.split(seq, ""))
+    return x.withColumn("consensus_scores", F.transform(places, lambda i: _consensus(F.get("_v", i + 18), F.get("_v", i + 19)))).drop("_v")
+
+
 def _of(base: Column, table: dict[str, float]) -> Column:
     return reduce(lambda acc, kv: acc.when(base == kv[0], kv[1]), table.items(), F.when(F.lit(False), 0.0)).otherwise(0.0)
 
 
 def consensus_score(seq: Column) -> Column:
     """Acceptor consensus of a 23-mer: its bases 18 and 19 against the background; null where the background is 0."""
-    first, second = cut(seq, 18, 19), cut(seq, 19, 20)
+    return _consensus(cut(seq, 18, 19), cut(seq, 19, 20))
+
+
+def _consensus(first: Column, second: Column) -> Column:
     return F.try_divide(_of(first, config.CONS1) * _of(second, config.CONS2), _of(first, config.BGD) * _of(second, config.BGD))
 
 

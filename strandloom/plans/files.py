@@ -168,10 +168,8 @@ def read_tails(spark, sf):
  SELECT doc_id, count(*) AS n_sites, count(*) FILTER (WHERE hit) AS n_rt FROM z WHERE j <= n - 31 GROUP BY doc_id""")
 def kmer_rt_scan(spark, sf):
     """Places of a whole text whose 12 bases repeat, as at a template switch, 20 bases on."""
-    t = tails(spark, sf).where("length(seq) >= 32")
-    here = F.sequence(F.lit(1), F.length("seq") - 31)
-    hits = F.filter(here, lambda i: dna.rt_repeat(F.substring(F.col("seq"), i, F.lit(12)), F.substring(F.col("seq"), i + 20, F.lit(12))))
-    return t.select("doc_id", F.size(here).cast("long").alias("n_sites"), F.size(hits).cast("long").alias("n_rt"))
+    t = dna.with_rt_sites(tails(spark, sf).where("length(seq) >= 32"))
+    return t.select("doc_id", (F.length("seq") - 31).cast("long").alias("n_sites"), F.size("rt_sites").cast("long").alias("n_rt"))
 
 
 _SHARE = lambda c, table: f"CASE {c} " + " ".join(f"WHEN '{b}' THEN {v}::DOUBLE" for b, v in table.items()) + " END"
@@ -182,5 +180,5 @@ _SHARE = lambda c, table: f"CASE {c} " + " ".join(f"WHEN '{b}' THEN {v}::DOUBLE"
  SELECT doc_id, count(*) AS n, max(({_SHARE('x', classify.config.CONS1)} * {_SHARE('y', classify.config.CONS2)}) / ({_SHARE('x', classify.config.BGD)} * {_SHARE('y', classify.config.BGD)})) AS score FROM w GROUP BY doc_id""")
 def maxent_consensus(spark, sf):
     """The best acceptor consensus of all 23-mers of a text."""
-    t = tails(spark, sf).where("length(seq) >= 23").withColumn("at", F.sequence(F.lit(1), F.length("seq") - 22))
-    return t.select("doc_id", F.size("at").cast("long").alias("n"), F.array_max(F.transform("at", lambda i: dna.consensus_score(F.substring(F.col("seq"), i, F.lit(23))))).alias("score"))
+    t = dna.with_consensus_scores(tails(spark, sf).where("length(seq) >= 23"))
+    return t.select("doc_id", F.size("consensus_scores").cast("long").alias("n"), F.array_max("consensus_scores").alias("score"))
