@@ -63,3 +63,39 @@ def test_repeated_rows_and_clashing_columns(spark):
     got = toxicity.score(df, toxicity.fit(df, labels, F.lit(True), min_df=1)).collect()
     assert sorted(r.doc_id for r in got) == [1, 1, 2, 3, 4]
     assert all((r.score > 0.5) == (r.doc_id in (1, 3)) for r in got)
+
+
+def test_passages():
+    rng = np.random.default_rng(5)
+    texts = ["", "short", "x" * 95, "é" * 50, "word " * 40, "日本語 " * 30, "a" * 30 + " " + "b" * 200, ""] + ["".join(rng.choice(list("ab é日\n"), int(rng.integers(0, 300)))) for _ in range(60)]
+    raw = [t.encode() for t in texts]
+    off = np.concatenate(([0], np.cumsum([len(r) for r in raw])))
+    cut, first = toxicity.passages(np.frombuffer(b"".join(raw), np.uint8), off, 40)
+    begins = [*first.tolist(), len(cut) - 1]
+    joined = b"".join(raw)
+    for t, a, b in zip(raw, begins[:-1], begins[1:]):
+        parts = [joined[cut[k] : cut[k + 1]] for k in range(a, b)]
+        assert b"".join(parts) == t and len(parts) >= 1
+        assert all(len(p) <= 43 and p.decode() is not None for p in parts)
+        assert len(t) <= 40 or all(parts)
+
+
+def test_clean_text_does_not_bury_a_toxic_passage(spark):
+    """Held-out toxic texts stay caught with twenty clean ones behind them, long clean ones stay clean; accuracy by length."""
+    sf = "/root/testdata/sf0.1"
+    docs, labels = (spark.read.parquet(f"{sf}/{t}.parquet") for t in ("documents", "labels"))
+    held_out = F.crc32(F.col("doc_id").cast("string")) % 4 == 2
+    model = toxicity.fit(docs, labels, ~held_out)
+    held = docs.where(held_out).join(labels, "doc_id").select("doc_id", "text", "toxic").toPandas()
+    rng = np.random.default_rng(1)
+    clean, toxic = held[held.toxic == 0].text.tolist(), held[held.toxic == 1].text.tolist()
+    more = lambda k: "\n".join(clean[i] for i in rng.integers(0, len(clean), k))
+    rows = [(i, t) for i, t in enumerate(held.text)] + [(10_000 + i, f"{t}\n{more(20)}") for i, t in enumerate(toxic)] + [(20_000 + i, more(21)) for i in range(100)]
+    got = {r.doc_id: r.score >= 0.3 for r in toxicity.score(spark.createDataFrame(rows, "doc_id long, text string"), model).collect()}
+    alone = np.array([got[i] for i, y in enumerate(held.toxic) if y])
+    buried = np.array([got[10_000 + i] for i in range(len(toxic))])
+    assert alone.mean() > 0.8 and buried[alone].mean() > 0.97
+    assert np.mean([got[20_000 + i] for i in range(100)]) < 0.1
+    right = np.array([got[i] == bool(y) for i, y in enumerate(held.toxic)])
+    for part in np.array_split(np.argsort(held.text.str.len().to_numpy()), 4):
+        assert right[part].mean() > 0.95
