@@ -57,6 +57,11 @@ def middle_exons(exons: Column) -> Column:
     return F.array_distinct(F.slice(exons, 2, F.greatest(F.size(exons) - 1, F.lit(0))))
 
 
+def utr_bounds(start: Column, end: Column, cds_start: Column, cds_end: Column) -> Column:
+    """struct<five_start, five_end, three_start, three_end>: what lies before and behind the CDS."""
+    return F.struct(start.alias("five_start"), cds_start.alias("five_end"), cds_end.alias("three_start"), end.alias("three_end"))
+
+
 def gene_token(name: Column) -> Column:
     """Second part of a dotted reference name."""
     return F.split_part(name, F.lit("."), F.lit(2))

@@ -17,6 +17,16 @@ def intron_rows(packed: DataFrame) -> DataFrame:
     return packed.select("comp", "chrom", "strand", "is_ref", F.explode("introns").alias("i")).select("comp", "chrom", "strand", "is_ref", F.col("i.start").alias("istart"), F.col("i.end").alias("iend"))
 
 
+def cds_hull(packed: DataFrame) -> DataFrame:
+    """(comp, h0, h1): where the references' CDS of a component begin and end."""
+    return packed.where("is_ref").groupBy("comp").agg(F.min("cds_start").alias("h0"), F.max("cds_end").alias("h1"))
+
+
+def frames(table: DataFrame) -> DataFrame:
+    """(in_frame, n, bases): introns, and their bases, in and out of frame."""
+    return table.groupBy("in_frame").agg(F.count("*").alias("n"), F.sum(F.col("iend") - F.col("istart")).alias("bases"))
+
+
 def intron_table(packed: DataFrame) -> DataFrame:
     """One row per component and intron: seen, spanned, position, is_toga, in_frame.
 
@@ -26,7 +36,7 @@ def intron_table(packed: DataFrame) -> DataFrame:
     rows = intron_rows(packed)
     keys = ["comp", "chrom", "strand", "istart", "iend"]
     table = rows.groupBy(*keys).agg(F.count_if(~F.col("is_ref")).alias("seen"), F.bool_or("is_ref").alias("is_toga"))
-    hull = packed.where("is_ref").groupBy("comp").agg(F.min("cds_start").alias("h0"), F.max("cds_end").alias("h1"))
+    hull = cds_hull(packed)
     reads = packed.where("not is_ref").select("comp", F.col("start").alias("rs"), F.col("end").alias("re"))
     spanned = point_join(reads, table.where("seen > 0").select("comp", "istart", "iend"), ["comp"], "rs", "re", "istart").where("iend <= re").groupBy("comp", "istart", "iend").agg(F.count("*").alias("spanned"))
     t = table.join(spanned, ["comp", "istart", "iend"], "left").join(hull, "comp", "left").withColumns({"spanned": F.coalesce("spanned", F.lit(0)), "h0": F.coalesce("h0", F.lit(2**63 - 1)), "h1": F.coalesce("h1", F.lit(0))})

@@ -117,6 +117,18 @@ def components(tx: DataFrame, overlap: Overlap = Overlap.EXON, key: str = "k", t
     return once.join(joined, F.col("comp") == F.col("node"), "left").select(key, F.coalesce("component", "comp").alias("comp"))
 
 
+def gene_exons(refs: DataFrame, gene: str = "gene") -> DataFrame:
+    """(comp, gene, exons): the distinct exons of a gene's references in a component, sorted."""
+    x = refs.select("comp", gene, F.explode("exons").alias("x"))
+    return x.groupBy("comp", gene).agg(F.array_sort(F.collect_set("x")).alias("exons"))
+
+
+def merged_genes(refs: DataFrame, gene: str = "gene") -> DataFrame:
+    """(comp, n_genes, merged): the genes of a component's references, and one name of all of them."""
+    genes = refs.groupBy("comp").agg(F.array_sort(F.collect_set(gene)).alias("g"))
+    return genes.select("comp", F.size("g").cast("long").alias("n_genes"), F.array_join("g", ".").alias("merged"))
+
+
 def pack(tx: DataFrame, overlap: Overlap = Overlap.EXON, mode: Mode = Mode.DEFAULT, key: str = "k") -> DataFrame:
     """``tx`` with ``comp``, ``n_refs`` and ``n_queries``; modes QUERY, INTRON and POLYA drop components that lack a side."""
     by = Window.partitionBy("comp")

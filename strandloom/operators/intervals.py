@@ -75,6 +75,12 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], closed: bool
     return a.join(b, keys).where(hit & once).drop("_level", "_bin", "_rlevel", "_rbin", "_level_own", "_rlevel_own")
 
 
+def sharing(rows: DataFrame, key: str, on: list[str]) -> DataFrame:
+    """(a, b), a < b: the pairs of ``key`` that have a row in common by ``on``."""
+    x = rows.select(key, *on).distinct()
+    return x.withColumnRenamed(key, "a").join(x.withColumnRenamed(key, "b"), on).where("a < b").select("a", "b").distinct()
+
+
 def without_names(rows: DataFrame, banned: DataFrame) -> DataFrame:
     """Rows whose name is not in a blacklist of names."""
     return rows.join(banned.select("name").distinct(), "name", "left_anti").select(rows.columns)

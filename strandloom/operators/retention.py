@@ -28,6 +28,12 @@ def contribution(position: Column, in_frame: Column, support: Column) -> Column:
     return F.when(support == "RT", 0).when((position == "CDS") & ~in_frame & (support == "UNCLEAR"), 1).when((position == "CDS") & ~in_frame & (support == "SPLICED"), 2).when((position == "Unknown") & ~in_frame, 2).when(position == "Unknown", 1).otherwise(0)
 
 
+def counters(verdicts: DataFrame) -> DataFrame:
+    """One row: components, reads, reads with a retention, components whose ratio exceeds the threshold."""
+    dirty = F.when(F.col("ratio") > config.RETENTION_RATIO_THRESHOLD, F.col("comp"))
+    return verdicts.agg(F.count_distinct("comp").alias("components"), F.count("*").alias("reads"), F.count_if("intron_retention").alias("retentions"), F.count_distinct(dirty).alias("reviews"))
+
+
 def verdicts(reads: DataFrame, introns: DataFrame, key: str = "k", recover: bool = False) -> DataFrame:
     """One row per read of a component with introns: arrays of hits, statuses, ratio and category.
 

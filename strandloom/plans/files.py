@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -11,17 +9,8 @@ from strandloom.functions import dna
 from strandloom.operators import alignments, classify, polya
 from strandloom.operators.components import Mode
 from strandloom.plans import fixtures
-from strandloom.plans.registry import BASE, INTRON_TABLE, TAIL_SQL, _packed_once, query, tails
+from strandloom.plans.registry import BASE, INTRON_TABLE, TAIL_SQL, _packed_once, new_folder, query, tails
 from strandloom.sources import binary, sequences
-from strandloom.workspace import shared_dir
-
-
-def _folder(spark, name: str) -> str:
-    """A new folder of the shared directory, which goes when the session's JVM ends."""
-    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
-    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
-    return path
 
 
 def _sizes(rows: DataFrame, end: str = "end") -> dict[str, int]:
@@ -54,7 +43,7 @@ def aligned(spark, sf: str) -> DataFrame:
 
 def _written_bam(spark, sf: str, indexed: bool) -> str:
     binary.register(spark)
-    path, reads = _folder(spark, "bam"), aligned(spark, sf)
+    path, reads = new_folder(spark, "bam"), aligned(spark, sf)
     binary.write_bams(reads.drop("end"), path, _sizes(reads.where("chrom is not null")), indexed)
     return path
 
@@ -94,7 +83,7 @@ def site_scores(spark, sf: str) -> DataFrame:
 def site_tracks(spark, sf: str) -> DataFrame:
     """The scores, through bigWig files by site and strand."""
     binary.register(spark)
-    scores, path, out = site_scores(spark, sf), _folder(spark, "tracks"), None
+    scores, path, out = site_scores(spark, sf), new_folder(spark, "tracks"), None
     sizes = _sizes(scores.withColumn("end", F.col("pos") + 1))
     for site in ("donor", "acceptor"):
         binary.write_bigwig(scores.where(F.col("site") == site).select("chrom", F.col("pos").alias("start"), (F.col("pos") + 1).alias("end"), "score", "strand"), f"{path}/{site}", sizes)
@@ -126,7 +115,7 @@ def splice_score_tracks(spark, sf):
 @query("fastq_records", BASE + " SELECT row_number() OVER (ORDER BY k) - 1 AS record, concat('q', k) AS name, repeat('ACGT', CAST(k % 5 + 1 AS INT)) AS seq, repeat('IIII', CAST(k % 5 + 1 AS INT)) AS quality FROM tx")
 def fastq_records(spark, sf):
     """Records over several files, numbered in file order."""
-    k, path = F.col("k"), _folder(spark, "reads")
+    k, path = F.col("k"), new_folder(spark, "reads")
     many = lambda x: F.repeat(F.lit(x), (k % 5 + 1).cast("int"))
     rows = fixtures.transcripts(spark, sf).repartitionByRange(6, "k").sortWithinPartitions("k")
     rows.select(F.concat_ws("\n", F.concat(F.lit("@q"), k), many("ACGT"), F.lit("+"), many("IIII")).alias("value")).write.text(path)

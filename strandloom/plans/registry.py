@@ -114,7 +114,8 @@ def middle_exons(spark, sf):
 
 @query("utr_bounds", BASE + "SELECT k, tstart AS five_start, cs AS five_end, ce AS three_start, tend AS three_end FROM tx")
 def utr_bounds(spark, sf):
-    return transcripts(spark, sf).select("k", F.col("start").alias("five_start"), F.col("cds_start").alias("five_end"), F.col("cds_end").alias("three_start"), F.col("end").alias("three_end"))
+    bounds = coords.utr_bounds(*(F.col(c) for c in ("start", "end", "cds_start", "cds_end")))
+    return transcripts(spark, sf).select("k", bounds.alias("u")).select("k", "u.*")
 
 
 @query("gene_token", BASE + "SELECT k, concat('G', k - k % 40) AS gene FROM tx WHERE is_ref")
@@ -184,14 +185,14 @@ def exon_overlap_pairs(spark, sf):
 
 @query("shared_introns", BASE + "SELECT DISTINCT a.k AS a, b.k AS b FROM introns a JOIN introns b ON a.chrom = b.chrom AND a.strand = b.strand AND a.k < b.k AND a.s = b.s AND a.e = b.e")
 def shared_introns(spark, sf):
-    x = transcripts(spark, sf).select("k", "chrom", "strand", F.explode("introns").alias("i")).select("k", "chrom", "strand", "i")
-    return x.select(F.col("k").alias("a"), "chrom", "strand", "i").join(x.select(F.col("k").alias("b"), "chrom", "strand", "i"), ["chrom", "strand", "i"]).where("a < b").select("a", "b").distinct()
+    x = transcripts(spark, sf).select("k", "chrom", "strand", F.explode("introns").alias("i"))
+    return intervals.sharing(x, "k", ["chrom", "strand", "i"])
 
 
 @query("shared_splice_sites", BASE + ", st AS (SELECT DISTINCT k, chrom, strand, unnest([s, e]) AS p FROM introns) SELECT DISTINCT a.k AS a, b.k AS b FROM st a JOIN st b ON a.chrom = b.chrom AND a.strand = b.strand AND a.k < b.k AND a.p = b.p")
 def shared_splice_sites(spark, sf):
-    x = transcripts(spark, sf).select("k", "chrom", "strand", F.explode(F.flatten(F.transform("introns", lambda i: F.array(i["start"], i["end"])))).alias("p")).distinct()
-    return x.select(F.col("k").alias("a"), "chrom", "strand", "p").join(x.select(F.col("k").alias("b"), "chrom", "strand", "p"), ["chrom", "strand", "p"]).where("a < b").select("a", "b").distinct()
+    x = transcripts(spark, sf).select("k", "chrom", "strand", F.explode(F.flatten(F.transform("introns", lambda i: F.array(i["start"], i["end"])))).alias("p"))
+    return intervals.sharing(x, "k", ["chrom", "strand", "p"])
 
 
 # --- introns ----------------------------------------------------------------------------------------
@@ -483,16 +484,21 @@ def bedgraph_max(spark, sf):
 
 @query("score_nested_map", BASE + ", sc AS (SELECT chrom, tend - tend % 2000 AS p, k % 100 AS score FROM tx) SELECT chrom, p AS key, count(*) AS n, max(score) AS max_score, CAST(avg(score) AS DOUBLE) AS avg_score FROM sc GROUP BY ALL")
 def score_nested_map(spark, sf):
-    from strandloom.sources.text import nested_scores
-
     tx = transcripts(spark, sf)
-    s = nested_scores(tx.select("chrom", (F.col("end") - F.col("end") % 2000).alias("key"), (F.col("k") % 100).alias("score")))
-    return s.select("chrom", "key", F.size("scores").cast("long").alias("n"), F.array_max("scores").alias("max_score"), F.expr("aggregate(scores, 0D, (a, x) -> a + x, a -> a / size(scores))").alias("avg_score"))
+    return text.score_summary(text.nested_scores(tx.select("chrom", (F.col("end") - F.col("end") % 2000).alias("key"), (F.col("k") % 100).alias("score"))))
+
+
+def new_folder(spark, name: str, suffix: str = "") -> str:
+    """A new folder of the shared directory, which goes when the session's JVM ends."""
+    path = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}{suffix}"
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(at)
+    return path
 
 
 def _lines(df: DataFrame, name: str, suffix: str = "") -> str:
     """The rows as a tab-separated folder of the shared directory, for queries that read files."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}{suffix}"
+    path = new_folder(df.sparkSession, name, suffix)
     df.select(F.concat_ws("\t", *(F.coalesce(F.col(c).cast("string"), F.lit("")) for c in df.columns)).alias("line")).write.text(path)
     return path
 
@@ -569,7 +575,7 @@ def fasta_records(spark, sf):
 def category_folders(spark, sf):
     category = F.when(F.col("k") % 3 == 0, "keep").when(F.col("k") % 3 == 1, "review")
     rows = transcripts(spark, sf).select(category.alias("category"), F.concat(F.lit("line"), F.floor(F.col("k") / 3)).alias("line"))
-    path = f"{shared_dir(spark)}/categories-{uuid.uuid4().hex}"
+    path = new_folder(spark, "categories")
     descriptor.write_categories(rows.union(rows), path)
     return spark.read.text(path).select("category", F.col("value").alias("line"))
 
@@ -577,7 +583,7 @@ def category_folders(spark, sf):
 @query("descriptor_json", BASE + " SELECT k AS id, CASE WHEN k % 3 <> 0 THEN is_ref END AS flag, chrom FROM tx")
 def descriptor_json(spark, sf):
     t = transcripts(spark, sf).select(F.col("k").alias("id"), F.when(F.col("k") % 3 != 0, F.col("is_ref")).alias("flag"), "chrom")
-    path = f"{shared_dir(spark)}/json-{uuid.uuid4().hex}"
+    path = new_folder(spark, "json")
     descriptor.write_json(t, path)
     return spark.read.schema(t.schema).json(path)
 
@@ -664,8 +670,7 @@ def splice_scores(spark, sf):
 
 @query("global_counters", RETAINED + " SELECT count(DISTINCT comp) AS components, count(*) AS reads, count(*) FILTER (WHERE number_of_retentions > 0) AS retentions, count(DISTINCT comp) FILTER (WHERE ratio > 0.001) AS reviews FROM vr")
 def global_counters(spark, sf):
-    v = _retention(spark, sf)
-    return v.agg(F.count_distinct("comp").alias("components"), F.count("*").alias("reads"), F.count_if("intron_retention").alias("retentions"), F.count_distinct(F.when(F.col("ratio") > 0.001, F.col("comp"))).alias("reviews"))
+    return retention.counters(_retention(spark, sf))
 
 
 # --- further operators ------------------------------------------------------------------------------
@@ -683,19 +688,18 @@ def fusion_mapping(spark, sf):
 
 @query("cds_hull", REF_PACK + " SELECT comp, min(cs) AS h0, max(ce) AS h1 FROM pk WHERE is_ref GROUP BY comp")
 def cds_hull(spark, sf):
-    return _packed(spark, sf, Mode.INTRON).where("is_ref").groupBy("comp").agg(F.min("cds_start").alias("h0"), F.max("cds_end").alias("h1"))
+    return classify.cds_hull(_packed(spark, sf, Mode.INTRON))
 
 
 @query("gene_exon_union", EXON_PACK + ", gx AS (SELECT DISTINCT comp, concat('G', k - k % 40) AS gene, s, e FROM packed JOIN (SELECT k, s, e FROM exons) USING (k) WHERE is_ref) SELECT comp, gene, " + LIST + " AS exons FROM gx GROUP BY comp, gene")
 def gene_exon_union(spark, sf):
     refs = _packed(spark, sf).where("is_ref").withColumn("gene", coords.gene_token(F.col("name")))
-    return refs.select("comp", "gene", F.explode("exons").alias("x")).groupBy("comp", "gene").agg(F.array_sort(F.collect_set("x")).alias("x")).select("comp", "gene", coords.text(F.col("x")).alias("exons"))
+    return components.gene_exons(refs).select("comp", "gene", _text("exons").alias("exons"))
 
 
 @query("component_genes", EXON_PACK + ", g AS (SELECT DISTINCT comp, concat('G', k - k % 40) AS gene FROM packed WHERE is_ref) SELECT comp, count(*) AS n_genes, string_agg(gene, '.' ORDER BY gene) AS merged FROM g GROUP BY comp")
 def component_genes(spark, sf):
-    refs = _packed(spark, sf).where("is_ref").withColumn("gene", coords.gene_token(F.col("name")))
-    return refs.groupBy("comp").agg(F.array_sort(F.collect_set("gene")).alias("g")).select("comp", F.size("g").cast("long").alias("n_genes"), F.array_join("g", ".").alias("merged"))
+    return components.merged_genes(_packed(spark, sf).where("is_ref").withColumn("gene", coords.gene_token(F.col("name"))))
 
 
 @query("nag_shift", INTRON_TABLE + """, n AS (SELECT comp, s, e, substring('CAGTAGAAGCCC', CAST(1 + 3 * (s % 4) AS INT), 3) AS b, substring('CAGTAGAAGCCC', CAST(1 + 3 * (e % 4) AS INT), 3) AS a FROM it WHERE is_toga AND s % 2 = 0)
@@ -762,7 +766,7 @@ def bed12_line(spark, sf):
 
 @query("reference_frames", INTRON_TABLE + " SELECT in_frame, count(*) AS n, CAST(sum(e - s) AS BIGINT) AS bases FROM it GROUP BY in_frame")
 def reference_frames(spark, sf):
-    return classify.intron_table(_packed_once(spark, sf, Mode.INTRON)).groupBy("in_frame").agg(F.count("*").alias("n"), F.sum(F.col("iend") - F.col("istart")).alias("bases"))
+    return classify.frames(classify.intron_table(_packed_once(spark, sf, Mode.INTRON)))
 
 
 # --- keys, lines, tracks ----------------------------------------------------------------------------

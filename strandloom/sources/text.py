@@ -84,6 +84,12 @@ def nested_scores(rows: DataFrame) -> DataFrame:
     return rows.groupBy("chrom", "key").agg(F.array_sort(F.collect_list("score")).alias("scores"))
 
 
+def score_summary(nested: DataFrame) -> DataFrame:
+    """(chrom, key, n, max_score, avg_score) of ``nested_scores``."""
+    mean = F.aggregate("scores", F.lit(0.0), lambda a, x: a + x, lambda a: a / F.size("scores"))
+    return nested.select("chrom", "key", F.size("scores").cast("long").alias("n"), F.array_max("scores").alias("max_score"), mean.alias("avg_score"))
+
+
 def nested_attributes(rows: DataFrame, key: str, *attributes: str) -> DataFrame:
     """(chrom, key, attributes): all attribute tuples of a key, in order."""
     return rows.groupBy("chrom", F.col(key).alias("key")).agg(F.array_sort(F.collect_list(F.struct(*attributes))).alias("attributes"))
