@@ -2,8 +2,8 @@
 
 A line is the set of its words. A line is removed if an earlier line (by key, then place in the
 text) has a Jaccard similarity of at least ``num / den`` with it, whether or not that earlier line
-stays itself. Lines with fewer than ``min_words`` distinct words are left alone; the registered
-query and the pipeline set it to 1, so that every line with a word takes part.
+stays itself. Lines with fewer than ``min_words`` distinct words are left alone; by default every line
+with a word takes part.
 
 Texts are dealt to chunks of about CHUNK_BYTES by key, however wide the shuffle; that exchange serves
 all steps. Messages between chunks and buckets hold one entry at least, so they are never more rows than
@@ -38,7 +38,7 @@ from strandloom.llm._pack import from_gaps, gaps, narrow, pack, unpack
 from strandloom.llm.substring_dedup import NO_KEY, ROW, _rows, spread
 from strandloom.workspace import shuffle_width
 
-NUM, DEN, MIN_WORDS = 80, 100, 3
+NUM, DEN, MIN_WORDS = 80, 100, 1
 PAIRS = 1 << 20
 TOKEN_BITS = 40
 CHUNK_BYTES = 8 << 20

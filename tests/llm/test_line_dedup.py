@@ -37,7 +37,7 @@ def order(x):
 
 
 def result(df):
-    return sorted(map(tuple, dedup_lines(df).collect()), key=order)
+    return sorted(map(tuple, dedup_lines(df, min_words=3).collect()), key=order)
 
 
 def test_documents(rows, documents):
@@ -75,5 +75,5 @@ def test_short_lines_take_part_in_the_query_and_the_pipeline(spark, tmp_path):
 
 
 def test_documents_with_short_lines(rows, documents):
-    got = sorted(map(tuple, dedup_lines(rows(documents), min_words=1).collect()), key=order)
+    got = sorted(map(tuple, dedup_lines(rows(documents)).collect()), key=order)
     assert got == sorted(brute(documents, min_words=1), key=order)
