@@ -40,6 +40,7 @@ from strandloom.workspace import shuffle_width
 
 NUM, DEN, MIN_WORDS = 80, 100, 1
 PAIRS = 1 << 20
+BLOCK = 1 << 21
 TOKEN_BITS = 40
 CHUNK_BYTES = 8 << 20
 MIDDLE, LONG = 80, 200
@@ -330,15 +331,45 @@ def _send(texts: pa.Table, pairs: pa.Table) -> pa.Table:
     code = _words.distinct(line * len(later) + rank)
     line, rank = code // len(later), code % len(later)
     out = []
-    for c2 in _words.distinct(to).tolist():
-        mine = to[rank] == c2
-        lines, which = np.unique(line[mine], return_inverse=True)
+    order = np.argsort(to[rank], kind="stable")
+    line, rank = line[order], rank[order]
+    cuts = np.flatnonzero(np.concatenate(([True], to[rank][1:] != to[rank][:-1], [True])))
+    for a, z in zip(cuts[:-1].tolist(), cuts[1:].tolist()):
+        r = rank[a:z]
+        lines, which = np.unique(line[a:z], return_inverse=True)
         sets = x.sets(lines)
-        r = rank[mine]
-        out.append((c, c2, "sets", pack(narrow(np.array([len(s) for s in sets])), np.concatenate(sets), narrow(which), key2[r], narrow(number2[r]))))
+        out.append((c, int(to[r[0]]), "sets", pack(narrow(np.array([len(s) for s in sets])), np.concatenate(sets), narrow(which), key2[r], narrow(number2[r]))))
     return _rows(out)
 
 
+def _similar(x: _Lines, size: np.ndarray, flat: np.ndarray, which: np.ndarray, line: np.ndarray, num: int, den: int) -> np.ndarray:
+    """Which pairs (set ``which`` of those in ``flat``, a line of the chunk) reach num / den.
+
+    Words become codes of pair and word; after a sort of about BLOCK of them at once, the equal
+    neighbours of a pair are its shared words.
+    """
+    lines, mine = np.unique(line, return_inverse=True)
+    n = np.diff(x.cut)[lines]
+    words = x.h[spread(x.cut[lines], n)]
+    code = np.unique(np.concatenate((flat, words)), return_inverse=True)[1]
+    left, right = code[: len(flat)], _words.distinct(np.repeat(np.arange(len(lines)), n) << 32 | code[len(flat) :])
+    size2 = np.bincount(right >> 32, minlength=len(lines))
+    right &= 0xFFFFFFFF
+    start, start2 = np.cumsum(size) - size, np.cumsum(size2) - size2
+    na, nb = size[which], size2[mine]
+    total = np.cumsum(na + nb)
+    out, i = np.empty(len(which), bool), 0
+    while i < len(which):
+        j = max(i + 1, int(np.searchsorted(total, (total[i - 1] if i else 0) + BLOCK, "right")))
+        a, b, pair = na[i:j], nb[i:j], np.arange(j - i)
+        both = np.concatenate((np.repeat(pair, a) << 32 | left[spread(start[which[i:j]], a)], np.repeat(pair, b) << 32 | right[spread(start2[mine[i:j]], b)]))
+        both.sort()
+        shared = np.bincount(both[1:][both[1:] == both[:-1]] >> 32, minlength=j - i)
+        out[i:j] = den * shared >= num * (a + b - shared)
+        i = j
+    return out
+
+
 def _remove(buckets: int, num: int, den: int, min_words: int, carry: list[str]):
     @_words.lean
     def run(texts: pa.Table, told: pa.Table) -> pa.Table:
@@ -353,13 +384,8 @@ def _remove(buckets: int, num: int, den: int, min_words: int, carry: list[str]):
         for k, v in zip(told["kind"].to_pylist(), told["blob"]):
             if k == "sets":
                 size, flat, which, key, number = unpack(v.as_buffer())
-                end = np.cumsum(size, dtype=np.int64)
-                for w, i in zip(which.tolist(), x.find(key, number).tolist()):
-                    a, b = flat[end[w] - size[w] : end[w]], _words.distinct(x.h[x.cut[i] : x.cut[i + 1]])
-                    both = np.concatenate((a, b))
-                    both.sort()
-                    shared = int((both[1:] == both[:-1]).sum())
-                    links[i] += den * shared >= num * (len(both) - shared)
+                i = x.find(key, number)
+                np.add.at(links, i[_similar(x, size.astype(np.int64), flat, which.astype(np.int64), i, num, den)], 1)
         links[again] += gone[again]
         gone |= links > 0
         per = np.bincount(x.doc, minlength=len(x.keys))

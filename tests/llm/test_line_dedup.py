@@ -2,7 +2,11 @@
 
 from collections import defaultdict
 
+import numpy as np
+import pyarrow as pa
+
 import corpus_pipeline
+from strandloom.llm import line_dedup
 from strandloom.llm.line_dedup import dedup_lines, op1_line_dedup
 
 
@@ -77,3 +81,23 @@ def test_short_lines_take_part_in_the_query_and_the_pipeline(spark, tmp_path):
 def test_documents_with_short_lines(rows, documents):
     got = sorted(map(tuple, dedup_lines(rows(documents)).collect()), key=order)
     assert got == sorted(brute(documents, min_words=1), key=order)
+
+
+def test_lines_of_one_template(rows):
+    pairs = [(i, f"licence of the year {i} by all the many authors of this work\nlicence of year {i % 9} {i} by all the many authors") for i in range(300)]
+    assert result(rows(pairs)) == sorted(brute(pairs), key=order)
+
+
+def test_pairs_are_verified_alike_in_blocks_of_any_size(monkeypatch):
+    rng = np.random.default_rng(3)
+    texts = ["\n".join(" ".join(f"w{w}" for w in rng.integers(0, 12, rng.integers(1, 30))) for _ in range(40)) for _ in range(2)]
+    x = line_dedup._Lines(pa.table({"doc_id": pa.array([1, 2]), "text": pa.array(texts)}))
+    which, line = (v.ravel() for v in np.meshgrid(np.arange(40), np.arange(40, 80)))
+    sets = x.sets(np.arange(40))
+    size, flat = np.array([len(s) for s in sets]), np.concatenate(sets)
+    words = [set(t.split()) for text in texts for t in text.split("\n")]
+    want = [100 * len(words[a] & words[b]) >= 80 * len(words[a] | words[b]) for a, b in zip(which.tolist(), line.tolist())]
+    assert 0 < sum(want) < len(want)
+    for block in (1, 50, 1 << 21):
+        monkeypatch.setattr(line_dedup, "BLOCK", block)
+        assert line_dedup._similar(x, size, flat, which, line, 80, 100).tolist() == want
