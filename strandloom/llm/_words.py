@@ -82,6 +82,28 @@ def distinct(a: np.ndarray) -> np.ndarray:
     return a[np.concatenate(([True], a[1:] != a[:-1]))] if len(a) else a
 
 
+def sort_order(a: np.ndarray) -> np.ndarray:
+    """A stable argsort of 64-bit hashes: places go into the low bits and plain numbers are sorted."""
+    low = np.uint64((1 << len(a).bit_length()) - 1)
+    key = a & ~low | np.arange(len(a), dtype=np.uint64)
+    key.sort()
+    order = (key & low).astype(np.int64)
+    s = a[order]
+    # different hashes that agree in all other bits may have come in the wrong order
+    return order if (s[1:] >= s[:-1]).all() else np.argsort(a, kind="stable")
+
+
+def codes(a: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The ascending distinct hashes, the number of each hash among them, and their counts."""
+    order = sort_order(a)
+    s = a[order]
+    head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, np.int64)
+    n = np.diff(np.append(head, len(s)))
+    number = np.empty(len(a), np.int32)
+    number[order] = np.repeat(np.arange(len(head), dtype=np.int32), n)
+    return s[head], number, n
+
+
 def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     """Bytes and offsets (n+1) of a string column; null is an empty text."""
     if isinstance(col, pa.ChunkedArray):

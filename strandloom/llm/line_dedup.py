@@ -119,7 +119,7 @@ class _Lines:
         """Lines with words: (first line of each distinct mark in order of bucket and mark, mark, number of the mark of each such line, lines, bucket cuts)."""
         lines = np.flatnonzero(np.diff(self.cut))
         m = self.marks()[lines]
-        order = np.lexsort((lines, m[:, 1], m[:, 0], m[:, 0] % np.uint64(buckets)))
+        order = np.lexsort((m[:, 1], m[:, 0], m[:, 0] % np.uint64(buckets)))
         s = m[order]
         head = np.concatenate(([True], (s[1:] != s[:-1]).any(axis=1))) if len(s) else np.empty(0, bool)
         number = np.empty(len(lines), np.int64)
@@ -127,17 +127,11 @@ class _Lines:
         return lines[order][head], s[head], number, lines, np.searchsorted(s[head][:, 0] % np.uint64(buckets), np.arange(buckets + 1))
 
     def vocabulary(self, buckets: int):
-        by_hash = np.argsort(self.h).astype(np.int32)
-        s = self.h[by_hash]
-        head = np.flatnonzero(np.concatenate(([True], s[1:] != s[:-1]))) if len(s) else np.empty(0, np.int64)
-        uniq, n = s[head], np.diff(np.append(head, len(s)))
-        del s
+        uniq, number, n = _words.codes(self.h)
         order = np.argsort(uniq % np.uint64(buckets), kind="stable")
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
-        number = np.empty(len(by_hash), np.int32)
-        number[by_hash] = np.repeat(place, n)
-        return uniq[order], number, n[order], np.searchsorted(uniq[order] % np.uint64(buckets), np.arange(buckets + 1))
+        return uniq[order], place[number], n[order], np.searchsorted(uniq[order] % np.uint64(buckets), np.arange(buckets + 1))
 
     def find(self, key: np.ndarray, number: np.ndarray) -> np.ndarray:
         """Lines by key and number."""
@@ -165,7 +159,7 @@ def _tell(table: pa.Table) -> pa.Table:
     words = [(c, *unpack(v.as_buffer())) for c, k, v in rows if k == "words"]
     if words:
         h = [from_gaps(g) for _, g, _ in words]
-        _, inv = np.unique(np.concatenate(h), return_inverse=True)
+        _, inv, _ = _words.codes(np.concatenate(h))
         total = np.bincount(inv, weights=np.concatenate([n for _, _, n in words])).astype(np.int64)[inv]
         cuts = np.cumsum([0, *map(len, h)])
         out += [(b, c, "counts", pack(narrow(total[i:j]))) for (c, _, _), i, j in zip(words, cuts[:-1], cuts[1:])]

@@ -6,7 +6,7 @@ import numpy as np
 import pyarrow as pa
 
 import corpus_pipeline
-from strandloom.llm import line_dedup
+from strandloom.llm import _words, line_dedup
 from strandloom.llm.line_dedup import dedup_lines, op1_line_dedup
 
 
@@ -101,3 +101,11 @@ def test_pairs_are_verified_alike_in_blocks_of_any_size(monkeypatch):
     for block in (1, 50, 1 << 21):
         monkeypatch.setattr(line_dedup, "BLOCK", block)
         assert line_dedup._similar(x, size, flat, which, line, 80, 100).tolist() == want
+
+
+def test_order_of_hashes():
+    rng = np.random.default_rng(5)
+    for a in (np.empty(0, np.uint64), rng.integers(0, 2**63, 1000).astype(np.uint64), rng.integers(0, 5, 1000).astype(np.uint64), rng.integers(0, 300, 1000).astype(np.uint64) << np.uint64(56)):
+        assert _words.sort_order(a).tolist() == np.argsort(a, kind="stable").tolist()
+        uniq, number, n = _words.codes(a)
+        assert (uniq[number] == a).all() and n.sum() == len(a) and (uniq[1:] > uniq[:-1]).all() if len(a) else not len(uniq)
