@@ -176,6 +176,16 @@ def sites_of_documents() -> tuple[Column, Column]:
     return F.col("source"), F.concat_ws("/", F.col("source"), F.col("lang"))
 
 
+def sites_of_urls(url: Column, depth: int = 1) -> tuple[Column, Column]:
+    """Host and path of web addresses: the host in lower case without user, port and a leading ``www.`` or ``m.``,
+    and the host with its first ``depth`` folders. A text that is no address (null too) has a null host and path.
+    """
+    host = F.nullif(F.lower(F.regexp_extract(url, r"^[A-Za-z][A-Za-z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:@]+)", 1)), F.lit(""))
+    host = F.regexp_replace(host, r"^(?:www|m)\.(?=[^.]+\.)", "")
+    folders = F.regexp_extract(url, r"^[^:/]+://[^/?#]*((?:/[^/?#]+){0,%d})/" % depth, 1)
+    return host, F.concat(host, folders)
+
+
 def op6_quality(spark, sf_dir: str) -> DataFrame:
     docs, labels = (spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in ("documents", "labels"))
     judged = judge(docs.select("doc_id", "text", "source", "lang"), fit(docs, labels), *sites_of_documents(), keep=["doc_id"])

@@ -1,7 +1,7 @@
 """Quality: labels are met, sites shrink, odd rows are defined."""
 
 import math
-from collections import defaultdict
+from collections import Counter, defaultdict
 
 from pyspark.sql import functions as F
 
@@ -77,3 +77,24 @@ def test_odd_rows(spark):
     got = quality.judge(df, model, *quality.sites_of_documents())
     assert [r.quality > 0.5 for r in got.collect()] == [True] * 4
     assert quality.judge(df.limit(0), model, *quality.sites_of_documents()).count() == 0
+
+
+def test_sites_of_addresses(spark):
+    urls = ["http://Ththre.example.com/fr/825?page=2&ref=x", "https://u:p@m.host.example.net:8080/en/a/25#top", "https://www.example.org", "https://www.example.org/one.html", "ftp://m.org/x/", "https://h.org?q=a/b/", "no address", "", None]
+    host, path = quality.sites_of_urls(F.col("url"))
+    got = [tuple(r) for r in spark.createDataFrame([(u,) for u in urls], "url string").select(host, path).collect()]
+    assert got == [("ththre.example.com", "ththre.example.com/fr"), ("host.example.net", "host.example.net/en"), ("example.org", "example.org"), ("example.org", "example.org"), ("m.org", "m.org/x"), ("h.org", "h.org"), (None, None), (None, None), (None, None)]
+
+
+def test_pages_by_their_hosts(spark, small):
+    docs, labels, pages = (spark.read.parquet(f"{small}/{t}.parquet") for t in ("documents", "labels", "pages"))
+    host, path = quality.sites_of_urls(F.col("url"))
+    judged = quality.judge(pages, quality.fit(docs, labels), host, path, text="html").withColumn("host", host).withColumn("path", path).collect()
+    assert len(judged) == pages.count() and all(0 < r.quality < 1 for r in judged)
+    of_path = Counter(r.path for r in judged)
+    alone = defaultdict(set)
+    for r in judged:
+        if of_path[r.path] == 1:
+            alone[r.host].add(round(r.site_p, 9))
+    # a page without others beside it is judged by its host alone
+    assert alone and all(len(v) == 1 for v in alone.values())
