@@ -9,13 +9,13 @@ import zstandard
 
 
 def pack(*arrays: np.ndarray) -> bytes:
-    """Arrays (any numeric dtype) stored byte plane by byte plane, then compressed."""
+    """Arrays (any numeric dtype) stored byte plane by byte plane, without the planes that are zero above, then compressed."""
     parts = [struct.pack("<H", len(arrays))]
     for a in arrays:
-        a = np.ascontiguousarray(a)
-        parts.append(struct.pack("<3sxq", a.dtype.str.encode()[-3:].rjust(3), a.size))
-        planes = a.view(np.uint8).reshape(-1, a.dtype.itemsize).T if a.size else a.view(np.uint8)
-        parts.append(planes.tobytes())
+        u = np.ascontiguousarray(a).view(f"u{a.dtype.itemsize}")
+        planes = (int(u.max()).bit_length() + 7) // 8 if u.size else 0
+        parts.append(struct.pack("<3sBq", a.dtype.str.encode()[-3:].rjust(3), planes, a.size))
+        parts += [(u >> u.dtype.type(8 * k)).astype(np.uint8) if k else u.astype(np.uint8) for k in range(planes)]
     return zstandard.compress(b"".join(parts), 1)
 
 
@@ -23,13 +23,15 @@ def unpack(blob: bytes) -> list[np.ndarray]:
     raw = zstandard.decompress(blob)
     count, at, out = struct.unpack_from("<H", raw)[0], 2, []
     for _ in range(count):
-        kind, size = struct.unpack_from("<3sxq", raw, at)
-        at += struct.calcsize("<3sxq")
+        kind, planes, size = struct.unpack_from("<3sBq", raw, at)
+        at += struct.calcsize("<3sBq")
         dtype = np.dtype(kind.decode().strip())
-        nbytes = size * dtype.itemsize
-        planes = np.frombuffer(raw, np.uint8, nbytes, at)
-        out.append(np.ascontiguousarray(planes.reshape(dtype.itemsize, -1).T).reshape(-1).view(dtype) if size else np.empty(0, dtype))
-        at += nbytes
+        u = np.zeros(size, f"u{dtype.itemsize}")
+        for k in range(planes):
+            plane = np.frombuffer(raw, np.uint8, size, at)
+            u |= plane.astype(u.dtype) << u.dtype.type(8 * k) if k else plane
+            at += size
+        out.append(u.view(dtype))
     return out
 
 

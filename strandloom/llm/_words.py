@@ -68,8 +68,10 @@ def lean(f: Callable) -> Callable:
 
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective 64-bit finaliser."""
-    x = x ^ (x >> np.uint64(33))
-    x = x * np.uint64(0xFF51AFD7ED558CCD)
+    y = x >> np.uint64(33)
+    y ^= x
+    x = y
+    x *= np.uint64(0xFF51AFD7ED558CCD)
     x ^= x >> np.uint64(33)
     x *= np.uint64(0xC4CEB9FE1A85EC53)
     x ^= x >> np.uint64(33)
@@ -82,6 +84,21 @@ def distinct(a: np.ndarray) -> np.ndarray:
     return a[np.concatenate(([True], a[1:] != a[:-1]))] if len(a) else a
 
 
+def order_of(a: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The stable argsort of non-negative numbers and the sorted numbers; where number and place fit 63 bits, they are sorted as one."""
+    low = len(a).bit_length()
+    if not len(a) or int(a.max()) >> (63 - low):
+        order = np.argsort(a, kind="stable")
+        return order, a[order]
+    key = a.astype(np.int64)
+    key <<= low
+    key |= np.arange(len(a))
+    key.sort()
+    order = key & ((1 << low) - 1)
+    key >>= low
+    return order, key
+
+
 def sort_order(a: np.ndarray) -> np.ndarray:
     """A stable argsort of 64-bit hashes: places go into the low bits and plain numbers are sorted."""
     low = np.uint64((1 << len(a).bit_length()) - 1)
@@ -117,8 +134,8 @@ def utf8(col: pa.Array | pa.ChunkedArray) -> tuple[np.ndarray, np.ndarray]:
     return buf, off - off[0]
 
 
-def slices(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
-    """Row ranges of about ``most`` bytes each; a longer text stands alone."""
+def slices(off: np.ndarray, most: int = 1 << 17) -> Iterator[tuple[int, int]]:
+    """Row ranges of about ``most`` bytes each, so that 8 bytes for each of them stay in a cache; a longer text stands alone."""
     i, n = 0, len(off) - 1
     while i < n:
         j = max(i + 1, int(np.searchsorted(off, off[i] + most, "right")) - 1)
@@ -129,7 +146,9 @@ def slices(off: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[int, int]]:
 def prefix_hash(buf: np.ndarray, fold: bool = True) -> np.ndarray:
     """Running sums (n+1) from which span_hash takes the hash of any span; ``fold``: A-Z as a-z."""
     c = np.zeros(len(buf) + 1, np.uint64)
-    np.cumsum((_BYTE if fold else _RAW)[buf] * powers(len(buf) + 1)[0][: len(buf)], out=c[1:])
+    x = (_BYTE if fold else _RAW)[buf]
+    x *= powers(len(buf) + 1)[0][: len(buf)]
+    np.cumsum(x, out=c[1:])
     return c
 
 
@@ -139,16 +158,16 @@ def span_hash(c: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.ndarray:
 
 def word_spans(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Start and end of each word; a word never crosses a text's end."""
-    inside = np.empty(len(buf) + 1, bool)
-    np.logical_not(SEPARATOR[buf], out=inside[:-1])
-    inside[-1] = False
-    edge = inside.copy()
-    edge[1:] &= ~inside[:-1]
-    cut = off[1:-1][off[1:-1] < len(buf)]
-    edge[cut] = inside[cut]
-    start = np.flatnonzero(edge[:-1])
-    last = inside[:-1] & (~inside[1:] | edge[1:])
-    return start, np.flatnonzero(last) + 1
+    inside = np.zeros(len(buf) + 2, bool)
+    np.logical_and(buf != 32, buf - np.uint8(9) > 4, out=inside[1:-1])
+    edge = np.flatnonzero(inside[1:] != inside[:-1])
+    start, end = edge[::2], edge[1::2]
+    cut = off[1:-1]
+    cut = cut[inside[cut] & inside[cut + 1]]
+    if len(cut):
+        cut = distinct(cut)
+        start, end = np.sort(np.concatenate((start, cut))), np.sort(np.concatenate((end, cut)))
+    return start, end
 
 
 def words(buf: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:

@@ -124,9 +124,9 @@ def _joined(held: list[tuple]) -> tuple:
 
 def _numbered(train: np.ndarray, n: np.ndarray, h: np.ndarray, buckets: int):
     """Distinct hashes by (bucket, hash), each token's number among them, and training counts."""
-    uniq, inv, total = np.unique(h, return_inverse=True, return_counts=True)
+    uniq, inv, _ = _words.codes(h)
     count = np.bincount(inv[np.repeat(train, n)], minlength=len(uniq))
-    order = np.argsort(uniq % np.uint64(buckets), kind="stable")
+    order, _ = _words.order_of((uniq % np.uint64(buckets)).astype(np.int64))
     place = np.empty(len(order), np.int64)
     place[order] = np.arange(len(order))
     return uniq[order], place[inv], count[order]
@@ -149,13 +149,9 @@ def _word_bucket(buckets: int):
         b = table["bucket"][0].as_py()
         asked = [(c.as_py(), *unpack(v.as_buffer())) for c, v in zip(table["chunk"], table["blob"])]
         hashes = [from_gaps(g) for _, g, _ in asked]
-        uniq, inv = np.unique(np.concatenate(hashes), return_inverse=True)
-        count = np.zeros(len(uniq), np.int64)
-        np.add.at(count, inv, np.concatenate([c for _, _, c in asked]).astype(np.int64))
-        by_count = np.argsort(-count, kind="stable")
-        rank = np.empty(len(uniq), np.int64)
-        rank[by_count] = np.arange(len(uniq))
-        ident = np.where(count > 0, rank * buckets + b + 1, 0)
+        uniq, inv, _ = _words.codes(np.concatenate(hashes))
+        count = np.bincount(inv, weights=np.concatenate([c for _, _, c in asked]), minlength=len(uniq)).astype(np.int64)
+        ident = _idents(count, b, buckets)
         out, at = [], 0
         for (chunk, _, _), h in zip(asked, hashes):
             i = inv[at : at + len(h)]
@@ -175,8 +171,9 @@ def _doc_rows(buckets: int, most: int):
     def run(batches):
         for chunk, keys, train, n, h in _chunks(batches, most):
             uniq, number, _ = _numbered(train, n, h, buckets)
-            freq = np.argsort(-np.bincount(number, minlength=len(uniq)), kind="stable")
-            rank = np.empty(len(freq), np.int64)
+            times = np.bincount(number, minlength=len(uniq))
+            freq, _ = _words.order_of(times.max(initial=0) - times)
+            rank = np.empty(len(freq), np.uint32)
             rank[freq] = np.arange(len(freq))
             cuts = np.searchsorted(uniq % np.uint64(buckets), np.arange(buckets + 1))
             nulls = np.asarray(keys.is_null().to_numpy(zero_copy_only=False), np.uint8)
@@ -186,7 +183,7 @@ def _doc_rows(buckets: int, most: int):
 
 
 def _restore(table: pa.Table, buckets: int):
-    """Keys, training flags, lengths, and for each token its word id and count (0: not in training)."""
+    """Keys, training flags, lengths, each token's word (its number among those of the chunk), and the words' ids and counts (0: not in training)."""
     kinds = table["kind"].to_pylist()
     keys, nulls, train, n, seq, freq, sizes = unpack(table["blob"][kinds.index("docs")].as_buffer())
     start = np.concatenate(([0], np.cumsum(sizes, dtype=np.int64)))
@@ -197,81 +194,84 @@ def _restore(table: pa.Table, buckets: int):
             rank = rank.astype(np.int64)
             ident[start[b] : start[b + 1]] = np.where(rank > 0, (rank - 1) * buckets + b + 1, 0)
             count[start[b] : start[b + 1]] = c
-    word = freq.astype(np.int64)[seq]
-    return keys, nulls, train.astype(bool), n.astype(np.int64), ident[word], count[word]
+    return keys, nulls, train.astype(bool), n.astype(np.int64), freq.astype(np.int32)[seq], ident, count
 
 
 class _Level:
     """Distinct n-grams (history, word) of a chunk in order of bucket, history and word.
 
-    ``history``: one id a token, -1 where there is none to ask for. ``token``: each token's place
-    among the n-grams, or -1. ``rep``: a token of each n-gram. ``seen``: training counts, ``open``:
-    whether texts that are not trained on have it.
+    Of histories and words each token gives a number (of histories -1 where there is none to ask for) of
+    those in ``histories`` and ``words``, which hold their ids. ``token``: each token's place among the
+    n-grams, or -1. ``rep``: a token of each n-gram. ``seen``: training counts, ``open``: whether texts
+    that are not trained on have it.
     """
 
-    def __init__(self, history: np.ndarray, word: np.ndarray, train: np.ndarray, parts: np.ndarray, step: int, buckets: int):
+    def __init__(self, history: np.ndarray, histories: np.ndarray, word: np.ndarray, words: np.ndarray, train: np.ndarray, parts: np.ndarray, step: int, buckets: int):
         tokens, split = len(history), np.flatnonzero((history >= 0) & (parts > 1))
-        history = history.copy()
         # every part of a split history is asked, if only for the unknown word
-        base, at = np.unique(history[split], return_index=True)
-        many = parts[split][at]
+        base, first, which = np.unique(history[split], return_index=True, return_inverse=True)
+        many = parts[split][first]
+        before = np.cumsum(many) - many
         whole = np.repeat(np.arange(len(base)), many)
-        extra = _part_id(base[whole], np.arange(int(many.sum())) - np.repeat(np.cumsum(many) - many, many), step)
-        history[split] = _part_id(history[split], word[split] % parts[split], step)
-        history, word, train = np.append(history, extra), np.append(word, np.zeros(len(extra), np.int64)), np.append(train, np.zeros(len(extra), bool))
+        extra = _part_id(histories[base][whole], np.arange(int(many.sum())) - before[whole], step)
+        history = np.concatenate((history, len(histories) + np.arange(len(extra))))
+        history[split] = len(histories) + before[which] + words[word[split]] % many[which]
+        histories = np.concatenate((histories, extra))
+        # the unknown word stands after all others
+        word, words, train = np.append(word, np.full(len(extra), len(words), word.dtype)), np.append(words, 0), np.append(train, np.zeros(len(extra), bool))
         at = np.flatnonzero(history >= 0)
-        h, w = history[at], word[at]
-        place, home = np.divmod(h, buckets)
-        high, wide = (int(x.max()) + 1 if len(x) else 1 for x in (place, w))
-        if buckets * high * wide < 1 << 62:
-            key = (home * high + place) * wide + w
-        else:  # ranks fit one sorting key
-            ids, rank = np.unique(h, return_inverse=True)
-            by_home = np.empty(len(ids), np.int64)
-            by_home[np.argsort(ids % buckets, kind="stable")] = np.arange(len(ids))
-            key = by_home[rank] << 32 | np.unique(w, return_inverse=True)[1]
-        order = np.argsort(key)
-        key = key[order]
-        head = np.concatenate(([True], key[1:] != key[:-1])) if len(key) else np.empty(0, bool)
-        group = np.cumsum(head) - 1
-        rep = at[order[head]]
-        self.history, self.word = history[rep], word[rep]
+        history_rank, word_rank = np.zeros(len(histories), np.int64), np.zeros(len(words), np.int64)
+        on = np.flatnonzero(histories >= 0)
+        place, home = np.divmod(histories[on], buckets)
+        by_place, _ = _words.order_of(place)
+        history_rank[on[by_place[_words.order_of(home[by_place])[0]]]] = np.arange(len(on))
+        on = np.flatnonzero(words)
+        word_rank[on[_words.order_of(words[on])[0]]] = np.arange(1, len(on) + 1)
+        key = history_rank[history[at]]
+        key *= len(words) + 1
+        key += word_rank[word[at]]
+        # stable, so that a token of the chunk stands for an n-gram wherever there is one
+        order, key = _words.order_of(key)
+        at = at[order]
+        start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+        size = np.diff(np.append(start, len(key)))
+        rep = at[start]
+        code = history[rep]
+        self.history, self.word = histories[code], words[word[rep]]
         self.rep = np.minimum(rep, max(tokens - 1, 0))
         self.token = np.full(len(history), -1, np.int32)
-        self.token[at[order]] = group
+        self.token[at] = np.repeat(np.arange(len(start), dtype=np.int32), size)
         self.token = self.token[:tokens]
-        count = lambda x: np.bincount(group, weights=x, minlength=len(self.rep)).astype(np.int64)
-        self.seen, self.open = count(train[at[order]]), count(~train[at[order]]) > 0
-        self.cuts = np.searchsorted(self.history % buckets, np.arange(buckets + 1))
-        self.head = np.concatenate(([True], self.history[1:] != self.history[:-1])) if len(self.rep) else np.empty(0, bool)
+        self.seen = np.add.reduceat(train[at], start, dtype=np.int64) if len(start) else start
+        self.open = self.seen < size
+        self.head = np.concatenate(([True], code[1:] != code[:-1])) if len(rep) else np.empty(0, bool)
         self.group = np.cumsum(self.head) - 1
+        self.heads = np.flatnonzero(self.head)
+        self.cuts = np.append(self.heads, len(rep))[np.searchsorted(self.history[self.heads] % buckets, np.arange(buckets + 1))]
         #: the parts of split histories among the histories, and the number of the whole one of each
-        order = np.argsort(extra)
-        mine = self.history[self.head]
-        near = np.minimum(np.searchsorted(extra[order], mine), max(len(extra) - 1, 0))
-        self.parts = np.flatnonzero(extra[order][near] == mine) if len(extra) else np.empty(0, np.int64)
-        self.whole = whole[order][near[self.parts]] if len(extra) else self.parts
+        code = code[self.heads] - (len(histories) - len(extra))
+        self.parts = np.flatnonzero(code >= 0)
+        self.whole = whole[code[self.parts]]
 
     def requests(self, chunk: int, counts: np.ndarray, totals: np.ndarray, closed: int, buckets: int) -> list[tuple]:
         """One message a bucket; ``counts`` and ``totals``: each token's n-gram and history one level down; ``closed``: n-grams not sent."""
-        out = []
+        out, heads = [], self.heads
+        step = self.word.copy()
+        step[1:] -= np.where(self.head[1:], 0, self.word[:-1])
+        below = np.where(self.seen > 0, counts[self.rep], 0)
+        under = np.maximum.reduceat(np.where(below > 0, totals[self.rep], 0), heads) if len(heads) else heads
+        place, many, bits = self.history[heads] // buckets, np.diff(np.append(heads, len(self.rep))), self.open
         for b, (x, y) in enumerate(zip(self.cuts[:-1], self.cuts[1:])):
             if x < y or (closed and b == buckets - 1):
-                head = np.flatnonzero(self.head[x:y])
-                step = self.word[x:y].copy()
-                step[1:] -= np.where(self.head[x + 1 : y], 0, self.word[x : y - 1])
-                rep = self.rep[x:y]
-                below = np.where(self.seen[x:y] > 0, counts[rep], 0)
-                under = np.zeros(len(head), np.int64)
-                np.maximum.at(under, self.group[x:y] - self.group[x] if x < y else rep, np.where(below > 0, totals[rep], 0))
-                out.append((b, chunk, "grams", pack(narrow(gaps(self.history[x:y][head] // buckets)), narrow(np.diff(np.append(head, y - x))), narrow(step), narrow(self.seen[x:y]), np.packbits(self.open[x:y]), narrow(below), narrow(under), np.array([closed]))))
+                g, k = np.searchsorted(heads, (x, y))
+                out.append((b, chunk, "grams", pack(narrow(gaps(place[g:k])), narrow(many[g:k]), narrow(step[x:y]), narrow(self.seen[x:y]), np.packbits(bits[x:y]), narrow(below[x:y]), narrow(under[g:k]), np.array([closed]))))
                 closed = 0
         return out
 
     def answered(self, answers: list[tuple[int, bytes]]):
         """Total, id, and by history: total, whether counts are discounted, what remains by class, mass of seen words."""
         total, ident = np.zeros(len(self.rep), np.int64), np.zeros(len(self.rep), np.int64)
-        size, mass = np.zeros(int(self.head.sum()), np.int64), np.zeros(int(self.head.sum()))
+        size, mass = np.zeros(len(self.heads), np.int64), np.zeros(len(self.heads))
         left = np.zeros((K + 1, len(size)))
         keeps = np.ones(len(size), bool)
         for b, v in answers:
@@ -310,72 +310,77 @@ def _step(buckets: int, words_total: int) -> int:
 
 def _open(total: np.ndarray, group: np.ndarray, groups: int) -> np.ndarray:
     """Histories with an unseen n-gram among those asked for."""
-    return np.flatnonzero(np.bincount(group, weights=total == 0, minlength=groups))
+    return np.flatnonzero(np.bincount(group[total == 0], minlength=groups))
 
 
 class _Chunk:
     """Tokens of a chunk's texts, and what is known of their n-grams as far as levels are answered.
 
-    For each token: ``p``, its probability; ``ids``, its n-gram's id (0: none); ``closed``, whether that
-    n-gram is closed; ``counts`` and ``totals``, training counts of the n-gram and of its history.
+    For each token: ``p``, its probability; ``grams``, its n-gram's number among those in ``ids``, which
+    holds their ids (0: none); ``closed``, whether that n-gram is closed; ``counts`` and ``totals``,
+    training counts of the n-gram and of its history.
     """
 
     def __init__(self, table: pa.Table, buckets: int, words_total: int, types: int, n1: list[int]):
-        self.keys, self.nulls, train, self.n, self.word, self.known = _restore(table, buckets)
+        self.keys, self.nulls, train, self.n, self.word, self.words, self.known = _restore(table, buckets)
         self.train, self.buckets = np.repeat(train, self.n), buckets
         self.doc_train = train
         self.first = np.zeros(len(self.word), bool)
         self.first[(np.cumsum(self.n) - self.n)[self.n > 0]] = True
-        self.p, _ = unigram(self.known, words_total, np.array(n1), types)
-        self.ids, self.level, self.closed = self.word, 1, np.zeros(len(self.word), bool)
-        self.counts, self.totals = self.known, np.full(len(self.word), words_total + (not _discounted(n1)))
+        self.p = unigram(self.known, words_total, np.array(n1), types)[0][self.word]
+        self.grams, self.ids, self.level, self.closed = self.word, self.words, 1, np.zeros(len(self.word), bool)
+        self.counts, self.totals = self.known[self.word], np.full(len(self.word), words_total + (not _discounted(n1)))
         self.share, self.step = max(1, words_total // buckets), _step(buckets, words_total)
         # as many texts begin as end
-        self.texts = int(self.known[np.cumsum(self.n)[self.n > 0][-1:] - 1].sum())
+        self.texts = int(self.counts[np.cumsum(self.n)[self.n > 0][-1:] - 1].sum())
 
     def next(self) -> _Level:
         """The n-grams one level up; the first token's only history is the start mark."""
-        before = np.concatenate(([0], self.ids[:-1])) if len(self.ids) else self.ids
-        self.closed = ~self.first & np.concatenate(([False], self.closed[:-1])) if len(self.ids) else self.closed
+        after = lambda x, start: np.concatenate(([start], x[:-1])).astype(x.dtype) if len(x) else x
+        self.closed = ~self.first & after(self.closed, False)
         self.level += 1
-        history = np.where(self.first, 0 if self.level == 2 else -1, np.where((before > 0) & ~self.closed, before, -1))
-        uses = np.where(self.first, self.texts, np.concatenate(([0], self.counts[:-1])) if len(self.counts) else self.counts)
-        return _Level(history, self.word, self.train, np.minimum(1 + uses // self.share, min(self.buckets, 1024)), self.step, self.buckets)
+        # numbers of histories: the n-grams', then the start mark
+        histories = np.append(np.where(self.ids > 0, self.ids, -1), 0)
+        history = after(self.grams, -1).astype(np.int64)
+        history[(histories[history] < 0) | self.closed] = -1
+        history[self.first] = len(self.ids) if self.level == 2 else -1
+        uses = np.where(self.first, self.texts, after(self.counts, 0))
+        return _Level(history, histories, self.word, self.words, self.train, np.minimum(1 + uses // self.share, min(self.buckets, 1024)), self.step, self.buckets)
 
     def requests(self, chunk: int) -> pa.Table:
         grams = self.next()
         return _rows(grams.requests(chunk, self.counts, self.totals, int(self.closed.sum()), self.buckets))
 
-    def climb(self, answers: pa.Table | None, order: int) -> None:
-        """Evaluate the levels 2 to ``order`` from their answers."""
+    def climb(self, answers: pa.Table | None, order: int, scored: bool) -> None:
+        """Evaluate the levels 2 to ``order`` from their answers: with ``scored`` the probabilities and
+        what the levels in between need, else all but the probabilities, for requests of the next level."""
         kinds = answers["kind"].to_pylist() if answers is not None else []
         for level in range(2, order + 1):
             grams = self.next()
             rows = [i for i, k in enumerate(kinds) if k == f"answer{level}"]
             if not rows:
-                self.ids = np.zeros(len(self.word), np.int64)
+                self.grams = np.full(len(self.word), -1, np.int32)
                 continue
             d = np.append(discounts(np.array([0, *(answers[f"n{r}"][rows[0]].as_py() or 0 for r in range(1, K + 2))])), 1.0)
             total, ident, size, keeps, left, mass = grams.answered([(answers["bucket"][i].as_py(), answers["blob"][i].as_buffer()) for i in rows])
             denom = np.maximum(size + ~keeps, 1)
-            over = sum(left[r] * r * (1 - d[r]) for r in range(1, K + 1))
-            alpha = np.where(keeps, over, 1.0) / denom / np.maximum(1 - mass, LEAST)
             of = lambda x: x[grams.group] if len(grams.rep) else x[:0]
-            # a history that starts no n-gram in training (size 0) leaves all to the lower level
-            value = np.where(total > 0, total * d[np.minimum(total, K + 1)] / of(denom), of(np.where(size > 0, alpha, 1.0)) * self.p[grams.rep])
-            here = grams.token >= 0
-            at = grams.token[here]
-            fill = lambda x, rest: self._filled(here, at, x, rest)
-            single = (total == 1) & (ident == 0)
-            self.p = fill(value, np.where(self.closed, d[1], self.p))
-            self.ids, self.counts, self.totals = fill(ident, 0), fill(total, np.where(self.closed, 1, 0)), fill(of(denom), 1)
-            self.closed = fill(single, self.closed)
-
-    @staticmethod
-    def _filled(here: np.ndarray, at: np.ndarray, value: np.ndarray, rest) -> np.ndarray:
-        out = np.array(np.broadcast_to(rest, here.shape)).astype(value.dtype)
-        out[here] = value[at]
-        return out
+            # tokens without an n-gram, number -1, take what is appended
+            fill = lambda x, rest: np.append(x, np.array([rest], x.dtype))[grams.token]
+            if scored:
+                over = sum(left[r] * r * (1 - d[r]) for r in range(1, K + 1))
+                alpha = np.where(keeps, over, 1.0) / denom / np.maximum(1 - mass, LEAST)
+                # a history that starts no n-gram in training (size 0) leaves all to the lower level
+                value = np.where(total > 0, total * d[np.minimum(total, K + 1)] / of(denom), of(np.where(size > 0, alpha, 1.0)) * self.p[grams.rep])
+                self.p = np.where(grams.token >= 0, fill(value, 0.0), np.where(self.closed, d[1], self.p))
+            if scored and level == order:
+                break
+            if not scored:
+                self.totals = fill(of(denom), 1)
+            self.grams, self.ids = grams.token, ident
+            self.counts = fill(total, 0)
+            self.counts[self.closed] = 1
+            self.closed = np.where(grams.token >= 0, fill((total == 1) & (ident == 0), False), self.closed)
 
 
 def _discounted(n: list[int]) -> bool:
@@ -401,39 +406,56 @@ def _requests_above(order: int, buckets: int, words: tuple):
         if not table.num_rows:
             return _rows([])
         chunk = _Chunk(table, buckets, *words)
-        chunk.climb(answered if answered.num_rows else None, order)
+        chunk.climb(answered if answered.num_rows else None, order, scored=False)
         return chunk.requests(table["chunk"][0].as_py())
 
     return run
 
 
+def _entries(table: pa.Table):
+    """All chunks' requests of a bucket: their chunks, the number of histories of each; of the histories asked
+    for the number among the distinct ones, the number of words, the lower total; the distinct histories
+    (// buckets); the words; the other columns; the entries in order of history and word, and where each
+    n-gram starts in it; and the number of n-grams not sent."""
+    asked = [unpack(v.as_buffer()) for v in table["blob"]]
+    histories, rank = np.unique(np.concatenate([from_gaps(g[0]) for g in asked]).astype(np.int64), return_inverse=True)
+    sizes, step, seen, below, under = (np.concatenate([g[k] for g in asked]).astype(np.int64) for k in (1, 2, 3, 5, 6))
+    opened = np.concatenate([np.unpackbits(g[4], count=len(g[3])) for g in asked]).astype(bool)
+    first = np.cumsum(sizes) - sizes
+    word = np.cumsum(step)
+    word -= np.repeat(word[first] - step[first], sizes)
+    wide = int(word.max(initial=0)) + 1
+    number = word
+    if wide * len(histories) >= 1 << 62:
+        number = np.unique(word, return_inverse=True)[1]
+        wide = len(word)
+    order, key = _words.order_of(np.repeat(rank * wide, sizes) + number)
+    start = np.flatnonzero(np.concatenate(([True], key[1:] != key[:-1]))) if len(key) else np.empty(0, np.int64)
+    return table["chunk"].to_pylist(), [len(g[0]) for g in asked], rank, sizes, under, histories, word, seen, opened, below, order, start, sum(int(g[7][0]) for g in asked)
+
+
+def _sums(x: np.ndarray, order: np.ndarray, start: np.ndarray, add=np.add) -> np.ndarray:
+    """Totals (or what ``add`` makes) of the entries of each n-gram."""
+    return add.reduceat(x[order], start) if len(start) else x[:0]
+
+
 def _merge(table: pa.Table, n_lower: list[int]):
-    """All chunks' requests of a bucket: per request (chunk, histories, sizes), each entry's n-gram, and of the
-    distinct n-grams: history (// buckets), word, total count, lower probability, whether they are open;
-    and the number of n-grams not sent."""
-    asked, parts, closed = [], [], 0
-    for chunk, v in zip(table["chunk"].to_pylist(), table["blob"]):
-        g, sizes, step, seen, bits, below, under, apart = unpack(v.as_buffer())
-        history, sizes = from_gaps(g).astype(np.int64), sizes.astype(np.int64)
-        closed += int(apart[0])
-        s = np.cumsum(step.astype(np.int64))
-        first = np.cumsum(sizes) - sizes
-        asked.append((chunk, history, sizes))
-        word = s - np.repeat(s[first] - step[first].astype(np.int64), sizes) if len(s) else s
-        parts.append((np.repeat(history, sizes), word, seen.astype(np.int64), np.unpackbits(bits, count=len(seen)).astype(bool), below.astype(np.int64), np.repeat(under.astype(np.int64), sizes)))
-    h, w, seen, opened, below, under = (np.concatenate(x) for x in zip(*parts))
-    ids, rank = np.unique(h, return_inverse=True)
-    order = np.argsort(rank << 32 | (w if not len(w) or int(w.max()) < 1 << 32 else np.unique(w, return_inverse=True)[1]))
-    head = np.concatenate(([True], (np.diff(h[order]) != 0) | (np.diff(w[order]) != 0))) if len(h) else np.empty(0, bool)
-    group = np.empty(len(h), np.int64)
-    group[order] = np.cumsum(head) - 1
-    at, many = order[head], int(head.sum())
-    total = np.bincount(group, weights=seen, minlength=many).astype(np.int64)
-    is_open = np.bincount(group, weights=opened, minlength=many) > 0
-    count, of = np.zeros(many, np.int64), np.ones(many, np.int64)
-    np.maximum.at(count, group, below), np.maximum.at(of, group, under)
+    """All chunks' requests of a bucket: per request (chunk, histories, sizes), each entry's n-gram, the distinct
+    histories (// buckets); and of the distinct n-grams, in order of history and word: number of the history,
+    word, total count, lower probability, whether they are open."""
+    chunks, many, rank, sizes, under, histories, word, seen, opened, below, order, start, _ = _entries(table)
+    ends = np.cumsum(many).tolist()
+    asked = [(c, rank[j - n : j], sizes[j - n : j]) for c, n, j in zip(chunks, many, ends)]
+    group = np.empty(len(word), np.int64)
+    group[order] = np.repeat(np.arange(len(start)), np.diff(np.append(start, len(word))))
+    rep = order[start]
+    at = np.repeat(rank, sizes)[rep]
+    # the lower total depends on the history alone
+    of = np.ones(len(histories), np.int64)
+    np.maximum.at(of, rank, under)
+    count = _sums(below, order, start, np.maximum)
     d = np.append(discounts(np.array(n_lower)), 1.0)
-    return asked, group, h[at], w[at], total, count * d[np.minimum(count, K + 1)] / of, is_open, closed
+    return asked, group, histories, at, word[rep], _sums(seen, order, start), count * d[np.minimum(count, K + 1)] / of[at], _sums(opened, order, start, np.logical_or)
 
 
 def _lower_classes(table: pa.Table, n1: list[int]) -> list[int]:
@@ -444,40 +466,35 @@ def _lower_classes(table: pa.Table, n1: list[int]) -> list[int]:
 def _idents(total: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
     """Ids of seen n-grams, smaller for more frequent ones; 0 for unseen ones."""
     rank = np.empty(len(total), np.int64)
-    rank[np.argsort(-total, kind="stable")] = np.arange(len(total))
+    rank[_words.order_of(total.max(initial=0) - total)[0]] = np.arange(len(total))
     return np.where(total > 0, rank * buckets + bucket + 1, 0)
 
 
-def _gram_stats(n1: list[int]):
-    @_words.lean
-    def run(table: pa.Table) -> pa.Table:
-        merged = _merge(table, _lower_classes(table, n1))
-        n = np.bincount(np.minimum(merged[4], K + 2), minlength=K + 3)
-        n[1] += merged[7]
-        return pa.table({f"n{r}": pa.array([int(n[r])], pa.int64()) for r in range(1, K + 2)})
-
-    return run
+@_words.lean
+def _gram_stats(table: pa.Table) -> pa.Table:
+    *_, seen, _, _, order, start, closed = _entries(table)
+    n = np.bincount(np.minimum(_sums(seen, order, start), K + 2), minlength=K + 3)
+    n[1] += closed
+    return pa.table({f"n{r}": pa.array([int(n[r])], pa.int64()) for r in range(1, K + 2)})
 
 
 def _gram_bucket(level: int, buckets: int, last: bool, n1: list[int], whole: bool):
     @_words.lean
     def run(table: pa.Table) -> pa.Table:
         b = table["bucket"][0].as_py()
-        asked, group, h, _, total, lower, is_open, _ = _merge(table, _lower_classes(table, n1))
-        history, at = np.unique(h, return_inverse=True)
+        asked, group, history, at, _, total, lower, is_open = _merge(table, _lower_classes(table, n1))
         size = np.bincount(at, weights=total, minlength=len(history)).astype(np.int64)
         mass = np.bincount(at, weights=np.where(total > 0, lower, 0.0), minlength=len(history))
-        classes = [np.bincount(at, weights=total == r, minlength=len(history)).astype(np.int64) for r in range(1, K + 1)]
+        classes = [np.bincount(at[total == r], minlength=len(history)) for r in range(1, K + 1)]
         # where no count is discounted, one unseen event is added to the history's total
         keeps = np.sum(classes, axis=0) > 0
         ident = np.zeros(len(total), np.int64) if last else np.where((total == 1) & ~is_open & (not whole), 0, _idents(total, b, buckets))
         out, start = [], 0
         for chunk, mine, sizes in asked:
-            i = np.searchsorted(history, mine)
             g = group[start : start + int(sizes.sum())]
             start += len(g)
-            o = i[_open(total[g], np.repeat(np.arange(len(mine)), sizes), len(mine))]
-            out.append((b, chunk, f"answer{level}", pack(narrow(total[g]), narrow(ident[g]), narrow(size[i] << 1 | keeps[i]), mass[o], *(narrow(c[o]) for c in classes))))
+            o = mine[_open(total[g], np.repeat(np.arange(len(mine)), sizes), len(mine))]
+            out.append((b, chunk, f"answer{level}", pack(narrow(total[g]), narrow(ident[g]), narrow(size[mine] << 1 | keeps[mine]), mass[o], *(narrow(c[o]) for c in classes))))
         return _rows(out)
 
     return run
@@ -489,13 +506,13 @@ def _score(order: int, buckets: int, words: tuple):
     @_words.lean
     def run(table: pa.Table, answered: pa.Table) -> pa.Table:
         chunk = _Chunk(table, buckets, *words)
-        chunk.climb(answered if answered.num_rows else None, order)
+        chunk.climb(answered if answered.num_rows else None, order, scored=True)
         doc = np.repeat(np.arange(len(chunk.n)), chunk.n)
-        base = np.log10((chunk.known + 0.5) / (words_total + 0.5 * (types + 1)))
+        base = np.log10((chunk.known + 0.5) / (words_total + 0.5 * (types + 1)))[chunk.word]
         add = lambda x: np.bincount(doc, weights=x, minlength=len(chunk.n))
         return pa.table({
             "doc_id": pa.array(chunk.keys, mask=chunk.nulls.astype(bool)), "held_out": pa.array(~chunk.doc_train), "n_tokens": pa.array(chunk.n),
-            "n_known": pa.array(add(chunk.known > 0).astype(np.int64)), "train_tokens": pa.array(np.full(len(chunk.n), words_total, np.int64)),
+            "n_known": pa.array(add((chunk.known > 0)[chunk.word]).astype(np.int64)), "train_tokens": pa.array(np.full(len(chunk.n), words_total, np.int64)),
             "base_score": pa.array(add(base)), "score": pa.array(add(np.log10(chunk.p))),
         })
 
@@ -522,7 +539,7 @@ class _Counts:
             if level > 2:
                 asked = asked.join(F.broadcast(self.classes[level - 1]))  # one row
             asked = self.asked[level] = asked.repartition(width, "bucket")
-            self.classes[level] = asked.groupBy("bucket").applyInArrow(_gram_stats(self.words[2]), CLASSES).agg(*(F.sum(f"n{r}").alias(f"n{r}") for r in range(1, K + 2)))
+            self.classes[level] = asked.groupBy("bucket").applyInArrow(_gram_stats, CLASSES).agg(*(F.sum(f"n{r}").alias(f"n{r}") for r in range(1, K + 2)))
             answers = asked.groupBy("bucket").applyInArrow(_gram_bucket(level, self.buckets, level == order, self.words[2], whole), ROW).join(F.broadcast(self.classes[level]))  # one row
             answers = answers.repartition(width, "chunk")
             self.answers = answers if self.answers is None else self.answers.unionByName(answers)
@@ -568,8 +585,8 @@ def _counted(buckets: int, step: int, n1: list[int]):
     @_words.lean
     def run(table: pa.Table) -> pa.Table:
         b = table["bucket"][0].as_py()
-        _, _, h, w, total, lower, _, _ = _merge(table, _lower_classes(table, n1))
-        on = total > 0
+        _, _, history, at, w, total, lower, _ = _merge(table, _lower_classes(table, n1))
+        h, on = history[at], total > 0
         return pa.table({"history": pa.array(_whole_id(h[on] * buckets + b, step)), "word": pa.array(w[on]), "id": pa.array(_idents(total, b, buckets)[on]), "n": pa.array(total[on]), "below": pa.array(lower[on])})
 
     return run

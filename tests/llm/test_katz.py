@@ -1,13 +1,16 @@
 """The model against a plain one: scores, counts and sums to one."""
 
 import math
+import random
 import statistics
 from collections import Counter, defaultdict
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from strandloom.llm import katz
+from strandloom.llm import _words, katz
+from strandloom.llm._pack import pack, unpack
 
 
 def valid(d):
@@ -126,3 +129,27 @@ def test_stored_tables_score_another_corpus(spark, rows, documents, tmp_path):
     stored = spark.read.parquet(f"{tmp_path}/model/grams/level=3")
     assert stored.agg(F.sum("n")).first()[0] == sum(model.grams[3].values())
     assert {r.bucket for r in stored.select("bucket").distinct().collect()} > {0}
+
+
+def test_unknown_words_after_frequent_histories(rows):
+    """Frequent histories are asked in parts; an unknown word after one keeps its own lower probability."""
+    rng = random.Random(3)
+    pairs = [(10 * i, " ".join(rng.choice("abcdefgh") for _ in range(400))) for i in range(12)]
+    pairs += [(10 * i + 1, " ".join(f"{w} new{i}{w}" for w in "abcdefgh") + " a b" * 20) for i in range(2)]
+    check(rows(pairs).coalesce(1), pairs, lambda d: d % 5 == 1)
+
+
+def test_orders_are_stable():
+    for a in ([], [5], [3, 1, 3, 0, 1], [1 << 61, 7, 1 << 61], list(range(3000, 0, -1)) + [4] * 3000):
+        a = np.array(a, np.int64)
+        order, ordered = _words.order_of(a)
+        assert order.tolist() == np.argsort(a, kind="stable").tolist() and ordered.tolist() == sorted(a.tolist())
+
+
+def test_packed_numbers_come_back():
+    for dtype in (np.uint8, np.uint32, np.int64, np.uint64, np.float64):
+        arrays = [np.array(x, np.float64).astype(dtype) for x in ([], [0, 0], [1, 255, 3], [70000 % (256 if dtype is np.uint8 else 10**6), 1])]
+        back = unpack(pack(*arrays))
+        assert [(x.dtype, x.tolist()) for x in back] == [(x.dtype, x.tolist()) for x in arrays]
+    odd = [np.array([-1, 5]), np.array([-0.5, np.inf, 1e-300]), np.array([2**64 - 1, 0], np.uint64)]
+    assert [x.tolist() for x in unpack(pack(*odd))] == [x.tolist() for x in odd]
