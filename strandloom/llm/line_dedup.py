@@ -119,7 +119,9 @@ class _Lines:
         """Lines with words: (first line of each distinct mark in order of bucket and mark, mark, number of the mark of each such line, lines, bucket cuts)."""
         lines = np.flatnonzero(np.diff(self.cut))
         m = self.marks()[lines]
-        order = np.lexsort((m[:, 1], m[:, 0], m[:, 0] % np.uint64(buckets)))
+        order = _words.sort_order(m[:, 1])
+        order = order[_words.sort_order(m[order, 0])]
+        order = order[_words.order_of((m[order, 0] % np.uint64(buckets)).astype(np.int64))[0]]
         s = m[order]
         head = np.concatenate(([True], (s[1:] != s[:-1]).any(axis=1))) if len(s) else np.empty(0, bool)
         number = np.empty(len(lines), np.int64)
@@ -128,7 +130,7 @@ class _Lines:
 
     def vocabulary(self, buckets: int):
         uniq, number, n = _words.codes(self.h)
-        order = np.argsort(uniq % np.uint64(buckets), kind="stable")
+        order, _ = _words.order_of((uniq % np.uint64(buckets)).astype(np.int64))
         place = np.empty(len(order), np.int32)
         place[order] = np.arange(len(order))
         return uniq[order], place[number], n[order], np.searchsorted(uniq[order] % np.uint64(buckets), np.arange(buckets + 1))
@@ -202,7 +204,8 @@ def _postings(buckets: int, num: int, den: int, min_words: int):
         for b, k, v in zip(told["bucket"].to_pylist(), told["kind"].to_pylist(), told["blob"]):
             if k == "counts":
                 count[cuts[b] : cuts[b + 1]] = unpack(v.as_buffer())[0]
-        by_rarity = np.lexsort((uniq, count))
+        by_rarity = _words.sort_order(uniq)
+        by_rarity = by_rarity[_words.order_of(count[by_rarity])[0]]
         rank = np.empty(len(uniq), np.int64)
         rank[by_rarity] = np.arange(len(uniq))
         mine = lines[first]
@@ -214,29 +217,39 @@ def _postings(buckets: int, num: int, den: int, min_words: int):
         pos = np.arange(len(line)) - start[line]
         spot = _words.mix(uniq[token] + np.uint64(7)) >> np.uint64(56)
         bit = np.uint64(1) << (spot & np.uint64(63))
-        wide = [np.bitwise_xor.reduceat(np.where(spot >> np.uint64(6) == q, bit, np.uint64(0)), start) if len(line) else bit for q in range(4)]
-        narrow2 = [wide[0] ^ wide[2], wide[1] ^ wide[3]]
+        maps = np.zeros((4, len(mine)), np.uint64)
+        if len(line):
+            maps[0] = np.bitwise_xor.reduceat(bit, start)
+        # only longer lines have more than one
+        longer = np.flatnonzero(size > MIDDLE)
+        if len(longer):
+            n = size[longer]
+            at = spread(start[longer], n)
+            quarter, bit, first = spot[at] >> np.uint64(6), bit[at], np.cumsum(n) - n
+            wide = [np.bitwise_xor.reduceat(np.where(quarter == q, bit, np.uint64(0)), first) for q in range(3)]
+            maps[1:, longer] = wide[0] ^ wide[2], wide[0], wide[1]
         prefix = size - -(-num * size // den) + 1
         on = (pos < prefix[line]) & (count[token] > 1) & (size[line] >= min_words)
         line, token, pos = line[on], token[on], pos[on]
         t = uniq[token] >> np.uint64(64 - TOKEN_BITS)
         home = (_words.mix(t) % np.uint64(buckets)).astype(np.int64)
-        order = np.lexsort((t, home))
+        order, _ = _words.order_of(t.astype(np.int64))
+        order = order[_words.order_of(home[order])[0]]
         line, t, pos, home = line[order], t[order], pos[order], home[order]
         cuts = np.searchsorted(home, np.arange(buckets + 1))
         where = mine[line]
         return _rows([
-            (b, c, "postings", pack(gaps(t[i:j]), x.key[where[i:j]], narrow(x.number[where[i:j]]), narrow(size[line[i:j]]), narrow(pos[i:j]), *_bitmaps(size[line[i:j]], line[i:j], wide, narrow2)))
+            (b, c, "postings", pack(gaps(t[i:j]), x.key[where[i:j]], narrow(x.number[where[i:j]]), narrow(size[line[i:j]]), narrow(pos[i:j]), *_bitmaps(size[line[i:j]], line[i:j], maps)))
             for b, (i, j) in enumerate(zip(cuts[:-1], cuts[1:])) if i < j
         ])
 
     return run
 
 
-def _bitmaps(size: np.ndarray, line: np.ndarray, wide: list[np.ndarray], half: list[np.ndarray]) -> list[np.ndarray]:
+def _bitmaps(size: np.ndarray, line: np.ndarray, maps: np.ndarray) -> list[np.ndarray]:
     """Parity bitmaps of postings: 64 bits each; 64 more for lines above MIDDLE words; 128 more for those above LONG."""
     middle, long = line[size > MIDDLE], line[size > LONG]
-    return [half[0][line] ^ half[1][line], half[0][middle], wide[0][long], wide[1][long]]
+    return [maps[0][line], maps[1][middle], maps[2][long], maps[3][long]]
 
 
 def _unfold(size: np.ndarray, one: np.ndarray, two: np.ndarray, w0: np.ndarray, w1: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -271,7 +284,8 @@ def _candidates(num: int, den: int):
         key, number, size, pos, *maps = (np.concatenate([p[k] for p in parts]) for k in range(1, 9))
         del table, parts
         size, pos = size.astype(np.int64), pos.astype(np.int64)
-        order = np.lexsort((size, t))
+        order, _ = _words.order_of(size)
+        order = order[_words.order_of(t[order].astype(np.int64))[0]]
         t, chunk, key, number, size, pos, *maps = (v[order] for v in (t, chunk, key, number, size, pos, *_unfold(size, *maps)))
         # partners of i: later places of its word with sizes up to size_i * den / num
         group = np.cumsum(np.concatenate(([True], t[1:] != t[:-1]))) if len(t) else np.empty(0, np.int64)

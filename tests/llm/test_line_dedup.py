@@ -109,3 +109,15 @@ def test_order_of_hashes():
         assert _words.sort_order(a).tolist() == np.argsort(a, kind="stable").tolist()
         uniq, number, n = _words.codes(a)
         assert (uniq[number] == a).all() and n.sum() == len(a) and (uniq[1:] > uniq[:-1]).all() if len(a) else not len(uniq)
+
+
+def test_long_lines_near_the_threshold(rows):
+    """Lines that have one, two and four bitmaps, with as many words changed as 0.8 allows, and one more."""
+    rng = np.random.default_rng(9)
+    pairs, key = [], 0
+    for n in (20, 79, 80, 81, 150, 200, 201, 260):
+        words = [f"w{w}" for w in rng.choice(5000, n, replace=False)]
+        for change in (0, n // 9, n // 9 + 1):
+            pairs.append((key, " ".join([f"c{key}x{i}" for i in range(change)] + words[change:])))
+            key += 1
+    assert result(rows(pairs)) == sorted(brute(pairs), key=order)
