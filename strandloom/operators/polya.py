@@ -5,6 +5,7 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -21,23 +22,29 @@ def genomic_polya(pa: Column, pr: Column, tc: Column) -> Column:
     return F.when(pa == pr, F.lit(0).cast("bigint")).when((pa > pr) | (left < 0), F.raise_error(F.concat_ws(" ", F.lit("inconsistent poly-A tags"), pa, pr, tc)).cast("bigint")).otherwise(left)
 
 
+def _scores(seq: str, p2p: float, emit_a: float) -> np.ndarray:
+    """By k, from 1: the score of the first k bases as tail, less that of none of them."""
+    bases = np.frombuffer(seq.encode("utf-32-le"), "<u4") if not seq.isascii() else np.frombuffer(seq.encode(), np.uint8)
+    k, found = np.arange(1, len(bases) + 1), np.cumsum(bases == ord("A"))
+    return (k - 1) * math.log(p2p) + found * math.log(emit_a) + (k - found) * math.log((1 - emit_a) / 3) - k * math.log(0.25)
+
+
+def _tail(seq: str, p2p: float, emit_a: float) -> int:
+    if not seq:
+        return 0
+    scores = _scores(seq, p2p, emit_a)
+    scores[:-1] += math.log(1 - p2p)
+    k = int(np.argmax(scores))
+    return k + 1 if scores[k] > 0 else 0
+
+
 def tail_length(seq: Column, p2p: float = config.P2P, emit_a: float = config.EMIT_A) -> Column:
     """Poly-A length at the start of ``seq`` (the read's end, reversed): best path of a two-state model whose second state absorbs.
 
-    One pass keeps the running score of the first k bases as tail; the best k wins (the smaller on ties).
+    One pass scores the first k bases as tail for all k; the best k wins (the smaller on ties).
     """
-    n = F.length(seq)
-    half, quarter, stay, leave = math.log(0.5), math.log(0.25), math.log(p2p), math.log(1 - p2p)
-    start = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("e"), (half + n * quarter).cast("double").alias("best"), F.lit(0).alias("at"))
-
-    def step(a: Column, base: Column) -> Column:
-        k = a["k"] + 1
-        e = a["e"] + F.when(base == "A", math.log(emit_a)).otherwise(math.log((1 - emit_a) / 3))
-        score = half + (k - 1) * stay + e + F.when(k < n, leave + (n - k) * quarter).otherwise(0.0)
-        better = score > a["best"]
-        return F.struct(k.alias("k"), e.alias("e"), F.when(better, score).otherwise(a["best"]).alias("best"), F.when(better, k).otherwise(a["at"]).alias("at"))
-
-    return F.when(n > 0, F.aggregate(F.split(seq, ""), start, step, lambda a: a["at"])).otherwise(0)
+    run = F.arrow_udf(lambda seqs: pa.array([None if s is None else _tail(s, p2p, emit_a) for s in seqs.to_pylist()], pa.int32()), "int")
+    return run(seq)
 
 
 def growing_tail(seq: Column, first: Column, step: int = config.SUFFIX_STEP_SIZE, p2p: float = config.P2P, emit_a: float = config.EMIT_A) -> Column:
