@@ -38,6 +38,26 @@ def _tail(seq: str, p2p: float, emit_a: float) -> int:
     return k + 1 if scores[k] > 0 else 0
 
 
+def _grown(seq: str, first: int, step: int, p2p: float, emit_a: float) -> int:
+    """Looks at a stretch of bases that doubles until the tail ends in it."""
+    size, looked = len(seq), first + step
+    while True:
+        filled = _scores(seq[:looked], p2p, emit_a)
+        closed = np.concatenate([[0.0], filled + math.log(1 - p2p)])
+        best = np.maximum.accumulate(closed)
+        at = np.maximum.accumulate(np.where(closed > np.concatenate([[-np.inf], best[:-1]]), np.arange(len(closed)), 0))
+        ends = np.arange(first, len(filled) + 1, step)
+        ends = ends[ends > 0]
+        if looked >= size and (not len(ends) or ends[-1] != size):
+            ends = np.append(ends, size)
+        short = ends[filled[ends - 1] <= best[ends - 1]]
+        if len(short):
+            return int(at[short[0] - 1])
+        if looked >= size:
+            return size
+        looked *= 2
+
+
 def tail_length(seq: Column, p2p: float = config.P2P, emit_a: float = config.EMIT_A) -> Column:
     """Poly-A length at the start of ``seq`` (the read's end, reversed): best path of a two-state model whose second state absorbs.
 
@@ -55,23 +75,8 @@ def growing_tail(seq: Column, first: Column, step: int = config.SUFFIX_STEP_SIZE
     that all tails share, however much is looked at. So the best of them is carried along, and at each
     length only the tail that fills it is compared anew.
     """
-    size = F.length(seq)
-    half, quarter, stay, leave = math.log(0.5), math.log(0.25), math.log(p2p), math.log(1 - p2p)
-    start = F.struct(F.lit(0).alias("k"), F.lit(0.0).alias("e"), F.lit(half).alias("best"), F.lit(0).alias("at"), F.least(first, size).cast("int").alias("next"), F.lit(-1).alias("found"))
-
-    def walk(a: Column, base: Column) -> Column:
-        k = a["k"] + 1
-        e = a["e"] + F.when(base == "A", math.log(emit_a)).otherwise(math.log((1 - emit_a) / 3))
-        filled = half + (k - 1) * stay + e - k * quarter
-        looked = (a["found"] < 0) & (k == a["next"])
-        here = F.when(filled > a["best"], k).otherwise(a["at"])
-        better = filled + leave > a["best"]
-        return F.struct(
-            k.alias("k"), e.alias("e"), F.when(better, filled + leave).otherwise(a["best"]).alias("best"), F.when(better, k).otherwise(a["at"]).alias("at"),
-            F.when(looked, F.least(a["next"] + step, size)).otherwise(a["next"]).alias("next"), F.when(looked & (here < k), here).otherwise(a["found"]).alias("found"),
-        )
-
-    return F.when(size > 0, F.aggregate(F.split(seq, ""), start, walk, lambda a: F.when(a["found"] >= 0, a["found"]).otherwise(size))).otherwise(0)
+    run = F.arrow_udf(lambda seqs, firsts: pa.array([None if s is None else _grown(s, f, step, p2p, emit_a) if s else 0 for s, f in zip(seqs.to_pylist(), firsts.to_pylist())], pa.int32()), "int")
+    return run(seq, first.cast("int"))
 
 
 def location_of_end(reads: DataFrame, projections: DataFrame, key: str = "k") -> DataFrame:

@@ -25,3 +25,9 @@ def within(seconds, rows):
 
 def test_tail_of_a_long_sequence(spark):
     assert [r.t for r in within(20, made(spark).select(polya.tail_length(F.col("seq")).alias("t")))] == [1_501] * 2
+
+
+def test_growing_tails_of_long_reads(spark):
+    reads = spark.range(0, 8, 1, 1).select(F.concat(F.reverse(F.regexp_replace(F.repeat(F.lit("AC-GT "), 250_000), "[^A-Z]", "")), F.repeat(F.lit("A"), 1_500)).alias("seq"), F.lit(50).alias("three_clip"))
+    got = within(20, alignments.tails(reads).select("polya_len", "polya_read_len"))
+    assert [tuple(r) for r in got] == [(50, 1_501)] * 8
