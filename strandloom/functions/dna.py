@@ -4,11 +4,16 @@ from __future__ import annotations
 
 from functools import reduce
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from strandloom import config
 
+_CODES = np.zeros(256, np.uint8)
+_CODES[list(b"CGT")] = 1, 2, 3
+
 
 def complement(seq: Column) -> Column:
     """A<->T and C<->G in either case; N stays."""
@@ -69,23 +74,31 @@ def rt_repeat(donor: Column, acceptor: Column, window: int = config.RT_WINDOW, m
     return F.exists(a, lambda x: F.exists(b, lambda y: F.bit_count(x.bitwiseXOR(y)) <= mismatch))
 
 
+def _rt_places(seq: str, context: int, apart: int, window: int, mismatch: int) -> np.ndarray:
+    """Windows are compared at all distances within the reach of a context, as bits of one number; a place looks at its windows' bits."""
+    slack = context - window
+    n = len(seq) - (apart + context) + 1
+    if n <= 0:
+        return np.empty(0, np.int32)
+    bases = _CODES[np.frombuffer(seq.encode("ascii", "replace"), np.uint8)].astype(np.uint16 if window <= 8 else np.uint64)
+    codes = bases[: len(seq) - window + 1].copy()
+    for t in range(1, window):
+        codes = (codes << 2) | bases[t : t + len(codes)]
+    bits = np.zeros(n + slack, np.uint64)
+    for i, k in enumerate(range(apart - slack, apart + slack + 1)):
+        far = codes[k : k + n + slack]
+        bits[: len(far)] |= (np.bitwise_count(codes[: len(far)] ^ far) <= mismatch).astype(np.uint64) << np.uint64(i)
+    hit = np.zeros(n, bool)
+    for x in range(slack + 1):
+        hit |= bits[x : x + n] & np.uint64((1 << slack + 1) - 1 << slack - x) != 0
+    return np.flatnonzero(hit).astype(np.int32)
+
+
 def with_rt_sites(df: DataFrame, seq: str = "seq", context: int = config.RT_CONTEXT, apart: int = 20, window: int = config.RT_WINDOW, mismatch: int = config.RT_MISMATCH) -> DataFrame:
     """``df`` with rt_sites: the places (from 0) of whole sequences whose ``context`` bases are, by ``rt_repeat``, repeated in
-    those ``apart`` bases on; empty where a sequence is too short.
-
-    Codes of all windows are made once, as arrays, so the work grows with the length: a window meets those
-    of distances within the reach of a context, as bits of one number, and a place looks at its windows' bits.
-    """
-    slack = context - window
-    many = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(F.array().cast("array<int>"))
-    v = F.transform(F.split(seq, ""), lambda b: F.when(b == "C", 1).when(b == "G", 2).when(b == "T", 3).otherwise(0))
-    code = lambda j: reduce(lambda a, t: a * 4 + F.get("_v", j + t), range(1, window), F.get("_v", j))
-    near = lambda j, k: F.when(F.bit_count(F.get("_c", j).bitwiseXOR(F.get("_c", j + k))) <= mismatch, 1 << (k - apart + slack)).otherwise(0)
-    bits = lambda j: reduce(lambda a, k: a + near(j, k), range(apart - slack + 1, apart + slack + 1), near(j, apart - slack))
-    hit = lambda i: reduce(lambda a, x: a | (F.shiftright(F.get("_d", i + x), slack - x).bitwiseAND((1 << slack + 1) - 1) != 0), range(1, slack + 1), F.shiftright(F.get("_d", i), slack).bitwiseAND((1 << slack + 1) - 1) != 0)
-    x = df.withColumn("_v", v).withColumn("_n", F.length(seq) - (apart + context) + 1)
-    x = x.withColumn("_c", F.transform(many(F.length(seq) - window + 1), code)).withColumn("_d", F.transform(many(F.when(F.col("_n") > 0, F.col("_n") + slack).otherwise(0)), bits))
-    return x.withColumn("rt_sites", F.filter(many(F.col("_n")), hit)).drop("_v", "_n", "_c", "_d")
+    those ``apart`` bases on; empty where a sequence is too short. Work grows with the length."""
+    run = F.arrow_udf(lambda seqs: pa.array([_rt_places(s or "", context, apart, window, mismatch) for s in seqs.to_pylist()], pa.list_(pa.int32())), "array<int>")
+    return df.withColumn("rt_sites", run(F.col(seq)))
 
 
 def with_consensus_scores(df: DataFrame, seq: str = "seq", width: int = 23) -> DataFrame:

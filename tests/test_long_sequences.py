@@ -31,3 +31,9 @@ def test_growing_tails_of_long_reads(spark):
     reads = spark.range(0, 8, 1, 1).select(F.concat(F.reverse(F.regexp_replace(F.repeat(F.lit("AC-GT "), 250_000), "[^A-Z]", "")), F.repeat(F.lit("A"), 1_500)).alias("seq"), F.lit(50).alias("three_clip"))
     got = within(20, alignments.tails(reads).select("polya_len", "polya_read_len"))
     assert [tuple(r) for r in got] == [(50, 1_501)] * 8
+
+
+def test_repeats_of_long_sequences(spark):
+    seqs = spark.range(0, 8, 1, 1).select(F.regexp_replace(F.repeat(F.lit("AC-GT "), 250_000), "[^A-Z]", "").alias("seq"))
+    got = within(20, dna.with_rt_sites(seqs).select(F.size("rt_sites").alias("n")))
+    assert [r.n for r in got] == [1_000_000 - 31] * 8
