@@ -12,11 +12,16 @@ at. Two readers share this:
   one is joined with that of its neighbours, and must then be whole records.
 
 ``record`` numbers records in file order: the place of their block, shifted by 16 bits, plus the place in it.
+
+Positions of the format have 31 bits. A longer chromosome is written as sequences of ``STRETCH`` positions each (``chr1``,
+``chr1@1073741824``, ...), which both readers put together again. Files with sequences beyond 2^29, the reach of a BAI index,
+get a CSI index.
 """
 
 from __future__ import annotations
 
 import binascii
+import io
 import os
 import struct
 import uuid
@@ -24,7 +29,7 @@ import zlib
 from collections import deque
 from collections.abc import Iterator
 from dataclasses import dataclass, field
-from itertools import groupby
+from itertools import accumulate, groupby
 
 import pyarrow as pa
 from pyspark import TaskContext
@@ -41,7 +46,10 @@ COLUMNS = "name string, flag int, chrom string, start long, mapq int, cigar stri
 ARROW = pa.schema([("name", pa.string()), ("flag", pa.int32()), ("chrom", pa.string()), ("start", pa.int64()), ("mapq", pa.int32()), ("cigar", pa.string()), ("seq", pa.string()), ("record", pa.int64())])
 SPLIT, BATCH, AHEAD = 32 << 20, 4096, 1 << 17
 BLOCK = 65_280
+STRETCH, LONGEST = 1 << 30, (1 << 31) - 1
+SHIFT, DEPTH = 14, 5
 _LETTERS = bytes.maketrans(b"0123456789abcdef", SEQ.encode())
+_DIGITS = bytes(b"0123456789abcdef"[SEQ.index(chr(c))] if chr(c) in SEQ else b"f"[0] for c in range(256))
 _USES = frozenset("MDN=X")
 
 
@@ -70,6 +78,29 @@ def exists(path: str) -> bool:
     return True
 
 
+def stretched(chroms: list[tuple[str, int]], longest: int = LONGEST) -> list[tuple[str, int]]:
+    """(name, size) of a file's sequences: a chromosome above ``longest`` begins a new one every ``STRETCH`` positions. What begins in
+    one may reach beyond the next one's begin."""
+    return [(stretch_name(c, at), min(n - at, longest)) for c, n in chroms for at in (range(0, n, STRETCH) if n > longest else (0,))]
+
+
+def stretch_name(chrom: str, at: int) -> str:
+    return f"{chrom}@{at}" if at else chrom
+
+
+def located(names: list[str]) -> list[tuple[str, int]]:
+    """Chromosome and first position of each sequence; only names that continue those of the same file are stretches."""
+    known = set(names)
+
+    def of(name: str) -> tuple[str, int]:
+        chrom, _, at = name.rpartition("@")
+        if at.isascii() and at.isdigit() and int(at) and int(at) % STRETCH == 0 and all(stretch_name(chrom, x) in known for x in range(0, int(at), STRETCH)):
+            return chrom, int(at)
+        return name, 0
+
+    return [of(n) for n in names]
+
+
 # --- blocks -----------------------------------------------------------------------------------------
 
 
@@ -247,13 +278,15 @@ def records(stream: Stream) -> Iterator[tuple[int, bytes]]:
         yield place, stream.take(size)
 
 
-def decoded(place: int, r: bytes, chroms: list[str]) -> tuple:
+def decoded(place: int, r: bytes, chroms: list[tuple[str, int]]) -> tuple:
+    """The columns of a record; ``chroms`` as of ``located``."""
     ref, pos, l_name, mapq, _, n_cigar, flag, l_seq = struct.unpack_from("<iiBBHHHi", r, 4)
     at = 36 + l_name
     ops = struct.unpack_from(f"<{n_cigar}I", r, at)
     at += 4 * n_cigar
     seq = binascii.hexlify(r[at : at + (l_seq + 1) // 2]).translate(_LETTERS)[:l_seq].decode()
-    return r[36 : 35 + l_name].decode(), flag, chroms[ref] if ref >= 0 else None, pos, mapq, "".join(f"{o >> 4}{OPS[o & 15]}" for o in ops), seq, place
+    chrom, first = chroms[ref] if ref >= 0 else (None, 0)
+    return r[36 : 35 + l_name].decode(), flag, chrom, first + pos, mapq, "".join(f"{o >> 4}{OPS[o & 15]}" for o in ops), seq, place
 
 
 def span(cigar_ops: tuple[int, ...]) -> int:
@@ -281,48 +314,73 @@ def batches_of(rows: Iterator[tuple], schema: pa.Schema = ARROW) -> Iterator[pa.
 # --- index ------------------------------------------------------------------------------------------
 
 
-def bin_of(begin: int, end: int) -> int:
+def _first_bin(level: int) -> int:
+    return ((1 << 3 * level) - 1) // 7
+
+
+def bin_of(begin: int, end: int, depth: int = DEPTH, shift: int = SHIFT) -> int:
     """The smallest bin of the index scheme that holds [begin, end)."""
     end -= 1
-    for shift, first in ((14, 4681), (17, 585), (20, 73), (23, 9), (26, 1)):
+    for level in range(depth, 0, -1):
         if begin >> shift == end >> shift:
-            return first + (begin >> shift)
+            return _first_bin(level) + (begin >> shift)
+        shift += 3
     return 0
 
 
-def bins_over(begin: int, end: int) -> set[int]:
+def bins_over(begin: int, end: int, depth: int = DEPTH, shift: int = SHIFT) -> set[int]:
     """All bins that meet [begin, end)."""
     out = {0}
-    for shift, first in ((26, 1), (23, 9), (20, 73), (17, 585), (14, 4681)):
-        out.update(range(first + (begin >> shift), first + ((end - 1) >> shift) + 1))
+    for level in range(depth, 0, -1):
+        out.update(range(_first_bin(level) + (begin >> shift), _first_bin(level) + ((end - 1) >> shift) + 1))
+        shift += 3
     return out
 
 
+def depth_of(sizes: list[int]) -> int:
+    """Levels below the first that an index of such sequences needs; a BAI index has five."""
+    return max(DEPTH, -(-((max(sizes, default=1) - 1).bit_length() - SHIFT) // 3))
+
+
 @dataclass
 class Index:
-    """Chunks by bin, and the least place by 16 kb window, of each sequence."""
+    """Chunks by bin, and the least place by 16 kb window (in a CSI index that is read: by bin), of each sequence."""
 
     bins: list[dict[int, list[tuple[int, int]]]] = field(default_factory=list)
     windows: list[list[int]] = field(default_factory=list)
+    depth: int = DEPTH
+    shift: int = SHIFT
+    least: list[dict[int, int]] | None = None
 
     @classmethod
     def read(cls, path: str) -> "Index":
         with opened(path) as f:
             data = f.read()
-        if data[:4] != b"BAI\1":
+        if data[:2] == MAGIC[:2]:
+            data = b"".join(d for _, d in blocks(io.BytesIO(data), 0))
+        if data[:4] not in (b"BAI\1", b"CSI\1"):
             raise ValueError(f"not a BAM index: {path}")
-        at, out = 8, cls()
-        for _ in range(struct.unpack_from("<i", data, 4)[0]):
+        at, out, wide = 4, cls(), data[:4] == b"CSI\1"
+        if wide:
+            out.shift, out.depth, n = struct.unpack_from("<iii", data, at)
+            at, out.least = at + 12 + n, []
+        count, at = struct.unpack_from("<i", data, at)[0], at + 4
+        for _ in range(count):
             bins: dict[int, list[tuple[int, int]]] = {}
-            count, at = struct.unpack_from("<i", data, at)[0], at + 4
-            for _ in range(count):
-                place, n = struct.unpack_from("<Ii", data, at)
-                flat = struct.unpack_from(f"<{2 * n}Q", data, at + 8)
-                at += 8 + 16 * n
-                if place <= 37_449:  # the bin after the last real one holds counts
-                    bins[place] = list(zip(flat[::2], flat[1::2]))
-            n, at = struct.unpack_from("<i", data, at)[0], at + 4
+            least: dict[int, int] = {}
+            n_bins, at = struct.unpack_from("<i", data, at)[0], at + 4
+            for _ in range(n_bins):
+                place, low, n = struct.unpack_from("<IQi", data, at) if wide else (*struct.unpack_from("<I", data, at), 0, *struct.unpack_from("<i", data, at + 4))
+                at += 16 if wide else 8
+                flat = struct.unpack_from(f"<{2 * n}Q", data, at)
+                at += 16 * n
+                if place < _first_bin(out.depth + 1):  # the bin after the last real one holds counts
+                    bins[place], least[place] = list(zip(flat[::2], flat[1::2])), low
             out.bins.append(bins)
+            if wide:
+                out.least.append(least)
+                continue
+            n, at = struct.unpack_from("<i", data, at)[0], at + 4
             out.windows.append(list(struct.unpack_from(f"<{n}Q", data, at)))
             at += 8 * n
         return out
@@ -331,7 +389,7 @@ class Index:
         while len(self.bins) <= ref:
             self.bins.append({})
             self.windows.append([])
-        chunks = self.bins[ref].setdefault(bin_of(begin, end), [])
+        chunks = self.bins[ref].setdefault(bin_of(begin, end, self.depth), [])
         if chunks and chunks[-1][1] == place:
             chunks[-1] = (chunks[-1][0], after)
         else:
@@ -342,23 +400,44 @@ class Index:
             windows[w] = windows[w] or place
 
     def content(self, chroms: int) -> bytes:
-        out = [b"BAI\1", struct.pack("<i", chroms)]
+        """A BAI index, or where more levels are needed a CSI index, in blocks."""
+        wide = self.depth > DEPTH
+        out = [b"CSI\1" + struct.pack("<iii", SHIFT, self.depth, 0) if wide else b"BAI\1", struct.pack("<i", chroms)]
         for ref in range(chroms):
             bins, windows = (self.bins[ref], self.windows[ref]) if ref < len(self.bins) else ({}, [])
             out.append(struct.pack("<i", len(bins)))
+            low = list(accumulate(windows, lambda a, b: b or a))
             for place, chunks in sorted(bins.items()):
-                out.append(struct.pack("<Ii", place, len(chunks)) + b"".join(struct.pack("<QQ", *c) for c in chunks))
-            out.append(struct.pack(f"<i{len(windows)}Q", len(windows), *windows))
-        return b"".join(out)
+                out.append(struct.pack("<IQi", place, low[min(self._window(place), len(low) - 1)], len(chunks)) if wide else struct.pack("<Ii", place, len(chunks)))
+                out.append(b"".join(struct.pack("<QQ", *c) for c in chunks))
+            if not wide:
+                out.append(struct.pack(f"<i{len(windows)}Q", len(windows), *windows))
+        data = b"".join(out)
+        return b"".join(block_of(data[i : i + BLOCK]) for i in range(0, len(data), BLOCK)) + block_of(b"") if wide else data
+
+    def _window(self, place: int) -> int:
+        """The first window of a bin."""
+        level = next(n for n in range(self.depth, -1, -1) if place >= _first_bin(n))
+        return place - _first_bin(level) << 3 * (self.depth - level)
+
+    def _low(self, ref: int, begin: int) -> int:
+        """A place before which no record reaches beyond ``begin``."""
+        if self.least is None:
+            windows = self.windows[ref]
+            return windows[begin >> self.shift] if begin >> self.shift < len(windows) else max(windows, default=0)
+        low, place = self.least[ref], _first_bin(self.depth) + (begin >> self.shift)
+        while place and place not in low:
+            place = place - 1 if (place - 1) % 8 else (place - 1) // 8
+        return low.get(place, 0)
 
     def chunks(self, ref: int, begin: int, end: int | None) -> list[tuple[int, int]]:
         """Merged ranges of places that hold all records over [begin, end) of a sequence."""
-        if ref >= len(self.bins):
+        most = 1 << self.shift + 3 * self.depth
+        if ref >= len(self.bins) or begin >= most:
             return []
-        windows = self.windows[ref]
-        least = windows[begin >> 14] if begin >> 14 < len(windows) else max(windows, default=0)
+        least = self._low(ref, begin)
         out: list[tuple[int, int]] = []
-        wanted = bins_over(begin, min(end or 1 << 29, 1 << 29)) & self.bins[ref].keys()
+        wanted = bins_over(begin, min(end or most, most), self.depth, self.shift) & self.bins[ref].keys()
         for a, b in sorted(c for k in wanted for c in self.bins[ref][k] if c[1] > least):
             if out and a <= out[-1][1]:
                 out[-1] = (out[-1][0], max(b, out[-1][1]))
@@ -372,7 +451,7 @@ class Index:
 
 @dataclass
 class _Range(InputPartition):
-    """Records that begin in [begin, end) of places, 0 being the first record's; ``exact``: one begins at ``begin``."""
+    """Records that begin in [begin, end) of places, 0 being the first record's; ``exact``: one begins at ``begin``; the region is of a sequence."""
 
     path: str
     begin: int = 0
@@ -419,7 +498,7 @@ def range_records(part: _Range) -> Iterator[tuple]:
                     return
                 ahead *= 2
             stream.at = found
-        ref = chroms.index(part.region[0]) if part.region else -2
+        ref, places = chroms.index(part.region[0]) if part.region else -2, located(chroms)
         for place, r in records(stream):
             if place >= part.end:
                 return
@@ -427,7 +506,7 @@ def range_records(part: _Range) -> Iterator[tuple]:
                 at, begin, end = where(r)
                 if at != ref or end <= part.region[1] or part.region[2] is not None and begin >= part.region[2]:
                     continue
-            yield decoded(place, r, chroms)
+            yield decoded(place, r, places)
         if stream.has(1):
             raise ValueError(f"truncated BAM file: {part.path}")
 
@@ -442,7 +521,7 @@ def ranges(path: str, regions: list[str], split: int = SPLIT) -> Iterator[_Range
         f.seek(0)
         if not block_length(f.read(1 << 10)):
             split, size = 1 << 62, 1 << 46
-    found = next((i for i in (f"{path}.bai", f"{path.removesuffix('.bam')}.bai") if exists(i)), None)
+    found = next((i for kind in ("bai", "csi") for i in (f"{path}.{kind}", f"{path.removesuffix('.bam')}.{kind}") if exists(i)), None)
     index = Index.read(found) if found else None
     if not regions:
         # sequences begin at known places
@@ -451,9 +530,14 @@ def ranges(path: str, regions: list[str], split: int = SPLIT) -> Iterator[_Range
         for a, b in zip(cuts[:-1], cuts[1:]):
             yield from _cut(path, a, b, split)
         return
-    for region in map(parse_region, regions):
-        if region[0] in chroms:
-            for a, b in index.chunks(chroms.index(region[0]), *region[1:]) if index else [(0, size << 16)]:
+    places = located(chroms)
+    for chrom, low, high in map(parse_region, regions):
+        for ref in (i for i, p in enumerate(places) if p[0] == chrom):
+            first = places[ref][1]
+            region = chroms[ref], max(low - first, 0), None if high is None else high - first
+            if first and high is not None and high <= first:
+                continue
+            for a, b in index.chunks(ref, *region[1:]) if index else [(0, size << 16)]:
                 yield from _cut(path, a, b, split, region)
 
 
@@ -495,8 +579,8 @@ def block_of(data: bytes) -> bytes:
     return head + body + struct.pack("<II", zlib.crc32(data), len(data))
 
 
-def record_of(row, chroms: dict[str, int]) -> bytes:
-    """A record of (name, flag, chrom, start, mapq, cigar, seq), without qualities and tags."""
+def record_of(row, chroms: dict[str, int], long: frozenset[str] = frozenset()) -> bytes:
+    """A record of (name, flag, chrom, start, mapq, cigar, seq), without qualities and tags; chromosomes in ``long`` are in stretches."""
     ops, n = [], ""
     for c in row.cigar or "":
         if c.isdigit():
@@ -505,12 +589,15 @@ def record_of(row, chroms: dict[str, int]) -> bytes:
             ops.append(int(n) << 4 | OPS.index(c))
             n = ""
     seq = row.seq or ""
-    codes = [SEQ.index(c) if c in SEQ else 15 for c in seq.upper()] + [0] * (len(seq) % 2)
-    packed = bytes(a << 4 | b for a, b in zip(codes[::2], codes[1::2]))
+    packed = binascii.unhexlify(seq.upper().encode("ascii", "replace").translate(_DIGITS) + b"0" * (len(seq) % 2))
     name = row.name.encode() + b"\0"
-    place = chroms[row.chrom] if row.chrom is not None else -1
-    begin = max(row.start, 0)
-    body = struct.pack("<iiBBHHHiiii", place, row.start, len(name), row.mapq, bin_of(begin, begin + span(tuple(ops))), len(ops), row.flag, len(seq), -1, -1, 0)
+    first = row.start // STRETCH * STRETCH if row.chrom in long else 0
+    place = chroms[stretch_name(row.chrom, first)] if row.chrom is not None else -1
+    start = row.start - first
+    begin = max(start, 0)
+    kept = bin_of(begin, begin + span(tuple(ops)))
+    # the field has no room for bins beyond 2^29, which is why readers do not use it
+    body = struct.pack("<iiBBHHHiiii", place, start, len(name), row.mapq, kept if kept < 1 << 16 else 0, len(ops), row.flag, len(seq), -1, -1, 0)
     body += name + struct.pack(f"<{len(ops)}I", *ops) + packed + b"\xff" * len(seq)
     return struct.pack("<i", len(body)) + body
 
@@ -524,7 +611,7 @@ class _File:
     """A file that is written block by block; records end with their block where they fit one, and are indexed."""
 
     def __init__(self, path: str, chroms: list[tuple[str, int]], indexed: bool):
-        self.path, self.chroms, self.index = path, chroms, Index() if indexed else None
+        self.path, self.chroms, self.index = path, chroms, Index(depth=depth_of([n for _, n in chroms])) if indexed else None
         self.out, self.buf, self.at = opened(path, "wb"), bytearray(), 0
         order = "\tSO:coordinate" if indexed else ""
         text = f"@HD\tVN:1.6{order}\n" + "".join(f"@SQ\tSN:{c}\tLN:{n}\n" for c, n in chroms)
@@ -562,13 +649,18 @@ class _File:
         self.out.write(block_of(b""))
         self.out.close()
         if self.index is not None:
-            with opened(f"{self.path}.bai", "wb") as f:
+            with opened(f"{self.path}{index_end(self.chroms)}", "wb") as f:
                 f.write(self.index.content(len(self.chroms)))
 
 
+def index_end(chroms: list[tuple[str, int]]) -> str:
+    return ".csi" if depth_of([n for _, n in chroms]) > DEPTH else ".bai"
+
+
 class _BamWriter(DataSourceWriter):
     def __init__(self, path: str, chroms: list[tuple[str, int]], indexed: bool):
-        self.path, self.chroms, self.indexed = path, chroms, indexed
+        self.path, self.chroms, self.indexed, self.long = path, stretched(chroms), indexed, frozenset(c for c, n in chroms if n > LONGEST)
+        self.ends = ["", index_end(self.chroms)][: 1 + indexed]
 
     def write(self, iterator) -> WriterCommitMessage:
         number, places = TaskContext.get().partitionId(), {c: i for i, (c, _) in enumerate(self.chroms)}
@@ -577,7 +669,7 @@ class _BamWriter(DataSourceWriter):
             folder = f"{self.path}/{row.folder}" if "folder" in row.__fields__ else self.path
             if folder not in files:
                 files[folder] = _File(f"{folder}/_part-{number:05d}-{uuid.uuid4().hex}", self.chroms, self.indexed)
-            files[folder].record(record_of(row, places))
+            files[folder].record(record_of(row, places, self.long))
         if not files:
             files[self.path] = _File(f"{self.path}/_part-{number:05d}-{uuid.uuid4().hex}", self.chroms, self.indexed)
         for f in files.values():
@@ -586,12 +678,12 @@ class _BamWriter(DataSourceWriter):
 
     def commit(self, messages) -> None:
         for part, final in (x for m in messages for x in m.files):
-            for end in ["", ".bai"][: 1 + self.indexed]:
+            for end in self.ends:
                 _move(part + end, final + end)
 
     def abort(self, messages) -> None:
         for part, _ in (x for m in messages if m is not None for x in m.files):
-            for end in ["", ".bai"][: 1 + self.indexed]:
+            for end in self.ends:
                 if exists(part + end):
                     _move(part + end, None)
 
@@ -657,8 +749,8 @@ def write_bams(reads: DataFrame, path: str, chroms: dict[str, int], indexed: boo
 # --- any store --------------------------------------------------------------------------------------
 
 
-def _head(spark: SparkSession, path: str) -> tuple[bytes, list[str], int]:
-    """The block header of a file, its sequences, and the bytes before its first record, through Spark's own file system."""
+def _head(spark: SparkSession, path: str) -> tuple[bytes, list[tuple[str, int]], int]:
+    """The block header of a file, its sequences as of ``located``, and the bytes before its first record, through Spark's own file system."""
     jvm = spark.sparkContext._jvm
     at = jvm.org.apache.hadoop.fs.Path(path)
     stream = at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).open(at)
@@ -678,7 +770,7 @@ def _head(spark: SparkSession, path: str) -> tuple[bytes, list[str], int]:
                 yield place, data
 
         got.source = counted()
-        chroms = header(got)
+        chroms = located(header(got))
         left = len(got.buf) - got.at
         before = len(first) - left
     finally:
@@ -723,7 +815,7 @@ def _lines(files: DataFrame) -> DataFrame:
     return files.select(_file_path().alias("path"), F.col("_metadata.file_block_start").alias("begin"), F.col("value").cast("binary").alias("value"))
 
 
-def _to_first(stream: Stream, begin: int, before: int, chroms: list[str]) -> bytes | None:
+def _to_first(stream: Stream, begin: int, before: int, chroms: list) -> bytes | None:
     """What stands before the split's first record; None: no record begins there."""
     if not begin:
         stream.take(before)

@@ -143,3 +143,24 @@ def test_filters_reach_the_index(spark, tmp_path, rows):
         assert {p.region for p in reader.partitions()} == {("chr1", 0, 1000)}
     finally:
         spark.conf.unset("spark.sql.python.filterPushdown.enabled")
+
+
+def test_long_chromosomes(spark, tmp_path):
+    """Beyond 2^29, the reach of a BAI index, and beyond 2^31, that of a position."""
+    binary.register(spark)
+    rng = random.Random(5)
+    places = [rng.randrange(9_000_000_000) for _ in range(400)] + [(1 << n) + d for n in (29, 30, 31, 32) for d in (-5, -1, 0, 1)]
+    rows = [(f"r{i}", 0, "long", at, 60, "4M3000N4M" if i % 2 else "8M", "ACGTACGT") for i, at in enumerate(places)]
+    rows += [(f"m{i}", 16, "middle", i * 1_300_000, 60, "8M", "ACGTACGT") for i in range(1000)] + [("u", 4, None, -1, 0, "", "ACGT"), ("e", 0, "even@5", 7, 60, "4M", "ACGT")]
+    reads = spark.createDataFrame([(*r, "accept") for r in rows], SCHEMA).repartition(3)
+    for indexed in (True, False):
+        bam.write_bams(reads, str(tmp_path / str(indexed)), {"long": 9_000_010_000, "middle": 1_300_000_000, "even@5": 100}, indexed)
+        files = sorted((tmp_path / str(indexed) / "good").glob("*.bam"))
+        assert sorted(map(str, (x for f in files for x in plain(spark.read.format("bam").load(str(f)))))) == sorted(map(str, plain(binary.read_bam(spark, [str(f) for f in files])))) == sorted(map(str, rows))
+    files = sorted((tmp_path / "True" / "good").glob("*.bam"))
+    assert all((f.parent / f"{f.name}.csi").exists() for f in files)
+    length = {"8M": 8, "4M3000N4M": 3008, "4M": 4}
+    for region in ("long", "long:0-1073741824", "long:1073741824-1073741830", "long:2147483640-2147483649", "long:4294967200-8800000000", "middle:536870000-600000000", "middle", "even@5"):
+        chrom, begin, end = bam.parse_region(region)
+        wanted = sorted(r for r in rows if r[2] == chrom and (end is None or r[3] < end) and r[3] + length[r[5]] > begin)
+        assert wanted and sorted(plain(spark.read.format("bam").option("regions", region).load(",".join(map(str, files))))) == wanted, region
