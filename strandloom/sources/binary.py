@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.datasource import DataSource, DataSourceReader, InputPartition
 
-from strandloom.sources.bam import Bam, opened, parse_region, read_bam, write_bams
+from strandloom.sources.bam import Bam, located, opened, parse_region, read_bam, write_bams
 from strandloom.sources.bam import block_of as _block, record_of as bam_record
 from strandloom.sources.bigwig import BigWig, Track, files_below, write_bigwig
 
@@ -157,9 +157,9 @@ def _twobit_rows(content: bytes, tile: int) -> Iterator[tuple]:
 
 def _bigwig_rows(content: bytes, least: float) -> Iterator[tuple]:
     track = Track(content)
-    for chrom, (ident, _) in track.chroms.items():
+    for (chrom, first), (ident, _) in zip(located(list(track.chroms)), track.chroms.values()):
         for pos, x in track.positions(ident, least):
-            yield from zip([chrom] * len(pos), pos.tolist(), x.tolist())
+            yield from zip([chrom] * len(pos), (pos + first).tolist(), x.tolist())
 
 
 def read_store(spark: SparkSession, kind: str, paths: str | list[str], tile: int = 65536, min_score: float = 0.01, batch: int = 4096) -> DataFrame:

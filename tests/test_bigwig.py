@@ -140,3 +140,21 @@ def test_stretches_of_a_genome(spark, tmp_path):
     reader = binary.TwoBit({"path": str(tmp_path / "g.2bit"), "tile": "20", "pushdown": "true"}).reader(None)
     list(reader.pushFilters([EqualTo(("chrom",), "chr1"), LessThan(("tile",), 2)]))
     assert [(p.name, p.begin, p.end) for p in reader.partitions()] == [("chr1", 0, 40)]
+
+
+def test_long_chromosomes(spark, tmp_path):
+    """Positions beyond 32 bits."""
+    binary.register(spark)
+    places = sorted({k * 7_000_001 for k in range(1_200)} | {(1 << n) + d for n in (30, 31, 32) for d in (-2, 0, 1)} | {10 * (1 << 30) - 1})
+    rows = [("chr1", p, p + 1 + (p % 3 == 0), (p % 50 + 1) / 64, "+") for p in places if p + 1 not in places] + [("chr10", 5, 9, 0.5, "+")]
+    write = spark.createDataFrame(rows, "chrom string, start long, end long, score double, strand string").repartition(2)
+    binary.write_bigwig(write, str(tmp_path), {"chr1": 11_000_000_000, "chr10": 100})
+    files = binary.files_below(f"{tmp_path}/plus")
+    wanted = sorted((c, p, x) for c, s, e, x, _ in rows for p in range(s, e))
+    assert sorted(map(tuple, spark.read.format("bigwig").load(files).collect())) == wanted
+    assert sorted(map(tuple, binary.read_store(spark, "bigwig", files.split(",")).collect())) == wanted
+    for region in ("chr1:1073741820-1073741826", "chr1:4200000000-8500000000", "chr10", "chr1"):
+        chrom, _, ends = region.partition(":")
+        a, b = map(int, (ends or f"0-{1 << 40}").split("-"))
+        got = spark.read.format("bigwig").option("regions", region).load(files).collect()
+        assert sorted(map(tuple, got)) == [w for w in wanted if w[0] == chrom and a <= w[1] < b]
