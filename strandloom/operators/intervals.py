@@ -57,7 +57,9 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], closed: bool
 
     Both sides have ``start`` and ``end``. An interval stands in the bins of its level and of all longer
     levels, at most two each; a pair is emitted once, on the longer one's level and in the later of the two first
-    bins there, so that it stays an equi-join. ``closed``: touching intervals meet too.
+    bins there, so that it stays an equi-join. Two intervals meet only where one of them is on its own level, the
+    left one in turn 0 and the right one in turn 1: short ones never meet by the wide bins of long ones. ``closed``:
+    touching intervals meet too.
     """
 
     def binned(d: DataFrame, start: str, end: str, level: str, place: str) -> DataFrame:
@@ -67,12 +69,16 @@ def overlap_join(left: DataFrame, right: DataFrame, by: list[str], closed: bool
 
     r = right.select(*(F.col(c).alias(f"r_{c}") for c in right.columns))
     a, b = binned(left, "start", "end", "_level", "_bin"), binned(r, "r_start", "r_end", "_rlevel", "_rbin")
-    keys = [F.col(c) == F.col(f"r_{c}") for c in by] + [F.col("_level") == F.col("_rlevel"), F.col("_bin") == F.col("_rbin")]
+    a = a.withColumn("_turn", F.when(F.col("_level") == F.col("_level_own"), 0).otherwise(1))
+    # in turn 1 the left one is shorter than the level's
+    turns = F.when((F.col("_rlevel") == F.col("_rlevel_own")) & (F.col("_rlevel") > 0), F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    b = b.withColumn("_rturn", F.explode(turns))
+    keys = [F.col(c) == F.col(f"r_{c}") for c in by] + [F.col("_turn") == F.col("_rturn"), F.col("_level") == F.col("_rlevel"), F.col("_bin") == F.col("_rbin")]
     hit = (F.col("start") < F.col("r_end")) & (F.col("r_start") < F.col("end"))
     if closed:
         hit = (F.col("start") <= F.col("r_end")) & (F.col("r_start") <= F.col("end"))
     once = (F.col("_level") == F.greatest("_level_own", "_rlevel_own")) & (F.col("_bin") == F.greatest(_bin("start"), _bin("r_start", "_rlevel")))
-    return a.join(b, keys).where(hit & once).drop("_level", "_bin", "_rlevel", "_rbin", "_level_own", "_rlevel_own")
+    return a.join(b, keys).where(hit & once).drop("_turn", "_rturn", "_level", "_bin", "_rlevel", "_rbin", "_level_own", "_rlevel_own")
 
 
 def sharing(rows: DataFrame, key: str, on: list[str]) -> DataFrame:

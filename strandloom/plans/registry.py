@@ -179,7 +179,7 @@ def pack_mode_intron(spark, sf):
 def exon_overlap_pairs(spark, sf):
     from strandloom.operators.intervals import overlap_join
 
-    x = transcripts(spark, sf).select("k", "chrom", "strand", F.explode("exons").alias("x")).select("k", "chrom", "strand", "x.start", "x.end")
+    x = materialize(transcripts(spark, sf).select("k", "chrom", "strand", F.explode("exons").alias("x")).select("k", "chrom", "strand", "x.start", "x.end"), "exons")
     return overlap_join(x, x, ["chrom", "strand"]).where("k < r_k").select(F.col("k").alias("a"), F.col("r_k").alias("b")).distinct()
 
 

@@ -212,3 +212,17 @@ def test_growing_tail_equals_a_pass_for_every_length(spark):
         open_ = [t for k, n, _, t in rows if k == i and t < n]
         wanted[i] = open_[0] if open_ else len(s)
     assert got == wanted
+
+
+def test_short_intervals_do_not_meet_by_wide_bins(spark):
+    import time
+
+    # 100,000 intervals, each over the next one, in one bin of the last level, and two long ones
+    rows = spark.range(100_000).select(F.lit("c").alias("chrom"), "id", (F.col("id") * 100).alias("start"), (F.col("id") * 100 + 150).alias("end"))
+    long = spark.createDataFrame([("c", -1, 1_000, 900_000), ("c", -2, 5_000, 9_000_000)], "chrom string, id long, start long, end long")
+    x = rows.unionByName(long)
+    began = time.time()
+    got = intervals.overlap_join(x, x, ["chrom"]).groupBy((F.col("id") < 0).alias("a"), (F.col("r_id") < 0).alias("b")).count().collect()
+    assert time.time() - began < 25
+    over = sum(sum(i * 100 < e and s < i * 100 + 150 for i in range(100_000)) for s, e in ((1_000, 900_000), (5_000, 9_000_000)))
+    assert {(r.a, r.b): r["count"] for r in got} == {(False, False): 299_998, (False, True): over, (True, False): over, (True, True): 4}
